@@ -3,75 +3,100 @@
 Spark's exact ``percentile`` keeps every distinct value of a group in one
 hash map and merges them in one task, so a global median of a 10^12-row
 column cannot finish.  Here each target ``(group, rank)`` keeps an interval
-``[lo, hi]`` that is known to hold its answer, and the count ``below`` of the
-group's values under ``lo``.  Every refinement level is one aggregation job:
-values inside an active interval are placed in equal-width buckets, counted
+``[lo, hi]`` known to hold its answer, and the count ``below`` of the
+group's values under ``lo``.  A refinement level is one aggregation job:
+values inside an active interval are put in equal-width buckets, counted
 per (target, bucket) with map-side combine, and the bucket holding the rank
 becomes the new, tighter interval (its own min/max).  Once an interval holds
 at most ``exact_rows`` values, the answer is read off a sort of just those
-values.  No group is ever gathered whole; the driver sees only row counts.
+values (one window task per interval, bounded by ``exact_rows``).
 
 A hot value (one value repeated for a third of the rows) collapses an
-interval to ``lo == hi``, which resolves the target at once.
+interval to ``lo == hi``, which answers the target at once.  The driver
+only sees one row per target (group, rank, interval, counts).
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-
-from ..session import cut_lineage
+from pyspark.sql import types as T
 
 BUCKETS = 2048
 EXACT_ROWS = 1_000_000
 MAX_LEVELS = 24
 
-
-def order_statistics(
-    data: DataFrame,
-    targets: DataFrame,
-    *,
-    group: str = "g",
-    value: str = "v",
-    exact_rows: int = EXACT_ROWS,
-    buckets: int = BUCKETS,
-) -> DataFrame:
-    """Return ``(group, r, value)``: the r-th smallest (0-based) ``value`` of each group.
-
-    ``data`` holds ``(group, value)`` with non-null double values; ``targets``
-    holds ``(group, r)`` with ``0 <= r < n_group``.  Ties count once per row,
-    as in a sort.
+_STATE = T.StructType(
+    [
+        T.StructField("tid", T.LongType()),
+        T.StructField("g", T.StringType()),
+        T.StructField("r", T.LongType()),
+        T.StructField("lo", T.DoubleType()),
+        T.StructField("hi", T.DoubleType()),
+        T.StructField("below", T.LongType()),
+        T.StructField("m", T.LongType()),
+    ]
+)
+
+
+def group_bounds(d: DataFrame) -> dict:
+    """``{group: (n, min, max)}`` for ``d(g, v)`` — one row per group."""
+    rows = d.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect()
+    return {row["g"]: (row["n"], row["lo"], row["hi"]) for row in rows}
+
+
+def _prepare(data: DataFrame, group: str, value: str) -> DataFrame:
+    return data.select(F.col(group).cast("string").alias("g"), F.col(value).cast("double").alias("v")).where(F.col("v").isNotNull())
+
+
+def select_ranks(d: DataFrame, bounds: dict, targets: list[tuple], *, exact_rows: int = EXACT_ROWS, buckets: int = BUCKETS) -> DataFrame:
+    """``(g, r, value)`` for ``targets = [(g, r), ...]`` over ``d(g string, v double)``."""
+    spark = d.sparkSession
+    state = []
+    for i, (g, r) in enumerate(sorted(set(targets))):
+        n, lo, hi = bounds[g]
+        if 0 <= r < n:
+            state.append((i, g, int(r), float(lo), float(hi), 0, int(n)))
+    active = [s for s in state if s[6] > exact_rows and s[3] < s[4]]
+    done = [s for s in state if not (s[6] > exact_rows and s[3] < s[4])]
+    level = 0
+    while active and level < MAX_LEVELS:
+        level += 1
+        refined = _refine(d, spark.createDataFrame(active, _STATE), buckets).collect()
+        refined = [tuple(x) for x in refined]
+        active = [s for s in refined if s[6] > exact_rows and s[3] < s[4]]
+        done += [s for s in refined if not (s[6] > exact_rows and s[3] < s[4])]
+    done += active
+
+    point = [(s[1], s[2], s[3]) for s in done if s[3] == s[4]]
+    rest = [s for s in done if s[3] < s[4]]
+    out_schema = "g string, r long, value double"
+    result = spark.createDataFrame(point, out_schema)
+    if rest:
+        # Targets of one group that share an interval share one sort.
+        ivs = {}
+        for s in rest:
+            ivs.setdefault((s[1], s[3], s[4], s[5]), len(ivs))
+        iv_df = spark.createDataFrame([(k[0], k[1], k[2], k[3], i) for k, i in ivs.items()], "g string, lo double, hi double, below long, iid long")
+        tg_df = spark.createDataFrame([(ivs[(s[1], s[3], s[4], s[5])], s[1], s[2]) for s in rest], "iid long, g string, r long")
+        inside = d.join(F.broadcast(iv_df), "g").where((F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("hi")))
+        w = Window.partitionBy("iid").orderBy("v")
+        ranked = inside.select("iid", "v", (F.row_number().over(w) - 1 + F.col("below")).alias("r"))
+        picked = ranked.join(F.broadcast(tg_df), ["iid", "r"]).select("g", "r", F.col("v").alias("value"))
+        result = result.unionByName(picked)
+    return result
+
+
+def order_statistics(data: DataFrame, targets: DataFrame, *, group: str = "g", value: str = "v", **kw) -> DataFrame:
+    """``(group, r, value)``: the r-th smallest (0-based) value of each group.
+
+    ``data`` holds ``(group, value)``; ``targets`` holds ``(group, r)``, one
+    row per wanted rank (a small table: a few ranks per group).
     """
-    d = data.select(F.col(group).alias("g"), F.col(value).cast("double").alias("v")).where(F.col("v").isNotNull())
-    t = targets.select(F.col(group).alias("g"), F.col("r").cast("long").alias("r")).dropDuplicates(["g", "r"])
-
-    bounds = d.groupBy("g").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count(F.lit(1)).alias("m"))
-    state = (
-        t.join(bounds, "g")
-        .withColumn("tid", F.xxhash64("g", "r"))
-        .withColumn("below", F.lit(0).cast("long"))
-        .select("tid", "g", "r", "lo", "hi", "below", "m")
-        .cache()
-    )
-
-    for _ in range(MAX_LEVELS):
-        active = state.where((F.col("m") > exact_rows) & (F.col("lo") < F.col("hi")))
-        if active.isEmpty():
-            break
-        settled = state.where(~((F.col("m") > exact_rows) & (F.col("lo") < F.col("hi"))))
-        state = cut_lineage(settled.unionByName(_refine(d, active, buckets)))
-
-    # Targets whose interval collapsed to one value are answered directly.
-    point = state.where(F.col("lo") == F.col("hi")).select("g", "r", F.col("lo").alias("value"))
-    # The rest: sort only the values inside each distinct interval (targets of
-    # one group that share an interval share the sort), then pick by rank.
-    rest = state.where(F.col("lo") < F.col("hi")).withColumn("iid", F.xxhash64("g", "lo", "hi", "below"))
-    intervals = rest.select("iid", "g", "lo", "hi", "below").dropDuplicates(["iid"])
-    inside = d.join(F.broadcast(intervals), "g").where((F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("hi")))
-    w = Window.partitionBy("iid").orderBy("v")
-    ranked = inside.select("iid", "v", (F.row_number().over(w) - 1 + F.col("below")).alias("r"))
-    picked = ranked.join(F.broadcast(rest.select("iid", "g", "r")), ["iid", "r"]).select("g", "r", F.col("v").alias("value"))
-    return point.unionByName(picked).withColumnRenamed("g", group)
+    d = _prepare(data, group, value)
+    bounds = group_bounds(d)
+    tg = [(str(row[0]), int(row[1])) for row in targets.select(F.col(group).cast("string"), "r").collect()]
+    return select_ranks(d, bounds, tg, **kw).withColumnRenamed("g", group)
 
 
 def _refine(d: DataFrame, active: DataFrame, buckets: int) -> DataFrame:
@@ -92,7 +117,7 @@ def _refine(d: DataFrame, active: DataFrame, buckets: int) -> DataFrame:
     w = Window.partitionBy("tid").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
     cum = counts.withColumn("before", F.coalesce(F.sum("c").over(w), F.lit(0)))
     return (
-        cum.join(active.select("tid", "g", "r", "below"), "tid")
+        cum.join(F.broadcast(active.select("tid", "g", "r", "below")), "tid")
         .where((F.col("below") + F.col("before") <= F.col("r")) & (F.col("r") < F.col("below") + F.col("before") + F.col("c")))
         .select(
             "tid",
@@ -107,24 +132,29 @@ def _refine(d: DataFrame, active: DataFrame, buckets: int) -> DataFrame:
 
 
 def quantiles_long(long: DataFrame, probs: list[float], *, group: str = "g", value: str = "v", **kw) -> DataFrame:
-    """Linear-interpolated quantiles per group (pandas / ``quantile_cont`` rule).
+    """Linear-interpolated quantiles per group (the pandas / ``quantile_cont`` rule).
 
     ``long`` holds ``(group, value)``; nulls are ignored.  Returns
-    ``(group, p, value)``.
+    ``(group, p, value)``; groups without values are absent.
     """
-    d = long.select(F.col(group).alias("g"), F.col(value).cast("double").alias("v")).where(F.col("v").isNotNull())
-    n = d.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
-    pos = (
-        n.select("g", "n", F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("p"))
-        .withColumn("pos", F.col("p") * (F.col("n") - 1))
-        .withColumn("r_lo", F.floor("pos").cast("long"))
-        .withColumn("r_hi", F.ceil("pos").cast("long"))
-    )
-    targets = pos.select("g", F.col("r_lo").alias("r")).unionByName(pos.select("g", F.col("r_hi").alias("r")))
-    stats = order_statistics(d, targets, **kw)
+    d = _prepare(long, group, value)
+    bounds = group_bounds(d)
+    plan = []
+    targets = []
+    for g, (n, _, _) in bounds.items():
+        for p in probs:
+            pos = float(p) * (n - 1)
+            lo_r, hi_r = int(pos // 1), int(-((-pos) // 1))
+            plan.append((g, float(p), pos, lo_r, hi_r))
+            targets += [(g, lo_r), (g, hi_r)]
+    spark = long.sparkSession
+    if not plan:
+        return spark.createDataFrame([], f"{group} string, p double, value double")
+    stats = select_ranks(d, bounds, targets, **kw)
+    pos = spark.createDataFrame(plan, "g string, p double, pos double, r_lo long, r_hi long")
     a = stats.select("g", F.col("r").alias("r_lo"), F.col("value").alias("a"))
     b = stats.select("g", F.col("r").alias("r_hi"), F.col("value").alias("b"))
-    out = (
+    return (
         pos.join(a, ["g", "r_lo"])
         .join(b, ["g", "r_hi"])
         .select(
@@ -133,12 +163,11 @@ def quantiles_long(long: DataFrame, probs: list[float], *, group: str = "g", val
             (F.col("a") + (F.col("b") - F.col("a")) * (F.col("pos") - F.col("r_lo"))).alias("value"),
         )
     )
-    return out
 
 
 def approx_quantiles_long(long: DataFrame, probs: list[float], *, group: str = "g", value: str = "v", accuracy: int = 10000) -> DataFrame:
     """Approximate quantiles per group (``percentile_approx``), for the explicit approximate mode."""
-    d = long.select(F.col(group).alias("g"), F.col(value).cast("double").alias("v")).where(F.col("v").isNotNull())
+    d = _prepare(long, group, value)
     arr = F.array(*[F.lit(float(p)) for p in probs])
     agg = d.groupBy("g").agg(F.percentile_approx("v", arr, accuracy).alias("qs"))
     return agg.select(F.col("g").alias(group), F.posexplode("qs").alias("i", "value")).select(

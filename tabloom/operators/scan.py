@@ -29,64 +29,79 @@ def column_moments(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """One row per column: ``column, ordinal, kind, dtype, n_rows, missing,
     placeholders, n, min, max, mean, std, skew, kurtosis, zeros, negatives``
     (numeric fields null for other kinds; ``placeholders`` counts non-null
-    text values that trimmed and lower-cased are a placeholder null)."""
+    text values that trimmed and lower-cased are a placeholder null).
+
+    The table is unpivoted to ``(column, value, flags)`` and aggregated per
+    column, so the aggregate stays narrow (and code-generated) however wide
+    the table is; map-side combine leaves one partial row per column per task.
+    """
     kinds = column_kinds(df)
     fields = {f.name: f for f in df.schema.fields}
     cols = list(df.columns) if cols is None else cols
-    aggs = [F.count(F.lit(1)).alias("__rows")]
+    spark = df.sparkSession
+    if not cols:
+        return spark.createDataFrame(
+            [],
+            "column string, ordinal int, kind string, dtype string, n_rows long, missing long, placeholders long, n long, "
+            "min double, max double, mean double, std double, skew double, kurtosis double, zeros long, negatives long",
+        )
+    null_d = F.lit(None).cast("double")
+    items = []
     for i, c in enumerate(cols):
         x = F.col(q(c))
-        aggs.append(F.sum(F.when(x.isNull(), 1).otherwise(0)).cast("long").alias(f"m{i}"))
+        ph = F.lit(False)
         if kinds[c] == CATEGORICAL:
-            txt = F.lower(F.trim(as_text(x, fields[c].dataType)))
-            aggs.append(F.count_if(txt.isin(*PLACEHOLDER_NULLS)).alias(f"ph{i}"))
-        if kinds[c] == NUMERIC:
-            xd = x.cast("double")
-            n = F.count(xd)
-            aggs += [
-                n.alias(f"n{i}"),
-                F.min(xd).alias(f"lo{i}"),
-                F.max(xd).alias(f"hi{i}"),
-                F.avg(xd).alias(f"mu{i}"),
-                F.when(n == 1, F.lit(0.0)).otherwise(F.stddev_samp(xd)).alias(f"sd{i}"),
-                sample_skewness(xd, n).alias(f"sk{i}"),
-                sample_kurtosis(xd, n).alias(f"ku{i}"),
-                F.count_if(xd == 0).alias(f"z{i}"),
-                F.count_if(xd < 0).alias(f"neg{i}"),
-            ]
-    wide = df.agg(*aggs)
-    null_d = F.lit(None).cast("double")
-    null_l = F.lit(None).cast("long")
-    rows = []
-    for i, c in enumerate(cols):
-        numeric = kinds[c] == NUMERIC
-        rows.append(
+            ph = F.coalesce(F.lower(F.trim(as_text(x, fields[c].dataType))).isin(*PLACEHOLDER_NULLS), F.lit(False))
+        items.append(
             F.struct(
-                F.lit(c).alias("column"),
-                F.lit(i).alias("ordinal"),
-                F.lit(kinds[c]).alias("kind"),
-                F.lit(fields[c].dataType.simpleString()).alias("dtype"),
-                F.col("__rows").alias("n_rows"),
-                F.col(f"m{i}").alias("missing"),
-                (F.col(f"ph{i}") if kinds[c] == CATEGORICAL else F.lit(0).cast("long")).alias("placeholders"),
-                (F.col(f"n{i}") if numeric else null_l).alias("n"),
-                (F.col(f"lo{i}") if numeric else null_d).alias("min"),
-                (F.col(f"hi{i}") if numeric else null_d).alias("max"),
-                (F.col(f"mu{i}") if numeric else null_d).alias("mean"),
-                (F.col(f"sd{i}") if numeric else null_d).alias("std"),
-                (F.col(f"sk{i}") if numeric else null_d).alias("skew"),
-                (F.col(f"ku{i}") if numeric else null_d).alias("kurtosis"),
-                (F.col(f"z{i}") if numeric else null_l).alias("zeros"),
-                (F.col(f"neg{i}") if numeric else null_l).alias("negatives"),
+                F.lit(i).alias("i"),
+                x.isNull().alias("isnull"),
+                ph.alias("ph"),
+                (x.cast("double") if kinds[c] == NUMERIC else null_d).alias("v"),
             )
         )
-    if not rows:
-        return df.sparkSession.createDataFrame(
-            [],
-            "column string, ordinal int, kind string, dtype string, n_rows long, missing long, placeholders long, n long, min double, "
-            "max double, mean double, std double, skew double, kurtosis double, zeros long, negatives long",
-        )
-    return wide.select(F.explode(F.array(*rows)).alias("s")).select("s.*")
+    long = df.select(F.explode(F.array(*items)).alias("s")).select("s.i", "s.isnull", "s.ph", "s.v")
+    v = F.col("v")
+    n = F.count(v)
+    agg = long.groupBy("i").agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.count_if(F.col("isnull")).alias("missing"),
+        F.count_if(F.col("ph")).alias("placeholders"),
+        n.alias("n"),
+        F.min(v).alias("min"),
+        F.max(v).alias("max"),
+        F.avg(v).alias("mean"),
+        F.when(n == 1, F.lit(0.0)).otherwise(F.stddev_samp(v)).alias("std"),
+        sample_skewness(v, n).alias("skew"),
+        sample_kurtosis(v, n).alias("kurtosis"),
+        F.count_if(v == 0).alias("zeros"),
+        F.count_if(v < 0).alias("negatives"),
+    )
+    meta = spark.createDataFrame(
+        [(i, c, kinds[c], fields[c].dataType.simpleString()) for i, c in enumerate(cols)],
+        "i int, column string, kind string, dtype string",
+    )
+    numeric = F.col("kind") == NUMERIC
+    keep = lambda c: F.when(numeric, F.col(c))
+    out = F.broadcast(meta).join(agg, "i", "left")
+    return out.select(
+        "column",
+        F.col("i").alias("ordinal"),
+        "kind",
+        "dtype",
+        F.coalesce(F.col("n_rows"), F.lit(0)).cast("long").alias("n_rows"),
+        F.coalesce(F.col("missing"), F.lit(0)).cast("long").alias("missing"),
+        F.coalesce(F.col("placeholders"), F.lit(0)).cast("long").alias("placeholders"),
+        keep("n").alias("n"),
+        keep("min").alias("min"),
+        keep("max").alias("max"),
+        keep("mean").alias("mean"),
+        keep("std").alias("std"),
+        keep("skew").alias("skew"),
+        keep("kurtosis").alias("kurtosis"),
+        keep("zeros").alias("zeros"),
+        keep("negatives").alias("negatives"),
+    )
 
 
 def unpivot_text(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -147,3 +162,10 @@ def count_outside(df: DataFrame, bounds: DataFrame) -> DataFrame:
     long = df.select(F.explode(arr).alias("s")).select("s.column", "s.v").where(F.col("v").isNotNull())
     j = long.join(F.broadcast(bounds.select("column", "lower", "upper")), "column")
     return j.groupBy("column").agg(F.count_if((F.col("v") < F.col("lower")) | (F.col("v") > F.col("upper"))).alias("outside"))
+
+
+def materialize_small(df: DataFrame) -> DataFrame:
+    """Compute a per-column table (one row per column, never per data row)
+    once and return it as a local relation, so later rules and joins do not
+    re-run the passes behind it."""
+    return df.sparkSession.createDataFrame(df.collect(), df.schema)

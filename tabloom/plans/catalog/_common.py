@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ...sources.readers import balanced
 from ..faults import FAULTY_ORDERS, for_duckdb
 
 DIGITS = 4
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return balanced(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def faulty_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
