@@ -46,15 +46,23 @@ def approximate_mode(counts: dict, n_draws: int) -> dict:
     return fl
 
 
-def rank_below(df: DataFrame, group: Column, order: Column, tiebreak: list[Column], cuts: dict) -> DataFrame:
+def md5_key(cols: list[Column]) -> Column:
+    """52-bit key from md5 of the '|'-joined text of ``cols`` (reproducible in SQL)."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *[c.cast("string") for c in cols])), 1, 13), 16, 10).cast("long")
+
+
+def rank_below(df: DataFrame, group: Column, order: Column, tiebreak: list[Column], cuts: dict,
+               tie_key: Column | None = None) -> DataFrame:
     """Add ``_below_<i>`` booleans: the row's rank within its group (by
     ``order``, then ``tiebreak``) is under ``cuts[g][i]``.
 
     The value at each cut rank comes from the order-statistics primitive;
-    rows strictly under it are below the cut, and only rows equal to it are
-    ranked among themselves (by the tie-break columns) to fill the cut
-    exactly.  The tie-break columns identify a row; identical rows fall on
-    the same side.
+    rows strictly under it are below the cut.  Rows equal to it are cut
+    again on a second key (a 53-bit hash of the tie-break columns) with the
+    same primitive, so even a hot tie group (a third of the rows at one
+    timestamp) is never sorted in one task; only rows that also share that
+    key (same tie-break values) are numbered among themselves by the
+    tie-break columns.  ``tie_key`` defaults to ``md5_key(tiebreak)``.
     """
     spark = df.sparkSession
     d = df.withColumn("_g", group.cast("string")).withColumn("_v", order.cast("double"))
@@ -62,6 +70,7 @@ def rank_below(df: DataFrame, group: Column, order: Column, tiebreak: list[Colum
     for i, tb in enumerate(tiebreak):
         d = d.withColumn(f"_t{i}", tb)
         tb_cols.append(f"_t{i}")
+    d = d.withColumn("_h2", (tie_key if tie_key is not None else md5_key([F.col(c) for c in tb_cols])).cast("double"))
     gv = d.select(F.col("_g").alias("g"), F.col("_v").alias("v")).where(F.col("v").isNotNull())
     bounds = group_bounds(gv)
     n_cuts = max((len(c) for c in cuts.values()), default=0)
@@ -69,29 +78,38 @@ def rank_below(df: DataFrame, group: Column, order: Column, tiebreak: list[Colum
     vals = {(row["g"], row["r"]): row["value"] for row in select_ranks(gv, bounds, targets).collect()} if targets else {}
     out = d
     for i in range(n_cuts):
+        col = f"_below_{i}"
         thr = [(g, float(vals[(g, cs[i])]), int(cs[i])) for g, cs in cuts.items() if len(cs) > i and (g, cs[i]) in vals]
         everything = [g for g, cs in cuts.items() if len(cs) > i and g in bounds and cs[i] >= bounds[g][0]]
-        below = F.col("_g").isin(*everything) if everything else F.lit(False)
-        if thr:
-            tdf = spark.createDataFrame(thr, "_g string, _ti double, _c long")
-            lt = {row["_g"]: row["lt"] for row in d.join(F.broadcast(tdf), "_g").groupBy("_g").agg(
-                F.count_if(F.col("_v") < F.col("_ti")).alias("lt")).collect()}
-            picks = [(g, t, c - lt.get(g, 0)) for g, t, c in thr if c - lt.get(g, 0) > 0]
-            out = out.join(F.broadcast(tdf.select("_g", "_ti")), "_g", "left")
-            below = below | F.coalesce(F.col("_v") < F.col("_ti"), F.lit(False))
-            if picks:
-                pdf = spark.createDataFrame(picks, "_g string, _ti double, _k long")
-                ties = d.join(F.broadcast(pdf), "_g").where(F.col("_v") == F.col("_ti"))
-                w = Window.partitionBy("_g").orderBy(*tb_cols)
-                chosen = (ties.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= F.col("_k"))
-                          .select(*[F.col(c).alias("p" + c) for c in ["_g", *tb_cols]]).withColumn("_pick", F.lit(True)))
-                cond = [out[c].eqNullSafe(chosen["p" + c]) for c in ["_g", *tb_cols]]
-                out = out.join(chosen, cond, "left").drop(*["p" + c for c in ["_g", *tb_cols]])
-                below = below | F.coalesce(F.col("_pick"), F.lit(False))
-            out = out.withColumn(f"_below_{i}", below).drop("_ti", "_pick")
+        whole = F.col("_g").isin(*everything) if everything else F.lit(False)
+        if not thr:
+            out = out.withColumn(col, whole)
+            continue
+        tdf = spark.createDataFrame([(g, t) for g, t, _ in thr], "_g string, _ti double")
+        out = out.join(F.broadcast(tdf), "_g", "left")
+        is_tie = F.coalesce(F.col("_v") == F.col("_ti"), F.lit(False))
+        lt = {row["_g"]: row["lt"] for row in out.groupBy("_g").agg(F.count_if(F.col("_v") < F.col("_ti")).alias("lt")).collect()}
+        base = out.where(~is_tie).withColumn(col, whole | F.coalesce(F.col("_v") < F.col("_ti"), F.lit(False)))
+        ties = out.where(is_tie)
+        need = {g: c - lt.get(g, 0) for g, _, c in thr if c - lt.get(g, 0) > 0}
+        if need:
+            t2 = ties.select(F.col("_g").alias("g"), F.col("_h2").alias("v"))
+            b2 = group_bounds(t2)
+            h2 = {(row["g"], row["r"]): row["value"] for row in select_ranks(t2, b2, list(need.items())).collect()}
+            hdf = spark.createDataFrame([(g, float(h2[(g, k)])) for g, k in need.items()], "_g string, _hi double")
+            ties = ties.join(F.broadcast(hdf), "_g", "left")
+            lt2 = {row["_g"]: row["lt"] for row in ties.groupBy("_g").agg(F.count_if(F.col("_h2") < F.col("_hi")).alias("lt")).collect()}
+            kdf = spark.createDataFrame([(g, int(k - lt2.get(g, 0))) for g, k in need.items()], "_g string, _k long")
+            is_eq = F.coalesce(F.col("_h2") == F.col("_hi"), F.lit(False))
+            ne = ties.where(~is_eq).withColumn(col, whole | F.coalesce(F.col("_h2") < F.col("_hi"), F.lit(False)))
+            w = Window.partitionBy("_g").orderBy(*tb_cols)
+            eq = (ties.where(is_eq).join(F.broadcast(kdf), "_g", "left").withColumn("_rn", F.row_number().over(w))
+                  .withColumn(col, whole | (F.col("_rn") <= F.coalesce(F.col("_k"), F.lit(0)))).drop("_rn", "_k"))
+            ties = ne.unionByName(eq).drop("_hi")
         else:
-            out = out.withColumn(f"_below_{i}", below)
-    return out.drop("_g", "_v", *tb_cols)
+            ties = ties.withColumn(col, whole)
+        out = base.unionByName(ties).drop("_ti")
+    return out.drop("_g", "_v", "_h2", *tb_cols)
 
 
 def split_sizes(n: int, test_size: float, val_size: float) -> tuple[int, int, int]:
@@ -115,7 +133,7 @@ def random_split(df: DataFrame, target: str, *, keys: list[str] | None = None, t
         raise DataLoadError(f"Dataset has only {n} rows; cannot perform train/test split.")
     n_train, n_val, n_test = split_sizes(n, test_size, val_size)
     order = seeded_order(keys, seed)
-    tb = [order] + [F.col(q(k)).cast("string") for k in keys]
+    tb = [F.col(q(k)).cast("string") for k in keys]
     strat1 = stratify and all(c >= 2 for c in counts.values())
     if strat1:
         tr_alloc = approximate_mode(counts, n - n_test)
@@ -147,7 +165,9 @@ def random_split(df: DataFrame, target: str, *, keys: list[str] | None = None, t
 def temporal_split(df: DataFrame, target: str, time_column: str, *, test_size: float = P.TEST_SIZE,
                    val_size: float = P.VAL_SIZE, tiebreak: list[str] | None = None) -> DataFrame:
     """Earliest rows train, then val, then test (L3); null times sort last.
-    n_test = max(1, ⌊n·test⌋), n_val = max(1, ⌊n·val⌋) or 0."""
+    n_test = max(1, ⌊n·test⌋), n_val = max(1, ⌊n·val⌋) or 0.  Rows at the
+    same time are ordered by md5 of the ``tiebreak`` columns, then by the
+    text of all columns."""
     if target not in df.columns:
         raise DataLoadError(f"Target column '{target}' not found in dataset columns: {df.columns}")
     n = df.count()
@@ -159,8 +179,9 @@ def temporal_split(df: DataFrame, target: str, time_column: str, *, test_size: f
     t = F.col(q(time_column))
     micros = F.unix_micros(t.cast("timestamp")) if dict(df.dtypes)[time_column] in ("timestamp", "timestamp_ntz", "date") else t
     order = F.coalesce(micros.cast("double"), F.lit(float("inf")))
-    tb = [F.col(q(k)).cast("string") for k in (tiebreak or [c for c in df.columns if c != time_column])]
-    out = rank_below(df, F.lit("all"), order, tb, {"all": [n_train, n_train + n_val]})
+    keys = tiebreak or [c for c in df.columns if c != time_column]
+    tb = [F.col(q(k)).cast("string") for k in keys] + [F.col(q(k)).cast("string") for k in df.columns if k != time_column and k not in keys]
+    out = rank_below(df, F.lit("all"), order, tb, {"all": [n_train, n_train + n_val]}, tie_key=md5_key([F.col(q(k)) for k in keys]))
     label = F.when(F.col("_below_0"), "train").when(F.col("_below_1"), "val").otherwise("test")
     return out.withColumn("split", label).drop("_below_0", "_below_1")
 

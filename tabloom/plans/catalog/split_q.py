@@ -10,6 +10,16 @@ from ...operators import split as S
 from ._common import r, rounded, table
 
 
+def temporal_order_sql(time: str, keys: list[str], rest: list[str]) -> str:
+    """ORDER BY text matching ``temporal_split``: time, md5 of the keys, then the text of every column."""
+    md5 = f"CAST(('0x' || left(md5(concat_ws('|', {', '.join(f'CAST({k} AS VARCHAR)' for k in keys)})), 13)) AS BIGINT)"
+    return f"{time} NULLS LAST, {md5}, " + ", ".join(f"CAST({c} AS VARCHAR)" for c in keys + rest)
+
+
+ORDERS_REST = ["o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority"]
+LINEITEM_REST = ["l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus"]
+
+
 def q_split_random_orders(spark, sf_dir):
     s = S.random_split(table(spark, sf_dir, "orders"), "o_orderstatus", keys=["o_orderkey"], seed=P.RANDOM_SEED)
     return s.select("o_orderkey", "split")
@@ -63,7 +73,7 @@ def q_split_temporal_orders(spark, sf_dir):
 SQL_SPLIT_TEMPORAL = f"""WITH n AS (SELECT count(*) AS n FROM orders),
 sz AS (SELECT n, greatest(1, CAST(floor(n * {P.TEST_SIZE}) AS BIGINT)) AS n_test,
               greatest(1, CAST(floor(n * {P.VAL_SIZE}) AS BIGINT)) AS n_val FROM n),
-ranked AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate NULLS LAST, CAST(o_orderkey AS VARCHAR)) AS rn FROM orders)
+ranked AS (SELECT o_orderkey, row_number() OVER (ORDER BY {temporal_order_sql('o_orderdate', ['o_orderkey'], ORDERS_REST)}) AS rn FROM orders)
 SELECT o_orderkey, CASE WHEN rn <= n - n_test - n_val THEN 'train' WHEN rn <= n - n_test THEN 'val' ELSE 'test' END AS split
 FROM ranked, sz"""
 
@@ -94,7 +104,7 @@ def _sql_leakage() -> str:
     return f"""WITH li AS (SELECT *, l_extendedprice * 1.1 AS l_extendedprice_usd FROM lineitem),
 n AS (SELECT count(*) AS n FROM li),
 sz AS (SELECT n, greatest(1, CAST(floor(n * {P.TEST_SIZE}) AS BIGINT)) AS n_test, greatest(1, CAST(floor(n * {P.VAL_SIZE}) AS BIGINT)) AS n_val FROM n),
-ranked AS (SELECT *, row_number() OVER (ORDER BY l_shipdate NULLS LAST, CAST(l_orderkey AS VARCHAR), CAST(l_linenumber AS VARCHAR)) AS rn FROM li),
+ranked AS (SELECT *, row_number() OVER (ORDER BY {temporal_order_sql('l_shipdate', ['l_orderkey', 'l_linenumber'], LINEITEM_REST + ['l_extendedprice_usd'])}) AS rn FROM li),
 lab AS (SELECT ranked.*, CASE WHEN rn <= n - n_test - n_val THEN 'train' WHEN rn <= n - n_test THEN 'val' ELSE 'test' END AS split FROM ranked, sz),
 train AS (SELECT * FROM lab WHERE split = 'train'),
 test AS (SELECT * FROM lab WHERE split = 'test'),
