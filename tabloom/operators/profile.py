@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from ..functions import patterns as P
 from ..functions.kinds import BOOLEAN, CATEGORICAL, NUMERIC, columns_of, normalize_missing, q
-from .scan import column_moments, column_quantiles, distinct_counts, quantile_wide, top_k, value_counts
+from .scan import one_row, column_moments, column_quantiles, distinct_counts, quantile_wide, top_k, value_counts
 
 _FIXED_WIDTH = {
     T.ByteType: 1, T.ShortType: 2, T.IntegerType: 4, T.LongType: 8, T.FloatType: 4, T.DoubleType: 8,
@@ -140,7 +140,7 @@ def profile_summary(df: DataFrame) -> DataFrame:
     )
     dup = duplicate_rows(df).select("duplicate_rows")
     cells = F.col("n_rows") * n_cols
-    return base.crossJoin(dup).select(
+    return one_row(base, dup).select(
         "n_rows",
         F.lit(n_cols).cast("long").alias("n_cols"),
         ((F.col("n_rows") * width + F.col("_var_bytes")) / (1024 * 1024)).alias("memory_mb"),

@@ -169,3 +169,16 @@ def materialize_small(df: DataFrame) -> DataFrame:
     once and return it as a local relation, so later rules and joins do not
     re-run the passes behind it."""
     return df.sparkSession.createDataFrame(df.collect(), df.schema)
+
+
+def one_row(*frames: DataFrame) -> DataFrame:
+    """Put single-row aggregates side by side (their values are scalars)."""
+    spark = frames[0].sparkSession
+    values, fields = [], []
+    for f in frames:
+        row = f.first()
+        values += list(row) if row is not None else [None] * len(f.columns)
+        fields += f.schema.fields
+    from pyspark.sql.types import StructType
+
+    return spark.createDataFrame([tuple(values)], StructType(fields))

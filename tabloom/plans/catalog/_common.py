@@ -30,7 +30,7 @@ def rounded(df: DataFrame, digits: int = DIGITS) -> DataFrame:
     for f in df.schema.fields:
         c = F.col("`" + f.name + "`")
         if isinstance(f.dataType, (T.DoubleType, T.FloatType, T.DecimalType)):
-            cols.append(F.round(c.cast("double"), digits).alias(f.name))
+            cols.append((F.round(c.cast("double"), digits) + F.lit(0.0)).alias(f.name))
         elif isinstance(f.dataType, (T.ByteType, T.ShortType, T.IntegerType)):
             cols.append(c.cast("long").alias(f.name))
         else:
@@ -39,7 +39,7 @@ def rounded(df: DataFrame, digits: int = DIGITS) -> DataFrame:
 
 
 def r(expr: str, digits: int = DIGITS) -> str:
-    return f"round(CAST({expr} AS DOUBLE), {digits})"
+    return f"(round(CAST({expr} AS DOUBLE), {digits}) + 0.0)"
 
 
 def union_all(parts: list[str]) -> str:
