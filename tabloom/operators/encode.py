@@ -21,7 +21,8 @@ from pyspark.sql import types as T
 
 from ..functions import patterns as P
 from ..functions.kinds import NUMERIC, as_text, column_kinds, q
-from .scan import column_moments, column_quantiles, distinct_counts, quantile_wide, value_counts
+from ..session import cut_lineage
+from .scan import column_quantiles, distinct_counts, persisted, quantile_wide, value_counts
 
 BROADCAST_ROWS = 2_000_000
 
@@ -104,6 +105,11 @@ class EncoderModel:
 
 
 def fit_encoder(x_train: DataFrame, *, scale_numeric: bool = True, max_low_cardinality: int = P.MAX_LOW_CARDINALITY) -> EncoderModel:
+    with persisted(x_train) as x:
+        return _fit_encoder(x, scale_numeric, max_low_cardinality)
+
+
+def _fit_encoder(x_train: DataFrame, scale_numeric: bool, max_low_cardinality: int) -> EncoderModel:
     spark = x_train.sparkSession
     kinds = column_kinds(x_train)
     num = [c for c in x_train.columns if kinds[c] == NUMERIC]
@@ -121,8 +127,9 @@ def fit_encoder(x_train: DataFrame, *, scale_numeric: bool = True, max_low_cardi
             m.low_card[r_["column"]] = sorted(r_["vals"])
         m.low_card = {c: m.low_card[c] for c in low if c in m.low_card}
         n = x_train.count()
-        m.freq = counts.where(F.col("column").isin(*m.high_card)).select("column", "value", (F.col("count") / F.lit(n)).alias("freq"))
+        m.freq = cut_lineage(counts.where(F.col("column").isin(*m.high_card)).select("column", "value", (F.col("count") / F.lit(n)).alias("freq")))
         m.freq_rows = sum(card[c] for c in m.high_card)
+        counts.unpersist()
     else:
         m.freq = spark.createDataFrame([], "column string, value string, freq double")
     if num:

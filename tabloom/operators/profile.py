@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from ..functions import patterns as P
 from ..functions.kinds import BOOLEAN, CATEGORICAL, NUMERIC, columns_of, normalize_missing, q
-from .scan import one_row, column_moments, column_quantiles, distinct_counts, quantile_wide, top_k, value_counts
+from .scan import materialize_small, one_row, persisted, column_moments, column_quantiles, distinct_counts, quantile_wide, top_k, value_counts
 
 _FIXED_WIDTH = {
     T.ByteType: 1, T.ShortType: 2, T.IntegerType: 4, T.LongType: 8, T.FloatType: 4, T.DoubleType: 8,
@@ -54,7 +54,8 @@ def approx_distinct(df: DataFrame, rsd: float = 0.01) -> DataFrame:
 
 def profile_columns(df: DataFrame, *, approx: bool = False) -> DataFrame:
     """One row per column of ``df`` with statistics and flags."""
-    s = _per_column_stats(df, approx)
+    with persisted(normalize_missing(df)) as d:
+        s = materialize_small(_per_column_stats(d, approx))
     rows = F.col("n_rows")
     distinct = F.coalesce(F.col("distinct"), F.lit(0)).cast("long")
     name_is_id = F.col("column").rlike("(?i)" + P.ID_NAME_PATTERN)

@@ -16,6 +16,9 @@ so the driver never holds data proportional to rows.
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -182,3 +185,13 @@ def one_row(*frames: DataFrame) -> DataFrame:
     from pyspark.sql.types import StructType
 
     return spark.createDataFrame([tuple(values)], StructType(fields))
+
+
+@contextmanager
+def persisted(df: DataFrame):
+    """Keep ``df`` (memory, spilling to disk) while a multi-pass fit reads it."""
+    d = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        yield d
+    finally:
+        d.unpersist()

@@ -13,12 +13,14 @@ from __future__ import annotations
 
 import math
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import DataLoadError
 from ..functions import patterns as P
 from ..functions.kinds import q
+from ..session import cut_lineage
 from .orderstats import group_bounds, select_ranks
 
 
@@ -71,6 +73,7 @@ def rank_below(df: DataFrame, group: Column, order: Column, tiebreak: list[Colum
         d = d.withColumn(f"_t{i}", tb)
         tb_cols.append(f"_t{i}")
     d = d.withColumn("_h2", (tie_key if tie_key is not None else md5_key([F.col(c) for c in tb_cols])).cast("double"))
+    d = d.persist(StorageLevel.MEMORY_AND_DISK)
     gv = d.select(F.col("_g").alias("g"), F.col("_v").alias("v")).where(F.col("v").isNotNull())
     bounds = group_bounds(gv)
     n_cuts = max((len(c) for c in cuts.values()), default=0)
@@ -109,7 +112,11 @@ def rank_below(df: DataFrame, group: Column, order: Column, tiebreak: list[Colum
         else:
             ties = ties.withColumn(col, whole)
         out = base.unionByName(ties).drop("_ti")
-    return out.drop("_g", "_v", "_h2", *tb_cols)
+    # the cut is written to the shared checkpoint folder: later stages read a
+    # fixed membership, and the persisted input can be released
+    out = cut_lineage(out.drop("_g", "_v", "_h2", *tb_cols))
+    d.unpersist()
+    return out
 
 
 def split_sizes(n: int, test_size: float, val_size: float) -> tuple[int, int, int]:
