@@ -48,15 +48,14 @@ class AdaBoostModel:
                 d = d.drop("rawPrediction", "probability")
             preds.append(f"_p{i}")
         if self.task == "classification":
-            k = len(self.classes)
-            scores = [sum(F.when(F.col(p) == float(c), F.lit(w)).otherwise(F.lit(0.0)) for p, w in zip(preds, self.weights)) for c in range(k)]
-            best = F.lit(0)
-            best_v = scores[0]
-            for c in range(1, k):
-                best = F.when(scores[c] > best_v, F.lit(c)).otherwise(best)
-                best_v = F.greatest(best_v, scores[c])
+            # weighted vote: each tree's prediction is referenced once, inside one array
+            votes = F.array(*[F.col(p) for p in preds])
+            weights = F.array(*[F.lit(float(w)) for w in self.weights])
+            pairs = F.arrays_zip(votes.alias("p"), weights.alias("w"))
+            scores = F.array(*[F.aggregate(pairs, F.lit(0.0), _vote_for(c)) for c in range(len(self.classes))])
             names = F.array(*[F.lit(c) for c in self.classes])
-            return d.select(*[q(k_) for k_ in keep], F.element_at(names, best + 1).alias("prediction"))
+            d = d.select(*[q(k_) for k_ in keep], scores.alias("_scores"))  # argmax below: first maximum = smallest class on ties
+            return d.select(*[q(k_) for k_ in keep], F.element_at(names, F.array_position(F.col("_scores"), F.array_max("_scores")).cast("int")).alias("prediction"))
         w = np.asarray(self.weights)
 
         @F.pandas_udf(T.DoubleType())
@@ -70,7 +69,15 @@ class AdaBoostModel:
         return d.select(*[q(k_) for k_ in keep], weighted_median(*[F.col(p) for p in preds]).alias("prediction"))
 
 
-def fit_adaboost(train: DataFrame, features: list[str], label: str, *, task: str, seed: int, rounds: int = ROUNDS) -> AdaBoostModel:
+def _vote_for(c: int):
+    def merge(acc, x):
+        return acc + F.when(x["p"] == float(c), x["w"]).otherwise(0.0)
+
+    return merge
+
+
+def fit_adaboost(train: DataFrame, features: list[str], label: str, *, task: str, seed: int, rounds: int | None = None) -> AdaBoostModel:
+    rounds = ROUNDS if rounds is None else rounds
     model = AdaBoostModel(task=task, features=features)
     va = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep")
     base = train.select(*[F.col(q(c)).cast("double").alias(c) for c in features], F.col(q(label)).alias("_y")).where(F.col("_y").isNotNull())
@@ -92,7 +99,8 @@ def fit_adaboost(train: DataFrame, features: list[str], label: str, *, task: str
         scored = tree.transform(data).select("features", "label", "w", F.col("prediction").alias("_p"))
         if task == "classification":
             miss = (F.col("_p") != F.col("label")).cast("double")
-            err = scored.agg((F.sum(F.col("w") * miss) / F.sum("w")).alias("e")).first()["e"]
+            sums = scored.agg(F.sum(F.col("w") * miss).alias("wm"), F.sum("w").alias("ws")).first()
+            err = sums["wm"] / sums["ws"]
             if err <= 0:
                 model.trees.append(tree)
                 model.weights.append(1.0)
@@ -105,6 +113,7 @@ def fit_adaboost(train: DataFrame, features: list[str], label: str, *, task: str
             model.trees.append(tree)
             model.weights.append(alpha)
             new_w = F.col("w") * F.exp(F.lit(alpha) * miss)
+            total = (sums["ws"] - sums["wm"]) + math.exp(alpha) * sums["wm"]  # Σ new weights, from the same pass
         else:
             e = F.abs(F.col("_p") - F.col("label"))
             mx = scored.agg(F.max(e)).first()[0]
@@ -123,7 +132,7 @@ def fit_adaboost(train: DataFrame, features: list[str], label: str, *, task: str
             model.trees.append(tree)
             model.weights.append(math.log(1 / beta))
             new_w = F.col("w") * F.pow(F.lit(beta), 1 - loss)
-        total = scored.agg(F.sum(new_w)).first()[0]
+            total = scored.agg(F.sum(new_w)).first()[0]
         prev = data
         data = scored.select("features", "label", (new_w / F.lit(total)).alias("w"))
         data = cut_lineage(data) if (m + 1) % CHECKPOINT_EVERY == 0 else data.cache()

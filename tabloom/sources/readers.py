@@ -16,7 +16,6 @@ from ..errors import DataLoadError
 
 DELIMITERS = [",", "\t", ";", "|"]
 SNIFF_LINES = 20
-REPLACEMENT_CHAR = "�"
 
 Reader = Callable[..., DataFrame]
 _REGISTRY: dict[str, Reader] = {}
@@ -99,10 +98,10 @@ def sniff_delimiter(spark: SparkSession, path: str, encoding: str = "UTF-8") ->
 def detect_encoding(spark: SparkSession, path: str) -> str:
     """UTF-8 unless a byte sequence fails to decode, then ISO-8859-1 (S3).
 
-    Spark replaces undecodable bytes with U+FFFD instead of failing, so one
-    aggregate over the raw lines looks for that character.
+    Spark's text source does not fail on bad bytes, so one aggregate over
+    the raw lines checks every line with ``is_valid_utf8``.
     """
-    bad = spark.read.text(path).agg(F.max(F.instr("value", REPLACEMENT_CHAR) > 0).alias("bad")).first()["bad"]
+    bad = spark.read.text(path).agg(F.max(~F.expr("is_valid_utf8(value)")).alias("bad")).first()["bad"]
     return "ISO-8859-1" if bad else "UTF-8"
 
 
