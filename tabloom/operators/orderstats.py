@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 BUCKETS = 2048
-EXACT_ROWS = 1_000_000
+EXACT_ROWS = 100_000
 MAX_LEVELS = 24
 
 _STATE = T.StructType(

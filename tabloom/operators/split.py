@@ -53,68 +53,90 @@ def md5_key(cols: list[Column]) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws("|", *[c.cast("string") for c in cols])), 1, 13), 16, 10).cast("long")
 
 
-def rank_below(df: DataFrame, group: Column, order: Column, tiebreak: list[Column], cuts: dict,
+def rank_below(df: DataFrame, group: Column, order: Column, tiebreak: list[Column], cuts,
                tie_key: Column | None = None) -> DataFrame:
     """Add ``_below_<i>`` booleans: the row's rank within its group (by
-    ``order``, then ``tiebreak``) is under ``cuts[g][i]``.
-
-    The value at each cut rank comes from the order-statistics primitive;
-    rows strictly under it are below the cut.  Rows equal to it are cut
-    again on a second key (a 53-bit hash of the tie-break columns) with the
-    same primitive, so even a hot tie group (a third of the rows at one
-    timestamp) is never sorted in one task; only rows that also share that
-    key (same tie-break values) are numbered among themselves by the
-    tie-break columns.  ``tie_key`` defaults to ``md5_key(tiebreak)``.
+    ``order``, then ``tiebreak``) is under the i-th cut of its group.
+
+    ``cuts`` maps group → list of cut ranks, or is a function of the group
+    sizes returning that map.  The value at each cut rank comes from the
+    order-statistics primitive; rows strictly under it are below the cut.
+    Rows equal to a cut value are cut again on a second key (md5 of the
+    tie-break columns, or ``tie_key``) with the same primitive, so even a hot
+    tie group (a third of the rows at one timestamp) is never sorted in one
+    task; only rows that also share that key are numbered among themselves
+    by the tie-break columns.  All cuts are handled in the same passes.
     """
     spark = df.sparkSession
-    d = df.withColumn("_g", group.cast("string")).withColumn("_v", order.cast("double"))
-    tb_cols = []
-    for i, tb in enumerate(tiebreak):
-        d = d.withColumn(f"_t{i}", tb)
-        tb_cols.append(f"_t{i}")
-    d = d.withColumn("_h2", (tie_key if tie_key is not None else md5_key([F.col(c) for c in tb_cols])).cast("double"))
-    d = d.persist(StorageLevel.MEMORY_AND_DISK)
+    base_cols = df.columns
+    d = df.withColumn("_g", group.cast("string")).withColumn("_v", order.cast("double")).persist(StorageLevel.MEMORY_AND_DISK)
+    tb_cols = [f"_tb{i}" for i in range(len(tiebreak))]
     gv = d.select(F.col("_g").alias("g"), F.col("_v").alias("v")).where(F.col("v").isNotNull())
     bounds = group_bounds(gv)
+    if callable(cuts):
+        cuts = cuts({g: b[0] for g, b in bounds.items()})
     n_cuts = max((len(c) for c in cuts.values()), default=0)
     targets = [(g, c) for g, cs in cuts.items() for c in cs if g in bounds and 0 <= c < bounds[g][0]]
     vals = {(row["g"], row["r"]): row["value"] for row in select_ranks(gv, bounds, targets).collect()} if targets else {}
-    out = d
+
+    # one row per group: threshold value and "whole group below" flag per cut
+    rows = []
+    for g, cs in cuts.items():
+        ts = [float(vals[(g, cs[i])]) if i < len(cs) and (g, cs[i]) in vals else None for i in range(n_cuts)]
+        alls = [bool(i < len(cs) and g in bounds and cs[i] >= bounds[g][0]) for i in range(n_cuts)]
+        rows.append((g, *ts, *alls))
+    schema = ", ".join(["_g string"] + [f"_t{i} double" for i in range(n_cuts)] + [f"_a{i} boolean" for i in range(n_cuts)])
+    x = d.join(F.broadcast(spark.createDataFrame(rows, schema)), "_g", "left")
+    t = [F.col(f"_t{i}") for i in range(n_cuts)]
+    a = [F.coalesce(F.col(f"_a{i}"), F.lit(False)) for i in range(n_cuts)]
+    lt_row = x.groupBy("_g").agg(*[F.count_if(F.col("_v") < t[i]).alias(f"lt{i}") for i in range(n_cuts)]).collect()
+    lt = {(r_["_g"], i): r_[f"lt{i}"] for r_ in lt_row for i in range(n_cuts)}
+    need = {(g, i): cs[i] - lt.get((g, i), 0) for g, cs in cuts.items() for i in range(len(cs))
+            if (g, cs[i]) in vals and cs[i] - lt.get((g, i), 0) > 0}
+
+    tied = [F.coalesce(F.col("_v") == t[i], F.lit(False)) for i in range(n_cuts)]
+    any_tie = F.lit(False)
+    for c in tied:
+        any_tie = any_tie | c
+    plain = x.where(~any_tie).select(*base_cols, *[(a[i] | F.coalesce(F.col("_v") < t[i], F.lit(False))).alias(f"_below_{i}") for i in range(n_cuts)])
+
+    ties = x.where(any_tie)
+    for name, tb in zip(tb_cols, tiebreak):
+        ties = ties.withColumn(name, tb)
+    ties = ties.withColumn("_h2", (tie_key if tie_key is not None else md5_key([F.col(c) for c in tb_cols])).cast("double"))
+    ties = ties.persist(StorageLevel.MEMORY_AND_DISK)
+    hv, k2 = {}, {}
+    if need:
+        tl = None
+        for i in range(n_cuts):
+            part = ties.where(tied[i]).select(F.concat_ws("#", F.col("_g"), F.lit(str(i))).alias("g"), F.col("_h2").alias("v"))
+            tl = part if tl is None else tl.unionByName(part)
+        b2 = group_bounds(tl)
+        h2 = select_ranks(tl, b2, [(f"{g}#{i}", k) for (g, i), k in need.items()]).collect()
+        hv = {tuple(r_["g"].rsplit("#", 1)): r_["value"] for r_ in h2}
+    hrows = [(g, *[hv.get((g, str(i))) for i in range(n_cuts)]) for g in cuts]
+    hschema = ", ".join(["_g string"] + [f"_H{i} double" for i in range(n_cuts)])
+    ties = ties.join(F.broadcast(spark.createDataFrame(hrows, hschema)), "_g", "left")
+    H = [F.col(f"_H{i}") for i in range(n_cuts)]
+    if need:
+        lt2_row = ties.groupBy("_g").agg(*[F.count_if(tied[i] & (F.col("_h2") < H[i])).alias(f"l{i}") for i in range(n_cuts)]).collect()
+        lt2 = {(r_["_g"], i): r_[f"l{i}"] for r_ in lt2_row for i in range(n_cuts)}
+        k2 = {(g, i): k - lt2.get((g, i), 0) for (g, i), k in need.items()}
+    krows = [(g, *[int(k2.get((g, i), 0)) for i in range(n_cuts)]) for g in cuts]
+    kschema = ", ".join(["_g string"] + [f"_K{i} long" for i in range(n_cuts)])
+    ties = ties.join(F.broadcast(spark.createDataFrame(krows, kschema)), "_g", "left")
+    flags = []
     for i in range(n_cuts):
-        col = f"_below_{i}"
-        thr = [(g, float(vals[(g, cs[i])]), int(cs[i])) for g, cs in cuts.items() if len(cs) > i and (g, cs[i]) in vals]
-        everything = [g for g, cs in cuts.items() if len(cs) > i and g in bounds and cs[i] >= bounds[g][0]]
-        whole = F.col("_g").isin(*everything) if everything else F.lit(False)
-        if not thr:
-            out = out.withColumn(col, whole)
-            continue
-        tdf = spark.createDataFrame([(g, t) for g, t, _ in thr], "_g string, _ti double")
-        out = out.join(F.broadcast(tdf), "_g", "left")
-        is_tie = F.coalesce(F.col("_v") == F.col("_ti"), F.lit(False))
-        lt = {row["_g"]: row["lt"] for row in out.groupBy("_g").agg(F.count_if(F.col("_v") < F.col("_ti")).alias("lt")).collect()}
-        base = out.where(~is_tie).withColumn(col, whole | F.coalesce(F.col("_v") < F.col("_ti"), F.lit(False)))
-        ties = out.where(is_tie)
-        need = {g: c - lt.get(g, 0) for g, _, c in thr if c - lt.get(g, 0) > 0}
-        if need:
-            t2 = ties.select(F.col("_g").alias("g"), F.col("_h2").alias("v"))
-            b2 = group_bounds(t2)
-            h2 = {(row["g"], row["r"]): row["value"] for row in select_ranks(t2, b2, list(need.items())).collect()}
-            hdf = spark.createDataFrame([(g, float(h2[(g, k)])) for g, k in need.items()], "_g string, _hi double")
-            ties = ties.join(F.broadcast(hdf), "_g", "left")
-            lt2 = {row["_g"]: row["lt"] for row in ties.groupBy("_g").agg(F.count_if(F.col("_h2") < F.col("_hi")).alias("lt")).collect()}
-            kdf = spark.createDataFrame([(g, int(k - lt2.get(g, 0))) for g, k in need.items()], "_g string, _k long")
-            is_eq = F.coalesce(F.col("_h2") == F.col("_hi"), F.lit(False))
-            ne = ties.where(~is_eq).withColumn(col, whole | F.coalesce(F.col("_h2") < F.col("_hi"), F.lit(False)))
-            w = Window.partitionBy("_g").orderBy(*tb_cols)
-            eq = (ties.where(is_eq).join(F.broadcast(kdf), "_g", "left").withColumn("_rn", F.row_number().over(w))
-                  .withColumn(col, whole | (F.col("_rn") <= F.coalesce(F.col("_k"), F.lit(0)))).drop("_rn", "_k"))
-            ties = ne.unionByName(eq).drop("_hi")
-        else:
-            ties = ties.withColumn(col, whole)
-        out = base.unionByName(ties).drop("_ti")
+        eq = tied[i] & F.coalesce(F.col("_h2") == H[i], F.lit(False))
+        rn = F.row_number().over(Window.partitionBy("_g", eq).orderBy(*tb_cols))
+        below = a[i] | F.coalesce(F.col("_v") < t[i], F.lit(False)) | (tied[i] & F.coalesce(F.col("_h2") < H[i], F.lit(False))) \
+            | (eq & (rn <= F.coalesce(F.col(f"_K{i}"), F.lit(0))))
+        flags.append(below.alias(f"_below_{i}"))
+    tie_out = ties.select(*base_cols, *flags)
     # the cut is written to the shared checkpoint folder: later stages read a
-    # fixed membership, and the persisted input can be released
-    out = cut_lineage(out.drop("_g", "_v", "_h2", *tb_cols))
+    # fixed membership, and the persisted inputs can be released
+    out = cut_lineage(plain.unionByName(tie_out))
+    ties.unpersist()
     d.unpersist()
     return out
 
@@ -134,7 +156,7 @@ def random_split(df: DataFrame, target: str, *, keys: list[str] | None = None, t
     if target not in df.columns:
         raise DataLoadError(f"Target column '{target}' not found in dataset columns: {df.columns}")
     keys = keys or [c for c in df.columns]
-    counts = {row[0]: row[1] for row in df.groupBy(F.col(q(target)).cast("string")).count().collect()}
+    counts = {row[0]: row[1] for row in df.groupBy(F.col(q(target)).cast("string")).count().collect()}  # one row per class
     n = sum(counts.values())
     if n < P.MIN_SPLIT_ROWS:
         raise DataLoadError(f"Dataset has only {n} rows; cannot perform train/test split.")
@@ -177,18 +199,20 @@ def temporal_split(df: DataFrame, target: str, time_column: str, *, test_size: f
     text of all columns."""
     if target not in df.columns:
         raise DataLoadError(f"Target column '{target}' not found in dataset columns: {df.columns}")
-    n = df.count()
-    if n < P.MIN_SPLIT_ROWS:
-        raise DataLoadError(f"Dataset has only {n} rows; cannot perform train/test split.")
-    n_test = max(1, int(n * test_size))
-    n_val = max(1, int(n * val_size)) if val_size > 0 else 0
-    n_train = n - n_test - n_val
+    def cuts(sizes: dict) -> dict:
+        n = sizes.get("all", 0)
+        if n < P.MIN_SPLIT_ROWS:
+            raise DataLoadError(f"Dataset has only {n} rows; cannot perform train/test split.")
+        n_test = max(1, int(n * test_size))
+        n_val = max(1, int(n * val_size)) if val_size > 0 else 0
+        return {"all": [n - n_test - n_val, n - n_test]}
+
     t = F.col(q(time_column))
     micros = F.unix_micros(t.cast("timestamp")) if dict(df.dtypes)[time_column] in ("timestamp", "timestamp_ntz", "date") else t
     order = F.coalesce(micros.cast("double"), F.lit(float("inf")))
     keys = tiebreak or [c for c in df.columns if c != time_column]
     tb = [F.col(q(k)).cast("string") for k in keys] + [F.col(q(k)).cast("string") for k in df.columns if k != time_column and k not in keys]
-    out = rank_below(df, F.lit("all"), order, tb, {"all": [n_train, n_train + n_val]}, tie_key=md5_key([F.col(q(k)) for k in keys]))
+    out = rank_below(df, F.lit("all"), order, tb, cuts, tie_key=md5_key([F.col(q(k)) for k in keys]))
     label = F.when(F.col("_below_0"), "train").when(F.col("_below_1"), "val").otherwise("test")
     return out.withColumn("split", label).drop("_below_0", "_below_1")
 
