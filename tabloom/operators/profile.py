@@ -119,10 +119,10 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
         F.to_json(F.col(q(f.name))).alias(f.name) if isinstance(f.dataType, (T.MapType,)) else F.col(q(f.name))
         for f in df.schema.fields
     ]
-    g = normalize_missing(df).select(*keys).groupBy(*[q(c) for c in df.columns]).agg(F.count(F.lit(1)).alias("c"))
+    g = normalize_missing(df).select(*keys).groupBy(*[q(c) for c in df.columns]).agg(F.count(F.lit(1)).alias("__copies"))
     return g.agg(
-        F.coalesce(F.sum("c"), F.lit(0)).cast("long").alias("n_rows"),
-        F.coalesce(F.sum(F.col("c") - 1), F.lit(0)).cast("long").alias("duplicate_rows"),
+        F.coalesce(F.sum("__copies"), F.lit(0)).cast("long").alias("n_rows"),
+        F.coalesce(F.sum(F.col("__copies") - 1), F.lit(0)).cast("long").alias("duplicate_rows"),
     )
 
 
