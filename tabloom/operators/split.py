@@ -21,7 +21,7 @@ from ..errors import DataLoadError
 from ..functions import patterns as P
 from ..functions.kinds import q
 from ..session import cut_lineage
-from .orderstats import group_bounds, select_ranks
+from .orderstats import EXACT_ROWS, group_bounds, select_ranks
 
 
 def seeded_order(keys: list[str], seed: int) -> Column:
@@ -89,8 +89,10 @@ def rank_below(df: DataFrame, group: Column, order: Column, tiebreak: list[Colum
     x = d.join(F.broadcast(spark.createDataFrame(rows, schema)), "_g", "left")
     t = [F.col(f"_t{i}") for i in range(n_cuts)]
     a = [F.coalesce(F.col(f"_a{i}"), F.lit(False)) for i in range(n_cuts)]
-    lt_row = x.groupBy("_g").agg(*[F.count_if(F.col("_v") < t[i]).alias(f"lt{i}") for i in range(n_cuts)]).collect()
+    lt_row = x.groupBy("_g").agg(*[F.count_if(F.col("_v") < t[i]).alias(f"lt{i}") for i in range(n_cuts)],
+                                 *[F.count_if(F.col("_v") == t[i]).alias(f"eq{i}") for i in range(n_cuts)]).collect()
     lt = {(r_["_g"], i): r_[f"lt{i}"] for r_ in lt_row for i in range(n_cuts)}
+    small_ties = all(r_[f"eq{i}"] <= EXACT_ROWS for r_ in lt_row for i in range(n_cuts))
     need = {(g, i): cs[i] - lt.get((g, i), 0) for g, cs in cuts.items() for i in range(len(cs))
             if (g, cs[i]) in vals and cs[i] - lt.get((g, i), 0) > 0}
 
@@ -106,6 +108,19 @@ def rank_below(df: DataFrame, group: Column, order: Column, tiebreak: list[Colum
     ties = ties.withColumn("_h2", (tie_key if tie_key is not None else md5_key([F.col(c) for c in tb_cols])).cast("double"))
     ties = ties.persist(StorageLevel.MEMORY_AND_DISK)
     hv, k2 = {}, {}
+    if need and small_ties:
+        # every tie group is small: rank tied rows directly by (md5 key, tie-break), one bounded window each
+        nrows = [(g, *[int(need.get((g, i), 0)) for i in range(n_cuts)]) for g in cuts]
+        ties = ties.join(F.broadcast(spark.createDataFrame(nrows, ", ".join(["_g string"] + [f"_N{i} long" for i in range(n_cuts)]))), "_g", "left")
+        flags = []
+        for i in range(n_cuts):
+            rn = F.row_number().over(Window.partitionBy("_g", tied[i]).orderBy("_h2", *tb_cols))
+            below = a[i] | F.coalesce(F.col("_v") < t[i], F.lit(False)) | (tied[i] & (rn <= F.coalesce(F.col(f"_N{i}"), F.lit(0))))
+            flags.append(below.alias(f"_below_{i}"))
+        out = cut_lineage(plain.unionByName(ties.select(*base_cols, *flags)))
+        ties.unpersist()
+        d.unpersist()
+        return out
     if need:
         tl = None
         for i in range(n_cuts):

@@ -73,3 +73,15 @@ def test_leakage(spark):
     assert ("target_in_features", "target") in checks
     assert ("target_proxy", "proxy") in checks
     assert ("row_overlap", None) in checks
+
+
+def test_split_ties_two_level(spark, monkeypatch):
+    # force the large-tie path (second md5-key cut) and compare with the direct path
+    rows = [(i % 7, 0 if i < 300 else i, float(i)) for i in range(400)]
+    df = spark.createDataFrame(rows, "k bigint, t bigint, y double")
+    direct = S.temporal_split(df, "y", "t", tiebreak=["k", "y"])
+    monkeypatch.setattr(S, "EXACT_ROWS", 5)
+    two_level = S.temporal_split(df, "y", "t", tiebreak=["k", "y"])
+    sizes = {r["split"]: r["count"] for r in two_level.groupBy("split").count().collect()}
+    assert sizes == {"train": 260, "val": 60, "test": 80}
+    assert direct.exceptAll(two_level).count() == 0
