@@ -113,17 +113,15 @@ def grouped_box_stats(long: DataFrame, group: str, value: str, *, min_values: in
     )
     j = d.join(F.broadcast(fence), "g")
     inside = (F.col("v") >= F.col("flo")) & (F.col("v") <= F.col("fhi"))
+    # the whiskers are the extreme values inside the fences, so the values beyond
+    # the whiskers (fliers) are exactly those outside the fences: one pass
     agg = j.groupBy("g").agg(
         F.count(F.lit(1)).alias("n"),
         F.min(F.when(inside, F.col("v"))).alias("whislo"),
         F.max(F.when(inside, F.col("v"))).alias("whishi"),
+        F.count_if(~inside).alias("fliers"),
     )
-    out = agg.join(F.broadcast(fence), "g")
-    # fliers: values beyond the whiskers (equal to counting outside the fences)
-    fl = j.join(F.broadcast(agg.select("g", "whislo", "whishi")), "g").groupBy("g").agg(
-        F.count_if((F.col("v") < F.col("whislo")) | (F.col("v") > F.col("whishi"))).alias("fliers")
-    )
-    return out.join(fl, "g").where(F.col("n") >= min_values).select(
+    return agg.join(F.broadcast(fence), "g").where(F.col("n") >= min_values).select(
         F.col("g").alias(group), "n", "q1", "median", "q3", "whislo", "whishi", "fliers"
     )
 

@@ -186,3 +186,33 @@ def _cluster(name, train, val, features, key, seed):
 def leaderboard_row(res: TrainResult, task: str) -> DataFrame:
     """Metrics row with model name and training time, for ``rank_models``."""
     return res.metrics.select(F.lit(res.name).alias("model_name"), "*", F.lit(res.seconds).alias("training_time"))
+
+
+def model_file_name(rank: int, name: str) -> str:
+    """``model_<rank>_<snake_name>``."""
+    import re
+
+    return f"model_{rank}_" + re.sub(r"(?<!^)(?=[A-Z])", "_", name).lower()
+
+
+def save_top_models(results: dict, leaderboard: DataFrame, root: str) -> dict[str, str]:
+    """Save the ranked Spark ML models and the best one under ``root`` (V17);
+    returns name → path.  kNN keeps no fitted model (its sample is the data)."""
+    paths = {}
+    for row in leaderboard.orderBy("rank").collect():
+        res = results[row["model_name"]]
+        if res.model is None or not hasattr(res.model, "write"):
+            continue
+        path = f"{root}/{model_file_name(row['rank'], row['model_name'])}"
+        res.model.write().overwrite().save(path)
+        paths[row["model_name"]] = path
+        if row["rank"] == 1:
+            res.model.write().overwrite().save(f"{root}/best_model")
+    return paths
+
+
+def load_model(path: str):
+    """Reload a saved model."""
+    from pyspark.ml import PipelineModel
+
+    return PipelineModel.load(path)

@@ -179,3 +179,19 @@ def target_distribution(df: DataFrame, target: str, k: int = 10) -> DataFrame:
     """Top-k values of the target, nulls included as a value."""
     vc = value_counts(normalize_missing(df), [target])
     return top_k(vc, k, with_nulls=True).select("rank", "value", "count")
+
+
+def profile_text(summary: DataFrame, columns: DataFrame) -> DataFrame:
+    """Summary sentence of a profile (P20): shape, missing, duplicates, class counts, flags."""
+    c = columns.agg(
+        F.count_if("is_numeric").alias("n_num"), F.count_if("is_categorical").alias("n_cat"),
+        F.count_if("is_datetime").alias("n_dt"), F.count_if("is_boolean").alias("n_bool"),
+        F.concat_ws(", ", F.sort_array(F.collect_list(F.when(F.col("is_suspected_id"), F.col("column"))))).alias("ids"),
+        F.concat_ws(", ", F.sort_array(F.collect_list(F.when(F.col("is_target_candidate"), F.col("column"))))).alias("targets"),
+    )  # one row per column in, one row out
+    row = one_row(summary, c)
+    return row.select(F.format_string(
+        "Dataset: %d rows x %d columns (%.4f MB). Missing cells: %d (%.2f%%). Duplicate rows: %d (%.2f%%). "
+        "Numeric: %d, categorical: %d, datetime: %d, boolean: %d. Suspected IDs: [%s]. Target candidates: [%s].",
+        "n_rows", "n_cols", "memory_mb", "total_missing_cells", "total_missing_pct", "duplicate_rows", "duplicate_pct",
+        "n_num", "n_cat", "n_dt", "n_bool", "ids", "targets").alias("summary"))

@@ -207,3 +207,14 @@ ORACLE = {
     "eda_summary_events": "SELECT CAST(count(*) AS BIGINT) AS n_rows, CAST(6 AS BIGINT) AS n_cols, CAST(3 AS BIGINT) AS n_numeric, "
                           "CAST(2 AS BIGINT) AS n_categorical FROM events",
 }
+
+
+def q_histogram20_orders(spark, sf_dir):
+    """The notebook's 20-bin count histogram of the first 4 numeric columns."""
+    h = eda.histogram(table(spark, sf_dir, "orders"), bins=20, max_cols=4)
+    return h.select(F.col("column").alias("col_name"), F.col("bin").cast("long").alias("bin"), F.round("lo", 4).alias("lo"),
+                    F.round("hi", 4).alias("hi"), "count", F.round("density", 9).alias("density"))
+
+
+QUERIES["histogram20_orders"] = q_histogram20_orders
+ORACLE["histogram20_orders"] = _sql_histogram("orders", ["o_orderkey", "o_custkey", "o_totalprice"], 20)

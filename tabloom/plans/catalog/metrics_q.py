@@ -217,3 +217,47 @@ ORACLE = {
     "confusion_embeddings": SQL_CONFUSION,
     "metrics_binary_embeddings": _metrics_sql(BINARY_TARGET, True),
 }
+
+
+def _knn_leaderboard(spark, sf_dir):
+    """kNN classifiers with k = 1, 3, 5 on the embedding classes, as experiment rows."""
+    s = _emb_split(spark, sf_dir)
+    train, test = s.where(F.col("split") == "train"), s.where(F.col("split") == "test")
+    rows = None
+    for order, k in enumerate([1, 3, 5]):
+        p = K.knn_predict(train, test, ["embedding"], "label", key=["vec_id"], k=k, keep=["vec_id", "label"])
+        m = V.classification_metrics(p, "label", "prediction").select(
+            F.lit(f"KNeighborsClassifier_k{k}").alias("model_name"), F.lit(order).alias("run_order"), "*")
+        rows = m if rows is None else rows.unionByName(m)
+    return rows
+
+
+def q_experiments_embeddings(spark, sf_dir):
+    """Experiment table (V10) and notebook leaderboard (V11) over real kNN runs."""
+    rows = _knn_leaderboard(spark, sf_dir)
+    board = V.notebook_leaderboard(V.experiment_table(rows), "classification")
+    return rounded(board.select("experiment_id", "model_name", "is_baseline", F.col("Rank").cast("long").alias("board_rank"), "f1", "accuracy"))
+
+
+def q_stop_rule_lineitem(spark, sf_dir):
+    """Stop / tune decision on the holdout r2 of the least-squares line."""
+    ev = V.holdout_regression(_linreg(spark, sf_dir).predictions)
+    return V.stop_rule(ev, "regression").select(F.round("r2", 2).alias("r2"), "decision")
+
+
+def q_sample_check_embeddings(spark, sf_dir):
+    """First 5 test rows by key, actual vs predicted."""
+    p = _knn(spark, sf_dir).orderBy("vec_id")
+    return V.sample_check(p, "label", "prediction").select(F.col("actual").cast("string").alias("actual"), "predicted")
+
+
+QUERIES["experiments_embeddings"] = q_experiments_embeddings
+QUERIES["stop_rule_lineitem"] = q_stop_rule_lineitem
+QUERIES["sample_check_embeddings"] = q_sample_check_embeddings
+ORACLE["stop_rule_lineitem"] = SQL_HOLDOUT.replace(
+    "SELECT round(sqrt(avg(e * e)), 2) AS rmse, round(avg(abs(e)), 2) AS mae, round(1 - sum(e * e) / (sum(t) + 1e-9), 2) + 0.0 AS r2,\n"
+    "  round(avg(e), 2) AS residual_mean, round(stddev_pop(e), 2) AS residual_std FROM e",
+    "SELECT round(1 - sum(e * e) / (sum(t) + 1e-9), 2) + 0.0 AS r2, CASE WHEN 1 - sum(e * e) / (sum(t) + 1e-9) >= 0.85 THEN 'stop_good' "
+    "WHEN 1 - sum(e * e) / (sum(t) + 1e-9) < 0.3 THEN 'tune' ELSE 'stop' END AS decision FROM e")
+ORACLE["sample_check_embeddings"] = SQL_KNN_CLASSIFY.replace("\nSELECT vec_id, p AS prediction FROM pred",
+                                                            "\nSELECT y AS actual, p AS predicted FROM pred ORDER BY vec_id LIMIT 5")

@@ -192,3 +192,11 @@ ORACLE = {
     "missing_audit_orders": _sql_missing_audit(),
     "target_distribution_orders": _SQL_TARGET_DIST,
 }
+
+
+def q_profile_text_orders(spark, sf_dir):
+    df = faulty_orders(spark, sf_dir)
+    return prof.profile_text(prof.profile_summary(df), prof.profile_columns(df))
+
+
+QUERIES["profile_text_orders"] = q_profile_text_orders

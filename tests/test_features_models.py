@@ -119,3 +119,19 @@ def test_clustering(spark):
     res = M.train_and_evaluate("KMeans", M.CLUSTERING, df, df, ["f1", "f2"], None, key=["k"])
     m = res.metrics.first()
     assert m["n_clusters"] == 4 and -1 <= m["silhouette"] <= 1
+
+
+def test_save_and_reload_models(spark, tmp_path):
+    import random
+
+    rnd = random.Random(2)
+    rows = [(i, rnd.gauss(0, 1), rnd.gauss(0, 1)) for i in range(40)]
+    df = spark.createDataFrame([(k, a, b, 2 * a + b) for k, a, b in rows], "k bigint, a double, b double, y double")
+    res = {n: M.train_and_evaluate(n, M.REGRESSION, df, df, ["a", "b"], "y", key=["k"]) for n in ["LinearRegression", "DecisionTreeRegressor"]}
+    board = V.rank_models(spark.createDataFrame([(n, r.metrics.first()["rmse"]) for n, r in res.items()], "model_name string, rmse double"), "regression")
+    paths = M.save_top_models(res, board, str(tmp_path))
+    assert M.model_file_name(1, "LinearRegression") == "model_1_linear_regression"
+    back = M.load_model(paths["LinearRegression"])
+    from pyspark.ml.feature import VectorAssembler  # noqa: F401
+
+    assert back.transform(df.select("a", "b")).count() == 40
