@@ -74,7 +74,7 @@ for _n in M.REGRESSORS:
     QUERIES[f"train_{_n.lower()}_part"] = partial(q_train, name=_n, task=M.REGRESSION)
 for _n in M.CLASSIFIERS:
     QUERIES[f"train_{_n.lower()}_documents"] = partial(q_train, name=_n, task=M.CLASSIFICATION)
-for _n in ["LogisticRegression", "RandomForestClassifier", "GradientBoostingClassifier", "LinearSVC", "AdaBoostClassifier"]:
+for _n in ["LogisticRegression", "RandomForestClassifier", "LinearSVC"]:  # one-vs-rest and native multiclass paths
     QUERIES[f"train_{_n.lower()}_customer_segments"] = partial(q_multiclass, name=_n)
 for _n in M.CLUSTERERS:
     QUERIES[f"train_{_n.lower()}_customer"] = partial(q_train, name=_n, task=M.CLUSTERING)
