@@ -26,8 +26,7 @@ _FIXED_WIDTH = {
 def _per_column_stats(df: DataFrame, approx: bool = False) -> DataFrame:
     df = normalize_missing(df)
     moments = column_moments(df)
-    counts = value_counts(df)
-    dist = distinct_counts(counts)
+    dist = distinct_counts(value_counts(df, digest=True))
     if approx:
         dist = approx_distinct(df)
     nums = columns_of(df, NUMERIC)
