@@ -43,10 +43,13 @@ class AdaBoostModel:
         d = va.transform(df.select(*[q(k) for k in keep], *[F.col(q(c)).cast("double").alias(c) for c in self.features]))
         preds = []
         for i, t in enumerate(self.trees):
-            d = t.setPredictionCol(f"_p{i}").transform(d)
-            if "rawPrediction" in d.columns:
-                d = d.drop("rawPrediction", "probability")
+            t = t.copy().setPredictionCol(f"_p{i}")
+            if self.task == "classification":
+                t = t.setRawPredictionCol("").setProbabilityCol("")  # only the predicted class is needed
+            d = t.transform(d)
             preds.append(f"_p{i}")
+            if (i + 1) % 15 == 0:
+                d = cut_lineage(d)  # keeps the plan of a long ensemble small
         if self.task == "classification":
             # weighted vote: each tree's prediction is referenced once, inside one array
             votes = F.array(*[F.col(p) for p in preds])
