@@ -74,7 +74,11 @@ def rank_below(df: DataFrame, group: Column, order: Column, tiebreak: list[Colum
     gv = d.select(F.col("_g").alias("g"), F.col("_v").alias("v")).where(F.col("v").isNotNull())
     bounds = group_bounds(gv)
     if callable(cuts):
-        cuts = cuts({g: b[0] for g, b in bounds.items()})
+        try:
+            cuts = cuts({g: b[0] for g, b in bounds.items()})
+        except Exception:
+            d.unpersist()
+            raise
     n_cuts = max((len(c) for c in cuts.values()), default=0)
     targets = [(g, c) for g, cs in cuts.items() for c in cs if g in bounds and 0 <= c < bounds[g][0]]
     vals = {(row["g"], row["r"]): row["value"] for row in select_ranks(gv, bounds, targets).collect()} if targets else {}
