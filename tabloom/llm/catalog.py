@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabloom.llm import byte_bpe, decontaminate, token_count, url_filter
+from tabloom.llm import byte_bpe, decontaminate, language_id, quality_classifier, token_count, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -14,8 +14,10 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     return {
         "op1_decontaminate": decontaminate.op1_decontaminate,
+        "op3_language_id": language_id.op3_language_id,
         "op4_byte_bpe": byte_bpe.op4_byte_bpe,
         "op6_url_filter": url_filter.op6_url_filter,
+        "op8_quality_classifier": quality_classifier.op8_quality_classifier,
         "op9_token_count": token_count.op9_token_count,
     }
 
