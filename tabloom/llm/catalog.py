@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabloom.llm import byte_bpe, decontaminate, language_id, quality_classifier, token_count, url_filter
+from tabloom.llm import byte_bpe, decontaminate, language_id, ngram_join, quality_classifier, token_count, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,6 +17,7 @@ def queries() -> dict[str, Query]:
         "op3_language_id": language_id.op3_language_id,
         "op4_byte_bpe": byte_bpe.op4_byte_bpe,
         "op6_url_filter": url_filter.op6_url_filter,
+        "op7_ngram_join": ngram_join.op7_ngram_join,
         "op8_quality_classifier": quality_classifier.op8_quality_classifier,
         "op9_token_count": token_count.op9_token_count,
     }
