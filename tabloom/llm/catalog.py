@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabloom.llm import byte_bpe, decontaminate, language_id, ngram_join, quality_classifier, token_count, url_filter
+from tabloom.llm import byte_bpe, decontaminate, language_id, ngram_join, pii, quality_classifier, token_count, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -14,6 +14,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     return {
         "op1_decontaminate": decontaminate.op1_decontaminate,
+        "op2_pii": pii.op2_pii,
         "op3_language_id": language_id.op3_language_id,
         "op4_byte_bpe": byte_bpe.op4_byte_bpe,
         "op6_url_filter": url_filter.op6_url_filter,
