@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabloom.llm import byte_bpe, decontaminate, language_id, ngram_join, pii, quality_classifier, token_count, url_filter
+from tabloom.llm import byte_bpe, decontaminate, fingerprints, language_id, ngram_join, pii, quality_classifier, token_count, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,6 +17,7 @@ def queries() -> dict[str, Query]:
         "op2_pii": pii.op2_pii,
         "op3_language_id": language_id.op3_language_id,
         "op4_byte_bpe": byte_bpe.op4_byte_bpe,
+        "op5_fingerprints": fingerprints.op5_fingerprints,
         "op6_url_filter": url_filter.op6_url_filter,
         "op7_ngram_join": ngram_join.op7_ngram_join,
         "op8_quality_classifier": quality_classifier.op8_quality_classifier,
@@ -27,5 +28,6 @@ def queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_decontaminate": decontaminate.ORACLE,
+        "op5_fingerprints": fingerprints.op5_fingerprints,
         "op6_url_filter": url_filter.ORACLE,
     }
