@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabloom.llm import byte_bpe, decontaminate, fingerprints, language_id, ngram_join, pii, quality_classifier, token_count, url_filter
+from tabloom.llm import byte_bpe, decontaminate, fingerprints, html_extract, language_id, ngram_join, pii, quality_classifier, token_count, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,6 +22,7 @@ def queries() -> dict[str, Query]:
         "op7_ngram_join": ngram_join.op7_ngram_join,
         "op8_quality_classifier": quality_classifier.op8_quality_classifier,
         "op9_token_count": token_count.op9_token_count,
+        "op10_html_extract": html_extract.op10_html_extract,
     }
 
 

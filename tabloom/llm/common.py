@@ -67,3 +67,30 @@ def utf8_slices(column, max_bytes: int = 2 << 20):
         hi = min(hi, n)
         yield lo, hi, off[lo: hi + 1] - off[lo], data[off[lo]: off[hi]]
         lo = hi
+
+
+def with_python_columns(df: DataFrame, inputs: list[str], outputs: dict[str, str], make, drop: tuple[str, ...] = ()) -> DataFrame:
+    """``df`` with columns computed in Python, batch by batch.
+
+    ``make()`` is called once in each task and returns a function of the
+    ``inputs`` as lists, which returns the ``outputs`` (name -> type, with
+    names that may replace columns) as lists in the same order.  The other
+    columns pass through as they are, whatever their types and nulls.
+    """
+    import pyarrow as pa
+
+    kinds = {
+        "string": pa.string(), "long": pa.int64(), "int": pa.int32(), "array<string>": pa.list_(pa.string()), "array<int>": pa.list_(pa.int32()),
+        "array<long>": pa.list_(pa.int64()), "array<boolean>": pa.list_(pa.bool_()), "array<array<int>>": pa.list_(pa.list_(pa.int32())),
+    }
+    keep = [c for c in df.columns if c not in outputs and c not in drop]
+
+    def run(batches):
+        function = make()
+        for batch in batches:
+            got = function(*(batch.column(c).to_pylist() for c in inputs))
+            made = [pa.array(x, kinds[t]) for x, t in zip(got, outputs.values(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *made], names=[*keep, *outputs])
+
+    schema = df.select(*keep, *(F.lit(None).cast(t).alias(c) for c, t in outputs.items())).schema
+    return df.mapInArrow(run, schema)

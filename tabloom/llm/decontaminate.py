@@ -22,13 +22,11 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabloom.llm.common import BROADCAST_BYTES, table, written
+from tabloom.llm.common import BROADCAST_BYTES, table, with_python_columns, written
 
 WINDOW = 13
 #: A document is contaminated from one hit word in this many (and one hit).
@@ -68,7 +66,7 @@ def automaton(items: list[tuple[str, str]], size: int = WINDOW):
         return None
     found = ahocorasick.Automaton()
     for w, own in owners.items():
-        found.add_word(w, (w.count(" ") - 1, len(w), sorted(own)))
+        found.add_word(w, (w.count(" ") - 1, sorted(own)))
     found.make_automaton()
     return found
 
@@ -78,8 +76,7 @@ def scan(norm: str, found) -> tuple[list[list[int]], set[str]]:
     spans: list[list[int]] = []
     items: set[str] = set()
     at = word = 0  # words counted up to character ``at``
-    for end, (n, length, own) in found.iter(norm):
-        start = end - length + 1
+    for end, (n, own) in found.iter(norm):
         # ``end`` never falls, so words are counted once over the text
         word += norm.count(" ", at, end)
         at = end
@@ -89,7 +86,6 @@ def scan(norm: str, found) -> tuple[list[list[int]], set[str]]:
         while spans and spans[-1][1] >= first:
             first = min(first, spans.pop()[0])
         spans.append([first, last])
-        del start
     return spans, items
 
 
@@ -111,24 +107,26 @@ def _merge(a: list[list[int]], b: list[list[int]]) -> list[list[int]]:
     return out
 
 
-def _scanner(items: list[tuple[str, str]], text_col: str, size: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _scanner(items: list[tuple[str, str]], size: int):
+    def make():
         found = automaton(items, size)
-        for pdf in batches:
+
+        def look(texts, old_words, old_items):
             n_words, words, chars, hits = [], [], [], []
-            for text, old, old_items in zip(pdf[text_col], pdf["_hit_words"], pdf["_hit_items"], strict=True):
+            for text, old, old_own in zip(texts, old_words, old_items, strict=True):
                 norm = normalised(text) if text else ""
                 spans, own = scan(norm, found) if norm and found is not None else ([], set())
-                if len(old):
+                if old:
                     spans = _merge(old, spans)
                 n_words.append(max(0, norm.count(" ") - 1))
                 words.append(spans)
                 chars.append(char_spans(text, spans) if spans else [])
-                hits.append(sorted(own.union(old_items)))
-            pdf["_n_words"], pdf["_hit_words"], pdf["_hit_spans"], pdf["_hit_items"] = n_words, words, chars, hits
-            yield pdf
+                hits.append(sorted(own.union(old_own)))
+            return n_words, words, chars, hits
+
+        return look
 
-    return run
+    return make
 
 
 def find_contamination(
@@ -141,16 +139,12 @@ def find_contamination(
     ).where(F.col("t").isNotNull())
     total = items.agg(F.sum(F.octet_length("t") + F.octet_length("i")).alias("b")).first()["b"] or 0
     n_blocks = max(1, -(-int(total) // block_bytes))
-    out = docs.withColumns({
-        "_n_words": F.lit(0).cast("long"),
-        "_hit_words": F.array().cast("array<array<int>>"),
-        "_hit_spans": F.array().cast("array<array<int>>"),
-        "_hit_items": F.array().cast("array<string>"),
-    })
+    kinds = {"_n_words": "long", "_hit_words": "array<array<int>>", "_hit_spans": "array<array<int>>", "_hit_items": "array<string>"}
+    out = docs.withColumns({"_hit_words": F.array().cast("array<array<int>>"), "_hit_items": F.array().cast("array<string>")})
     for k in range(n_blocks):
         own = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(n_blocks)) == k) if n_blocks > 1 else items
         block = sorted((r["i"], r["t"]) for r in own.collect())
-        out = out.mapInPandas(_scanner(block, text_col, size), out.schema)
+        out = with_python_columns(out, [text_col, "_hit_words", "_hit_items"], kinds, _scanner(block, size))
         if k + 1 < n_blocks:
             out = written(out, "decontaminate")
     return out

@@ -20,13 +20,11 @@ from __future__ import annotations
 import heapq
 import json
 import unicodedata
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabloom.llm.common import table
+from tabloom.llm.common import table, with_python_columns
 
 LIMIT = 2048
 #: Entries a task keeps of piece counts before it starts afresh.
@@ -157,18 +155,11 @@ def count_tokens(docs: DataFrame, vocabulary: str, text_col: str = "text", out_c
 
     ``vocabulary`` is the path of a vocabulary file that every executor has.
     """
-    keep = [c for c in docs.columns if c not in (text_col, out_col)]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         counter = _counter(vocabulary)
-        for pdf in batches:
-            out = pdf[keep].copy()
-            out[out_col] = [counter.count(t) for t in pdf[text_col]]
-            yield out
-
-    given = docs.select(*keep, text_col)
-    schema = given.select(*keep, F.lit(0).cast("long").alias(out_col)).schema
-    return given.mapInPandas(run, schema)
+        return lambda texts: [[counter.count(t) for t in texts]]
+
+    return with_python_columns(docs, [text_col], {out_col: "long"}, make, drop=(text_col,))
 
 
 def op9_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:

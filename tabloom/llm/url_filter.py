@@ -21,13 +21,10 @@ alike and all returned; an empty rule table gives every url the default.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabloom.llm.common import BROADCAST_BYTES, ascii_lower, table
+from tabloom.llm.common import BROADCAST_BYTES, ascii_lower, table, with_python_columns
 
 #: Fixed by the task: (verdict, host, path).
 RULES = [
@@ -56,16 +53,16 @@ def host_key(host: Column) -> Column:
 
 
 def _sweep(rules: list[tuple[str, str, str, str]]):
-    """Function of sorted batches; ``rules`` are (key, path, rule, verdict) sorted by key."""
+    """Maker of a function of sorted rows; ``rules`` are (key, path, rule, verdict) sorted by key."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         stack: list[tuple[str, list]] = []  # (key of the rule's host, its rules)
         nxt = 0
-        for pdf in batches:
-            best_rule, best_verdict, best_len = [], [], []
-            for key, path, rule, verdict, length in zip(
-                pdf["_key"], pdf["path"], pdf["rule"], pdf["verdict"], pdf["_len"], strict=True
-            ):
+
+        def sweep(keys, paths, old_rules, verdicts, lengths):
+            nonlocal nxt
+            out = []
+            for key, path, rule, verdict, length in zip(keys, paths, old_rules, verdicts, lengths, strict=True):
                 while nxt < len(rules) and rules[nxt][0] <= key:
                     top = rules[nxt][0]
                     while stack and not top.startswith(stack[-1][0]):
@@ -83,13 +80,12 @@ def _sweep(rules: list[tuple[str, str, str, str]]):
                             len(text) > length or len(text) == length and rverdict == "block" != verdict
                         ):
                             rule, verdict, length = text, rverdict, len(text)
-                best_rule.append(rule)
-                best_verdict.append(verdict)
-                best_len.append(length)
-            pdf["rule"], pdf["verdict"], pdf["_len"] = best_rule, best_verdict, best_len
-            yield pdf
+                out.append((rule, verdict, length))
+            return [[x[k] for x in out] for k in range(3)]
+
+        return sweep
 
-    return run
+    return make
 
 
 def filter_urls(
@@ -118,7 +114,9 @@ def filter_urls(
     for k in range(n_blocks):
         own = ruled.where(F.pmod(F.xxhash64("rule", "verdict"), F.lit(n_blocks)) == k) if n_blocks > 1 else ruled
         block = sorted(tuple(r) for r in own.distinct().collect())
-        keyed = keyed.mapInPandas(_sweep(block), keyed.schema)
+        keyed = with_python_columns(
+            keyed, ["_key", "path", "rule", "verdict", "_len"], {"rule": "string", "verdict": "string", "_len": "int"}, _sweep(block)
+        )
     return keyed.select(id_col, "host", "path", "rule", "verdict")
 
 
