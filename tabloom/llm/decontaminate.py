@@ -23,7 +23,7 @@ from __future__ import annotations
 import hashlib
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabloom.llm.common import BROADCAST_BYTES, table, with_python_columns, written
@@ -150,17 +150,24 @@ def find_contamination(
     return out
 
 
+def hit_words() -> Column:
+    """Number of hit words of a row of ``find_contamination``."""
+    return F.aggregate("_hit_words", F.lit(0).cast("long"), lambda a, s: a + F.element_at(s, 2) - F.element_at(s, 1))
+
+
+def is_contaminated() -> Column:
+    return (hit_words() > 0) & (MIN_SHARE * hit_words() >= F.col("_n_words"))
+
+
 def contaminated(found: DataFrame) -> DataFrame:
     """Adds n_words, n_hit, n_items, items_sha256 and contaminated."""
-    n_hit = F.aggregate(
-        "_hit_words", F.lit(0).cast("long"), lambda a, s: a + F.element_at(s, 2) - F.element_at(s, 1)
-    )
     return found.withColumns({
         "n_words": F.col("_n_words"),
-        "n_hit": n_hit,
+        "n_hit": hit_words(),
         "n_items": F.size("_hit_items").cast("long"),
         "items_sha256": F.sha2(F.array_join("_hit_items", ",").cast("binary"), 256),
-    }).withColumn("contaminated", (F.col("n_hit") > 0) & (MIN_SHARE * F.col("n_hit") >= F.col("n_words")))
+        "contaminated": is_contaminated(),
+    })
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

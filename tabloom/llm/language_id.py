@@ -176,15 +176,16 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Mo
     return Model(names, cells)
 
 
-def predict(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
-    """``docs`` with lang_pred, score and lang_shares (shares of the chosen languages)."""
-    keep = docs.columns
+def predict(
+    docs: DataFrame, model: Model | None, text_col: str = "text", names: tuple[str, str, str] = ("lang_pred", "score", "lang_shares")
+) -> DataFrame:
+    """``docs`` with language, score and the shares of the chosen languages, in columns called ``names``."""
+    keep = [c for c in docs.columns if c not in names]
     letter = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
-    given = docs.withColumns({"_lower": F.when(letter, F.lower(F.col(text_col)))})
+    given = docs.withColumn("_lower", F.when(letter, F.lower(F.col(text_col))))
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    schema = docs.withColumns({
-        "lang_pred": F.lit(""), "score": F.lit(0.0), "lang_shares": F.lit(None).cast("map<string,double>"),
-    }).schema
+    kinds = zip(names, ("string", "double", "map<string,double>"), strict=True)
+    schema = docs.select(*keep, *(F.lit(None).cast(k).alias(c) for c, k in kinds)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
@@ -198,11 +199,8 @@ def predict(docs: DataFrame, model: Model | None, text_col: str = "text") -> Dat
                     lang.append(own.languages[b] if found else UNKNOWN)
                     score.append(min(1.0, float(p[b])))
                     shares.append([(own.languages[k], float(p[k])) for k in np.flatnonzero(p)] if found else [])
-            cols = [batch.column(c) for c in keep]
-            yield pa.RecordBatch.from_arrays(
-                [*cols, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(shares, pa.map_(pa.string(), pa.float64()))],
-                names=[*keep, "lang_pred", "score", "lang_shares"],
-            )
+            made = [pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(shares, pa.map_(pa.string(), pa.float64()))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *made], names=[*keep, *names])
 
     return given.mapInArrow(run, schema)
 

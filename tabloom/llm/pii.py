@@ -29,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabloom.llm.common import table, written
+from tabloom.llm.common import row_key, table, written
 
 #: Kinds in the order of ties.
 KINDS = ["email", "ip", "card", "phone", "term"]
@@ -122,11 +122,6 @@ def _covered(text: Column, spans: Column, fill) -> Column:
     )
 
 
-def row_key(id_col: str, text_col: str) -> Column:
-    """Key of a row's id and text."""
-    return F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("-")), F.lit(":"), F.coalesce(F.col(text_col), F.lit("-"))).cast("binary"))
-
-
 def _contexts(base: DataFrame, text_col: str) -> DataFrame:
     """Adds _near: array of (entity, window, term, start, stop) for the words around each base span."""
     text = F.coalesce(F.col(text_col), F.lit(""))
