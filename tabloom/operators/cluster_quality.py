@@ -1,79 +1,54 @@
-"""Clustering quality (V5–V8) on a seeded sample of at most 2 000 rows.
+"""Clustering quality (V5–V8) over all rows.
 
-The sample size is the reference's (a sampling operator).  Silhouette
-(Euclidean) runs per sample row in the executors against the broadcast
-sample matrix (2 000 × d, bounded); Davies–Bouldin and Calinski–Harabasz
-come from centroid aggregates.  Fewer than 11 valid rows or a single
+Davies–Bouldin and Calinski–Harabasz are aggregates: sums per cluster give
+the centroids (clusters × features, small), one more pass the distances to
+them.  The silhouette is Spark's ``ClusteringEvaluator`` in its squared
+Euclidean form, which needs the same per-cluster sums only; no rows are
+sampled and none reach the driver.  Fewer than 11 valid rows or a single
 cluster give 0 / 999 / 0.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
+from pyspark.ml.evaluation import ClusteringEvaluator
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import patterns as P
 from ..functions.kinds import q
 
+SCORES = "silhouette double, davies_bouldin double, calinski_harabasz double, n_clusters long"
 
-def _sample(df: DataFrame, key: list[str], n: int, seed: int) -> DataFrame:
-    from .knn import sample_train
 
-    return sample_train(df, key, max_rows=n, seed=seed)
-
-
-def clustering_scores(labelled: DataFrame, features: list[str], cluster: str, *, key: list[str],
-                      seed: int = P.RANDOM_SEED, sample: int = P.CLUSTER_QUALITY_SAMPLE) -> DataFrame:
-    """One row: ``silhouette, davies_bouldin, calinski_harabasz, n_clusters``."""
+def clustering_scores(labelled: DataFrame, features: list[str], cluster: str) -> DataFrame:
+    """One row: ``silhouette, davies_bouldin, calinski_harabasz, n_clusters``; cluster -1 is noise."""
     spark = labelled.sparkSession
-    n_clusters = labelled.where(F.col(cluster) != -1).select(cluster).distinct().count()
-    s = _sample(labelled, key, sample, seed).where(F.col(cluster) != -1)
-    pdf = s.select(*[F.col(q(c)).cast("double").alias(c) for c in features], F.col(cluster)).toPandas()  # ≤ 2 000 rows
-    labels = pdf[cluster].to_numpy()
-    valid = len(pdf) > 10 and len(np.unique(labels)) > 1
-    schema = "silhouette double, davies_bouldin double, calinski_harabasz double, n_clusters long"
-    if not valid:
-        return spark.createDataFrame([(0.0, 999.0, 0.0, int(n_clusters))], schema)
-    x = pdf[features].to_numpy(dtype="float64")
-    bx = spark.sparkContext.broadcast((x, labels))
-
-    def sil(batches):
-        xs, ls = bx.value
-        uniq = np.unique(ls)
-        sq = (xs * xs).sum(axis=1)
-        for part in batches:
-            idx = part["i"].to_numpy()
-            d = np.sqrt(np.maximum(sq[idx][:, None] + sq[None, :] - 2.0 * xs[idx] @ xs.T, 0.0))
-            out = np.zeros(len(idx))
-            for r, i in enumerate(idx):
-                own = ls[i]
-                mean_by = {}
-                for c in uniq:
-                    m = ls == c
-                    cnt = m.sum() - (1 if c == own else 0)
-                    mean_by[c] = d[r, m].sum() / cnt if cnt > 0 else 0.0
-                a = mean_by[own]
-                b = min(v for c, v in mean_by.items() if c != own)
-                size_own = (ls == own).sum()
-                out[r] = 0.0 if size_own <= 1 else (b - a) / max(a, b) if max(a, b) > 0 else 0.0
-            yield pd.DataFrame({"s": out})
-
-    rows = spark.range(len(x)).select(F.col("id").cast("int").alias("i")).repartition(spark.sparkContext.defaultParallelism)
-    silhouette = rows.mapInPandas(sil, "s double").agg(F.avg("s")).first()[0]
-
-    # centroid statistics (k × d, small)
-    k = np.unique(labels)
-    cents = np.stack([x[labels == c].mean(axis=0) for c in k])
-    scatter = np.array([np.linalg.norm(x[labels == c] - cents[i], axis=1).mean() for i, c in enumerate(k)])
-    cd = np.linalg.norm(cents[:, None, :] - cents[None, :, :], axis=2)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        ratio = (scatter[:, None] + scatter[None, :]) / cd
-    np.fill_diagonal(ratio, -np.inf)
-    db = float(np.mean(np.max(ratio, axis=1)))
-    overall = x.mean(axis=0)
-    between = sum((labels == c).sum() * np.sum((cents[i] - overall) ** 2) for i, c in enumerate(k))
-    within = sum(np.sum((x[labels == c] - cents[i]) ** 2) for i, c in enumerate(k))
-    ch = float(between * (len(x) - len(k)) / (within * (len(k) - 1))) if within > 0 else 1.0
-    return spark.createDataFrame([(round(float(silhouette), 4), round(db, 4), round(ch, 2), int(n_clusters))], schema)
+    rows = labelled.where(F.col(q(cluster)) != -1).select(
+        F.col(q(cluster)).alias("c"), *[F.col(q(f)).cast("double").alias(f"f{i}") for i, f in enumerate(features)])
+    cols = [f"f{i}" for i in range(len(features))]
+    centres = rows.groupBy("c").agg(F.count(F.lit(1)).alias("n"), *[F.avg(f).alias(f"m_{f}") for f in cols])
+    here = {r["c"]: r for r in centres.collect()}  # one row per cluster
+    n, k = sum(r["n"] for r in here.values()), len(here)
+    if n <= 10 or k < 2:
+        return spark.createDataFrame([(0.0, 999.0, 0.0, k)], SCORES)
+    square = sum(((F.col(f) - F.col(f"m_{f}")) ** 2 for f in cols), F.lit(0.0))
+    spread = rows.join(F.broadcast(centres.drop("n")), "c").groupBy("c").agg(F.avg(F.sqrt(square)).alias("s"), F.sum(square).alias("w"))
+    spread = {r["c"]: r for r in spread.collect()}
+
+    def apart(a, b) -> float:
+        return sum((a[f"m_{f}"] - b[f"m_{f}"]) ** 2 for f in cols)
+
+    def ratio(a, b) -> float:
+        d = apart(here[a], here[b]) ** 0.5
+        s = spread[a]["s"] + spread[b]["s"]
+        return s / d if d > 0 else float("inf") if s > 0 else 0.0
+
+    db = sum(max(ratio(a, b) for b in here if b != a) for a in here) / k
+    mean = {f"m_{f}": sum(r["n"] * r[f"m_{f}"] for r in here.values()) / n for f in cols}
+    between = sum(r["n"] * apart(r, mean) for r in here.values())
+    within = sum(r["w"] for r in spread.values())
+    ch = between * (n - k) / (within * (k - 1)) if within > 0 else 1.0
+    numbered = F.broadcast(spark.createDataFrame([(c, i) for i, c in enumerate(sorted(here))], "c int, prediction int"))
+    vectors = rows.join(numbered, "c").select(array_to_vector(F.array(*cols)).alias("features"), F.col("prediction").cast("double").alias("prediction"))
+    silhouette = ClusteringEvaluator(metricName="silhouette", distanceMeasure="squaredEuclidean").evaluate(vectors)
+    return spark.createDataFrame([(round(silhouette, 4), round(db, 4), round(ch, 2), k)], SCORES)

@@ -3,7 +3,8 @@ and the insights.  Drawing is not done; each chart's numbers are.
 
 Column choice follows the charts: numeric = numeric class (booleans are in
 neither list), categorical = categorical class, first N columns in table
-order.
+order (the chart's limit, a parameter); a list given by the caller is used
+whole.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ def histogram(df: DataFrame, cols: list[str] | None = None, *, bins: int = P.HIS
     uses [x − 0.5, x + 0.5].  density = count / (n · width).
     """
     d = normalize_missing(df)
-    cols = (cols or columns_of(d, NUMERIC))[:max_cols]
+    cols = cols or columns_of(d, NUMERIC)[:max_cols]
     spark = d.sparkSession
     if not cols:
         return spark.createDataFrame([], "column string, bin int, lo double, hi double, count long, density double")
@@ -69,7 +70,7 @@ def correlations(df: DataFrame, cols: list[str] | None = None, *, max_cols: int
     """Pearson matrix in long form ``col_a, col_b, i, j, r`` (E4); pairwise
     complete rows; an undefined r is ``fill`` (0 in the charts)."""
     d = normalize_missing(df)
-    cols = (cols or columns_of(d, NUMERIC))[:max_cols]
+    cols = cols or columns_of(d, NUMERIC)[:max_cols]
     spark = d.sparkSession
     if len(cols) < 2:
         return spark.createDataFrame([], "col_a string, col_b string, i int, j int, r double")
@@ -87,7 +88,7 @@ def box_stats(df: DataFrame, cols: list[str] | None = None, *, max_cols: int = P
     """Box statistics per column (E5): quartiles, whiskers at the furthest data
     point within ``whisker``·IQR of the box, number of fliers."""
     d = normalize_missing(df)
-    cols = (cols or columns_of(d, NUMERIC))[:max_cols]
+    cols = cols or columns_of(d, NUMERIC)[:max_cols]
     if not cols:
         return d.sparkSession.createDataFrame(
             [], "group string, n long, q1 double, median double, q3 double, whislo double, whishi double, fliers long")
@@ -142,7 +143,7 @@ def box_by_class(df: DataFrame, target: str, features: list[str] | None = None,
     feature per target class; rows with either value null are dropped and a
     feature needs ≥5 rows."""
     d = normalize_missing(df)
-    feats = [c for c in (features or columns_of(d, NUMERIC)) if c != target][:max_features]
+    feats = [c for c in features or columns_of(d, NUMERIC) if c != target][: None if features else max_features]
     parts = []
     for f in feats:
         sub = d.select(F.col(q(f)).cast("double").alias("v"), F.col(q(target)).cast("string").alias("t")).dropna()
@@ -164,7 +165,7 @@ def trend_lines(df: DataFrame, target: str, features: list[str] | None = None, *
     ``target = slope·feature + intercept`` over rows where both are present,
     when there are more than 2 such rows."""
     d = normalize_missing(df)
-    feats = [c for c in (features or columns_of(d, NUMERIC)) if c != target][:max_features]
+    feats = [c for c in features or columns_of(d, NUMERIC) if c != target][: None if features else max_features]
     y = F.col(q(target)).cast("double")
     aggs = []
     for i, f in enumerate(feats):
@@ -182,7 +183,7 @@ def target_by_category(df: DataFrame, target: str, features: list[str] | None =
     """Continuous target vs categorical features (E8): box statistics of the
     target within each of the ``top`` most frequent categories."""
     d = normalize_missing(df)
-    feats = [c for c in (features or columns_of(d, CATEGORICAL)) if c != target][:max_features]
+    feats = [c for c in features or columns_of(d, CATEGORICAL) if c != target][: None if features else max_features]
     if not feats:
         return d.sparkSession.createDataFrame([], "feature string, category string, n long, q1 double, median double, q3 double, whislo double, whishi double, fliers long")
     tops = top_k(value_counts(d, feats), top).select(F.col("column").alias("feature"), F.col("value").alias("category"))
@@ -201,7 +202,7 @@ def crosstab(df: DataFrame, target: str, features: list[str] | None = None, *, t
     """Categorical target vs categorical features (E9): counts of (category,
     class) for the ``top`` most frequent categories, long form."""
     d = normalize_missing(df)
-    feats = [c for c in (features or columns_of(d, CATEGORICAL)) if c != target][:max_features]
+    feats = [c for c in features or columns_of(d, CATEGORICAL) if c != target][: None if features else max_features]
     if not feats:
         return d.sparkSession.createDataFrame([], "feature string, category string, class string, count long")
     tops = top_k(value_counts(d, feats), top).select(F.col("column").alias("feature"), F.col("value").alias("category"))
@@ -219,8 +220,8 @@ def skew_insights(df: DataFrame) -> DataFrame:
 
 
 def collinear_pairs(df: DataFrame, *, threshold: float = P.COLLINEAR_ABS_R, top: int = P.COLLINEAR_TOP) -> DataFrame:
-    """Pairs with |r| ≥ threshold, upper triangle in column order, first ``top``."""
-    c = correlations(df)
+    """Pairs of all numeric columns with |r| ≥ threshold, upper triangle in column order, first ``top``."""
+    c = correlations(df, columns_of(df, NUMERIC))
     return c.where((F.col("i") < F.col("j")) & (F.abs(F.col("r")) >= threshold)).orderBy("i", "j").limit(top)
 
 
@@ -229,7 +230,7 @@ def target_correlations(df: DataFrame, target: str, *, top: int = P.TARGET_CORR_
     nums = columns_of(df, NUMERIC)
     if target not in nums:
         return df.sparkSession.createDataFrame([], "feature string, r double")
-    c = correlations(df, nums, max_cols=len(nums), fill=None)
+    c = correlations(df, nums, fill=None)
     return (
         c.where((F.col("col_b") == target) & (F.col("col_a") != target) & F.col("r").isNotNull())
         .orderBy(F.abs(F.col("r")).desc(), F.col("i"))

@@ -121,10 +121,10 @@ def _fit_encoder(x_train: DataFrame, scale_numeric: bool, max_low_cardinality: i
         card = {r_["column"]: r_["distinct_with_null"] for r_ in distinct_counts(counts).collect()}
         low = [c for c in cat if card.get(c, 0) <= max_low_cardinality]
         m.high_card = [c for c in cat if c not in low]
-        # one-hot categories: null counts as "missing" (the freq text "nan" is renamed), sorted
-        for r_ in counts.where(F.col("column").isin(*low)).groupBy("column").agg(F.collect_set(
-            F.when(F.col("value") == P.FREQ_NULL_TEXT, F.lit(P.ONEHOT_MISSING)).otherwise(F.col("value"))).alias("vals")).collect():
-            m.low_card[r_["column"]] = sorted(r_["vals"])
+        # one-hot categories, sorted; a null is "missing", the text "nan" itself
+        if low:
+            sets = x_train.agg(*[F.collect_set(_text(x_train, c, P.ONEHOT_MISSING)).alias(c) for c in low]).first()
+            m.low_card = {c: sorted(sets[c]) for c in low if sets[c]}
         m.low_card = {c: m.low_card[c] for c in low if c in m.low_card}
         n = x_train.count()
         m.freq = cut_lineage(counts.where(F.col("column").isin(*m.high_card)).select("column", "value", (F.col("count") / F.lit(n)).alias("freq")))

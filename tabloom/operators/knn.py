@@ -39,6 +39,19 @@ def sample_train(train: DataFrame, key: list[str], *, max_rows: int = P.KNN_MAX_
     return cut.where("_below_0").drop("_below_0")
 
 
+def positive_class(classes: list[str]) -> int | None:
+    """Index of the positive class: the larger of two labels (numbers by value), else "1" if there is one."""
+    def rank(c: str):
+        try:
+            return (0, float(c), c)
+        except ValueError:
+            return (1, 0.0, c)
+
+    if len(classes) == 2:
+        return max(range(2), key=lambda i: rank(classes[i]))
+    return classes.index("1") if "1" in classes else None
+
+
 def _weights(d: np.ndarray) -> np.ndarray:
     zero = d == 0
     w = np.where(zero.any(axis=1, keepdims=True), zero.astype("float64"), 1.0 / np.where(zero, 1.0, d))
@@ -47,11 +60,15 @@ def _weights(d: np.ndarray) -> np.ndarray:
 
 def knn_predict(train: DataFrame, test: DataFrame, features: list[str], label: str, *, key: list[str],
                 task: str = "classification", k: int = P.KNN_NEIGHBOURS, keep: list[str] | None = None,
-                seed: int = P.RANDOM_SEED) -> DataFrame:
+                seed: int = P.RANDOM_SEED, max_rows: int = P.KNN_MAX_TRAIN) -> DataFrame:
     """Predictions for every test row: ``keep… , prediction`` (+ ``score`` =
-    weighted share of the class "1" for classification)."""
+    weighted share of the positive class for classification).
+
+    ``max_rows`` bounds the seeded training sample; the default follows the
+    reference.  The positive class is the larger of two labels, else "1".
+    """
     spark = train.sparkSession
-    sample = sample_train(train.select(*key, *features, label), key, seed=seed).toPandas()
+    sample = sample_train(train.select(*key, *features, label), key, max_rows=max_rows, seed=seed).toPandas()
     x_train = _matrix(sample, features)
     if x_train.nbytes > MAX_BROADCAST_BYTES:
         raise ValueError(f"kNN sample matrix is {x_train.nbytes} bytes, above the broadcast limit")
@@ -62,6 +79,7 @@ def knn_predict(train: DataFrame, test: DataFrame, features: list[str], label: s
     else:
         classes = None
         y_idx = y_raw.astype("float64")
+    positive = positive_class(classes.tolist()) if classes is not None else None
     bx = spark.sparkContext.broadcast((x_train, y_idx, classes))
     keep = keep or []
     kk = min(k, len(x_train))
@@ -85,9 +103,7 @@ def knn_predict(train: DataFrame, test: DataFrame, features: list[str], label: s
                 votes = np.zeros((len(x), len(cls)))
                 np.add.at(votes, (np.repeat(np.arange(len(x)), kk), yi[idx].ravel()), w.ravel())
                 out["prediction"] = cls[votes.argmax(axis=1)]  # ties → smallest class
-                one = np.searchsorted(cls, "1")
-                has_one = one < len(cls) and cls[one] == "1"
-                out["score"] = votes[:, one] / votes.sum(axis=1) if has_one else 0.0
+                out["score"] = votes[:, positive] / votes.sum(axis=1) if positive is not None else 0.0
             else:
                 out["prediction"] = (w * yi[idx]).sum(axis=1) / w.sum(axis=1)
             yield out

@@ -8,10 +8,11 @@ partitioned sort with per-partition offsets, never from one task.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
+from ..session import cut_lineage
 from .scan import one_row
 
 
@@ -29,16 +30,25 @@ def regression_metrics(pred: DataFrame, y: str = "y", p: str = "p") -> DataFrame
     return m.select(F.sqrt("mse").alias("rmse"), "mae", r2.alias("r2"), "mse")
 
 
-def classification_metrics(pred: DataFrame, y: str = "y", p: str = "p", *, positive: str = "1") -> DataFrame:
+def label_rank(c: Column) -> Column:
+    """Order of a label's text: numbers by value before text, text by itself."""
+    return F.struct(c.try_cast("double").isNull().alias("is_text"), c.try_cast("double").alias("number"), c.alias("text"))
+
+
+def classification_metrics(pred: DataFrame, y: str = "y", p: str = "p", *, positive: str | None = None) -> DataFrame:
     """One row: ``accuracy, precision, recall, f1`` (V2, V3).
 
-    Binary (positive class ``positive``) when the actual labels have exactly
-    two values, otherwise support-weighted over the labels seen in either
-    column; a zero division gives 0.
+    Binary when the actual labels have exactly two values: the positive class
+    is ``positive``, by default the larger of the two (as numbers where they
+    are numbers).  Otherwise support-weighted over the labels seen in either
+    column; a zero division gives 0.  All comes from one count per (actual,
+    predicted) pair, which is written once.
     """
     d = pred.select(F.col(y).cast("string").alias("y"), F.col(p).cast("string").alias("p"))
-    conf = d.groupBy("y", "p").agg(F.count(F.lit(1)).alias("c"))
-    acc = d.agg(F.avg((F.col("y") == F.col("p")).cast("double")).alias("accuracy"))
+    conf = cut_lineage(d.groupBy("y", "p").agg(F.count(F.lit(1)).alias("c")))
+    hit = F.coalesce(F.col("y") == F.col("p"), F.lit(False)) & F.col("y").isNotNull()
+    known = F.col("y").isNotNull() & F.col("p").isNotNull()
+    acc = conf.agg((F.sum(F.when(hit, F.col("c")).otherwise(0)) / F.sum(F.when(known, F.col("c")))).alias("accuracy"))
     labels = conf.select(F.col("y").alias("k")).union(conf.select(F.col("p").alias("k"))).distinct()
     tp = conf.where(F.col("y") == F.col("p")).select(F.col("y").alias("k"), F.col("c").alias("tp"))
     sup = conf.groupBy(F.col("y").alias("k")).agg(F.sum("c").alias("support"))
@@ -56,8 +66,10 @@ def classification_metrics(pred: DataFrame, y: str = "y", p: str = "p", *, posit
         (F.sum(F.col("rec") * F.col("support")) / F.sum("support")).alias("wr"),
         (F.sum(F.col("f1") * F.col("support")) / F.sum("support")).alias("wf"),
     )
-    pos = per.where(F.col("k") == positive).agg(
-        F.max("prec").alias("bp"), F.max("rec").alias("br"), F.max("f1").alias("bf"))
+    shown = per.where("support > 0") if positive is None else per.where(F.col("k") == positive)
+    top = F.struct("prec", "rec", "f1")
+    pos = shown.agg(F.max_by(top, label_rank(F.col("k"))).alias("t")).select(
+        F.col("t.prec").alias("bp"), F.col("t.rec").alias("br"), F.col("t.f1").alias("bf"))
     binary = F.col("n_true") == 2
     out = one_row(acc, n_true, weighted, pos)
     return out.select(
@@ -73,7 +85,8 @@ def prefix_sums(df: DataFrame, order: str, cols: list[str], partitions: int | No
     (``order`` unique).  Range-partitioned sort; each partition adds the
     totals of the partitions before it (a table of one row per partition)."""
     n = partitions or df.sparkSession.sparkContext.defaultParallelism
-    s = df.repartitionByRange(n, order).withColumn("_pid", F.spark_partition_id())
+    # one exchange for both uses below: two would cut the ranges at different sampled bounds
+    s = cut_lineage(df.repartitionByRange(n, order).withColumn("_pid", F.spark_partition_id()))
     totals = s.groupBy("_pid").agg(*[F.sum(c).alias(f"_t_{c}") for c in cols])
     w_all = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
     offs = totals.select("_pid", *[F.coalesce(F.sum(f"_t_{c}").over(w_all), F.lit(0)).alias(f"_o_{c}") for c in cols])
@@ -83,9 +96,12 @@ def prefix_sums(df: DataFrame, order: str, cols: list[str], partitions: int | No
     return out.select(*df.columns, *[(F.col(f"_o_{c}") + F.col(f"_l_{c}")).alias(f"{c}_before") for c in cols])
 
 
-def roc_auc(pred: DataFrame, y: str = "y", score: str = "score", *, positive: str = "1") -> DataFrame:
-    """Exact ROC-AUC (V4): Mann–Whitney with ties counted half."""
-    d = pred.select((F.col(y).cast("string") == positive).alias("pos"), F.col(score).cast("double").alias("s"))
+def roc_auc(pred: DataFrame, y: str = "y", score: str = "score", *, positive: str | None = None) -> DataFrame:
+    """Exact ROC-AUC (V4): Mann–Whitney with ties counted half; ``positive`` as in ``classification_metrics``."""
+    label = F.col(y).cast("string")
+    if positive is None:
+        positive = pred.agg(F.max(F.when(label.isNotNull(), label_rank(label)))["text"]).first()[0]
+    d = pred.select((label == positive).alias("pos"), F.col(score).cast("double").alias("s"))
     g = d.groupBy("s").agg(F.count_if("pos").alias("np"), F.count_if(~F.col("pos")).alias("nn"))
     c = prefix_sums(g, "s", ["nn"])
     return c.agg(

@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from ..functions import patterns as P
 from ..functions.kinds import q
 from . import boosting, cluster_quality, knn
+from ..session import cut_lineage
 from .metrics import classification_metrics, regression_metrics, roc_auc
 
 REGRESSION = "regression"
@@ -53,6 +54,7 @@ CLUSTERERS = ["KMeans", "GaussianMixture"]
 class TrainResult:
     name: str
     model: object
+    predict: object  # function of a table with the features: its predictions
     predictions: DataFrame  # keep columns + y + p (+ score)
     metrics: DataFrame  # one row
     seconds: float
@@ -63,9 +65,8 @@ def _label_stats(train: DataFrame, label: str):
     return row["n"], row["s"] or 0.0
 
 
-def estimator(name: str, task: str, *, seed: int, n: int = 1, sigma: float = 1.0, n_classes: int = 2, params: dict | None = None):
+def estimator(name: str, task: str, *, seed: int, n: int = 1, sigma: float = 1.0, n_classes: int = 2):
     """Spark ML estimator for a reference model name (M1–M21, M23 fallback)."""
-    params = params or {}
     fc, lc, pc = "features", "label", "prediction"
     if task == REGRESSION:
         if name == "LinearRegression":
@@ -112,63 +113,86 @@ def train_and_evaluate(name: str, task: str, train: DataFrame, val: DataFrame, f
     """Fit ``name`` on ``train``, predict ``val`` and score it.
 
     Classification labels are indexed by their text in sorted order; the
-    predictions table holds ``key…, y, p`` (and ``score`` = P(class "1") for
-    binary tasks).
+    predictions table holds ``key…, y, p`` (and ``score`` = P(positive class)
+    for binary tasks).  ``params`` are set on the estimator by Spark ML's own
+    parameter names; for kNN ``k`` and ``max_rows``.
     """
     t0 = time.perf_counter()
     if task == CLUSTERING:
         return _cluster(name, train, val, features, key, seed)
     if name in ("KNeighborsRegressor", "KNeighborsClassifier"):
-        pred = knn.knn_predict(train, val, features, label, key=key, task=task, keep=key + [label], seed=seed)
-        pred = pred.withColumnRenamed(label, "y").withColumnRenamed("prediction", "p")
+        def predict(d: DataFrame) -> DataFrame:
+            pred = knn.knn_predict(train, d, features, label, key=key, task=task, keep=key + [label], seed=seed, **(params or {}))
+            return pred.withColumnRenamed(label, "y").withColumnRenamed("prediction", "p")
+
         model = None
     elif name in ("AdaBoostClassifier", "AdaBoostRegressor"):
         model = boosting.fit_adaboost(train, features, label, task=task, seed=seed)
-        pred = model.predict(val, keep=key + [label]).withColumnRenamed(label, "y").withColumnRenamed("prediction", "p")
+
+        def predict(d: DataFrame) -> DataFrame:
+            return model.predict(d, keep=key + [label]).withColumnRenamed(label, "y").withColumnRenamed("prediction", "p")
     else:
-        pred, model = _spark_ml(name, task, train, val, features, label, key, seed, params)
+        predict, model = _spark_ml(name, task, train, features, label, key, seed, params)
+    pred = cut_lineage(predict(val))  # scored once, read by every metric
     seconds = round(time.perf_counter() - t0, 4)
+    return TrainResult(name, model, predict, pred, score(pred, task), seconds)
+
+
+def score(pred: DataFrame, task: str) -> DataFrame:
+    """One row of metrics of a predictions table (y, p and for two classes score)."""
     if task == REGRESSION:
-        metrics = regression_metrics(pred, "y", "p")
-    else:
-        metrics = classification_metrics(pred, "y", "p")
-        labels = [r_[0] for r_ in pred.select(F.col("y").cast("string")).distinct().limit(3).collect()]
-        if len(labels) == 2 and "score" in pred.columns:
-            from .scan import one_row
+        return regression_metrics(pred, "y", "p")
+    metrics = classification_metrics(pred, "y", "p")
+    labels = [r_[0] for r_ in pred.select(F.col("y").cast("string")).distinct().limit(3).collect()]
+    if len(labels) == 2 and "score" in pred.columns:
+        from .scan import one_row
+
+        metrics = one_row(metrics, roc_auc(pred, "y", "score"))
+    return metrics
 
-            metrics = one_row(metrics, roc_auc(pred, "y", "score"))
-    return TrainResult(name, model, pred, metrics, seconds)
+
+def evaluate(res: TrainResult, task: str, data: DataFrame) -> TrainResult:
+    """The fitted model of ``res`` applied to other rows; nothing is trained again."""
+    pred = cut_lineage(res.predict(data))
+    return TrainResult(res.name, res.model, res.predict, pred, score(pred, task), res.seconds)
 
 
 def _assembler(features):
     return VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep")
 
 
-def _spark_ml(name, task, train, val, features, label, key, seed, params):
+def _spark_ml(name, task, train, features, label, key, seed, params):
     if task == CLASSIFICATION:
         classes = sorted(r_[0] for r_ in train.select(F.col(q(label)).cast("string")).distinct().collect())
         index = {c: float(i) for i, c in enumerate(classes)}
         mapping = F.create_map(*[x for c, i in index.items() for x in (F.lit(c), F.lit(i))])
         lab = mapping[F.col(q(label)).cast("string")]
         n, sigma = train.count(), 0.0
-        est = estimator(name, task, seed=seed, n=n, n_classes=len(classes), params=params)
+        est = estimator(name, task, seed=seed, n=n, n_classes=len(classes))
     else:
         lab = F.col(q(label)).cast("double")
         n, sigma = _label_stats(train, label)
-        est = estimator(name, task, seed=seed, n=n, sigma=sigma, params=params)
+        est = estimator(name, task, seed=seed, n=n, sigma=sigma)
         classes = None
     tr = train.select(*[F.col(q(c)).cast("double").alias(c) for c in features], lab.alias("label")).where(F.col("label").isNotNull())
+    base = est.getClassifier() if isinstance(est, OneVsRest) else est
+    base.setParams(**(params or {}))
     model = Pipeline(stages=[_assembler(features), est]).fit(tr)
-    va = val.select(*[q(k) for k in key], F.col(q(label)).alias("y"), *[F.col(q(c)).cast("double").alias(c) for c in features])
-    out = model.transform(va)
-    if task == CLASSIFICATION:
+
+    def predict(d: DataFrame) -> DataFrame:
+        rows = d.select(*[q(k) for k in key], F.col(q(label)).alias("y"), *[F.col(q(c)).cast("double").alias(c) for c in features])
+        out = model.transform(rows)
+        if task != CLASSIFICATION:
+            return out.select(*[q(k) for k in key], F.col("y").cast("double").alias("y"), F.col("prediction").alias("p"))
         names = F.array(*[F.lit(c) for c in classes])
         p = F.element_at(names, F.col("prediction").cast("int") + 1)
         cols = [*[q(k) for k in key], F.col("y").cast("string").alias("y"), p.alias("p")]
-        if "probability" in out.columns and "1" in classes:
-            cols.append(vector_to_array("probability")[classes.index("1")].alias("score"))
-        return out.select(*cols), model
-    return out.select(*[q(k) for k in key], F.col("y").cast("double").alias("y"), F.col("prediction").alias("p")), model
+        one = knn.positive_class(classes)
+        if "probability" in out.columns and one is not None:
+            cols.append(vector_to_array("probability")[one].alias("score"))
+        return out.select(*cols)
+
+    return predict, model
 
 
 def _cluster(name, train, val, features, key, seed):
@@ -177,10 +201,13 @@ def _cluster(name, train, val, features, key, seed):
     model = Pipeline(stages=[_assembler(features), estimator(name, CLUSTERING, seed=seed)]).fit(tr)
     seconds = round(time.perf_counter() - t0, 4)
     labelled = model.transform(tr).select(*[q(k) for k in key], *features, F.col("prediction").cast("int").alias("cluster"))
-    metrics = cluster_quality.clustering_scores(labelled, features, "cluster", key=key, seed=seed)
-    va = val.select(*[q(k) for k in key], *[F.col(q(c)).cast("double").alias(c) for c in features])
-    pred = model.transform(va).select(*[q(k) for k in key], F.col("prediction").cast("int").alias("p"))
-    return TrainResult(name, model, pred, metrics, seconds)
+    metrics = cluster_quality.clustering_scores(labelled, features, "cluster")
+
+    def predict(d: DataFrame) -> DataFrame:
+        rows = d.select(*[q(k) for k in key], *[F.col(q(c)).cast("double").alias(c) for c in features])
+        return model.transform(rows).select(*[q(k) for k in key], F.col("prediction").cast("int").alias("p"))
+
+    return TrainResult(name, model, predict, predict(val), metrics, seconds)
 
 
 def leaderboard_row(res: TrainResult, task: str) -> DataFrame:

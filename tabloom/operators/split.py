@@ -175,7 +175,9 @@ def random_split(df: DataFrame, target: str, *, keys: list[str] | None = None, t
     if target not in df.columns:
         raise DataLoadError(f"Target column '{target}' not found in dataset columns: {df.columns}")
     keys = keys or [c for c in df.columns]
-    counts = {row[0]: row[1] for row in df.groupBy(F.col(q(target)).cast("string")).count().collect()}  # one row per class
+    # one row per class; without strata only the number of rows is wanted (a regression target may have any number of values)
+    by = F.col(q(target)).cast("string") if stratify else F.lit("all")
+    counts = {row[0]: row[1] for row in df.groupBy(by.alias("k")).count().collect()}
     n = sum(counts.values())
     if n < P.MIN_SPLIT_ROWS:
         raise DataLoadError(f"Dataset has only {n} rows; cannot perform train/test split.")
@@ -212,7 +214,8 @@ def random_split(df: DataFrame, target: str, *, keys: list[str] | None = None, t
 
 def temporal_split(df: DataFrame, target: str, time_column: str, *, test_size: float = P.TEST_SIZE,
                    val_size: float = P.VAL_SIZE, tiebreak: list[str] | None = None) -> DataFrame:
-    """Earliest rows train, then val, then test (L3); null times sort last.
+    """Earliest rows train, then val, then test (L3); null times and text that
+    is no time sort last.
     n_test = max(1, ⌊n·test⌋), n_val = max(1, ⌊n·val⌋) or 0.  Rows at the
     same time are ordered by md5 of the ``tiebreak`` columns, then by the
     text of all columns."""
@@ -227,7 +230,12 @@ def temporal_split(df: DataFrame, target: str, time_column: str, *, test_size: f
         return {"all": [n - n_test - n_val, n - n_test]}
 
     t = F.col(q(time_column))
-    micros = F.unix_micros(t.cast("timestamp")) if dict(df.dtypes)[time_column] in ("timestamp", "timestamp_ntz", "date") else t
+    kind = dict(df.dtypes)[time_column]
+    if kind == "string":
+        from .clean import parse_time
+
+        t, kind = parse_time(t, df.schema[time_column].dataType), "timestamp"
+    micros = F.unix_micros(t.cast("timestamp")) if kind in ("timestamp", "timestamp_ntz", "date") else t
     order = F.coalesce(micros.cast("double"), F.lit(float("inf")))
     keys = tiebreak or [c for c in df.columns if c != time_column]
     tb = [F.col(q(k)).cast("string") for k in keys] + [F.col(q(k)).cast("string") for k in df.columns if k != time_column and k not in keys]

@@ -218,3 +218,23 @@ def q_histogram20_orders(spark, sf_dir):
 
 QUERIES["histogram20_orders"] = q_histogram20_orders
 ORACLE["histogram20_orders"] = _sql_histogram("orders", ["o_orderkey", "o_custkey", "o_totalprice"], 20)
+
+
+#: 24 numeric columns: residues of the part key, and the last one a copy of the one before it.
+_WIDE = [f"(l_partkey * {k + 3} + l_suppkey * {k * k + 1} + l_orderkey) % {97 + k}" for k in range(23)]
+
+
+def q_collinear_pairs_wide(spark, sf_dir):
+    """Collinear pairs (E11) of a table with 24 numeric columns; the copied pair stands after the twentieth."""
+    cols = [F.expr(f"cast({x} as double)").alias(f"x{k:02d}") for k, x in enumerate(_WIDE)]
+    wide = table(spark, sf_dir, "lineitem").select(*cols).withColumn("x23", F.col("x22") * 2 + 1)
+    return rounded(eda.collinear_pairs(wide).select("col_a", "col_b", "r"))
+
+
+QUERIES["collinear_pairs_wide"] = q_collinear_pairs_wide
+_names = [f"x{k:02d}" for k in range(24)]
+ORACLE["collinear_pairs_wide"] = (
+    "WITH w AS (SELECT *, x22 * 2 + 1 AS x23 FROM (SELECT " + ", ".join(f"CAST({x} AS DOUBLE) AS x{k:02d}" for k, x in enumerate(_WIDE)) + " FROM lineitem)), p AS ("
+    + " UNION ALL ".join(f"SELECT '{a}' AS col_a, '{b}' AS col_b, corr({a}, {b}) AS r FROM w" for i, a in enumerate(_names) for b in _names[i + 1:])
+    + ") SELECT col_a, col_b, round(r, 4) AS r FROM p WHERE abs(r) >= " + str(P.COLLINEAR_ABS_R)
+)

@@ -182,8 +182,9 @@ def q_rank_models_embeddings(spark, sf_dir):
     from ...operators.scan import materialize_small
 
     s = _emb_split(spark, sf_dir)
-    emb = s.select("vec_id", "label", "split", *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(16)])
-    feats = [f"e{i}" for i in range(16)]
+    dims = s.agg(F.max(F.size("embedding"))).first()[0]  # the whole vector
+    emb = s.select("vec_id", "label", "split", *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(dims)])
+    feats = [f"e{i}" for i in range(dims)]
     train, val = emb.where(F.col("split") == "train"), emb.where(F.col("split") == "val")
     rows = None
     for name in ["KNeighborsClassifier", "DecisionTreeClassifier", "GaussianNB"]:
@@ -261,3 +262,38 @@ ORACLE["stop_rule_lineitem"] = SQL_HOLDOUT.replace(
     "WHEN 1 - sum(e * e) / (sum(t) + 1e-9) < 0.3 THEN 'tune' ELSE 'stop' END AS decision FROM e")
 ORACLE["sample_check_embeddings"] = SQL_KNN_CLASSIFY.replace("\nSELECT vec_id, p AS prediction FROM pred",
                                                             "\nSELECT y AS actual, p AS predicted FROM pred ORDER BY vec_id LIMIT 5")
+
+
+def q_roc_auc_lineitem(spark, sf_dir):
+    """ROC-AUC (V4) of the extended price as a score for returned lines: tens of thousands of distinct scores."""
+    li = table(spark, sf_dir, "lineitem").select((F.col("l_returnflag") == "R").alias("y"), F.col("l_extendedprice").alias("score"))
+    return rounded(V.roc_auc(li, "y", "score"), 9)
+
+
+def q_label_kinds_lineitem(spark, sf_dir):
+    """Binary metrics (V2, V3) for the same labels as boolean, double and text: the larger label is positive."""
+    li = table(spark, sf_dir, "lineitem")
+    y, p = F.col("l_returnflag") == "R", F.col("l_quantity") > 30
+    kinds = {
+        "boolean": (y, p), "double": (y.cast("double"), p.cast("double")),
+        "text": (F.when(y, "yes").otherwise("no"), F.when(p, "yes").otherwise("no")),
+    }
+    rows = None
+    for kind, (a, b) in kinds.items():
+        m = V.classification_metrics(li.select(a.alias("y"), b.alias("p"))).select(F.lit(kind).alias("kind"), "*")
+        rows = m if rows is None else rows.unionByName(m)
+    return rounded(rows)
+
+
+QUERIES["roc_auc_lineitem"] = q_roc_auc_lineitem
+QUERIES["label_kinds_lineitem"] = q_label_kinds_lineitem
+ORACLE["roc_auc_lineitem"] = """WITH g AS (
+  SELECT l_extendedprice AS s, count(*) FILTER (WHERE l_returnflag = 'R') AS np, count(*) FILTER (WHERE l_returnflag <> 'R') AS nn FROM lineitem GROUP BY 1
+), c AS (SELECT np, nn, sum(nn) OVER (ORDER BY s) - nn AS below FROM g)
+SELECT round(sum(np * (below + 0.5 * nn)) / (sum(np) * sum(nn)), 9) AS roc_auc FROM c"""
+ORACLE["label_kinds_lineitem"] = f"""WITH c AS (
+  SELECT count(*) FILTER (WHERE y AND p) AS tp, count(*) FILTER (WHERE p AND NOT y) AS fp, count(*) FILTER (WHERE y AND NOT p) AS fn, count(*) AS n,
+         count(*) FILTER (WHERE y = p) AS ok
+  FROM (SELECT l_returnflag = 'R' AS y, l_quantity > 30 AS p FROM lineitem)
+) SELECT kind, {r('ok / n')} AS accuracy, {r('tp / (tp + fp)')} AS precision, {r('tp / (tp + fn)')} AS recall, {r('2 * tp / (2 * tp + fp + fn)')} AS f1
+FROM c, (VALUES ('boolean'), ('double'), ('text')) k(kind)"""

@@ -54,8 +54,9 @@ QUERIES = {
 ORACLE = {
     "file_hashes_testdata": f"SELECT parse_filename(filename) AS file_name, CAST(size AS BIGINT) AS length, sha256(content) AS hash "
                             f"FROM read_blob('{ORACLE_DIR}/*.parquet')",
-    "row_fingerprint_orders": "SELECT o_orderkey, sha256(concat_ws('|', CAST(o_orderkey AS VARCHAR), CAST(o_custkey AS VARCHAR), o_orderstatus, "
-                              "CAST(o_totalprice AS VARCHAR), CAST(o_orderdate AS VARCHAR), o_orderpriority)) AS row_hash FROM orders",
+    "row_fingerprint_orders": "SELECT o_orderkey, sha256(array_to_string([coalesce(length(t) || ':' || t, '~') FOR t IN [CAST(o_orderkey AS VARCHAR), "
+                              "CAST(o_custkey AS VARCHAR), o_orderstatus, CAST(o_totalprice AS VARCHAR), CAST(o_orderdate AS VARCHAR), "
+                              "o_orderpriority]], '|')) AS row_hash FROM orders",
     "manifest_orders": f"""SELECT (SELECT CAST(size AS BIGINT) FROM read_blob('{ORACLE_DIR}/orders.parquet')) AS file_bytes, CAST(1 AS BIGINT) AS n_files,
   'parquet' AS format, CAST(count(*) AS BIGINT) AS n_rows, CAST(6 AS BIGINT) AS n_cols, CAST(0 AS BIGINT) AS missing_cells,
   CAST(count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM orders)) AS BIGINT) AS duplicate_rows FROM orders""",

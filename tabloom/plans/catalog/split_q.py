@@ -130,3 +130,26 @@ ORACLE = {
     "split_temporal_orders": SQL_SPLIT_TEMPORAL,
     "leakage_lineitem": _sql_leakage(),
 }
+
+
+def q_leakage_offset_lineitem(spark, sf_dir):
+    """Leakage (G2, G3) with values near 1.7e9: one feature is twice the target, and the sides share rows."""
+    li = table(spark, sf_dir, "lineitem").select(
+        "l_linenumber", "l_quantity", "l_discount", (F.col("l_quantity") + F.col("l_discount") + 1.7e9).alias("y"))
+    li = li.withColumns({"twice": F.col("y") * 2, "far": F.col("l_discount") + 1.7e9})
+    feats = ["l_quantity", "l_discount", "twice", "far"]
+    train, test = li.where("l_linenumber <= 4"), li.where("l_linenumber > 4")
+    found = G.audit_leakage(train.select(*feats), test.select(*feats), train.select(*feats, "y"), "y")
+    return rounded(found.select("check", F.col("column").alias("col_name"), "severity", "value"))
+
+
+QUERIES["leakage_offset_lineitem"] = q_leakage_offset_lineitem
+_OFFSET_FEATS = ["l_quantity", "l_discount", "twice", "far"]
+ORACLE["leakage_offset_lineitem"] = f"""WITH li AS (
+  SELECT l_linenumber, l_quantity, l_discount, y, y * 2 AS twice, l_discount + 1.7e9 AS far
+  FROM (SELECT *, l_quantity + l_discount + 1.7e9 AS y FROM lineitem)
+), train AS (SELECT * FROM li WHERE l_linenumber <= 4), test AS (SELECT * FROM li WHERE l_linenumber > 4),
+c AS ({" UNION ALL ".join(f"SELECT '{c}' AS col_name, corr({c} - {1.7e9 if c == 'far' else 3.4e9 if c == 'twice' else 0}, y - 1.7e9) AS rr FROM train" for c in _OFFSET_FEATS)}),
+o AS (SELECT count(*) AS o FROM (SELECT {", ".join(_OFFSET_FEATS)} FROM train INTERSECT SELECT {", ".join(_OFFSET_FEATS)} FROM test)), t AS (SELECT count(*) AS t FROM test)
+SELECT 'target_proxy' AS "check", col_name, 'critical' AS severity, {r('rr')} AS value FROM c WHERE abs(rr) >= {P.LEAKAGE_MIN_ABS_R}
+UNION ALL SELECT 'row_overlap', NULL, CASE WHEN o * 100.0 / t > {P.CONTAMINATION_CRITICAL_PCT} THEN 'critical' ELSE 'warning' END, {r('o')} FROM o, t WHERE o > 0"""

@@ -31,6 +31,7 @@ from ..operators import split as S
 from ..operators.scan import materialize_small
 from ..session import cut_lineage
 from ..sources import sinks
+from ..sources.hashing import row_text
 
 DEFAULT_MODELS = {
     M.REGRESSION: ["LinearRegression", "Ridge", "Lasso", "ElasticNet", "KNeighborsRegressor", "DecisionTreeRegressor",
@@ -68,7 +69,10 @@ def autorun(spark: SparkSession, df: DataFrame, *, target: str | None, task: str
         return RunResult(profile, quality, None, None, None, None, spark.createDataFrame([], "model_name string"), None, None, paths)
 
     cm = C.fit_clean(df, target if task != M.CLUSTERING else None, approx=approx)
-    cleaned = cut_lineage(cm.transform(df).withColumn("_row_id", F.monotonically_increasing_id()))
+    # the time column survives cleaning beside its parts; the key is a hash of the row's content, the same in every run
+    source = df.withColumn("_time", F.col(q(time_column))) if time_column else df
+    cleaned = cm.transform(source)
+    cleaned = cut_lineage(cleaned.withColumn("_row_id", F.xxhash64(row_text(cleaned, cleaned.columns))))
     key = ["_row_id"]
     models = models or DEFAULT_MODELS[task]
 
@@ -82,11 +86,12 @@ def autorun(spark: SparkSession, df: DataFrame, *, target: str | None, task: str
         return RunResult(profile, quality, cm, None, None, enc, board, None, None, paths)
 
     if time_column:
-        parts = S.temporal_split(cleaned, target, time_column, test_size=test_size, val_size=val_size, tiebreak=key)
+        parts = S.temporal_split(cleaned, target, "_time", test_size=test_size, val_size=val_size, tiebreak=key)
     else:
         parts = S.random_split(cleaned, target, keys=key, test_size=test_size, val_size=val_size,
                                stratify=task == M.CLASSIFICATION, seed=seed)
-    parts = cut_lineage(parts)
+    parts = cut_lineage(parts.drop("_time"))
+    cleaned = cleaned.drop("_time")
     feats_in = [c for c in cleaned.columns if c not in (target, "_row_id")]
     train = parts.where(F.col("split") == "train")
     test = parts.where(F.col("split") == "test")
@@ -107,7 +112,7 @@ def autorun(spark: SparkSession, df: DataFrame, *, target: str | None, task: str
     results = {m: M.train_and_evaluate(m, task, tr, rank_on, feats, target, key=key, seed=seed) for m in models}
     board = _rank([M.leaderboard_row(r, task) for r in results.values()], task, top_k)
     best = board.where(F.col("rank") == 1).first()["model_name"]
-    final = M.train_and_evaluate(best, task, tr, te, feats, target, key=key, seed=seed)
+    final = M.evaluate(results[best], task, te)
     if task == M.REGRESSION:
         evaluation = V.holdout_regression(final.predictions)
     else:

@@ -3,12 +3,13 @@
 ``file_hashes`` reads many files at once with the ``binaryFile`` source and
 hashes each one in the executor that reads it (Spark's ``sha2``/``md5``);
 one file must fit in a task (the binary source's 2 GB limit).
-``row_fingerprints`` hashes the '|'-joined text of a row's columns.
+``row_fingerprints`` hashes the text of a row's columns, each with its length
+in front and a mark for null, so that different rows have different texts.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import DataLoadError
@@ -49,9 +50,13 @@ def compute_file_hash(spark: SparkSession, path: str, algorithm: str = "sha256")
     return row["hash"]
 
 
-def row_fingerprints(df: DataFrame, cols: list[str] | None = None, algorithm: str = "sha256") -> DataFrame:
-    """``df`` plus ``row_hash``: hash of the '|'-joined text of ``cols`` (nulls skipped)."""
-    cols = cols or df.columns
+def row_text(df: DataFrame, cols: list[str]) -> Column:
+    """Unambiguous text of the columns: ``<length>:<text>`` for a value, ``~`` for null, joined by '|'."""
     fields = {f.name: f.dataType for f in df.schema.fields}
-    text = F.concat_ws("|", *[as_text(F.col(q(c)), fields[c]) for c in cols])
-    return df.withColumn("row_hash", _digest(text, algorithm))
+    texts = [as_text(F.col(q(c)), fields[c]) for c in cols]
+    return F.concat_ws("|", *[F.when(t.isNull(), "~").otherwise(F.concat(F.length(t).cast("string"), F.lit(":"), t)) for t in texts])
+
+
+def row_fingerprints(df: DataFrame, cols: list[str] | None = None, algorithm: str = "sha256") -> DataFrame:
+    """``df`` plus ``row_hash``: hash of ``row_text``."""
+    return df.withColumn("row_hash", _digest(row_text(df, cols or df.columns), algorithm))

@@ -1,8 +1,8 @@
 """Readers (S1–S8): Parquet, CSV with delimiter and encoding detection,
 routing by extension, user-registered formats and path checks.
 
-Every reader returns a lazy DataFrame; detection reads at most the first
-lines of a file (delimiter) or runs one aggregate (encoding).
+Every reader returns a lazy DataFrame; delimiter, encoding and quoted line
+breaks are found by one aggregate over all lines.
 """
 
 from __future__ import annotations
@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from ..errors import DataLoadError
 
 DELIMITERS = [",", "\t", ";", "|"]
-SNIFF_LINES = 20
 
 Reader = Callable[..., DataFrame]
 _REGISTRY: dict[str, Reader] = {}
@@ -80,41 +79,54 @@ def read_parquet(spark: SparkSession, path: str, **options) -> DataFrame:
     return spark.read.options(**options).parquet(path)
 
 
-def sniff_delimiter(spark: SparkSession, path: str, encoding: str = "UTF-8") -> str:
-    """The delimiter (comma, tab, semicolon, pipe) that appears the same
-    non-zero number of times in each of the first lines (S2)."""
-    lines = [r.value for r in spark.read.option("encoding", encoding).text(path).limit(SNIFF_LINES).collect()]
-    lines = [ln for ln in lines if ln.strip()]
-    best, best_count = ",", 0
-    for d in DELIMITERS:
-        counts = {ln.count(d) for ln in lines}
-        if len(counts) == 1:
-            (k,) = counts
-            if k > best_count:
-                best, best_count = d, k
-    return best
+def csv_facts(spark: SparkSession, path: str) -> dict:
+    """``encoding``, ``delimiter`` and ``multiline`` of a CSV file (S2, S3), from one pass over all its lines.
 
+    The delimiter (comma, tab, semicolon, pipe) is the one that appears most
+    often outside quotes and the same non-zero number of times in every
+    non-empty line; lines with an unmatched quote (a value continues on the
+    next line) aren't counted but make the file multi-line.  The encoding
+    is UTF-8 unless some line's bytes aren't, then ISO-8859-1.
+    """
+    line = F.col("value")
+    quotes = F.length(line) - F.length(F.replace(line, F.lit('"'), F.lit("")))
+    bare = F.regexp_replace(line, '"[^"]*"', "")
+    whole = (F.trim(line) != "") & (quotes % 2 == 0)
+    counts = [F.when(whole, F.length(bare) - F.length(F.replace(bare, F.lit(d), F.lit("")))) for d in DELIMITERS]
+    aggs = [x for i, c in enumerate(counts) for x in (F.min(c).alias(f"lo{i}"), F.max(c).alias(f"hi{i}"))]
+    row = spark.read.text(path).agg(
+        F.max(~F.expr("is_valid_utf8(value)")).alias("bad"), F.max(quotes % 2 == 1).alias("open"), *aggs
+    ).first()
+    steady = [(row[f"lo{i}"], -i) for i in range(len(DELIMITERS)) if row[f"lo{i}"] and row[f"lo{i}"] == row[f"hi{i}"]]
+    return {
+        "encoding": "ISO-8859-1" if row["bad"] else "UTF-8",
+        "delimiter": DELIMITERS[-max(steady)[1]] if steady else ",",
+        "multiline": bool(row["open"]),
+    }
+
+
+def sniff_delimiter(spark: SparkSession, path: str) -> str:
+    return csv_facts(spark, path)["delimiter"]
 
-def detect_encoding(spark: SparkSession, path: str) -> str:
-    """UTF-8 unless a byte sequence fails to decode, then ISO-8859-1 (S3).
 
-    Spark's text source does not fail on bad bytes, so one aggregate over
-    the raw lines checks every line with ``is_valid_utf8``.
-    """
-    bad = spark.read.text(path).agg(F.max(~F.expr("is_valid_utf8(value)")).alias("bad")).first()["bad"]
-    return "ISO-8859-1" if bad else "UTF-8"
+def detect_encoding(spark: SparkSession, path: str) -> str:
+    return csv_facts(spark, path)["encoding"]
 
 
 def read_csv(spark: SparkSession, path: str, *, sep: str | None = None, encoding: str | None = None, **options) -> DataFrame:
     """CSV with a header row and inferred types (S1); ``sep`` and ``encoding``
-    are detected when not given (S2, S3)."""
-    enc = encoding or detect_encoding(spark, path)
-    delim = sep if sep is not None else sniff_delimiter(spark, path, enc)
+    are detected when not given (S2, S3).  Quotes inside a value are doubled;
+    only a file with quoted line breaks is read as multi-line (and so can't
+    be split)."""
+    facts = csv_facts(spark, path)
     reader = (
         spark.read.option("header", True)
         .option("inferSchema", True)
-        .option("sep", delim)
-        .option("encoding", enc)
+        .option("sep", sep if sep is not None else facts["delimiter"])
+        .option("encoding", encoding or facts["encoding"])
+        .option("quote", '"')
+        .option("escape", '"')
+        .option("multiLine", facts["multiline"])
         .option("mode", "PERMISSIVE")
     )
     return reader.options(**options).csv(path)
