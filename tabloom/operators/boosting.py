@@ -138,6 +138,10 @@ def fit_adaboost(train: DataFrame, features: list[str], label: str, *, task: str
             total = scored.agg(F.sum(new_w)).first()[0]
         prev = data
         data = scored.select("features", "label", (new_w / F.lit(total)).alias("w"))
-        data = cut_lineage(data) if (m + 1) % CHECKPOINT_EVERY == 0 else data.cache()
+        if (m + 1) % CHECKPOINT_EVERY == 0:
+            data = cut_lineage(data)
+        else:
+            data = data.cache()
+            data.count()  # filled from the previous round's rows before those are released
         prev.unpersist()
     return model

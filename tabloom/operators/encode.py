@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import json
 import os
-from dataclasses import asdict, dataclass, field
+from dataclasses import dataclass, field, fields
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -91,7 +91,7 @@ class EncoderModel:
 
     # R9 save / load
     def save(self, path: str) -> None:
-        meta = {k: v for k, v in asdict(self).items() if k != "freq"}
+        meta = {f.name: getattr(self, f.name) for f in fields(self) if f.name != "freq"}
         self.freq.write.mode("overwrite").parquet(os.path.join(path, "freq"))
         spark = self.freq.sparkSession
         spark.createDataFrame([(json.dumps(meta),)], "meta string").write.mode("overwrite").json(os.path.join(path, "meta"))

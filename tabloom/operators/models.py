@@ -180,13 +180,13 @@ def _spark_ml(name, task, train, features, label, key, seed, params):
     model = Pipeline(stages=[_assembler(features), est]).fit(tr)
 
     def predict(d: DataFrame) -> DataFrame:
-        rows = d.select(*[q(k) for k in key], F.col(q(label)).alias("y"), *[F.col(q(c)).cast("double").alias(c) for c in features])
+        rows = d.select(*[q(k) for k in key], F.col(q(label)).alias("_actual"), *[F.col(q(c)).cast("double").alias(c) for c in features])
         out = model.transform(rows)
         if task != CLASSIFICATION:
-            return out.select(*[q(k) for k in key], F.col("y").cast("double").alias("y"), F.col("prediction").alias("p"))
+            return out.select(*[q(k) for k in key], F.col("_actual").cast("double").alias("y"), F.col("prediction").alias("p"))
         names = F.array(*[F.lit(c) for c in classes])
         p = F.element_at(names, F.col("prediction").cast("int") + 1)
-        cols = [*[q(k) for k in key], F.col("y").cast("string").alias("y"), p.alias("p")]
+        cols = [*[q(k) for k in key], F.col("_actual").cast("string").alias("y"), p.alias("p")]
         one = knn.positive_class(classes)
         if "probability" in out.columns and one is not None:
             cols.append(vector_to_array("probability")[one].alias("score"))

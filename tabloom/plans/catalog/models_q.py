@@ -58,14 +58,14 @@ def q_multiclass(spark, sf_dir, *, name):
 
 def q_autorun_part(spark, sf_dir):
     df = table(spark, sf_dir, "part").select("p_size", "p_brand", "p_type", "p_retailprice")
-    res = autorun(spark, df, target="p_retailprice", task=M.REGRESSION, models=["LinearRegression", "Ridge", "DecisionTreeRegressor"])
+    res = autorun(spark, df, target="p_retailprice", task=M.REGRESSION)
     return rounded(res.leaderboard.select("rank", "model_name", "rmse", "mae", "r2"))
 
 
 def q_autorun_documents(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "n_chars", "lang", "source")
     df = table(spark, sf_dir, "labels").select("doc_id", "quality").join(docs, "doc_id").drop("doc_id")
-    res = autorun(spark, df, target="quality", task=M.CLASSIFICATION, models=["LogisticRegression", "GaussianNB", "DecisionTreeClassifier"])
+    res = autorun(spark, df, target="quality", task=M.CLASSIFICATION)
     return rounded(res.leaderboard.select("rank", "model_name", "f1", "accuracy"))
 
 

@@ -29,7 +29,8 @@ def main(argv: list[str] | None = None) -> None:
     df = read_table(spark, a.data)
     target = a.target or (df.columns[-1] if a.task != "clustering" else None)
     res = autorun(spark, df, target=target, task=a.task, time_column=a.time_column,
-                  models=a.models.split(",") if a.models else None, seed=a.seed, out_root=a.out, run_id=a.run_id, approx=a.approx)
+                  models=a.models.split(",") if a.models else None, seed=a.seed, out_root=a.out, run_id=a.run_id, approx=a.approx,
+                  source_path=a.data)
     res.leaderboard.show(truncate=False)
     if res.evaluation is not None:
         res.evaluation.show(truncate=False)

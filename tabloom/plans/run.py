@@ -31,15 +31,10 @@ from ..operators import split as S
 from ..operators.scan import materialize_small
 from ..session import cut_lineage
 from ..sources import sinks
-from ..sources.hashing import row_text
+from ..sources.hashing import file_hashes, row_text
+from ..sources.ledger import Ledger
 
-DEFAULT_MODELS = {
-    M.REGRESSION: ["LinearRegression", "Ridge", "Lasso", "ElasticNet", "KNeighborsRegressor", "DecisionTreeRegressor",
-                   "RandomForestRegressor", "AdaBoostRegressor", "GradientBoostingRegressor", "HistGradientBoostingRegressor"],
-    M.CLASSIFICATION: ["LogisticRegression", "KNeighborsClassifier", "DecisionTreeClassifier", "RandomForestClassifier",
-                       "AdaBoostClassifier", "GradientBoostingClassifier", "HistGradientBoostingClassifier", "GaussianNB", "LinearSVC"],
-    M.CLUSTERING: ["KMeans", "GaussianMixture"],
-}
+DEFAULT_MODELS = {M.REGRESSION: M.REGRESSORS, M.CLASSIFICATION: M.CLASSIFIERS, M.CLUSTERING: M.CLUSTERERS}
 
 
 @dataclass
@@ -59,31 +54,53 @@ class RunResult:
 def autorun(spark: SparkSession, df: DataFrame, *, target: str | None, task: str, time_column: str | None = None,
             models: list[str] | None = None, seed: int = P.RANDOM_SEED, test_size: float = P.TEST_SIZE,
             val_size: float = P.VAL_SIZE, top_k: int = P.TOP_MODELS, out_root: str | None = None,
-            run_id: str | None = None, approx: bool = False) -> RunResult:
+            run_id: str | None = None, approx: bool = False, params: dict[str, dict] | None = None,
+            source_path: str | None = None) -> RunResult:
+    """Run all stages; with ``out_root`` write every stage's outputs under ``<out_root>/<run_id>``.
+
+    ``params`` maps model names to parameters; ``source_path`` names the raw
+    input, which is then copied and hashed.
+    """
     if task in ("anomaly", "forecasting"):
         raise ValueError(f"task '{task}' has no algorithm in this library")
-    paths = sinks.init_run(spark, out_root, run_id or uuid.uuid4().hex[:12]) if out_root else {}
+    run_id = run_id or uuid.uuid4().hex[:12]
+    out = _Outputs(spark, out_root, run_id)
+    if out and source_path:
+        out.raw(source_path)
+    goal = target if task != M.CLUSTERING else None
     profile = materialize_small(PR.profile_columns(df, approx=approx))
-    quality = Q.audit(df, target if task != M.CLUSTERING else None, approx=approx)
+    out.reports("profile", profile=profile)
+    quality = Q.audit(df, goal, approx=approx)
+    out.reports("quality", issues=quality.issues, score=quality.score)
+    if out:
+        explored = {"summary": E.eda_summary(df), "histogram": E.histogram(df), "categories": E.category_frequencies(df),
+                    "correlations": E.correlations(df), "collinear": E.collinear_pairs(df), "skew": E.skew_insights(df)}
+        if goal:
+            explored["target_correlations"] = E.target_correlations(df, goal)
+        out.reports("eda", **explored)
     if task == "descriptive":
-        return RunResult(profile, quality, None, None, None, None, spark.createDataFrame([], "model_name string"), None, None, paths)
+        return RunResult(profile, quality, None, None, None, None, spark.createDataFrame([], "model_name string"), None, None, out.paths)
 
-    cm = C.fit_clean(df, target if task != M.CLUSTERING else None, approx=approx)
+    cm = C.fit_clean(df, goal, approx=approx)
     # the time column survives cleaning beside its parts; the key is a hash of the row's content, the same in every run
     source = df.withColumn("_time", F.col(q(time_column))) if time_column else df
     cleaned = cm.transform(source)
     cleaned = cut_lineage(cleaned.withColumn("_row_id", F.xxhash64(row_text(cleaned, cleaned.columns))))
     key = ["_row_id"]
     models = models or DEFAULT_MODELS[task]
+    params = params or {}
+    if out:
+        sinks.write_table(cleaned.drop("_row_id", "_time"), f"{out.paths['clean']}/table")
+        out.reports("clean", log=cm.log(spark))
 
     if task == M.CLUSTERING:
         enc = R.fit_encoder(cleaned.drop("_row_id"))
         encoded = cut_lineage(enc.transform(cleaned, keep=key))
         feats = enc.feature_names
-        rows = [M.leaderboard_row(M.train_and_evaluate(m, task, encoded, encoded, feats, None, key=key, seed=seed), task) for m in models]
-        board = _rank(rows, task, top_k)
-        _write(paths, spark, cleaned, None, board, None)
-        return RunResult(profile, quality, cm, None, None, enc, board, None, None, paths)
+        results = {m: M.train_and_evaluate(m, task, encoded, encoded, feats, None, key=key, seed=seed, params=params.get(m)) for m in models}
+        board = _rank([M.leaderboard_row(r, task) for r in results.values()], task, top_k)
+        out.models(results, board, enc, encoded)
+        return RunResult(profile, quality, cm, None, None, enc, board, None, None, out.paths)
 
     if time_column:
         parts = S.temporal_split(cleaned, target, "_time", test_size=test_size, val_size=val_size, tiebreak=key)
@@ -109,7 +126,7 @@ def autorun(spark: SparkSession, df: DataFrame, *, target: str | None, task: str
     va = encoded.where(F.col("split") == "val")
     te = encoded.where(F.col("split") == "test")
     rank_on = va if va.limit(1).count() > 0 else te
-    results = {m: M.train_and_evaluate(m, task, tr, rank_on, feats, target, key=key, seed=seed) for m in models}
+    results = {m: M.train_and_evaluate(m, task, tr, rank_on, feats, target, key=key, seed=seed, params=params.get(m)) for m in models}
     board = _rank([M.leaderboard_row(r, task) for r in results.values()], task, top_k)
     best = board.where(F.col("rank") == 1).first()["model_name"]
     final = M.evaluate(results[best], task, te)
@@ -118,8 +135,53 @@ def autorun(spark: SparkSession, df: DataFrame, *, target: str | None, task: str
     else:
         evaluation = final.metrics
     decision = V.stop_rule(evaluation, task)
-    _write(paths, spark, cleaned, parts, board, evaluation, quality=quality, profile=profile, leak=leak, plan=plan)
-    return RunResult(profile, quality, cm, leak, plan, enc, board, evaluation, decision, paths)
+    if out:
+        sinks.write_splits(parts, target, out.paths["splits"])
+        sinks.write_table(widened.drop("_row_id"), f"{out.paths['features']}/table", formats=("parquet",))
+        out.reports("features", plan=plan.log(spark))
+        out.models(results, board, enc, encoded)
+        out.reports("reports", leakage=leak, leakage_summary=G.leakage_summary(leak, len(feats_in)))
+        out.reports("evaluation", evaluation=evaluation, decision=decision)
+    return RunResult(profile, quality, cm, leak, plan, enc, board, evaluation, decision, out.paths)
+
+
+class _Outputs:
+    """Writers of one run and its ledger; false and silent without a folder."""
+
+    def __init__(self, spark: SparkSession, root: str | None, run_id: str):
+        self.spark, self.root = spark, root
+        self.paths = sinks.init_run(spark, root, run_id) if root else {}
+        self.ledger = Ledger(spark, root, run_id) if root else None
+
+    def __bool__(self) -> bool:
+        return self.ledger is not None
+
+    def raw(self, path: str) -> None:
+        copied = sinks.copy_raw(self.spark, path, self.paths["raw"])
+        self.ledger.add_artifact("raw", copied, "copy of the input")
+        self.reports("raw", hashes=file_hashes(self.spark, path))
+
+    def reports(self, stage: str, **tables: DataFrame) -> None:
+        if not self:
+            return
+        for name, rows in tables.items():
+            sinks.write_report(self.spark, name, rows, self.paths[stage])
+            self.ledger.add_artifact("report", f"{self.paths[stage]}/{name}", stage)
+        self.ledger.mark_phase_complete(stage)
+
+    def models(self, results: dict, board: DataFrame, encoder, encoded: DataFrame) -> None:
+        if not self:
+            return
+        where = self.paths["models"]
+        sinks.write_table(encoded.drop("_row_id"), f"{where}/ml_ready", formats=("parquet",))
+        encoder.save(f"{where}/encoder")
+        sinks.write_experiments(board, f"{where}/experiments")
+        for name, path in M.save_top_models(results, board, where).items():
+            self.ledger.add_artifact("model", path, name)
+        for row in board.collect():  # one row per model
+            values = {k: v for k, v in row.asDict().items() if isinstance(v, float)}
+            self.ledger.add_experiment(row["model_name"], row["model_name"], values, row["training_time"], row["rank"] == 1)
+        self.ledger.mark_phase_complete("models")
 
 
 def _rank(rows: list[DataFrame], task: str, top_k: int) -> DataFrame:
@@ -128,23 +190,3 @@ def _rank(rows: list[DataFrame], task: str, top_k: int) -> DataFrame:
         r_ = materialize_small(r_)
         out = r_ if out is None else out.unionByName(r_, allowMissingColumns=True)
     return materialize_small(V.rank_models(out, task, top_k))
-
-
-def _write(paths, spark, cleaned, parts, board, evaluation, **reports):
-    if not paths:
-        return
-    sinks.write_table(cleaned.drop("_row_id"), f"{paths['clean']}/table")
-    if parts is not None:
-        sinks.write_splits(parts.drop("_row_id"), None, paths["splits"])
-    sinks.write_experiments(board, f"{paths['models']}/experiments")
-    if evaluation is not None:
-        sinks.write_report(spark, "evaluation", evaluation, paths["evaluation"])
-    if reports.get("profile") is not None:
-        sinks.write_report(spark, "profile", reports["profile"], paths["profile"])
-    if reports.get("quality") is not None:
-        sinks.write_report(spark, "issues", reports["quality"].issues, paths["quality"])
-        sinks.write_report(spark, "score", reports["quality"].score, paths["quality"])
-    if reports.get("leak") is not None:
-        sinks.write_report(spark, "leakage", reports["leak"], paths["reports"])
-    if reports.get("plan") is not None:
-        sinks.write_report(spark, "features", reports["plan"].log(spark), paths["features"])

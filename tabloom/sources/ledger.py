@@ -13,6 +13,8 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .sinks import _fs
+
 KINDS = {
     "decisions": "run_id string, at timestamp, phase string, decision string, detail string",
     "experiments": "run_id string, at timestamp, experiment_id string, model_name string, metrics string, training_time double, is_best boolean",
@@ -45,10 +47,10 @@ class Ledger:
             self._append("phases", (phase,))
 
     def read(self, kind: str) -> DataFrame:
-        try:
-            df = self.spark.read.parquet(f"{self.root}/ledger/{kind}")
-        except Exception:  # noqa: BLE001 - nothing written yet
+        fs, path = _fs(self.spark, f"{self.root}/ledger/{kind}")
+        if not fs.exists(path):  # nothing written yet; any other failure is an error
             return self.spark.createDataFrame([], KINDS[kind])
+        df = self.spark.read.schema(KINDS[kind]).parquet(f"{self.root}/ledger/{kind}")
         df = df.where(F.col("run_id") == self.run_id)
         return df.dropDuplicates(["run_id", "phase"]) if kind == "phases" else df
 

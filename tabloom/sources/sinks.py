@@ -59,9 +59,14 @@ def write_table(df: DataFrame, path: str, *, formats=("parquet", "csv"), mode: s
             w.parquet(f"{path}/{f}")
 
 
-def write_splits(split_df: DataFrame, target: str, path: str, *, mode: str = "errorifexists") -> None:
-    """X and y per split, partitioned by split; an empty split writes nothing."""
-    split_df.write.mode(mode).partitionBy("split").parquet(f"{path}/data")
+def write_splits(split_df: DataFrame, target: str | None, path: str, *, mode: str = "errorifexists") -> None:
+    """Tables partitioned by split (S13): ``data``, and with a target ``X`` (without it) and ``y`` (only it),
+    both with the row key ``_row_id`` where there is one.  An empty split writes nothing."""
+    key = [c for c in ("_row_id",) if c in split_df.columns]
+    split_df.drop(*key).write.mode(mode).partitionBy("split").parquet(f"{path}/data")
+    if target:
+        split_df.drop(target).write.mode(mode).partitionBy("split").parquet(f"{path}/X")
+        split_df.select(*key, target, "split").write.mode(mode).partitionBy("split").parquet(f"{path}/y")
 
 
 def union_splits(*parts: DataFrame) -> DataFrame:

@@ -71,3 +71,16 @@ def test_ledger_and_layout(spark, tmp):
     assert led.completed_phases() == ["profile"]
     assert led.best_experiment().first()["model_name"] == "GaussianNB"
     assert led.artifacts_by_type("model").count() == 1
+
+
+def test_csv_quotes(spark, tmp_path):
+    from tabloom.sources.hashing import row_fingerprints
+
+    path = tmp_path / "q.csv"
+    path.write_text('id;note;x\n1;"say ""hi""; ok";1.5\n2;"two\nlines";2.5\n3;plain, text;3.5\n' + "4;z;4.5\n" * 40)
+    df = RD.read_csv(spark, str(path))
+    rows = {r["id"]: r for r in df.collect()}
+    assert df.columns == ["id", "note", "x"] and df.count() == 43
+    assert rows[1]["note"] == 'say "hi"; ok' and rows[2]["note"] == "two\nlines" and rows[3]["note"] == "plain, text"
+    same = spark.createDataFrame([("a", None, "b"), ("a", "b", None), ("a|b", "c", None), ("a", "b|c", None)], "x string, y string, z string")
+    assert row_fingerprints(same).select("row_hash").distinct().count() == 4
