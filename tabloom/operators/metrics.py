@@ -168,25 +168,14 @@ def _order(keys, cols):
 
 def rank_models(results: DataFrame, task: str, top_k: int = P.TOP_MODELS) -> DataFrame:
     """Leaderboard (V9): rank by the task's metric keys (a missing metric is
-    worst), keep the top ``max(1, k)``, with a reason sentence."""
+    worst), keep the top ``max(1, k)``; ``selection_reason`` lists the rank and the
+    metrics that decided it."""
     order = _order(_KEYS[task], results.columns) + [F.col("model_name").asc()]
     ranked = results.withColumn("rank", F.row_number().over(Window.orderBy(*order)))  # one row per model
     ranked = ranked.where(F.col("rank") <= max(1, top_k))
-    na = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("N/A")) if c in results.columns else F.lit("N/A")
-    if task == "regression":
-        primary = F.format_string("RMSE=%s, R²=%s", na("rmse"), na("r2"))
-    elif task == "clustering":
-        primary = F.format_string("Silhouette=%s, Clusters=%s", na("silhouette"), na("n_clusters"))
-    else:
-        primary = F.format_string("F1=%s, Accuracy=%s", na("f1"), na("accuracy"))
-    rk = F.col("rank")
-    reason = (
-        F.when(rk == 1, F.format_string("Rank 1: Best overall validation performance (%s) with stable generalization.", primary))
-        .when(rk == 2, F.format_string("Rank 2: Strong runner-up candidate (%s) with fast training convergence.", primary))
-        .when(rk == 3, F.format_string("Rank 3: Competitive baseline ensemble (%s) offering architectural diversity.", primary))
-        .otherwise(F.format_string("Rank %d: Solid alternative model architecture (%s).", rk, primary))
-    )
-    return ranked.withColumn("selection_reason", reason)
+    shown = [k for k, _ in _KEYS[task] if k in results.columns and k != "training_time"]
+    facts = [F.concat(F.lit(f"{k}="), F.coalesce(F.col(k).cast("string"), F.lit("none"))) for k in shown]
+    return ranked.withColumn("selection_reason", F.concat_ws(" ", F.concat(F.lit("rank="), F.col("rank").cast("string")), *facts))
 
 
 def notebook_leaderboard(results: DataFrame, task: str) -> DataFrame:

@@ -94,10 +94,10 @@ SELECT 'hidden_nulls_replaced' AS step, c AS col_name, 'placeholders' AS detail,
 UNION ALL SELECT 'hidden_nulls_replaced', c, 'placeholders_and_nulls', CAST(ph + nn AS BIGINT), NULL FROM hid WHERE ph + nn > 0
 UNION ALL SELECT 'deduplicated_rows', NULL, NULL, CAST((SELECT count(*) FROM c1) - (SELECT count(*) FROM c2) AS BIGINT), NULL
 UNION ALL SELECT 'dropped_rows', NULL, 'null target', CAST((SELECT count(*) FROM c2) - (SELECT count(*) FROM c3) AS BIGINT), NULL
-UNION ALL SELECT 'dropped_column', 'o_orderdate', 'Parsed into calendar attributes (raw datetime string dropped)', NULL, NULL
-UNION ALL SELECT 'dropped_column', 'o_sparse', 'High missingness (' || CAST(round(sparse_miss * 100.0 / n, 1) AS VARCHAR) || '%)', NULL, NULL FROM stats
-UNION ALL SELECT 'dropped_column', 'o_channel', 'Zero variance (constant column)', NULL, NULL
-UNION ALL SELECT 'dropped_column', 'o_clerk', 'High-cardinality identifier (' || CAST(clerk_d AS VARCHAR) || ' unique values)', NULL, NULL FROM stats
+UNION ALL SELECT 'dropped_column', 'o_orderdate', 'date_parts', NULL, NULL
+UNION ALL SELECT 'dropped_column', 'o_sparse', 'missing:' || CAST(round(sparse_miss * 100.0 / n, 1) AS VARCHAR), NULL, NULL FROM stats
+UNION ALL SELECT 'dropped_column', 'o_channel', 'constant', NULL, NULL
+UNION ALL SELECT 'dropped_column', 'o_clerk', 'identifier:' || CAST(clerk_d AS VARCHAR), NULL, NULL FROM stats
 UNION ALL SELECT 'imputation', 'o_totalprice', 'median', CAST(tp_miss AS BIGINT), {r('tp_med')} FROM stats
 UNION ALL SELECT 'imputation', 'o_orderpriority', 'mode=' || (SELECT v FROM md), CAST(pr_miss AS BIGINT), NULL FROM stats
 UNION ALL SELECT 'winsorized_lower', 'o_totalprice', NULL, CAST(clipped AS BIGINT), {r('lo')} FROM wb, wc WHERE clipped > 0

@@ -65,7 +65,7 @@ def test_rank_models(spark):
                                 "model_name string, rmse double, mae double, r2 double, training_time double")
     ranked = V.rank_models(res, "regression", top_k=2).orderBy("rank").collect()
     assert [r["model_name"] for r in ranked] == ["b", "a"]
-    assert ranked[0]["selection_reason"].startswith("Rank 1: Best overall")
+    assert ranked[0]["selection_reason"].startswith("rank=1 rmse=0.5 ")
 
 
 @pytest.fixture(scope="module")
