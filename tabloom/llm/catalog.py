@@ -31,4 +31,5 @@ def oracle_sql() -> dict[str, str]:
         "op1_decontaminate": decontaminate.ORACLE,
         "op5_fingerprints": fingerprints.op5_fingerprints,
         "op6_url_filter": url_filter.ORACLE,
+        "op7_ngram_join": ngram_join.ORACLE,
     }
