@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import base64
 import re
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,11 +34,11 @@ from pyspark.sql import functions as F
 from tabloom.llm.common import table
 
 #: Entries a task keeps of encoded chunks before it starts afresh.
-CACHE = 500_000
+CACHE = 300_000
 #: Bytes of text encoded at a time.
-SLICE_BYTES = 6 << 20
+SLICE_BYTES = 3 << 19
 #: Bytes of pieces in one recursive query.
-QUERY_BYTES = 1 << 20
+QUERY_BYTES = 1 << 18
 
 #: Runs of non-space with one space before them, and white space, as the pattern cuts them.
 _CHUNKS = re.compile(r" ?\S+|\s+(?!\S)|\s+")
@@ -163,29 +164,34 @@ class Codec:
         return out
 
     def _learn(self, chunks: set[str]) -> dict[str, bytes]:
-        """Ids of chunks that aren't in the cache."""
-        cut = {c: [p.encode("utf-8", "surrogatepass") for p in self.pattern.findall(c)] for c in chunks}
-        known: dict[bytes, bytes] = {}
-        todo = {p for own in cut.values() for p in own}
-        for p in list(todo):
-            if (rank := self.ranks.get(p)) is not None:
-                known[p] = np.int32(rank).tobytes()
-                todo.discard(p)
-        short = [p for p in todo if len(p) <= LONG_PIECE]
-        long = [p for p in todo if len(p) > LONG_PIECE]
-        known.update(zip(short, self._merge(short, _SHORT), strict=True))
-        known.update(zip(long, self._merge(long, _LONG), strict=True))
-        return {c: b"".join([known[p] for p in own]) for c, own in cut.items()}
+        """Ids of chunks that aren't in the cache; pieces in the cache (as chunks of their own) aren't merged again."""
+        cut = {c: self.pattern.findall(c) for c in chunks}
+        known: dict[str, bytes] = {}
+        short: dict[str, bytes] = {}
+        long: dict[str, bytes] = {}
+        for p in set().union(*cut.values()):
+            if (ids := self.cache.get(p)) is not None:
+                known[p] = ids
+                continue
+            data = p.encode("utf-8", "surrogatepass")
+            if (rank := self.ranks.get(data)) is not None:
+                known[p] = rank.to_bytes(4, sys.byteorder)
+            else:
+                (short if len(data) <= LONG_PIECE else long)[p] = data
+        known.update(zip(short, self._merge(list(short.values()), _SHORT), strict=True))
+        known.update(zip(long, self._merge(list(long.values()), _LONG), strict=True))
+        return {c: known[own[0]] if len(own) == 1 else b"".join([known[p] for p in own]) for c, own in cut.items()}
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as int32 bytes."""
         cut = [
             [] if not t else _CHUNKS.findall(t) if not _ODD_SPACE.search(t) else self.pattern.findall(t) for t in texts
         ]
-        if len(self.cache) > CACHE:
-            self.cache.clear()
+        used = set().union(*cut)
+        if len(self.cache) > CACHE:  # keep what is in use
+            self.cache = {c: self.cache[c] for c in used if c in self.cache}
         cache = self.cache
-        new = self._learn(set().union(*cut).difference(cache))
+        new = self._learn(used.difference(cache))
         cache.update(new)
         out = [b"".join(map(cache.__getitem__, own)) for own in cut]
         for c in [c for c in new if len(c) > 48]:
@@ -207,9 +213,6 @@ class Codec:
 
     def decode(self, ids: pa.ListArray) -> list[bytes]:
         """Bytes of each list of ids."""
-        if len(self.decoded) > CACHE:
-            self.decoded.clear()
-        known = self.decoded
         values = ids.values.to_numpy(zero_copy_only=False).astype(np.int32, copy=False)
         ends = ids.offsets.to_numpy()
         if ends[-1] == ends[0]:
@@ -219,7 +222,11 @@ class Codec:
         starts = starts[(starts >= ends[0]) & (starts < ends[-1])]
         cuts = (4 * np.append(starts, ends[-1])).tolist()
         runs = [raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
-        new = list(set(runs).difference(known))
+        used = set(runs)
+        if len(self.decoded) > CACHE:
+            self.decoded = {r: self.decoded[r] for r in used if r in self.decoded}
+        known = self.decoded
+        new = list(used.difference(known))
         known.update(zip(new, self._decode_runs(new), strict=True))
         first = np.searchsorted(starts, ends).tolist()
         out = [b"".join(map(known.__getitem__, runs[a:b])) for a, b in zip(first, first[1:], strict=False)]
