@@ -56,7 +56,9 @@ class FeaturePlan:
         return spark.createDataFrame(rows, "name string, type string, source string, retained boolean")
 
 
-def fit_features(x_train: DataFrame, *, max_new_features: int = P.MAX_NEW_FEATURES) -> FeaturePlan:
+def fit_features(x_train: DataFrame, *, max_new_features: int = P.MAX_NEW_FEATURES, pair_columns: list[str] | None = None,
+                 max_pair_columns: int | None = P.PAIR_MAX_COLUMNS) -> FeaturePlan:
+    """``pair_columns`` names the columns to pair; by default the first ``max_pair_columns`` numeric ones (None: all)."""
     d = normalize_missing(x_train)
     nums = columns_of(d, NUMERIC)
     plan = FeaturePlan(max_new_features=max_new_features)
@@ -66,8 +68,8 @@ def fit_features(x_train: DataFrame, *, max_new_features: int = P.MAX_NEW_FEATUR
             s = m[c]
             if (s["n"] or 0) > P.LOG_MIN_VALUES and s["min"] >= 0 and (s["std"] or 0) > 0 and s["skew"] is not None and s["skew"] > P.LOG_MIN_SKEW:
                 plan.log_columns.append(c)
-    if len(nums) >= 2:
-        plan.pair_columns = nums[: P.PAIR_MAX_COLUMNS]
+    if pair_columns or len(nums) >= 2:
+        plan.pair_columns = pair_columns or nums[:max_pair_columns]
     plan.date_columns = columns_of(d, DATETIME)
     return plan
 

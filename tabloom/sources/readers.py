@@ -53,14 +53,12 @@ def register(extensions: list[str], reader: Reader) -> None:
 
 
 def balanced(df: DataFrame) -> DataFrame:
-    """Spread an unsplittable input (one file / one row group) over all cores.
+    """Spread an input that is read by a single task (one file, one row group) over all cores.
 
-    Only when the scan yields fewer partitions than the default parallelism;
-    a large multi-file input is returned unchanged (no extra shuffle).
+    Any larger input is returned unchanged, without a shuffle.
     """
-    want = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < want:
-        return df.repartition(want)
+    if df.rdd.getNumPartitions() == 1:
+        return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
     return df
 
 
