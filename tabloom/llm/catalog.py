@@ -29,7 +29,6 @@ def queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_decontaminate": decontaminate.ORACLE,
-        "op5_fingerprints": fingerprints.op5_fingerprints,
         "op6_url_filter": url_filter.ORACLE,
         "op7_ngram_join": ngram_join.ORACLE,
     }
