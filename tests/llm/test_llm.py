@@ -414,3 +414,10 @@ def test_pipeline(spark, tmp_path):
     )
     for r in docs.select("doc_id", "text", "token_ids", "n_tokens").collect():
         assert r.text == kept["pii"][r.doc_id] and list(r.token_ids) == library.encode_ordinary(r.text) and r.n_tokens == len(r.token_ids)
+
+
+def test_catalog():
+    from tabloom.llm import catalog
+
+    assert all(callable(q) for q in catalog.queries().values()) and len(catalog.queries()) == 10
+    assert all(isinstance(sql, str) and name in catalog.queries() for name, sql in catalog.oracle_sql().items())
