@@ -1,7 +1,7 @@
 """Training-data pipeline over ``documents``: STAGES in order, each written and read again.
 
 1. ``language_id``: documents without a letter, or without a language that
-   at least half of the words are in, go.
+   a quarter of the words are in, go; documents in two or three languages stay.
 2. ``ngram_join``: of each group of near copies the document with the least
    id stays.
 3. ``decontaminate``: documents contaminated by benchmark passages go.
@@ -20,7 +20,7 @@ from tabloom.llm import byte_bpe, decontaminate, language_id, ngram_join, pii
 from tabloom.llm.common import held_out, table, written
 
 #: Least share of the main language.
-LANGUAGE_SHARE = 0.5
+LANGUAGE_SHARE = 0.25
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
