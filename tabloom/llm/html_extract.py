@@ -7,7 +7,8 @@ longest common subsequence, and lines shared with the paired page are
 deleted: menus, notices and footers repeat from page to page, articles
 don't.  Markup that names its purpose decides before that: what stands in
 navigation, header, footer, sidebar, advert, form, script, style or
-comment elements (by tag, role, class or id) is never text, and lines
+comment elements (by tag, role, class or id) is not text, unless such an
+element is a wrapper round the article or most of the page; and lines
 inside an ``article`` or ``main`` element are kept even if shared, since a
 quoted passage is part of the article; where a page has such elements,
 only they count.  If more than half of either page's remaining text is
@@ -54,30 +55,42 @@ _ASIDE_WORDS = set(
     " toolbar skip hidden".split()
 )
 _ASIDE_ROLES = set("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar form".split())
+#: Words among them that name text by others or for sale, which may well be longer than the article.
+_FOREIGN_WORDS = set(
+    "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr comment comments commentlist"
+    " disqus reply replies respond related recommended".split()
+)
+#: Elements set aside by tag that may hold an article, if only for want of an end tag.
+_ASIDE_TAGS = set("nav footer aside header menu dialog".split())
 _CUT = re.compile(r"[^a-z0-9]+")
 _SPACE = re.compile(r"\s+")
 
 KEPT, ARTICLE, SKIPPED = 0, 1, 2
+BY_TAG, BY_LAYOUT, FOREIGN = 0, 1, 2
+
+#: Zone, elements set aside around it, and how many of these are outside the innermost article.
+_State = tuple[int, tuple[int, ...], int]
 
 
 class _Blocks(HTMLParser):
-    """Collects (zone, text) of a page's blocks."""
+    """Collects (state, text) of a page's blocks, with those in elements set aside."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, int]] = []
-        self.blocks: list[tuple[int, str]] = []
+        self.open: list[tuple[str, _State]] = []
+        self.blocks: list[tuple[_State, str]] = []
         self.parts: list[str] = []
+        self.aside: list[int] = []  # why each element is set aside
 
     @property
-    def zone(self) -> int:
-        return self.open[-1][1] if self.open else KEPT
+    def state(self) -> _State:
+        return self.open[-1][1] if self.open else (KEPT, (), 0)
 
     def cut(self) -> None:
         if self.parts:
             text = _SPACE.sub(" ", "".join(self.parts)).strip()
             if text:
-                self.blocks.append((self.zone, text))
+                self.blocks.append((self.state, text))
             self.parts = []
 
     def handle_starttag(self, tag, attrs):
@@ -87,22 +100,41 @@ class _Blocks(HTMLParser):
             self.parts.append(" ")
         if tag in _VOID:
             return
+        if tag == "body":
+            self._close({"head"}, set())
         if tag in _ALONE:
             self._close(_ALONE[tag], {"table", "ul", "ol", "dl", "div", "section", "article", "main", "body", "blockquote", "nav", "aside", "footer", "header", "form"})
-        zone = self.zone
+        zone, around, outer = self.state
         if zone != SKIPPED:
             named = {k: (v or "").lower() for k, v in attrs}
             words = set(_CUT.split(named.get("class", "") + " " + named.get("id", "")))
-            if (
-                tag in _SKIP or tag == "header" and zone != ARTICLE or named.get("role") in _ASIDE_ROLES or "hidden" in named
-                or named.get("aria-hidden") == "true" or tag not in ("html", "body", "article", "main") and words & _ASIDE_WORDS
-                or tag == "article" and words & {"comment", "comments", "reply", "ad", "related"}
-            ):
+            why = self._why(tag, named, words, zone)
+            if tag in _SKIP and tag not in _ASIDE_TAGS and tag != "form" or "hidden" in named or named.get("aria-hidden") == "true":
                 self.cut()
                 zone = SKIPPED
+            elif why is not None:
+                self.cut()
+                around = (*around, len(self.aside))
+                self.aside.append(why)
             elif tag in ("article", "main") or named.get("role") == "main":
-                zone = ARTICLE
-        self.open.append((tag, zone))
+                if around[outer:] or zone != ARTICLE:
+                    self.cut()
+                zone, outer = ARTICLE, len(around)
+        self.open.append((tag, (zone, around, outer)))
+
+    @staticmethod
+    def _why(tag, named, words, zone):
+        """Why the element is set aside, if it is."""
+        if tag == "article" and words & {"comment", "comments", "reply", "ad", "related"}:
+            return FOREIGN
+        if tag in _ASIDE_TAGS and (tag != "header" or zone != ARTICLE) or named.get("role") in _ASIDE_ROLES and named.get("role") != "form":
+            return BY_TAG
+        found = words & _ASIDE_WORDS if tag not in ("html", "body", "article", "main") and named.get("role") != "main" else set()
+        if zone == ARTICLE:
+            found -= {"header"}
+        if found & _FOREIGN_WORDS:
+            return FOREIGN
+        return BY_LAYOUT if found or tag == "form" or named.get("role") == "form" else None
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -112,7 +144,7 @@ class _Blocks(HTMLParser):
     def handle_endtag(self, tag):
         for i in range(len(self.open) - 1, -1, -1):
             if self.open[i][0] == tag:
-                if tag not in _INLINE or any(t not in _INLINE or z != self.zone for t, z in self.open[i:]):
+                if tag not in _INLINE or any(t not in _INLINE or z != self.state for t, z in self.open[i:]):
                     self.cut()
                 del self.open[i:]
                 return
@@ -128,19 +160,40 @@ class _Blocks(HTMLParser):
                 return
 
     def handle_data(self, data):
-        if self.zone != SKIPPED:
+        if self.state[0] != SKIPPED:
             self.parts.append(data)
 
 
 def page_blocks(html: str | None) -> list[tuple[int, str]]:
-    """(zone, text) of a page's blocks in order; skipped elements give none."""
+    """(zone, text) of a page's blocks in order: those of its articles, if it has any.
+
+    Blocks in elements set aside don't count, unless such an element is
+    only a wrapper: one that holds more than half of the text (not for
+    those that name text by others, and for those set aside by tag or role
+    only if it holds articles), or without which nothing would be left.
+    """
     if not html:
         return []
     parser = _Blocks()
     parser.feed(html)
     parser.close()
     parser.cut()
-    return parser.blocks
+    pool = [b for b in parser.blocks if b[0][0] == ARTICLE] or parser.blocks
+    total = sum(len(text) for _, text in pool)
+    held: dict[int, int] = {}
+    wraps: set[int] = set()
+    for (_, around, outer), text in pool:
+        for k in around:
+            held[k] = held.get(k, 0) + len(text)
+        wraps.update(around[:outer])
+    why = parser.aside
+    lifted = {k for k, size in held.items() if 2 * size > total and (why[k] == BY_LAYOUT or why[k] == BY_TAG and k in wraps)}
+    for more in (set(), wraps, {k for k in held if why[k] != BY_TAG}):
+        lifted |= more
+        left = [(zone, text) for (zone, around, _), text in pool if lifted.issuperset(around)]
+        if left:
+            return left
+    return []
 
 
 def candidates(html: str | None) -> tuple[list[str], list[bool]]:

@@ -370,6 +370,25 @@ def test_html_extract(spark):
     assert [r.text for r in got[31]] == ["", ""] and got[30][0].text == "" and got[32][0].text == "alone" and got[33][0].text == "ac d <e>"
 
 
+@pytest.mark.parametrize("html, want", [
+    ("<div class='has-sidebar'><article><p>The text</p></article></div>", ["The text"]),
+    ("<div id='page' class='header-fixed'><div><main>The text</main></div></div>", ["The text"]),
+    ("<form action='/'><div class='menu'>Home</div><article>The text</article></form>", ["The text"]),
+    ("<nav><ul><li>Home</ul><article>The text</article>", ["The text"]),
+    ("<head><title>T</title><body><p>The text", ["The text"]),
+    ("<article><div class='entry-header'><h1>Title</h1></div><p>The text</p><div class='share'>Tell</div></article>", ["Title", "The text"]),
+    ("<div class='page-header'><p>A long text of the page</p><p>and more</p></div><p>Short</p>", ["A long text of the page", "and more", "Short"]),
+    ("<form><p>A long text of the page</p></form><p>Short</p>", ["A long text of the page", "Short"]),
+    ("<div class='no-comments'><p>The text</p></div>", ["The text"]),
+    ("<article>The text</article><aside><article>Teaser</article></aside><div class='related'><article>Another, which is longer</article></div>", ["The text"]),
+    ("<article>Text<div class='comments'>A comment that is much longer than the text</div></article>", ["Text"]),
+    ("<div class='menu'>Home News</div><p>The text of a page</p><script>x</script><div hidden><article>Gone</article></div>", ["The text of a page"]),
+    ("<nav>Home and nothing else</nav>", []),
+])
+def test_html_wrappers(html, want):
+    assert html_extract.candidates(html)[0] == want
+
+
 @pytest.mark.parametrize("seed", range(20))
 def test_common_lines(seed):
     rng = random.Random(seed)
