@@ -8,18 +8,21 @@ deleted: menus, notices and footers repeat from page to page, articles
 don't.  Markup that names its purpose decides before that: what stands in
 navigation, header, footer, sidebar, advert, form, script, style or
 comment elements (by tag, role, class or id) is not text, unless such an
-element is a wrapper round the article or most of the page; and lines
-inside an ``article`` or ``main`` element are kept even if shared, since a
-quoted passage is part of the article; where a page has such elements,
-only they count.  If more than half of either page's remaining text is
-shared, the pages are copies and nothing is deleted.
+element is a wrapper round the article or most of the page.  Where a page
+has ``article`` or ``main`` elements, only they count, and of the shared
+lines only those go that the host repeats, on three different pages at
+least and on half of them, unless they are more than half of the article:
+a passage quoted by two articles stays.  On other pages all shared lines
+go; but if without the host's repeating lines more than half of either
+page is shared, the pages are near copies, and only the repeating lines go.
 
 Pairing uses a range-partitioned sort of (host, path), so a host with a
 third of all pages is spread over many tasks; only line hashes are
 shuffled, and of the deletions only those that change a page's text.
 
 Defined results: null or empty html gives an empty text; a page alone in
-its host has no pair and loses nothing by differencing; equal rows are
+its host has no pair and loses nothing by differencing, nor does a page
+whose pair has the same lines; equal rows are
 extracted alike and all returned; urls without ``://`` share the empty
 host.
 """
@@ -65,6 +68,9 @@ _ASIDE_TAGS = set("nav footer aside header menu dialog".split())
 _CUT = re.compile(r"[^a-z0-9]+")
 _SPACE = re.compile(r"\s+")
 
+#: Least number of different pages of a host with a repeating line.
+PAGES = 3
+
 KEPT, ARTICLE, SKIPPED = 0, 1, 2
 BY_TAG, BY_LAYOUT, FOREIGN = 0, 1, 2
 
@@ -243,12 +249,37 @@ def _line_table(pages: DataFrame) -> DataFrame:
     return with_python_columns(pages, ["html"], {"lines": "array<long>", "sizes": "array<int>", "article": "array<boolean>"}, make, drop=("html",))
 
 
-def lost_lines(lines: list[int], sizes: list[int], article: list[bool], other: list[int]) -> list[int]:
-    """Positions of the lines that a page loses to its pair."""
+def _rest(lines: list[int], sizes: list[int], repeated: set[int]) -> int:
+    """Size of the lines that don't repeat over the host."""
+    return sum(n for x, n in zip(lines, sizes, strict=True) if x not in repeated)
+
+
+def lost_lines(lines: list[int], sizes: list[int], article: list[bool], other: list[int], other_sizes: list[int], repeated: list[int] | None) -> list[int]:
+    """Positions of the lines that a page loses to its pair; ``repeated`` are the host's repeating lines."""
+    if lines == other:
+        return []  # equal pages
     same = common_lines(lines, other)
-    if 2 * sum(sizes[i] for i in same) > sum(sizes) or 2 * len(same) > len(other):
-        return []  # copies
-    return [i for i in same if not article[i]]
+    often = set(repeated or ())
+    again = [i for i in same if lines[i] in often]
+    if any(article):
+        # a line of an article goes only if the host repeats it, and if the article isn't mostly such lines (copies of one article)
+        return again if 2 * sum(sizes[i] for i in again) <= sum(sizes) else []
+    own = sum(sizes[i] for i in same if lines[i] not in often)
+    copies = 2 * own > min(_rest(lines, sizes, often), _rest(other, other_sizes, often))
+    return again if copies else same
+
+
+def repeating_lines(lines: DataFrame) -> DataFrame:
+    """(host, repeated): lines on at least ``PAGES`` different pages of the host, and on half of them or more.
+
+    A host's list is short: its lines are at most twice those of its average page.
+    """
+    pages = lines.select("host", F.array_distinct("lines").alias("held"), F.xxhash64("lines").alias("page")).where(F.size("held") > 0)
+    pages = pages.dropDuplicates(["host", "page"])
+    total = pages.groupBy("host").agg(F.count("*").alias("n")).where(F.col("n") >= PAGES)
+    count = pages.select("host", F.explode("held").alias("line")).groupBy("host", "line").agg(F.count("*").alias("c")).where(F.col("c") >= PAGES)
+    often = count.join(total, "host").where("2 * c >= n")
+    return often.groupBy("host").agg(F.collect_list("line").alias("repeated"))
 
 
 def shared_lines(pages: DataFrame) -> DataFrame:
@@ -259,9 +290,12 @@ def shared_lines(pages: DataFrame) -> DataFrame:
     away = lambda side: F.when(fits(side), F.levenshtein(F.col("path"), F.col(f"{side}.path")))
     mate = F.when(away("after").isNull() | (away("before") < away("after")), F.when(fits("before"), F.col("before.k"))).otherwise(F.col("after.k"))
     pairs = near.select("k", mate.alias("mate")).where("mate IS NOT NULL")
-    other = lines.select(F.col("k").alias("mate"), F.col("lines").alias("other"))
-    both = lines.join(pairs, "k").join(other, "mate").select("k", "lines", "sizes", "article", "other")
-    inputs = ["lines", "sizes", "article", "other"]
+    other = lines.select(F.col("k").alias("mate"), F.col("lines").alias("other"), F.col("sizes").alias("other_sizes"))
+    often = written(repeating_lines(lines), "repeating")
+    size = often.agg(F.sum(64 + F.length("host") + 8 * F.size("repeated"))).first()[0] or 0
+    both = lines.join(pairs, "k").join(other, "mate").join(F.broadcast(often) if size <= BROADCAST_BYTES else often, "host", "left")
+    inputs = ["lines", "sizes", "article", "other", "other_sizes", "repeated"]
+    both = both.select("k", *inputs)
     found = with_python_columns(both, inputs, {"drop": "array<int>"}, lambda: lambda *cols: [list(map(lost_lines, *cols))], drop=tuple(inputs))
     return found.where(F.size("drop") > 0)
 

@@ -389,6 +389,27 @@ def test_html_wrappers(html, want):
     assert html_extract.candidates(html)[0] == want
 
 
+def test_html_differencing(spark):
+    """Notices inside articles, menus longer than the text, and near copies."""
+    menu = "".join(f"<div>{w} of this large site with a long name</div>" for w in ("News", "Sport", "Weather"))
+    words = ["amber", "birch", "cedar", "dune", "elm", "fern"]
+    story = lambda k: f"<p>The {words[k]} story is told here at some length by its writer.</p><p>It ends with {words[k]} and that is all there is to say.</p>"
+    lines = lambda k: [f"The {words[k]} story is told here at some length by its writer.", f"It ends with {words[k]} and that is all there is to say."]
+    pages = [(k, f"http://a.org/{k}", f"<article>{story(k)}<p>Read our app.</p></article>") for k in range(6)]
+    pages += [(10 + k, f"http://b.org/{k}", menu + story(k)) for k in range(6)]
+    pages += [(20 + k, f"http://c.org/{k}", f"<article>{story(0 if k < 2 else k)}<p>Only {k}</p></article>") for k in range(6)]
+    pages += [(30 + k, f"http://d.org/{k}", f"<p>{'Copied text. ' * 20}</p><p>Changed {k}</p>") for k in range(2)]
+    pages += [(40 + k, f"http://e.org/{k}", "<div>Home</div><div>News</div><div>Notice</div>" + story(k)) for k in range(2)]
+    got = rows_of(html_extract.extract_text(spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3)), "page_id")
+    for k in range(6):
+        assert got[k][0].text.split("\n") == lines(k)
+        assert got[10 + k][0].text.split("\n") == lines(k)
+        assert got[20 + k][0].text.split("\n") == [*lines(0 if k < 2 else k), f"Only {k}"]
+    for k in range(2):
+        assert got[30 + k][0].text.endswith(f"Copied text.\nChanged {k}")
+        assert got[40 + k][0].text.split("\n") == lines(k)
+
+
 @pytest.mark.parametrize("seed", range(20))
 def test_common_lines(seed):
     rng = random.Random(seed)
