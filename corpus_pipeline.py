@@ -1,7 +1,8 @@
 """Training-data pipeline over ``documents``: STAGES in order, each written and read again.
 
-1. ``language_id``: documents without a letter, or without a language that
-   a quarter of the words are in, go; documents in two or three languages stay.
+1. ``language_id``: documents without a letter go, and those whose text is far
+   less likely in the languages found than the training rows are (unlearned
+   languages, gibberish); documents in two or more learned languages stay.
 2. ``ngram_join``: of each group of near copies the document with the least
    id stays.
 3. ``decontaminate``: documents contaminated by benchmark passages go.
@@ -19,14 +20,11 @@ from pyspark.sql import functions as F
 from tabloom.llm import byte_bpe, decontaminate, language_id, ngram_join, pii
 from tabloom.llm.common import held_out, table, written
 
-#: Least share of the main language.
-LANGUAGE_SHARE = 0.25
-
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = language_id.learn(docs.where(~held_out(F.col("doc_id"))))
-    found = language_id.predict(docs, model, names=("_lang", "_share", "_shares"))
-    return found.where((F.col("_lang") != language_id.UNKNOWN) & (F.col("_share") >= LANGUAGE_SHARE)).select(*docs.columns)
+    found = language_id.predict(docs, model, names=("_lang", "_share", "_shares"), evidence_col="_evidence")
+    return found.where((F.col("_lang") != language_id.UNKNOWN) & (F.col("_evidence") >= 0)).select(*docs.columns)
 
 
 def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

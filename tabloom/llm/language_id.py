@@ -13,6 +13,10 @@ log-likelihood, less ``penalty`` x log(words) for each language, does not
 fall.  The prediction is the language with the largest share (ties: the
 first name), the score that share.
 
+The shares are relative and say nothing of text in no learned language; for
+that, ``evidence`` holds the text's likelihood against that of the training
+rows in the same languages.
+
 Whole texts are used; a task works on slices of a few MB, a longer text is
 a slice of its own.  No text is shuffled.
 
@@ -44,6 +48,10 @@ PENALTY = 1.0
 STEPS = 8
 SLICE_BYTES = 1 << 20
 UNKNOWN = "und"
+#: A text is foreign if its trigrams are on average this much (natural logarithm) less likely than the training rows' own ...
+FOREIGN = 3.0
+#: ... and, as few trigrams say little, by so many standard errors more (overlapping trigrams count a third).
+ERRORS = 2.0
 
 
 def _letters(off: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -71,6 +79,10 @@ class Model:
         self.buckets = counts.shape[0]
         p = counts + SMOOTHING
         self.log_p = np.log(p / p.sum(axis=0)).astype(np.float32)
+        n = np.maximum(counts.sum(axis=0), 1)
+        #: Mean and variance of the training trigrams' log-probabilities in each language.
+        self.mean = (counts * self.log_p).sum(axis=0) / n
+        self.var = (counts * (self.log_p - self.mean) ** 2).sum(axis=0) / n
 
     def words(self, off: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Tempered log-likelihoods of the slice's words (words x languages) and the row of each word."""
@@ -120,6 +132,23 @@ class Model:
         out[live] = pi
         return out
 
+    def evidence(self, off: np.ndarray, data: np.ndarray, pi: np.ndarray) -> np.ndarray:
+        """Log-likelihood per trigram of each row under its shares ``pi``, less the least of a text in these languages.
+
+        Negative values are foreign; the number of languages doesn't matter.  Rows without words: 0.
+        """
+        x, starts = _letters(off, data)
+        at, bucket = _trigrams(x, self.buckets)
+        row = np.searchsorted(starts, at, side="right") - 1
+        total = np.zeros(len(off) - 1)
+        for lo in range(0, len(at), 1 << 16):
+            own = row[lo: lo + (1 << 16)]
+            lik = (np.exp(self.log_p[bucket[lo: lo + (1 << 16)]], dtype=np.float64) * pi[own]).sum(axis=1)
+            total += np.bincount(own, np.log(np.maximum(lik, 1e-300)), len(total))
+        n = np.bincount(row, minlength=len(total))
+        least = pi @ self.mean - FOREIGN - ERRORS * np.sqrt(3 * (pi @ self.var) / np.maximum(n, 1))
+        return np.where(n > 0, total / np.maximum(n, 1) - least, 0.0)
+
 
 def _mixture(lik, first, n, pi):
     """EM over the words of consecutive rows; the shares and the rows' log-likelihoods."""
@@ -177,29 +206,39 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Mo
 
 
 def predict(
-    docs: DataFrame, model: Model | None, text_col: str = "text", names: tuple[str, str, str] = ("lang_pred", "score", "lang_shares")
+    docs: DataFrame, model: Model | None, text_col: str = "text", names: tuple[str, str, str] = ("lang_pred", "score", "lang_shares"),
+    evidence_col: str | None = None,
 ) -> DataFrame:
-    """``docs`` with language, score and the shares of the chosen languages, in columns called ``names``."""
+    """``docs`` with language, score and the shares of the chosen languages, in columns called ``names``.
+
+    ``evidence_col`` names a column for the evidence that the text is in these languages at all (``Model.evidence``).
+    """
+    if evidence_col:
+        names = (*names, evidence_col)
     keep = [c for c in docs.columns if c not in names]
     letter = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
     given = docs.withColumn("_lower", F.when(letter, F.lower(F.col(text_col))))
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    kinds = zip(names, ("string", "double", "map<string,double>"), strict=True)
+    kinds = zip(names, ("string", "double", "map<string,double>", "double")[: len(names)], strict=True)
     schema = docs.select(*keep, *(F.lit(None).cast(k).alias(c) for c, k in kinds)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
         for batch in batches:
-            lang, score, shares = [], [], []
+            lang, score, shares, evidence = [], [], [], []
             for lo, hi, off, data in utf8_slices(batch.column("_lower"), SLICE_BYTES):
                 pi = own.shares(off, data) if own else np.zeros((hi - lo, 1))
                 best = pi.argmax(axis=1)
+                if evidence_col:
+                    evidence += own.evidence(off, data, pi).tolist() if own else [0.0] * (hi - lo)
                 for p, b in zip(pi, best, strict=True):
                     found = p[b] > 0
                     lang.append(own.languages[b] if found else UNKNOWN)
                     score.append(min(1.0, float(p[b])))
                     shares.append([(own.languages[k], float(p[k])) for k in np.flatnonzero(p)] if found else [])
             made = [pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(shares, pa.map_(pa.string(), pa.float64()))]
+            if evidence_col:
+                made.append(pa.array(evidence, pa.float64()))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *made], names=[*keep, *names])
 
     return given.mapInArrow(run, schema)

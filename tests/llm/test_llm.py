@@ -192,6 +192,27 @@ def test_language_mixture():
     assert rng is not None
 
 
+def test_language_stage(spark):
+    """Texts in no learned language leave, whatever their relative shares; those in two learned languages stay."""
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    by_lang = {r[0]: r[1] for r in docs.groupBy("lang").agg(F.max("text")).collect()}
+    rng = random.Random(5)
+    foreign = [
+        "Suomen kansallinen kirjasto on avoinna joka päivä ja siellä voi lukea vanhoja kirjoja",
+        "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw",
+        "Все люди рождаются свободными и равными в своем достоинстве и правах",
+        " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(60)),
+        "Ã¤Ã¶Ã¼ÃŸ â€œÃ©â€ Ã¨Ã  Â§Â°Ã§ Ð¿Ñ€Ð¸Ð²ÐµÑ‚ " * 9,
+    ]
+    mixed = " ".join(t[:3000] for t in by_lang.values())
+    odd = [(8000 + k, t, None, None, None) for k, t in enumerate([*foreign, mixed])]
+    given = docs.unionByName(spark.createDataFrame(odd, DOCS).select(*(F.col(c).cast(docs.schema[c].dataType) for c in docs.columns)))
+    kept = {r[0] for r in corpus_pipeline.language_stage(spark, given, SF).select("doc_id").collect()}
+    assert kept == {r[0] for r in docs.select("doc_id").collect()} | {8000 + len(foreign)}
+
+
 def test_byte_bpe(spark, folder, texts):
     import tiktoken
 
