@@ -5,16 +5,17 @@ and non-overlapping per kind, by Java regular expressions that are
 equivalent to the plain ones but can't run in squared time (no start
 inside a run that has already failed, possessive repeats).
 
-Every base value is a protected entity.  Terms (words) within ``REACH``
-characters of it are its contexts.  Over the whole corpus, with N documents
-and the numbers of documents that hold the entity, the term, and both
-together, a term's disclosure is the share of the entity's information it
-reveals: PMI(entity; term) / IC(entity) = log(N n_et / (n_e n_t)) /
-log(N / n_e), which is 1 when the term occurs with the entity only.  A
-term seen with the entity in at least ``SUPPORT`` different contexts (so
-that copies of one passage don't count as evidence) is generalised from
-``GENERALISE`` on and removed from ``REMOVE`` on, wherever it stands near
-that entity.
+Every base value is a protected entity; the words of every text that holds
+it, wherever they stand, are its terms.  Over the whole corpus, with N
+different texts and the numbers of them that hold the entity, the term, and
+both together, a term's disclosure is the share of the entity's information
+it reveals: PMI(entity; term) / IC(entity) = log(p N / n_e) / log(N / n_e)
+with p = n_et / n_t, which is 1 when the term occurs with the entity only.
+For p stands the lower end of its confidence interval (Wilson, one-sided 90
+per cent), so terms seen once or twice count, but for less; equal texts are
+one, so that copies are no evidence.  A term is generalised from
+``GENERALISE`` on and removed from ``REMOVE`` on, wherever it stands in a
+text with that entity.
 
 All of it is DataFrame expressions.  Texts aren't shuffled for the spans;
 counts are combined in each task before the shuffle.
@@ -26,10 +27,10 @@ returned.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tabloom.llm.common import row_key, table, written
+from tabloom.llm.common import BROADCAST_BYTES, row_key, table, written
 
 #: Kinds in the order of ties.
 KINDS = ["email", "ip", "card", "phone", "term"]
@@ -40,8 +41,8 @@ _CARD = r"[0-9](?:[\x20-]?[0-9])++"
 _PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 _WORD = r"[\p{L}\p{M}\p{N}]+"
 
-REACH = 64
-SUPPORT = 3
+#: Normal quantile of the one-sided confidence.
+Z = 1.2816
 GENERALISE = 0.6
 REMOVE = 0.9
 
@@ -122,58 +123,58 @@ def _covered(text: Column, spans: Column, fill) -> Column:
     )
 
 
-def _contexts(base: DataFrame, text_col: str) -> DataFrame:
-    """Adds _near: array of (entity, window, term, start, stop) for the words around each base span."""
+def _entities(base: Column) -> Column:
+    return F.array_distinct(F.transform(base, lambda b: F.xxhash64(b["kind"], F.lower(b["value"]))))
+
+
+def _held(docs: DataFrame, text_col: str) -> DataFrame:
+    """Adds _hash (of the text) and, for texts with a base span, _blank: the text with spaces for the base spans."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    blank = F.when(F.size("base") > 0, _covered(text, F.col("base"), lambda s, at: F.repeat(F.lit(" "), F.greatest(s["stop"] - F.greatest(at, s["start"]), F.lit(0)))))
-    out = base.withColumn("_blank", blank)
-
-    def around(b: Column) -> Column:
-        lo = F.greatest(b["start"] - REACH, F.lit(0))
-        size = b["stop"] + REACH - lo
-        return F.struct(
-            F.xxhash64(b["kind"], F.lower(b["value"])).alias("entity"), lo.alias("lo"),
-            F.substring(F.col("_blank"), lo + 1, size).alias("window"),
-            (F.substring(F.col("_blank"), lo + size + 1, F.lit(1)) == "").alias("last"),
-        )
-
-    def words(w: Column) -> Column:
-        # a word that touches the window's edge inside the text may be cut and doesn't count
-        placed = _placed(*_found(w["window"], _WORD))
-        whole = F.filter(placed, lambda s: ((s["start"] > 0) | (w["lo"] == 0)) & ((s["stop"] < F.length(w["window"])) | w["last"]) & (F.length(s["value"]) > 1))
-        return F.transform(whole, lambda s: F.struct(
-            w["entity"].alias("entity"), F.xxhash64(F.lower(F.trim(w["window"]))).alias("window"), F.lower(s["value"]).alias("term"),
-            (w["lo"] + s["start"]).alias("start"), (w["lo"] + s["stop"]).alias("stop"),
-        ))
-
-    near = F.flatten(F.transform(F.transform(F.col("base"), around), words))
-    kind = "array<struct<entity:bigint,window:bigint,term:string,start:int,stop:int>>"
-    return out.withColumn("_near", F.when(F.size("base") > 0, near).otherwise(F.array()).cast(kind)).drop("_blank")
-
-
-def disclosures(contexts: DataFrame, docs: DataFrame, text_col: str = "text", support: int = SUPPORT) -> DataFrame:
-    """(entity, term, disclosure) of all terms with enough support; ``contexts`` has base, _near and a row per document."""
-    pairs = (
-        contexts.where(F.size("_near") > 0)
-        .select(F.explode(F.array_distinct(F.transform("_near", lambda x: F.struct(x["entity"].alias("entity"), x["term"].alias("term"), x["window"].alias("window"))))).alias("x"))
-        .select("x.entity", "x.term", "x.window")
-    )
-    together = pairs.groupBy("entity", "term", "window").agg(F.count("*").alias("c"))
-    together = together.groupBy("entity", "term").agg(F.count("*").alias("windows"), F.sum("c").alias("n_et")).where(F.col("windows") >= support)
-    entities = (
-        contexts.where(F.size("base") > 0)
-        .select(F.explode(F.array_distinct(F.transform("base", lambda b: F.xxhash64(b["kind"], F.lower(b["value"]))))).alias("entity"))
-        .groupBy("entity").agg(F.count("*").alias("n_e"))
-    )
-    words = F.array_distinct(F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(_WORD), F.lit(0)))
-    terms = docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
-    total = F.lit(float(contexts.count()))
-    wanted = together.select("term").distinct()
-    return (
-        together.join(entities, "entity").join(terms.join(wanted, "term", "left_semi"), "term")
-        .where(F.col("n_e") < total)
-        .select("entity", "term", F.least(F.lit(1.0), F.log2(total * F.least("n_et", "n_t", "n_e") / (F.col("n_e") * F.col("n_t"))) / F.log2(total / F.col("n_e"))).alias("disclosure"))
-    )
+    blank = _covered(text, F.col("base"), lambda s, at: F.repeat(F.lit(" "), F.greatest(s["stop"] - F.greatest(at, s["start"]), F.lit(0))))
+    return docs.withColumns({"_hash": F.xxhash64(text), "_blank": F.when(F.size("base") > 0, blank)})
+
+
+def _words(texts: DataFrame) -> DataFrame:
+    """(_hash, term, start, stop): the words of two or more characters of each _blank."""
+    found, gaps = _found(F.col("_blank"), _WORD)
+    parts = F.zip_with(gaps, found, lambda g, m: F.struct(F.length(g).alias("g"), m.alias("m")))
+    rows = texts.select("_hash", F.posexplode(F.filter(parts, lambda x: x["m"].isNotNull())).alias("i", "x"))
+    stop = F.sum(F.col("x.g") + F.length("x.m")).over(Window.partitionBy("_hash").orderBy("i")).cast("int")
+    placed = rows.select("_hash", F.lower("x.m").alias("term"), stop.alias("stop"), F.length("x.m").alias("n"))
+    return placed.where("n > 1").select("_hash", "term", (F.col("stop") - F.col("n")).alias("start"), "stop")
+
+
+def disclosure(n_et: Column, n_e: Column, n_t: Column, total: Column) -> Column:
+    """Share of the entity's information that the term reveals, by the lower bound of n_et / n_t."""
+    p, z2 = F.least(F.lit(1.0), n_et / n_t), Z * Z
+    low = (p + z2 / (2 * n_t) - Z * F.sqrt(p * (1 - p) / n_t + z2 / (4 * n_t * n_t))) / (1 + z2 / n_t)
+    return F.least(F.lit(1.0), F.log(low * total / n_e) / F.log(total / n_e))
+
+
+def _counted(contexts: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
+    """(term, n_t): number of different texts with the term; each of c equal texts counts 1 / c."""
+    copies = contexts.groupBy("_hash").agg(F.count("*").alias("c")).where("c > 1")
+    side = F.broadcast(copies) if copies.count() * 32 <= BROADCAST_BYTES else copies
+    texts = docs.select(F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("_hash"), F.col(text_col).alias("t")).join(side, "_hash", "left")
+    words = F.array_distinct(F.regexp_extract_all(F.lower("t"), F.lit(_WORD), F.lit(0)))
+    terms = texts.select(F.explode(words).alias("term"), (1 / F.coalesce("c", F.lit(1))).alias("w"))
+    return terms.groupBy("term").agg(F.greatest(F.lit(1.0), F.round(F.sum("w"))).alias("n_t"))
+
+
+def risky_terms(contexts: DataFrame, docs: DataFrame, words: DataFrame, text_col: str, generalise: float) -> DataFrame:
+    """(_hash, term, d): the terms of each text that reveal one of its entities; ``contexts`` has base and _hash."""
+    own = contexts.where(F.size("base") > 0).dropDuplicates(["_hash"]).select("_hash", F.explode(_entities(F.col("base"))).alias("entity"))
+    own = written(own, "entities")
+    n_e = own.groupBy("entity").agg(F.count("*").alias("n_e"))
+    # all entities of one text only have the same terms and numbers, so one stands for them
+    own = own.join(n_e, "entity").select("_hash", F.when(F.col("n_e") == 1, F.col("_hash")).otherwise(F.col("entity")).alias("entity"), "n_e").distinct()
+    pairs = written(words.select("_hash", "term").distinct().join(own, "_hash"), "pairs")
+    total = float(contexts.select("_hash").distinct().count())
+    together = pairs.where(F.col("n_e") < total).groupBy("entity", "term").agg(F.count("*").alias("n_et"), F.first("n_e").alias("n_e"))
+    n_t = _counted(contexts, docs, text_col).join(pairs.select("term").distinct(), "term", "left_semi")
+    judged = together.join(n_t, "term").withColumn("d", disclosure(F.col("n_et"), F.col("n_e"), F.col("n_t"), F.lit(total)))
+    risky = judged.where(F.col("d") >= generalise).select("entity", "term", "d")
+    return pairs.select("_hash", "entity", "term").join(risky, ["entity", "term"]).groupBy("_hash", "term").agg(F.max("d").alias("d"))
 
 
 def find_pii(
@@ -181,22 +182,25 @@ def find_pii(
 ) -> DataFrame:
     """(id, _key, base, spans): base spans and all spans of each row; those of terms carry the action as their value."""
     given = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    contexts = _contexts(with_base_spans(given.withColumn("_key", row_key("_id", "_text")), "_text"), "_text")
-    contexts = written(contexts.select("_id", "_key", "base", "_near"), "pii")
-    risky = disclosures(contexts, given, "_text").where(F.col("disclosure") >= generalise)
-    hits = (
-        contexts.where(F.size("_near") > 0).select("_key", F.explode("_near").alias("x"))
-        .select("_key", "x.entity", "x.term", "x.start", "x.stop").distinct()
-        .join(risky, ["entity", "term"])
-        .groupBy("_key", "start", "stop").agg(F.max("disclosure").alias("d"))
-        .groupBy("_key").agg(F.collect_list(F.struct(
-            "start", F.lit(len(KINDS) - 1).alias("rank"), "stop", F.lit("term").alias("kind"),
-            F.when(F.col("d") >= remove, "remove").otherwise("generalise").alias("value"),
-        )).alias("terms"))
+    contexts = _held(with_base_spans(given.withColumn("_key", row_key("_id", "_text")), "_text"), "_text")
+    contexts = written(contexts.select("_id", "_key", "base", "_hash", "_blank"), "pii")
+    words = written(_words(contexts.where(F.size("base") > 0).select("_hash", "_blank").dropDuplicates(["_hash"])), "words")
+    action = F.when(F.col("d") >= remove, "remove").otherwise("generalise")
+    hits = written(
+        words.join(risky_terms(contexts, given, words, "_text", generalise), ["_hash", "term"])
+        .groupBy("_hash").agg(F.collect_list(F.struct(
+            "start", F.lit(len(KINDS) - 1).alias("rank"), "stop", F.lit("term").alias("kind"), action.alias("value"),
+        )).alias("terms")), "terms",
     )
-    base = contexts.select("_id", "_key", "base")
+    base = contexts.select("_id", "_key", "base", "_hash")
+    size = hits.agg(F.sum(64 + 64 * F.size("terms"))).first()[0] or 0
     spans = F.when(F.col("terms").isNull(), F.col("base")).otherwise(F.sort_array(F.concat("base", "terms")))
-    return base.join(hits, "_key", "left").select(F.col("_id").alias(id_col), "_key", "base", spans.alias("spans"))
+    some = base.where(F.size("base") > 0).join(F.broadcast(hits) if size <= BROADCAST_BYTES else hits, "_hash", "left")
+    none = base.where(F.size("base") == 0)
+    return (
+        some.select(F.col("_id").alias(id_col), "_key", "base", spans.alias("spans"))
+        .unionByName(none.select(F.col("_id").alias(id_col), "_key", "base", F.col("base").alias("spans")))
+    )
 
 
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -166,6 +166,31 @@ def test_pii_terms(spark):
     assert len(out) == len(tell + rest + copies)
 
 
+def test_pii_terms_anywhere(spark):
+    """A name far from the value, or seen with it in one text, is generalised; common words and other texts stay."""
+    far = " the usual words follow here again" * 30
+    rest = [f"the usual words follow here again number{k} and Quix{k}" for k in range(2000)]
+    tell = ["Zorbulon wrote" + far + " to jo@x.org", "the usual words by Mirabell at +1 555 123 4567"]
+    docs = spark.createDataFrame(list(enumerate(tell + rest)), "doc_id long, text string").repartition(4)
+    out = {r[0]: r[1] for r in pii.sanitise(docs).collect()}
+    assert "Zorbulon" not in out[0] and "Mirabell" not in out[1] and "<TERM>" in out[0]
+    assert out[0].count("the usual words follow here again") == 30 and out[0].endswith(" <EMAIL>")
+    assert [out[k] for k in range(2, 2002)] == rest
+
+
+def test_pii_disclosure(spark):
+    """The bound against its formula, and spans against the words of the texts."""
+    rows = [(1, 1, 1, 10_000), (4, 4, 4, 11), (1, 1, 50, 10_000), (3, 5, 7, 1000)]
+    got = spark.createDataFrame(rows, "a long, e long, t long, n long").select(pii.disclosure(*(F.col(c) for c in "aetn"))).collect()
+    for (a, e, t, n), (d,) in zip(rows, got, strict=True):
+        p, z = a / t, pii.Z
+        low = (p + z * z / 2 / t - z * (p * (1 - p) / t + z * z / 4 / t / t) ** 0.5) / (1 + z * z / t)
+        assert d == pytest.approx(min(1, np.log(low * n / e) / np.log(n / e)))
+    texts = spark.createDataFrame([(1, " één, twee\U0001f642 x drie"), (2, "")], "_hash long, _blank string")
+    found = {(r.term, r.start, r.stop) for r in pii._words(texts).collect()}
+    assert found == {("één", 1, 4), ("twee", 6, 10), ("drie", 14, 18)}
+
+
 def test_language_id(spark, texts, folder):
     found = language_id.op3_language_id(spark, SF)
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang")
