@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabloom.llm import byte_bpe, decontaminate, fingerprints, html_extract, language_id, ngram_join, pii, quality_classifier, token_count, url_filter
+from tabloom.llm import (
+    byte_bpe, conversation_repair, decontaminate, fingerprints, html_extract, language_id, ngram_join, pii, quality_classifier, token_count,
+    url_filter,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,6 +26,7 @@ def queries() -> dict[str, Query]:
         "op8_quality_classifier": quality_classifier.op8_quality_classifier,
         "op9_token_count": token_count.op9_token_count,
         "op10_html_extract": html_extract.op10_html_extract,
+        "op11_conversation_repair": conversation_repair.op11_conversation_repair,
     }
 
 
@@ -31,4 +35,5 @@ def oracle_sql() -> dict[str, str]:
         "op1_decontaminate": decontaminate.ORACLE,
         "op6_url_filter": url_filter.ORACLE,
         "op7_ngram_join": ngram_join.ORACLE,
+        "op11_conversation_repair": conversation_repair.ORACLE,
     }
