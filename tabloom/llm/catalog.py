@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tabloom.llm import (
-    byte_bpe, conversation_repair, decontaminate, fingerprints, html_extract, language_id, ngram_join, pii, quality_classifier, token_count,
-    url_filter,
+    byte_bpe, conversation_repair, decontaminate, fingerprints, html_extract, language_id, ngram_join, pii, prefix_trie,
+    quality_classifier, token_count, url_filter,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +27,7 @@ def queries() -> dict[str, Query]:
         "op9_token_count": token_count.op9_token_count,
         "op10_html_extract": html_extract.op10_html_extract,
         "op11_conversation_repair": conversation_repair.op11_conversation_repair,
+        "op12_prefix_trie": prefix_trie.op12_prefix_trie,
     }
 
 
@@ -36,4 +37,5 @@ def oracle_sql() -> dict[str, str]:
         "op6_url_filter": url_filter.ORACLE,
         "op7_ngram_join": ngram_join.ORACLE,
         "op11_conversation_repair": conversation_repair.ORACLE,
+        "op12_prefix_trie": prefix_trie.ORACLE,
     }

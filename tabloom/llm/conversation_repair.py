@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabloom.llm.common import table, written
+from tabloom.llm.common import CRC32, table, written
 from tabloom.llm.ordered import BLOCK_BITS, block, placed
 
 SPACES = " \t\n\x0b\x0c\r"
@@ -442,10 +442,6 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-#: crc32 of an ASCII string ``{}`` in DuckDB, which has no such function: bit by bit over its characters.
-CRC32 = """xor(list_reduce(list_transform(string_split({}, ''), lambda c: ord(c)::BIGINT), lambda crc, b: list_reduce([xor(crc, b), 0, 0, 0, 0, 0, 0, 0, 0],
-    lambda x, y: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END), 4294967295::BIGINT), 4294967295)"""
-
 ORACLE = f"""
 WITH RECURSIVE given AS (
   SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
