@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tabloom.llm import (
-    byte_bpe, conversation_repair, decontaminate, fingerprints, html_extract, language_id, ngram_join, pii, prefix_trie,
+    byte_bpe, conversation_repair, decontaminate, fingerprints, html_extract, language_id, lm_scoring, ngram_join, pii, prefix_trie,
     quality_classifier, token_count, url_filter,
 )
 
@@ -28,6 +28,7 @@ def queries() -> dict[str, Query]:
         "op10_html_extract": html_extract.op10_html_extract,
         "op11_conversation_repair": conversation_repair.op11_conversation_repair,
         "op12_prefix_trie": prefix_trie.op12_prefix_trie,
+        "op13_lm_scoring": lm_scoring.op13_lm_scoring,
     }
 
 

@@ -52,6 +52,14 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_name(taken: list[str], stem: str) -> str:
+    """``stem``, lengthened until no column is called so (Spark's names ignore case)."""
+    used = {c.lower() for c in taken}
+    while stem.lower() in used:
+        stem += "_"
+    return stem
+
+
 def utf8_slices(column, max_bytes: int = 2 << 20):
     """Yield (first row, one past last, offsets, bytes) slices of an Arrow string column.
 
