@@ -2,20 +2,21 @@
 
 A text is its words (A-Z lower-cased, runs without ASCII white space),
 joined by one space and closed by an end mark.  Its bytes are cut into
-binary choices along a Huffman tree for each preceding byte, some 3.3 a
-byte.  Four predictors estimate each choice from counts in hashed slots of
-their contexts: two, three and five preceding bytes, and the word so far.
-Their log-odds are mixed by weights; a gate, the number of predictors that
-know the context, says which set of weights holds.  Weights learn online:
-each coded choice moves them against its coding error.  A table over the
-mixed probability, which learns online as well, refines it; the mean of
-both codes the choice.  The score is the log10 of the product, bits per
-byte follow.
-
-What is learned from the training texts grows with them: word counts, byte
-pairs (for the trees) and the predictors' slot counts, added up by Spark.
-The slots are a table of fixed size (``SLOT_BITS``, 2 MB a predictor), as
-hashed contexts are, so tasks get it by broadcast.  Weights start the same
+binary choices along Huffman trees, one for each of the most frequent
+pairs of preceding bytes, some 2.6 choices a byte.  Three predictors
+estimate each choice: the tree's own counts at the choice, and counts in
+hashed slots of two longer contexts, four preceding bytes and the word so
+far.  Their log-odds are mixed by weights; a gate, the number of
+predictors that know the context, says which set of weights holds.
+Weights learn online: every ``ROUND`` coded choices move them against
+their coding errors.  A table over the mixed probability, which learns
+online as well, refines it; the mean of both codes the choice.  The score
+is the log10 of the product, bits per byte follow.
+
+What is learned from the training texts grows with them: word counts, runs
+of three bytes (for the trees) and the predictors' slot counts, added up
+by Spark.  The slots are a table of fixed size (``SLOT_BITS``, 2 MB a
+predictor), as hashed contexts are, so tasks get it by broadcast.  Weights start the same
 in every stretch of ``LANE`` bytes: stretches are scored side by side, a
 very long text is many of them, and no score depends on which other texts
 are in the batch.
@@ -34,6 +35,7 @@ columns pass through.
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 from typing import Any
@@ -44,22 +46,26 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabloom.llm.common import free_name, table, utf8_slices, written
-from tabloom.llm.shingles import _LOWER, _SPACE, word_hashes
+from tabloom.llm.shingles import _LOWER, _SPACE, _powers, word_hashes
 
 #: Slots of a predictor: 2 ** SLOT_BITS.
 SLOT_BITS = 21
 #: Bytes over which weights learn before they start afresh.
 LANE = 1024
 #: Bytes mixed at a time.
-GROUP_BYTES = 3 << 19
+GROUP_BYTES = 1 << 19
 #: Most words whose counts every task holds (16 bytes each).
 TOP_WORDS = 1_000_000
 #: Words in a text are looked up in slices of so many bytes.
 SLICE_BYTES = 2 << 20
 
 END = 0xFF  # no byte of UTF-8
-REACH = 5  # bytes that a context looks back
-PREDICTORS = 4
+REACH = 4  # bytes that a context looks back
+PREDICTORS = 2
+#: Pairs of preceding bytes with a tree of their own.
+OWN_TREES = 1024
+#: Choices after which a lane's weights learn.
+ROUND = 32
 BLOCK_BITS = 15
 START_WEIGHT, RATE = np.float32(0.3), np.float32(0.01)
 REFINE_CELLS, REFINE_RATE = 24, np.float32(0.02)
@@ -98,7 +104,6 @@ def _fold(x: np.ndarray) -> np.ndarray:
 
 
 _UP = 0x9E3779B97F4A7C15
-_DOWN = pow(_UP, -1, 1 << 64)
 
 
 def contexts(seq: np.ndarray, lo: int, hi: int) -> list[np.ndarray]:
@@ -107,68 +112,91 @@ def contexts(seq: np.ndarray, lo: int, hi: int) -> list[np.ndarray]:
     found = np.flatnonzero(mark)
     begin = lo - int(found[0]) if len(found) else int(np.flatnonzero((seq[:lo] == 0x20) | (seq[:lo] == END))[-1]) + 1
     back = lambda k: seq[lo - k: hi - k].astype(np.uint32)
-    two = back(1) | back(2) << np.uint32(8)
-    three = two | back(3) << np.uint32(16)
-    five = (three | back(4) << np.uint32(24)) * np.uint32(0x9E3779B1) + back(5) * np.uint32(0x85EBCA6B)
+    four = back(1) | back(2) << np.uint32(8) | back(3) << np.uint32(16) | back(4) << np.uint32(24)
     own = seq[begin:hi]
-    powers = lambda b: np.cumprod(np.append(np.uint64(1), np.full(len(own), b, np.uint64)), dtype=np.uint64)
+    up, down = _powers(len(own) + 1)
     sums = np.zeros(len(own) + 1, np.uint64)
-    np.cumsum((own.astype(np.uint64) + np.uint64(1)) * powers(_UP)[:-1], dtype=np.uint64, out=sums[1:])
+    np.cumsum((own.astype(np.uint64) + np.uint64(1)) * up[: len(own)], dtype=np.uint64, out=sums[1:])
     after = np.append(True, (own[:-1] == 0x20) | (own[:-1] == END))
     word = np.maximum.accumulate(np.where(after, np.arange(len(own)), 0))[lo - begin:]
     at = np.arange(lo - begin, hi - begin)
-    so_far = ((sums[at] - sums[word]) * powers(_DOWN)[word] * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(32)
-    return [_fold(two + np.uint32(77)), _fold(three * np.uint32(0x2545F491) + np.uint32(1)), _fold(five), _fold(so_far.astype(np.uint32))]
+    so_far = ((sums[at] - sums[word]) * down[word] * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(32)
+    return [_fold(four * np.uint32(0x2545F491) + np.uint32(1)), _fold(so_far.astype(np.uint32))]
 
 
 class Codes:
-    """Binary choices of each byte after each byte: a Huffman tree for each preceding byte."""
-
-    def __init__(self, pairs: np.ndarray):
-        """``pairs``: 256 x 256 counts of (preceding byte, byte)."""
-        single = pairs.sum(axis=0)
-        total = max(1, int(single.sum()))
-        self.length = np.zeros((256, 256), np.int32)
-        self.start = np.zeros((256, 256), np.int32)
+    """Binary choices of each byte: a Huffman tree for each of the most frequent pairs of preceding bytes, else for the one preceding byte."""
+
+    def __init__(self, triples: np.ndarray, counts: np.ndarray):
+        """``triples``: (byte before, preceding byte, byte) as one number each, and their counts."""
+        before, byte = triples >> 8, triples & 255
+        total = np.bincount(before, weights=counts, minlength=65536)
+        after_one = np.zeros((256, 256))
+        np.add.at(after_one, (before & 255, byte), counts)
+        every = after_one.sum(axis=0) / max(1.0, counts.sum())
+        own = np.argsort(-total, kind="stable")[:OWN_TREES]
+        own = np.sort(own[total[own] > 0])
+        self.tree = np.arange(65536, dtype=np.int32) & 255
+        self.tree[own] = 256 + np.arange(len(own), dtype=np.int32)
+        order = np.argsort(before, kind="stable")
+        ends = np.searchsorted(before[order], np.arange(65537))
+        shape = (256 + len(own), 256)
+        self.length, self.start = np.zeros(shape, np.int32), np.zeros(shape, np.int32)
         nodes: list[int] = []
-        for before in range(256):
-            # every byte has a code; none is longer than some 40 choices
-            counts = pairs[before].astype(np.float64) + single / total + 1e-3
-            for byte, path in self._paths(counts, before).items():
-                self.length[before, byte], self.start[before, byte] = len(path), len(nodes)
-                nodes += path
+        odds: list[float] = []
+        for tree in range(shape[0]):
+            seen = np.zeros(256)
+            if tree < 256:
+                seen = after_one[tree]
+                likely = every
+            else:
+                pair = int(own[tree - 256])
+                mine = order[ends[pair]: ends[pair + 1]]
+                seen[byte[mine]] = counts[mine]
+                likely = after_one[pair & 255] / max(1.0, after_one[pair & 255].sum()) + every / 100
+            # every byte has a code, seen or not
+            for b, path in self._paths(seen, likely / 4 + 1e-4, tree):
+                self.length[tree, b], self.start[tree, b] = len(path), len(nodes)
+                nodes += [n for n, _ in path]
+                odds += [o for _, o in path]
         raw = np.array(nodes, np.uint64)
         # hash of the choice's node, and its outcome in the lowest bit
         hashed = ((raw >> np.uint64(1)) * np.uint64(_UP) + np.uint64(0x1234567)) >> np.uint64(64 - SLOT_BITS)
         self.choice = (hashed << np.uint64(1) | raw & np.uint64(1)).astype(np.uint32)
+        self.odds = np.clip(np.rint(np.array(odds) / STEP), -127, 127).astype(np.int8)
 
     @staticmethod
-    def _paths(counts: np.ndarray, before: int) -> dict[int, list[int]]:
-        heap = [(c, i) for i, c in enumerate(counts.tolist())]
+    def _paths(seen: np.ndarray, likely: np.ndarray, tree: int) -> Iterator[tuple[int, list[tuple[int, float]]]]:
+        """(byte, [(node and outcome, the node's log-odds)]) of a tree."""
+        met = seen.tolist()
+        heap = [(c, i) for i, c in enumerate((seen + likely).tolist())]
         heapq.heapify(heap)
-        kids: dict[int, tuple[int, int]] = {}
+        kids: list[tuple[int, int]] = []
         while len(heap) > 1:
             (ca, a), (cb, b) = heapq.heappop(heap), heapq.heappop(heap)
-            kids[256 + len(kids)] = (a, b)
+            kids.append((a, b))
+            met.append(met[a] + met[b])
             heapq.heappush(heap, (ca + cb, 255 + len(kids)))
-        out, open_ = {}, [(heap[0][1], [])]
+        open_: list[tuple[int, list]] = [(heap[0][1], [])]
         while open_:
             node, path = open_.pop()
             if node < 256:
-                out[node] = path
+                yield node, path
                 continue
-            for bit, kid in enumerate(kids[node]):
-                open_.append((kid, [*path, (before * 256 + node - 256) << 1 | bit]))
-        return out
-
-    def choices(self, before: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Hashed node of each choice, its outcome, and the number of choices of each byte."""
-        n = self.length[before, own]
+            a, b = kids[node - 256]
+            odds = math.log((met[b] + 0.4) / (met[a] + 0.4))
+            name = (tree * 256 + node - 256) << 1
+            open_ += [(a, [*path, (name, odds)]), (b, [*path, (name | 1, odds)])]
+
+    def choices(self, before: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Hashed node of each choice, its outcome and log-odds, and the number of choices of each byte; ``before``: two bytes as one number."""
+        tree = self.tree.take(before)
+        n = self.length[tree, own]
         ends = np.cumsum(n)
         at = np.arange(int(ends[-1]) if len(ends) else 0, dtype=np.int32)
-        at += np.repeat((self.start[before, own] - (ends - n)).astype(np.int32), n)
+        at += np.repeat((self.start[tree, own] - (ends - n)).astype(np.int32), n)
         c = self.choice.take(at)
-        return c >> np.uint32(1), (c & np.uint32(1)).astype(np.uint8), n
+        return c >> np.uint32(1), (c & np.uint32(1)).astype(np.uint8), self.odds.take(at), n
 
 
 def _lanes(starts: np.ndarray, total: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -191,65 +219,62 @@ def _groups(lo: np.ndarray, size: np.ndarray) -> Iterator[tuple[int, int]]:
         a = b
 
 
-def _coded(codes: Codes, seq: np.ndarray, lo: np.ndarray, size: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
-    """Slots of each predictor, outcomes, and each lane's first choice and number of choices."""
+def _coded(codes: Codes, seq: np.ndarray, lo: np.ndarray, size: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Slots of each hashed predictor, outcomes, the trees' log-odds, and each lane's first choice and number of choices."""
     begin, end = int(lo[0]), int(lo[-1] + size[-1])
-    inside = np.zeros(end - begin + 1, np.int32)
-    np.add.at(inside, lo - begin, 1)
-    np.add.at(inside, lo + size - begin, -1)
-    own = np.flatnonzero(np.cumsum(inside[:-1]))
-    node, bit, n = codes.choices(seq[begin - 1: end - 1][own], seq[begin:end][own])
-    slots = [np.repeat(c.take(own), n) ^ node for c in contexts(seq, begin, end)]
+    inside = np.zeros(end - begin + 1, np.int8)
+    inside[lo - begin] += 1
+    np.subtract.at(inside, lo + size - begin, 1)
+    own = np.flatnonzero(np.cumsum(inside[:-1], dtype=np.int8)).astype(np.int32)
+    before = seq[begin - 2: end - 2].astype(np.int32) << 8 | seq[begin - 1: end - 1]
+    node, bit, odds, n = codes.choices(before.take(own), seq[begin:end].take(own))
+    byte = np.repeat(own, n)
+    slots = [c.take(byte) ^ node for c in contexts(seq, begin, end)]
     ends = np.append(0, np.cumsum(n))
     at = np.cumsum(size) - size
-    return slots, bit, ends[at], ends[at + size] - ends[at]
+    return slots, bit, odds, ends[at], ends[at + size] - ends[at]
 
 
-def mixed_bits(x: np.ndarray, bit: np.ndarray, first: np.ndarray, count: np.ndarray) -> np.ndarray:
-    """Bits of each lane: ``x`` (choices x predictors, log-odds in STEPs), outcomes, each lane's first choice and their number.
+def mixed_bits(x: np.ndarray, gate: np.ndarray, bit: np.ndarray, first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Bits of each lane: ``x`` (choices x inputs, log-odds in STEPs), gates, outcomes, each lane's first choice and their number.
 
-    All lanes take their next choice at the same time; each has its own
-    weights and its own refinement.
+    All lanes take their next ROUND choices at the same time; each has its
+    own weights and its own refinement, which learn after every round.
     """
-    gate = (x != 0).sum(axis=1, dtype=np.int32)
     order = np.argsort(-count, kind="stable")
-    place, sizes = first[order].astype(np.int64), count[order]
-    longest = int(sizes[0])
-    active = np.searchsorted(-sizes, -np.arange(longest), side="left").tolist()
-    lanes = len(count)
-    weights = np.full((lanes * (PREDICTORS + 1), PREDICTORS), START_WEIGHT, np.float32)
+    place, sizes = first[order].astype(np.int32), count[order].astype(np.int32)
+    lanes, inputs = len(count), x.shape[1]
+    gates = inputs + 1
+    weights = np.full((lanes * gates, inputs), START_WEIGHT, np.float32)
     cell = (np.arange(REFINE_CELLS) - REFINE_CELLS / 2 + 0.5) * 16 / REFINE_CELLS
     refine = np.tile((1 / (1 + np.exp(-cell))).astype(np.float32), lanes)
-    own_weights = np.arange(lanes, dtype=np.int32) * (PREDICTORS + 1)
-    own_cells = np.arange(lanes, dtype=np.int32) * REFINE_CELLS + REFINE_CELLS // 2
     wide = np.float32(8 * (1 - 1e-6))
     bits = np.zeros(lanes)
-    outcome = bit.astype(np.float32)
-    for t in range(longest):
-        n = active[t]
-        at = place[:n] + t
-        own = x.take(at, axis=0).astype(np.float32)
-        own *= STEP
-        y = outcome.take(at)
-        k = gate.take(at)
-        k += own_weights[:n]
-        w = weights.take(k, axis=0)
-        z = np.einsum("ij,ij->i", w, own)
-        np.clip(z, -wide, wide, out=z)
-        c = np.floor(z * np.float32(REFINE_CELLS / 16)).astype(np.int32)
-        c += own_cells[:n]
-        np.negative(z, out=z)
-        np.exp(z, out=z)
-        z += np.float32(1)
-        np.reciprocal(z, out=z)
+    steps = np.arange(ROUND, dtype=np.int32)
+    for t in range(0, int(sizes[0]), ROUND):
+        n = int(np.searchsorted(-sizes, -t))
+        there = steps < (sizes[:n] - t)[:, None]
+        at = (place[:n] + np.int32(t))[:, None] + steps
+        lane = np.repeat(np.arange(n, dtype=np.int32), ROUND)
+        if not there[-1].all():
+            lane, at = lane[there.ravel()], at[there]
+        at = at.ravel()
+        own = x.take(at, axis=0) * STEP
+        y = bit.take(at).astype(np.float32)
+        k = lane * np.int32(gates) + gate.take(at)
+        z = np.einsum("ij,ij->i", weights.take(k, axis=0), own)
+        np.minimum(np.maximum(z, -wide, out=z), wide, out=z)
+        c = np.floor(z * np.float32(REFINE_CELLS / 16)).astype(np.int32) + (lane * np.int32(REFINE_CELLS) + np.int32(REFINE_CELLS // 2))
+        p = np.reciprocal(np.exp(-z) + np.float32(1))
         r = refine.take(c)
-        p = (z + r) * np.float32(0.5)
-        bits[:n] -= np.log2(np.abs(p - (np.float32(1) - y)))
-        refine[c] = r + (y - r) * REFINE_RATE
-        y -= z
+        coded = np.log2(np.abs((p + r) * np.float32(0.5) - (np.float32(1) - y)))
+        bits[:n] -= np.bincount(lane, weights=coded, minlength=n)
+        refine[: n * REFINE_CELLS] += np.bincount(c, weights=(y - r) * REFINE_RATE, minlength=n * REFINE_CELLS).astype(np.float32)
+        y -= p
         y *= RATE
-        w += y[:, None] * own
-        weights[k] = w
+        own *= y[:, None]
+        for i in range(inputs):
+            weights[: n * gates, i] += np.bincount(k, weights=own[:, i], minlength=n * gates).astype(np.float32)
     out = np.empty(lanes)
     out[order] = bits
     return out
@@ -261,22 +286,24 @@ def text_bits(codes: Codes, tables: np.ndarray, off: np.ndarray, data: np.ndarra
     lo, size, text = _lanes(starts, len(seq))
     out = np.zeros(len(starts))
     for a, b in _groups(lo, size):
-        slots, bit, first, count = _coded(codes, seq, lo[a:b], size[a:b])
-        x = np.empty((len(bit), PREDICTORS), np.int8)
-        for i, s in enumerate(slots):
-            x[:, i] = tables[i].take(s)
-        out += np.bincount(text[a:b], weights=mixed_bits(x, bit, first, count), minlength=len(out))
+        slots, bit, odds, first, count = _coded(codes, seq, lo[a:b], size[a:b])
+        x = np.empty((len(bit), PREDICTORS + 1), np.int8)
+        gate = np.zeros(len(bit), np.int8)
+        for i, v in enumerate([odds, *(t.take(s) for t, s in zip(tables, slots, strict=True))]):
+            x[:, i] = v
+            gate += v != 0
+        out += np.bincount(text[a:b], weights=mixed_bits(x, gate, bit, first, count), minlength=len(out))
     return out
 
 
 _COUNTS = "kind int, key long, n long"
-WORD, PAIR, TEXTS = range(3)
+WORD, TRIPLE, TEXTS = range(3)
 
 
 def corpus_counts(texts: DataFrame, text_col: str) -> DataFrame:
-    """(kind, key, n): words by hash, byte pairs and the number of texts."""
+    """(kind, key, n): words by hash, runs of three bytes and the number of texts."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs, n_texts = np.zeros(65536, np.int64), 0
+        n_texts = 0
 
         def packed(kind, key, n):
             return pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind, np.int32)), pa.array(key.astype(np.int64, copy=False)), pa.array(n)], names=["kind", "key", "n"])
@@ -291,9 +318,11 @@ def corpus_counts(texts: DataFrame, text_col: str) -> DataFrame:
                 for k in range(REACH):
                     own[starts + k] = False
                 at = np.flatnonzero(own)
-                pairs += np.bincount(seq[at - 1].astype(np.int32) << 8 | seq[at], minlength=65536)
-        seen = np.flatnonzero(pairs)
-        yield packed(PAIR, seen, pairs[seen])
+                three = seq[at].astype(np.uint32)
+                for k in (1, 2):
+                    three |= seq[at - k].astype(np.uint32) << np.uint32(8 * k)
+                key, n = np.unique(three, return_counts=True)
+                yield packed(TRIPLE, key, n)
         yield packed(TEXTS, np.zeros(1, np.int64), np.array([n_texts]))
 
     return texts.select(text_col).mapInArrow(run, _COUNTS).groupBy("kind", "key").agg(F.sum("n").alias("n"))
@@ -303,14 +332,25 @@ def slot_counts(texts: DataFrame, text_col: str, codes: Any) -> DataFrame:
     """(predictor, block, slots, zeros, ones): counts of the slots that a task has met, in blocks."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, counts = codes.value, [np.zeros(2 << SLOT_BITS, np.uint32) for _ in range(PREDICTORS)]
+        waiting: list[list[np.ndarray]] = [[] for _ in counts]
+
+        def count() -> None:
+            for have, new in zip(counts, waiting, strict=True):
+                if new:
+                    have += np.bincount(np.concatenate(new), minlength=len(have)).astype(np.uint32)
+                    new.clear()
+
         for batch in batches:
             for _, _, off, data in utf8_slices(batch.column(0), 2 * SLICE_BYTES):
                 seq, starts = spelled(off, data)
                 lo, size, _ = _lanes(starts, len(seq))
                 for a, b in _groups(lo, size):
-                    slots, bit, _, _ = _coded(own, seq, lo[a:b], size[a:b])
-                    for have, s in zip(counts, slots, strict=True):
-                        have += np.bincount(s << np.uint32(1) | bit, minlength=len(have)).astype(np.uint32)
+                    slots, bit, *_ = _coded(own, seq, lo[a:b], size[a:b])
+                    for new, s in zip(waiting, slots, strict=True):
+                        new.append(s << np.uint32(1) | bit)
+                    if sum(map(len, waiting[0])) > 1 << 23:
+                        count()
+        count()
         for i, have in enumerate(counts):
             both = have.reshape(-1, 2)
             met = np.flatnonzero(both.any(axis=1))
@@ -375,10 +415,8 @@ def learn(texts: DataFrame, text_col: str = "text", top_words: int = TOP_WORDS)
     spark = texts.sparkSession
     counts = written(corpus_counts(texts, text_col), "lm-counts")
     n_texts = counts.where(F.col("kind") == TEXTS).agg(F.sum("n")).first()[0] or 0
-    pairs = np.zeros(65536, np.int64)
-    for key, n in counts.where(F.col("kind") == PAIR).select("key", "n").collect():  # at most 65 536 rows
-        pairs[key] = n
-    codes = Codes(pairs.reshape(256, 256))
+    triples = counts.where(F.col("kind") == TRIPLE).select("key", "n").toArrow()  # of UTF-8 bytes: some ten thousand, 2^24 at most
+    codes = Codes(triples["key"].to_numpy(), triples["n"].to_numpy())
     words = counts.where(F.col("kind") == WORD).select("key", "n")
     total = words.agg(F.count("*"), F.sum("n")).first()
     # the least count whose words and those above it are no more than top_words
@@ -392,7 +430,7 @@ def learn(texts: DataFrame, text_col: str = "text", top_words: int = TOP_WORDS)
     keys = top["key"].to_numpy() if top else np.zeros(0, np.int64)
     order = np.argsort(keys)
     top_counts = top["n"].to_numpy()[order] if top else np.zeros(0, np.int64)
-    tasks = max(2 * spark.sparkContext.defaultParallelism, int(pairs.sum()) // BYTES_A_TASK)
+    tasks = max(2 * spark.sparkContext.defaultParallelism, int(sum(triples["n"].to_pylist())) // BYTES_A_TASK)
     parts = slot_counts(texts.coalesce(tasks), text_col, spark.sparkContext.broadcast(codes))
     tables = np.zeros((PREDICTORS, 1 << SLOT_BITS), np.int8)
     for i, b, odds in slot_tables(parts).collect():  # PREDICTORS x 2 MB
