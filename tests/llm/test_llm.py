@@ -203,9 +203,7 @@ def test_language_id(spark, texts, folder):
 
 
 def test_language_mixture():
-    rng = np.random.default_rng(1)
     counts = np.zeros((256, 2))
-    model = None
     for k, text in enumerate([b"the and of this that " * 40, b"der und die das nicht " * 40]):
         x, _ = language_id._letters(np.array([0, len(text)]), np.frombuffer(text, np.uint8))
         _, bucket = language_id._trigrams(x, 256)
@@ -214,7 +212,34 @@ def test_language_mixture():
     texts = [b"the and of", b"der und die", b"the and of this that the der und die das nicht der"]
     shares = model.shares(np.cumsum([0, *map(len, texts)]), np.frombuffer(b"".join(texts), np.uint8))
     assert shares[0, 0] == 1 and shares[1, 1] == 1 and 0.3 < shares[2, 0] < 0.7
-    assert rng is not None
+    # fifty languages that say much the same of every word: a share remains, and it is the real one
+    many = language_id.Model([f"l{k:02}" for k in range(50)], 100 + np.random.default_rng(1).random((256, 50)))
+    words = [b"ok", b"x", "\u0436".encode(), b"two words", b" ".join([b"word"] * 90)]
+    shares = many.shares(np.cumsum([0, *map(len, words)]), np.frombuffer(b"".join(words), np.uint8))
+    assert np.allclose(shares.sum(axis=1), 1) and (shares >= 0).all()
+    # against EM over all languages and all subsets, written out, for two languages
+    for text in (b"the and der", b"the der die und", b"of das nicht this"):
+        ll, _ = model.words(np.array([0, len(text)]), np.frombuffer(text, np.uint8))
+        lik, best = np.exp(ll.astype(float)), None
+        for keep in ([0], [1], [0, 1]):
+            pi = np.zeros(2)
+            pi[keep] = 1 / len(keep)
+            for _ in range(language_id.STEPS * 3):
+                r = lik * pi
+                pi = (r / r.sum(axis=1, keepdims=True)).mean(axis=0)
+            fit = np.log((lik * pi).sum(axis=1)).sum() - language_id.PENALTY * len(keep) * np.log(len(ll) + 1)
+            if best is None or fit > best[0]:
+                best = (fit, pi)
+        got = model.shares(np.array([0, len(text)]), np.frombuffer(text, np.uint8))[0]
+        assert np.abs(got - best[1]).max() < 0.1, (text, got, best)
+
+
+@pytest.mark.parametrize("text", ["ok", "x", "qq", "zz", "\u0416", "\u03b1", "a b"])
+def test_short_texts_have_a_language(spark, text):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = language_id.learn(docs)
+    row = language_id.predict(spark.createDataFrame([(text, "kept")], "text string, _lower string"), model).first()
+    assert row.lang_pred in model.languages and 0 < row.score <= 1 and row["_lower"] == "kept"
 
 
 def test_language_stage(spark):
@@ -409,9 +434,9 @@ def test_html_extract(spark):
     pages += [(20, "http://flat.org/b/5", flat.format(5, "f" * 30)), (30, None, None), (31, "", ""), (31, "", ""), (32, "nourl", "<p>alone"), (33, "http://x/", "a<b>c</b> d &lt;e&gt;")]
     got = rows_of(html_extract.extract_text(spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3)), "page_id")
     for k in range(3):
-        assert got[k][0].text == f"Title {k}\nOne & two\nBold text"
+        assert got[k][0].text == f"Title {k}\n\nOne & two\n\nBold text"
     for k in range(5):
-        assert got[10 + k][0].text == f"Story number {k} begins here.\nIt is {'abcdefgh'[k] * 30} and long enough to count."
+        assert got[10 + k][0].text == f"Story number {k} begins here.\n\nIt is {'abcdefgh'[k] * 30} and long enough to count."
     assert got[20][0].text.startswith("Welcome")  # a copy of page 15 isn't emptied by it
     assert [r.text for r in got[31]] == ["", ""] and got[30][0].text == "" and got[32][0].text == "alone" and got[33][0].text == "ac d <e>"
 
@@ -448,12 +473,12 @@ def test_html_differencing(spark):
     pages += [(40 + k, f"http://e.org/{k}", "<div>Home</div><div>News</div><div>Notice</div>" + story(k)) for k in range(2)]
     got = rows_of(html_extract.extract_text(spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3)), "page_id")
     for k in range(6):
-        assert got[k][0].text.split("\n") == lines(k)
-        assert got[10 + k][0].text.split("\n") == lines(k)
-        assert got[20 + k][0].text.split("\n") == [*lines(0 if k < 2 else k), f"Only {k}"]
+        assert got[k][0].text.split("\n\n") == lines(k)
+        assert got[10 + k][0].text.split("\n\n") == lines(k)
+        assert got[20 + k][0].text.split("\n\n") == [*lines(0 if k < 2 else k), f"Only {k}"]
     for k in range(2):
-        assert got[30 + k][0].text.endswith(f"Copied text.\nChanged {k}")
-        assert got[40 + k][0].text.split("\n") == lines(k)
+        assert got[30 + k][0].text.endswith(f"Copied text.\n\nChanged {k}")
+        assert got[40 + k][0].text.split("\n\n") == lines(k)
 
 
 @pytest.mark.parametrize("seed", range(20))
@@ -470,6 +495,15 @@ def test_common_lines(seed):
     assert len(got) == best[-1][-1]
 
 
+def test_common_lines_of_large_tables():
+    import time
+
+    begin = time.time()
+    assert len(html_extract.common_lines([1] * 40_000, [2] + [1] * 39_990 + [3])) == 39_990
+    assert html_extract.common_lines(list(range(40_000)), list(range(40_000, 80_000))) == []
+    assert time.time() - begin < 5
+
+
 def test_pipeline(spark, tmp_path):
     """Every stage against brute force on the stage's own input."""
     import tiktoken
