@@ -21,9 +21,11 @@ Whole texts are used; a task works on slices of a few MB, a longer text is
 a slice of its own.  No text is shuffled.
 
 Defined results: a null text or one without a letter is ``und`` with score
-0; so is everything when nothing could be learned; repeated rows are
-predicted alike and all returned; training rows with null text, null
-language or null id are not learned from.
+0; so is everything when nothing could be learned; any other text gets a
+learned language; repeated rows are predicted alike and all returned;
+training rows with null text, null language or null id are not learned
+from; an empty table gives no rows.  Columns named like an output are
+replaced, all others pass through.
 """
 
 from __future__ import annotations
@@ -35,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabloom.llm.common import held_out, table, utf8_slices
+from tabloom.llm.common import free_name, held_out, table, utf8_slices
 
 #: Most cells of the model (buckets x languages): 4 bytes each when sent to the tasks.
 CELLS = 1 << 22
@@ -106,7 +108,9 @@ class Model:
         live, first = np.unique(row, return_index=True)
         n = np.diff(np.append(first, len(row))).astype(np.float64)
         pi, score = _mixture(lik, first, n, np.full((len(live), k), 1.0 / k))
-        pi[pi < 0.5 / n[:, None]] = 0.0  # less than half a word
+        small = pi < 0.5 / n[:, None]  # less than half a word
+        small[np.arange(len(live)), pi.argmax(axis=1)] = False  # the largest share stays, however many languages there are
+        pi[small] = 0.0
         pi /= pi.sum(axis=1, keepdims=True)
         # lik is what is left of the words' likelihoods; their maxima are the same for all sets
         open_ = np.flatnonzero((pi > 0).sum(axis=1) > 1)
@@ -217,7 +221,8 @@ def predict(
         names = (*names, evidence_col)
     keep = [c for c in docs.columns if c not in names]
     letter = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
-    given = docs.withColumn("_lower", F.when(letter, F.lower(F.col(text_col))))
+    lower = free_name([*docs.columns, *names], "_lower")
+    given = docs.withColumn(lower, F.when(letter, F.lower(F.col(text_col))))
     sent = docs.sparkSession.sparkContext.broadcast(model)
     kinds = zip(names, ("string", "double", "map<string,double>", "double")[: len(names)], strict=True)
     schema = docs.select(*keep, *(F.lit(None).cast(k).alias(c) for c, k in kinds)).schema
@@ -226,7 +231,7 @@ def predict(
         own = sent.value
         for batch in batches:
             lang, score, shares, evidence = [], [], [], []
-            for lo, hi, off, data in utf8_slices(batch.column("_lower"), SLICE_BYTES):
+            for lo, hi, off, data in utf8_slices(batch.column(lower), SLICE_BYTES):
                 pi = own.shares(off, data) if own else np.zeros((hi - lo, 1))
                 best = pi.argmax(axis=1)
                 if evidence_col:
