@@ -83,12 +83,13 @@ def spelled(off: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Coded bytes of texts: REACH end marks, the words with one space between, an end mark; and each text's start."""
     x = _LOWER[data]
     kept = np.flatnonzero(~_SPACE[x])
-    row = np.searchsorted(off, kept, side="right") - 1
+    n = len(off) - 1
+    row = np.repeat(np.arange(n), np.diff(np.searchsorted(kept, off)))
     opens = np.append(True, (np.diff(kept) > 1) | (np.diff(row) > 0)) if len(kept) else np.zeros(0, bool)
     first = np.append(True, np.diff(row) > 0) if len(kept) else opens
-    place = np.arange(len(kept)) + np.cumsum(opens & ~first) + (REACH + 1) * row + REACH
-    n = len(off) - 1
-    spaces = np.bincount(row[opens & ~first], minlength=n)
+    spaced = opens & ~first
+    place = np.arange(len(kept)) + np.cumsum(spaced) + (REACH + 1) * row + REACH
+    spaces = np.bincount(row[spaced], minlength=n)
     sizes = np.bincount(row, minlength=n) + spaces + REACH + 1
     starts = np.cumsum(sizes) - sizes
     out = np.full(int(sizes.sum()), 0x20, np.uint8)
@@ -117,8 +118,9 @@ def contexts(seq: np.ndarray, lo: int, hi: int) -> list[np.ndarray]:
     up, down = _powers(len(own) + 1)
     sums = np.zeros(len(own) + 1, np.uint64)
     np.cumsum((own.astype(np.uint64) + np.uint64(1)) * up[: len(own)], dtype=np.uint64, out=sums[1:])
-    after = np.append(True, (own[:-1] == 0x20) | (own[:-1] == END))
-    word = np.maximum.accumulate(np.where(after, np.arange(len(own)), 0))[lo - begin:]
+    after = np.append(True, (own[:-1] == 0x20) | (own[:-1] == END))  # the first byte of each word
+    opens = np.flatnonzero(after)
+    word = np.repeat(opens, np.diff(np.append(opens, len(own))))[lo - begin:]
     at = np.arange(lo - begin, hi - begin)
     so_far = ((sums[at] - sums[word]) * down[word] * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(32)
     return [_fold(four * np.uint32(0x2545F491) + np.uint32(1)), _fold(so_far.astype(np.uint32))]
@@ -190,11 +192,11 @@ class Codes:
 
     def choices(self, before: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Hashed node of each choice, its outcome and log-odds, and the number of choices of each byte; ``before``: two bytes as one number."""
-        tree = self.tree.take(before)
-        n = self.length[tree, own]
-        ends = np.cumsum(n)
+        code = self.tree.take(before) * np.int32(256) + own
+        n = self.length.ravel().take(code)
+        ends = np.cumsum(n, dtype=np.int32)
         at = np.arange(int(ends[-1]) if len(ends) else 0, dtype=np.int32)
-        at += np.repeat((self.start[tree, own] - (ends - n)).astype(np.int32), n)
+        at += np.repeat(self.start.ravel().take(code) - ends + n, n)
         c = self.choice.take(at)
         return c >> np.uint32(1), (c & np.uint32(1)).astype(np.uint8), self.odds.take(at), n
 
@@ -228,8 +230,7 @@ def _coded(codes: Codes, seq: np.ndarray, lo: np.ndarray, size: np.ndarray) -> t
     own = np.flatnonzero(np.cumsum(inside[:-1], dtype=np.int8)).astype(np.int32)
     before = seq[begin - 2: end - 2].astype(np.int32) << 8 | seq[begin - 1: end - 1]
     node, bit, odds, n = codes.choices(before.take(own), seq[begin:end].take(own))
-    byte = np.repeat(own, n)
-    slots = [c.take(byte) ^ node for c in contexts(seq, begin, end)]
+    slots = [np.repeat(c.take(own), n) ^ node for c in contexts(seq, begin, end)]
     ends = np.append(0, np.cumsum(n))
     at = np.cumsum(size) - size
     return slots, bit, odds, ends[at], ends[at + size] - ends[at]
