@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -66,6 +67,25 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df):
-    """Materialise ``df`` into the shared checkpoint folder (reliable checkpoint)."""
+    """``df`` written to the shared checkpoint folder and read again.
+
+    As a Parquet table (``stored``); only what Parquet can't hold (columns
+    of no type, names that differ in case alone) goes through
+    ``checkpoint()``, which runs the plan twice.
+    """
+    names = [c.lower() for c in df.columns]
+    if len(set(names)) == len(names) and names and not any(t == "void" or "void" in t.split("<")[-1] for _, t in df.dtypes):
+        return stored(df)
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored(df):
+    """Write ``df`` as Parquet into the shared checkpoint folder and read it again.
+
+    The plan runs once, the lineage is cut, and later joins know the
+    table's size.
+    """
+    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
