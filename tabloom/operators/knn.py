@@ -1,26 +1,38 @@
 """k-nearest-neighbour regression and classification.
 
-The reference fits on at most 10 000 training rows (a seeded sample when
-there are more).  Here the sample is an exact-size seeded cut, its feature
-matrix (≤ 10 000 × d doubles, size checked) is broadcast once, and each
-task scores its own test rows in numpy batches: distances to the sample,
-the k smallest, inverse-distance weights (a zero distance wins outright).
-No pair of rows is materialised as a DataFrame row; the test side keeps its
-partitioning.
+``knn_join`` uses every training row, however many: both sides are cut into
+blocks by a hash, each block of test rows meets each block of training
+rows in one task (numpy; a test block is a few MB and sent once to each
+training block), keeps its k nearest, and the partial lists are merged by
+a bounded top-k, combined before the shuffle.  Nearest means by distance,
+then by the text of the key.  Memory of a task is one block of either side.
+
+``knn_predict`` follows the reference's classifier: at most ``max_rows``
+training rows, a seeded sample when there are more.  The sample is an
+exact-size cut, its feature matrix (size checked) is broadcast, and each
+task scores its own test rows.  Inverse-distance weights; a zero distance
+wins outright.  No pair of rows is materialised as a DataFrame row beyond
+the k nearest.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions.kinds import q
+from ..session import stored
 from .split import rank_below, seeded_order
 
 MAX_BROADCAST_BYTES = 512 * 1024 * 1024
+#: Bytes of coordinates in a block of training and of test rows.
+TRAIN_BLOCK_BYTES = 8 << 20
+TEST_BLOCK_BYTES = 2 << 20
 
 
 def _matrix(pdf: pd.DataFrame, features: list[str]) -> np.ndarray:
@@ -115,3 +127,108 @@ def knn_predict(train: DataFrame, test: DataFrame, features: list[str], label: s
     if task == "classification":
         fields.append(StructField("score", DoubleType()))
     return test.select(*keep, *features).mapInPandas(score, StructType(fields))
+
+
+def _coordinates(df: DataFrame, features: list[str]) -> Column:
+    if len(features) == 1 and dict(df.dtypes)[features[0]].startswith("array"):
+        return F.transform(F.col(q(features[0])), lambda v: v.cast("double"))
+    return F.array(*[F.col(q(f)).cast("double") for f in features])
+
+
+def nearest_rows(train: DataFrame, test: DataFrame, features: list[str], *, key: list[str], carry: list[str], k: int) -> DataFrame:
+    """The ``k`` nearest training rows of each test row: ``_rid, d, t`` (key text) and the ``carry`` columns of the training row.
+
+    ``test`` has ``_rid``.  Rows with a null coordinate have no neighbours and are none.
+    """
+    whole = lambda x: ~F.exists(x, lambda v: v.isNull() | F.isnan(v))
+    text = F.concat_ws("|", *[F.coalesce(F.col(q(c)).cast("string"), F.lit("~")) for c in key])
+    right = train.select(_coordinates(train, features).alias("x"), text.alias("t"), *[F.col(q(c)) for c in carry]).where(whole(F.col("x")))
+    left = test.select("_rid", _coordinates(test, features).alias("x")).where(whole(F.col("x")))
+    size = lambda d: d.agg(F.coalesce(F.sum(8 * F.size("x")), F.lit(0))).first()[0]
+    n_right, n_left = (max(1, math.ceil(size(d) / b)) for d, b in ((right, TRAIN_BLOCK_BYTES), (left, TEST_BLOCK_BYTES)))
+    right = right.withColumn("_rb", F.pmod(F.xxhash64("t", "x"), F.lit(n_right))).withColumn("_lb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_left - 1).cast("long"))))
+    left = left.withColumn("_lb", F.pmod(F.xxhash64("_rid"), F.lit(n_left))).withColumn("_rb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_right - 1).cast("long"))))
+
+    def near(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame({c: [] for c in ["_rid", "d", "t", *carry]})
+        xa, xb = (np.stack(d["x"].to_numpy()).astype("float64") for d in (a, b))
+        b = b.reset_index(drop=True)
+        place = np.empty(len(b), dtype="int64")
+        place[np.argsort(b["t"].to_numpy(dtype=object), kind="stable")] = np.arange(len(b))
+        nb, kk = (xb * xb).sum(axis=1), min(k, len(b))
+        rid, dist, row = [], [], []
+        for lo in range(0, len(a), 256):
+            x = xa[lo: lo + 256]
+            rough = (x * x).sum(axis=1)[:, None] + nb[None, :] - 2.0 * x @ xb.T
+            limit = np.partition(rough, kk - 1, axis=1)[:, kk - 1]
+            # rounding of the rough distances is small against the squares that they come from
+            i, j = np.nonzero(rough <= (limit + 1e-9 * ((x * x).sum(axis=1) + nb.max()))[:, None])
+            d = np.sqrt(((x[i] - xb[j]) ** 2).sum(axis=1))
+            order = np.lexsort((place[j], d, i))
+            i, j, d = i[order], j[order], d[order]
+            first = np.searchsorted(i, np.arange(len(x)))
+            keep = np.arange(len(i)) - first[i] < kk
+            rid.append(a["_rid"].to_numpy()[lo + i[keep]])
+            dist.append(d[keep])
+            row.append(j[keep])
+        got = b.loc[np.concatenate(row), ["t", *carry]].reset_index(drop=True)
+        got.insert(0, "d", np.concatenate(dist))
+        got.insert(0, "_rid", np.concatenate(rid))
+        return got
+
+    kinds = {f.name: f.dataType.simpleString() for f in train.schema.fields}
+    schema = "_rid long, d double, t string" + "".join(f", {q(c)} {kinds[c]}" for c in carry)
+    parts = left.groupBy("_lb", "_rb").cogroup(right.groupBy("_lb", "_rb")).applyInPandas(near, schema)
+    best = F.row_number().over(Window.partitionBy("_rid").orderBy("d", "t"))
+    return parts.withColumn("_n", best).where(F.col("_n") <= k).drop("_n")
+
+
+def knn_join(train: DataFrame, test: DataFrame, features: list[str], label: str, *, key: list[str], task: str = "regression",
+             k: int = P.KNN_NEIGHBOURS, keep: list[str] | None = None) -> DataFrame:
+    """Predictions for every test row from its ``k`` nearest of all training rows: ``keep… , prediction`` (+ ``score``).
+
+    Rows without a whole set of coordinates have a null prediction.
+    """
+    keep = keep or []
+    rows = stored(test.withColumn("_rid", F.monotonically_increasing_id()))
+    given = train.where(F.col(q(label)).isNotNull()).withColumn("_y", F.col(q(label)).cast("double" if task == "regression" else "string"))
+    found = nearest_rows(given, rows, features, key=key, carry=["_y"], k=k)
+    # a zero distance wins outright
+    hit = F.min("d").over(Window.partitionBy("_rid")) == 0
+    weighed = found.withColumn("_hit", hit).withColumn("_w", F.when(F.col("_hit"), (F.col("d") == 0).cast("double")).otherwise(1.0 / F.col("d")))
+    if task == "regression":
+        out = weighed.groupBy("_rid").agg((F.sum(F.col("_w") * F.col("_y")) / F.sum("_w")).alias("prediction"))
+    else:
+        votes = weighed.groupBy("_rid", "_y").agg(F.sum("_w").alias("_w"))
+        classes = sorted(r[0] for r in given.select("_y").distinct().collect())  # one row per class
+        one = positive_class(classes)
+        share = F.sum(F.when(F.col("_y") == F.lit(classes[one]), F.col("_w")).otherwise(0.0)) / F.sum("_w") if one is not None else F.lit(0.0)
+        out = votes.groupBy("_rid").agg(F.min(F.struct((-F.col("_w")).alias("w"), F.col("_y").alias("y")))["y"].alias("prediction"), share.alias("score"))
+    return rows.select("_rid", *[q(c) for c in keep]).join(out, "_rid", "left").drop("_rid")
+
+
+class KnnModel:
+    """Training rows kept for prediction: all of them, or a seeded sample of ``max_rows``."""
+
+    def __init__(self, task: str, features: list[str], label: str, key: list[str], rows: DataFrame, *, k: int = P.KNN_NEIGHBOURS, max_rows: int | None = None):
+        self.task, self.features, self.label, self.key, self.rows, self.k, self.max_rows = task, features, label, key, rows, k, max_rows
+
+    def predict(self, df: DataFrame, keep: list[str]) -> DataFrame:
+        how = dict(key=self.key, task=self.task, k=self.k, keep=keep)
+        if self.max_rows is None:
+            return knn_join(self.rows, df, self.features, self.label, **how)
+        return knn_predict(self.rows, df, self.features, self.label, max_rows=self.max_rows, **how)
+
+    def save(self, spark, path: str) -> None:
+        import json
+
+        self.rows.select(*[q(c) for c in dict.fromkeys([*self.key, *self.features, self.label])]).write.mode("overwrite").parquet(f"{path}/rows")
+        facts = {x: getattr(self, x) for x in ("task", "features", "label", "key", "k", "max_rows")}
+        spark.createDataFrame([("knn", json.dumps(facts))], "kind string, model string").coalesce(1).write.mode("overwrite").json(f"{path}/model")
+
+    @staticmethod
+    def load(spark, path: str, text: str) -> "KnnModel":
+        import json
+
+        return KnnModel(rows=spark.read.parquet(f"{path}/rows"), **json.loads(text))

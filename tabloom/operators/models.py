@@ -1,9 +1,9 @@
 """Model registry and the train → predict → score step.
 
 Spark ML estimators carry the reference's hyper-parameters (mapped to
-Spark's loss scaling where they differ); kNN, AdaBoost and clustering
-quality are DataFrame jobs of their own (``knn``, ``boosting``,
-``cluster_quality``).  Features arrive as numeric columns (the encoder's
+Spark's loss scaling where they differ); kNN, AdaBoost, DBSCAN and
+clustering quality are DataFrame jobs of their own (``knn``, ``boosting``,
+``dbscan``, ``cluster_quality``).  Features arrive as numeric columns (the encoder's
 output) and are assembled into one vector column.
 """
 
@@ -26,13 +26,14 @@ from pyspark.ml.clustering import GaussianMixture, KMeans
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions.kinds import q
 from . import boosting, cluster_quality, knn
-from ..session import cut_lineage
+from .dbscan import dbscan
+from ..session import cut_lineage, stored
 from .metrics import classification_metrics, regression_metrics, roc_auc
 
 REGRESSION = "regression"
@@ -47,7 +48,27 @@ CLASSIFIERS = [
     "LogisticRegression", "KNeighborsClassifier", "DecisionTreeClassifier", "RandomForestClassifier",
     "AdaBoostClassifier", "GradientBoostingClassifier", "HistGradientBoostingClassifier", "GaussianNB", "LinearSVC",
 ]
-CLUSTERERS = ["KMeans", "GaussianMixture"]
+CLUSTERERS = ["KMeans", "GaussianMixture", "DBSCAN"]
+
+#: Names of parameters that are accepted besides Spark ML's own.
+_ALIASES = {
+    "max_depth": "maxDepth", "n_estimators": "numTrees", "learning_rate": "stepSize", "subsample": "subsamplingRate", "n_clusters": "k",
+    "n_components": "k", "n_neighbors": "k", "max_iter": "maxIter",
+}
+_BOOSTED = ("GradientBoostingRegressor", "HistGradientBoostingRegressor", "GradientBoostingClassifier", "HistGradientBoostingClassifier")
+
+
+def spark_params(name: str, params: dict | None) -> dict:
+    """``params`` by Spark ML's names; a name that the model doesn't have is an error there."""
+    alias = _ALIASES | ({"n_estimators": "maxIter"} if name in _BOOSTED else {})
+    return {alias.get(k, k): v for k, v in (params or {}).items()}
+
+
+def _known(name: str, params: dict | None, names: dict[str, str]) -> dict:
+    """``params`` under the names of this library's function; any other name is an error."""
+    if odd := set(params or {}) - set(names):
+        raise ValueError(f"{name} has no parameter {', '.join(sorted(odd))}")
+    return {names[k]: v for k, v in (params or {}).items()}
 
 
 @dataclass
@@ -65,20 +86,25 @@ def _label_stats(train: DataFrame, label: str):
     return row["n"], row["s"] or 0.0
 
 
-def estimator(name: str, task: str, *, seed: int, n: int = 1, sigma: float = 1.0, n_classes: int = 2):
-    """Spark ML estimator for a reference model name (M1–M21, M23 fallback)."""
+def estimator(name: str, task: str, *, seed: int, n: int = 1, sigma: float = 1.0, n_classes: int = 2, alpha: float | None = None, l1_ratio: float = 0.5):
+    """Spark ML estimator for a reference model name (M1–M21, M23 fallback).
+
+    ``alpha`` and ``l1_ratio`` are those of the reference's penalised linear models.
+    """
     fc, lc, pc = "features", "label", "prediction"
     if task == REGRESSION:
         if name == "LinearRegression":
             return LinearRegression(featuresCol=fc, labelCol=lc, regParam=0.0, solver="normal")
         if name == "Ridge":
-            reg = sigma / n if sigma > 0 else 1.0 / n
+            reg = (1.0 if alpha is None else alpha) * (sigma / n if sigma > 0 else 1.0 / n)
             return LinearRegression(featuresCol=fc, labelCol=lc, regParam=reg, elasticNetParam=0.0, standardization=False, solver="normal")
         if name == "Lasso":
-            return LinearRegression(featuresCol=fc, labelCol=lc, regParam=0.1, elasticNetParam=1.0, standardization=False, maxIter=1000)
+            return LinearRegression(featuresCol=fc, labelCol=lc, regParam=0.1 if alpha is None else alpha, elasticNetParam=1.0, standardization=False, maxIter=1000)
         if name == "ElasticNet":
-            lam = 0.05 + sigma * 0.05
-            return LinearRegression(featuresCol=fc, labelCol=lc, regParam=lam, elasticNetParam=0.05 / lam, standardization=False, maxIter=1000)
+            a = 0.1 if alpha is None else alpha
+            one, two = a * l1_ratio, a * (1 - l1_ratio) * sigma
+            lam = one + two
+            return LinearRegression(featuresCol=fc, labelCol=lc, regParam=lam, elasticNetParam=one / lam if lam else 0.0, standardization=False, maxIter=1000)
         if name == "DecisionTreeRegressor":
             return DecisionTreeRegressor(featuresCol=fc, labelCol=lc, maxDepth=8, seed=seed)
         if name == "GradientBoostingRegressor":
@@ -114,20 +140,25 @@ def train_and_evaluate(name: str, task: str, train: DataFrame, val: DataFrame, f
 
     Classification labels are indexed by their text in sorted order; the
     predictions table holds ``key…, y, p`` (and ``score`` = P(positive class)
-    for binary tasks).  ``params`` are set on the estimator by Spark ML's own
-    parameter names; for kNN ``k`` and ``max_rows``.
+    for binary tasks).  ``params`` are Spark ML's parameter names or the
+    reference's (``n_estimators``, ``max_depth``, ...); a name that the model
+    doesn't have raises an error.
     """
     t0 = time.perf_counter()
     if task == CLUSTERING:
-        return _cluster(name, train, val, features, key, seed)
-    if name in ("KNeighborsRegressor", "KNeighborsClassifier"):
-        def predict(d: DataFrame) -> DataFrame:
-            pred = knn.knn_predict(train, d, features, label, key=key, task=task, keep=key + [label], seed=seed, **(params or {}))
-            return pred.withColumnRenamed(label, "y").withColumnRenamed("prediction", "p")
-
-        model = None
-    elif name in ("AdaBoostClassifier", "AdaBoostRegressor"):
-        model = boosting.fit_adaboost(train, features, label, task=task, seed=seed)
+        return _cluster(name, train, val, features, key, seed, params)
+    if name in ("KNeighborsRegressor", "KNeighborsClassifier", "AdaBoostClassifier", "AdaBoostRegressor"):
+        if name.startswith("K"):
+            own = _known(name, params, {"k": "k", "n_neighbors": "k", "max_rows": "max_rows"})
+            # the classifier's sample is the reference's; the regressor takes all rows
+            rows = train if "max_rows" in own or task == REGRESSION else None
+            most = own.pop("max_rows", None if rows is not None else P.KNN_MAX_TRAIN)
+            if most is not None:
+                train = stored(knn.sample_train(train.select(*[q(c) for c in dict.fromkeys([*key, *features, label])]), key, max_rows=most, seed=seed))
+            model = knn.KnnModel(task, features, label, key, train, max_rows=most, **own)
+        else:
+            own = _known(name, params, {"n_estimators": "rounds", "rounds": "rounds", "learning_rate": "learning_rate", "max_depth": "max_depth"})
+            model = boosting.fit_adaboost(train, features, label, task=task, seed=seed, **own)
 
         def predict(d: DataFrame) -> DataFrame:
             return model.predict(d, keep=key + [label]).withColumnRenamed(label, "y").withColumnRenamed("prediction", "p")
@@ -169,14 +200,17 @@ def _spark_ml(name, task, train, features, label, key, seed, params):
         lab = mapping[F.col(q(label)).cast("string")]
         n, sigma = train.count(), 0.0
         est = estimator(name, task, seed=seed, n=n, n_classes=len(classes))
+        own = spark_params(name, params)
     else:
         lab = F.col(q(label)).cast("double")
         n, sigma = _label_stats(train, label)
-        est = estimator(name, task, seed=seed, n=n, sigma=sigma)
+        own = spark_params(name, params)
+        linear = {k: own.pop(k) for k in ("alpha", "l1_ratio") if k in own and name in ("Ridge", "Lasso", "ElasticNet")}
+        est = estimator(name, task, seed=seed, n=n, sigma=sigma, **linear)
         classes = None
     tr = train.select(*[F.col(q(c)).cast("double").alias(c) for c in features], lab.alias("label")).where(F.col("label").isNotNull())
     base = est.getClassifier() if isinstance(est, OneVsRest) else est
-    base.setParams(**(params or {}))
+    base.setParams(**own)
     model = Pipeline(stages=[_assembler(features), est]).fit(tr)
 
     def predict(d: DataFrame) -> DataFrame:
@@ -195,19 +229,40 @@ def _spark_ml(name, task, train, features, label, key, seed, params):
     return predict, model
 
 
-def _cluster(name, train, val, features, key, seed):
+def _cluster(name, train, val, features, key, seed, params):
     t0 = time.perf_counter()
     tr = train.select(*[q(k) for k in key], *[F.col(q(c)).cast("double").alias(c) for c in features])
-    model = Pipeline(stages=[_assembler(features), estimator(name, CLUSTERING, seed=seed)]).fit(tr)
+    if name == "DBSCAN":
+        own = _known(name, params, {"eps": "eps", "min_samples": "min_samples"})
+        found = stored(dbscan(tr, features, key=key, **own))
+        model = None
+        labelled = tr.join(found.select(*[F.col(q(k)).alias(f"_k{i}") for i, k in enumerate(key)], F.col("cluster").cast("int").alias("cluster")),
+                           _same_key(key), "left").drop(*[f"_k{i}" for i in range(len(key))])
+
+        def predict(d: DataFrame) -> DataFrame:
+            """Clusters of the rows that were clustered; the method has no rule for others, which get -1."""
+            near = found.select(*[F.col(q(k)).alias(f"_k{i}") for i, k in enumerate(key)], F.col("cluster").cast("int").alias("_c"))
+            return d.select(*[q(k) for k in key]).join(near, _same_key(key), "left").select(*[q(k) for k in key], F.coalesce("_c", F.lit(-1)).alias("p"))
+    else:
+        est = estimator(name, CLUSTERING, seed=seed)
+        est.setParams(**spark_params(name, params))
+        model = Pipeline(stages=[_assembler(features), est]).fit(tr)
+        labelled = model.transform(tr).select(*[q(k) for k in key], *features, F.col("prediction").cast("int").alias("cluster"))
+
+        def predict(d: DataFrame) -> DataFrame:
+            rows = d.select(*[q(k) for k in key], *[F.col(q(c)).cast("double").alias(c) for c in features])
+            return model.transform(rows).select(*[q(k) for k in key], F.col("prediction").cast("int").alias("p"))
+
     seconds = round(time.perf_counter() - t0, 4)
-    labelled = model.transform(tr).select(*[q(k) for k in key], *features, F.col("prediction").cast("int").alias("cluster"))
     metrics = cluster_quality.clustering_scores(labelled, features, "cluster")
+    return TrainResult(name, model, predict, predict(val), metrics, seconds)
 
-    def predict(d: DataFrame) -> DataFrame:
-        rows = d.select(*[q(k) for k in key], *[F.col(q(c)).cast("double").alias(c) for c in features])
-        return model.transform(rows).select(*[q(k) for k in key], F.col("prediction").cast("int").alias("p"))
 
-    return TrainResult(name, model, predict, predict(val), metrics, seconds)
+def _same_key(key: list[str]):
+    out = F.lit(True)
+    for i, k in enumerate(key):
+        out = out & F.col(q(k)).eqNullSafe(F.col(f"_k{i}"))
+    return out
 
 
 def leaderboard_row(res: TrainResult, task: str) -> DataFrame:
@@ -223,23 +278,38 @@ def model_file_name(rank: int, name: str) -> str:
 
 
 def save_top_models(results: dict, leaderboard: DataFrame, root: str) -> dict[str, str]:
-    """Save the ranked Spark ML models and the best one under ``root`` (V17);
-    returns name → path.  kNN keeps no fitted model (its sample is the data)."""
-    paths = {}
+    """Save the ranked models and the best one under ``root`` (V17); returns name → path.
+
+    Spark ML pipelines as such, AdaBoost as its trees' rules, kNN as its
+    rows; DBSCAN has no model beyond its labels.
+    """
+    spark, paths = leaderboard.sparkSession, {}
+
+    def save(model, path: str) -> None:
+        if hasattr(model, "write"):
+            model.write().overwrite().save(path)
+        else:
+            model.save(spark, path)
+
     for row in leaderboard.orderBy("rank").collect():
-        res = results[row["model_name"]]
-        if res.model is None or not hasattr(res.model, "write"):
+        model = results[row["model_name"]].model
+        if model is None:
             continue
         path = f"{root}/{model_file_name(row['rank'], row['model_name'])}"
-        res.model.write().overwrite().save(path)
+        save(model, path)
         paths[row["model_name"]] = path
         if row["rank"] == 1:
-            res.model.write().overwrite().save(f"{root}/best_model")
+            save(model, f"{root}/best_model")
     return paths
 
 
-def load_model(path: str):
-    """Reload a saved model."""
+def load_model(path: str, spark: SparkSession | None = None):
+    """Reload a saved model (V17): a Spark ML pipeline, an ``AdaBoostModel`` or a ``KnnModel``."""
     from pyspark.ml import PipelineModel
 
-    return PipelineModel.load(path)
+    spark = spark or SparkSession.getActiveSession()
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/model")
+    if not folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
+        return PipelineModel.load(path)
+    row = spark.read.schema("kind string, model string").json(f"{path}/model").first()
+    return boosting.AdaBoostModel.from_json(row["model"]) if row["kind"] == "adaboost" else knn.KnnModel.load(spark, path, row["model"])
