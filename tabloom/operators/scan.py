@@ -21,11 +21,12 @@ from contextlib import contextmanager
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.kinds import CATEGORICAL, NUMERIC, as_text, column_kinds, q
 from ..functions.patterns import PLACEHOLDER_NULLS
 from ..functions.stats import sample_kurtosis, sample_skewness
-from .orderstats import approx_quantiles_long, quantiles_long
+from .orderstats import approx_quantiles_long, quantiles_long, typed_quantiles
 
 
 def column_moments(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
@@ -114,24 +115,24 @@ def unpivot_text(df: DataFrame, cols: list[str]) -> DataFrame:
     return df.select(F.explode(arr).alias("s")).select("s.column", "s.value")
 
 
-DIGEST_ABOVE_BYTES = 64
-
+def unpivot_digest(df: DataFrame, cols: list[str]) -> DataFrame:
+    """(column, value) with a 128-bit digest of every typed value; null for nulls."""
+    def digest(c: str):
+        x = F.col(q(c))
+        if isinstance(df.schema[c].dataType, (T.MapType, T.VariantType)):  # have no hash
+            x = F.to_json(x)
+        return F.when(x.isNotNull(), F.struct(F.xxhash64(x).alias("a"), F.xxhash64(F.lit(7), x).alias("b")))
 
-def value_key(v):
-    """A value's text, or for text longer than 64 bytes its md5 digest (marked
-    with a leading \\u0001), so counting distinct long texts shuffles 33 bytes
-    per value instead of the text."""
-    return F.when(F.octet_length(v) > DIGEST_ABOVE_BYTES, F.concat(F.lit("\u0001"), F.md5(v))).otherwise(v)
+    arr = F.array(*[F.struct(F.lit(c).alias("column"), digest(c).alias("value")) for c in cols])
+    return df.select(F.explode(arr).alias("s")).select("s.column", "s.value")
 
 
 def value_counts(df: DataFrame, cols: list[str] | None = None, *, digest: bool = False) -> DataFrame:
     """``(column, value, count)`` for every value of every column, nulls included
-    as a null ``value``.  With ``digest`` long texts are keyed by their md5
+    as a null ``value``.  With ``digest`` values are keyed by 128-bit digests
     (for distinct counts only: the keys are not the values)."""
     cols = list(df.columns) if cols is None else cols
-    u = unpivot_text(df, cols)
-    if digest:
-        u = u.select("column", value_key(F.col("value")).alias("value"))
+    u = unpivot_digest(df, cols) if digest else unpivot_text(df, cols)
     return u.groupBy("column", "value").agg(F.count(F.lit(1)).alias("count"))
 
 
@@ -155,10 +156,32 @@ def top_k(counts: DataFrame, k: int, *, with_nulls: bool = False) -> DataFrame:
     return c.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("column", "rank", "value", "count")
 
 
+def _beyond_double(df: DataFrame, cols: list[str]) -> list[str]:
+    """Integer and decimal columns with values of more than 53 bits."""
+    kinds = {c: df.schema[c].dataType for c in cols}
+    wide = [c for c, k in kinds.items() if isinstance(k, T.LongType) or isinstance(k, T.DecimalType) and k.precision > 15]
+    if not wide:
+        return []
+    units = lambda c: F.max(F.abs(F.col(q(c)).cast("double")) * float(10 ** getattr(kinds[c], "scale", 0)))
+    most = df.agg(*[units(c).alias(f"m{i}") for i, c in enumerate(wide)]).first()
+    return [c for c, m in zip(wide, most, strict=True) if m is not None and m >= 2.0**53]
+
+
 def column_quantiles(df: DataFrame, cols: list[str], probs: list[float], *, approx: bool = False) -> DataFrame:
-    """``(column, p, value)`` for each numeric column and probability."""
+    """``(column, p, value)`` for each numeric column and probability.
+
+    Exact quantiles of integers beyond 2^53 and of decimals that a double
+    can't hold are found among the values themselves; only the result is
+    rounded to a double.
+    """
     if not cols:
         return df.sparkSession.createDataFrame([], "column string, p double, value double")
+    if not approx and (exact := _beyond_double(df, cols)):
+        out = column_quantiles(df, [c for c in cols if c not in exact], probs)
+        for c in exact:
+            own = typed_quantiles(df, c, probs)
+            out = out.unionByName(own.select(F.lit(c).alias("column"), "p", F.col("value").cast("double").alias("value")))
+        return out
     arr = F.array(*[F.struct(F.lit(c).alias("g"), F.col(q(c)).cast("double").alias("v")) for c in cols])
     long = df.select(F.explode(arr).alias("s")).select("s.g", "s.v")
     fn = approx_quantiles_long if approx else quantiles_long
