@@ -4,30 +4,32 @@ The result is one DataFrame with a ``split`` column (``train``/``val``/
 ``test``); X and y are projections of it.  Membership is decided by a rank
 cut: rows are ordered by a key (seeded md5 of the row key for random
 splits, time for temporal ones), and the cut ranks per class come from the
-scikit-learn size rules.  The value at each cut rank is found with the exact
-order-statistics primitive, so no task ever sorts a whole class; only rows
-tied with a cut value are ranked among themselves.
+scikit-learn size rules.  The values at the cut ranks are found with the exact
+order-statistics primitive; a row's split is a comparison with them.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import DataLoadError
 from ..functions import patterns as P
 from ..functions.kinds import q
-from ..session import cut_lineage
-from .orderstats import EXACT_ROWS, group_bounds, select_ranks
+from .ordering import placed, shifted
+from .orderstats import group_bounds, select_ranks
+
+
+def _marked(c: Column) -> Column:
+    return F.coalesce(c.cast("string"), F.lit("~"))
 
 
 def seeded_order(keys: list[str], seed: int) -> Column:
     """52-bit order key from md5 of the row key and the seed (the same in DuckDB:
     ``('0x' || left(md5(key || '|' || seed), 13))::BIGINT``)."""
-    txt = F.concat_ws("|", *[F.col(q(k)).cast("string") for k in keys], F.lit(str(seed)))
+    txt = F.concat_ws("|", *[_marked(F.col(q(k))) for k in keys], F.lit(str(seed)))
     return F.conv(F.substring(F.md5(txt), 1, 13), 16, 10).cast("long")
 
 
@@ -49,115 +51,82 @@ def approximate_mode(counts: dict, n_draws: int) -> dict:
 
 
 def md5_key(cols: list[Column]) -> Column:
-    """52-bit key from md5 of the '|'-joined text of ``cols`` (reproducible in SQL)."""
-    return F.conv(F.substring(F.md5(F.concat_ws("|", *[c.cast("string") for c in cols])), 1, 13), 16, 10).cast("long")
+    """52-bit key from md5 of the '|'-joined text of ``cols`` (reproducible in SQL); a null is '~'."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *[_marked(c) for c in cols])), 1, 13), 16, 10).cast("long")
 
 
 def rank_below(df: DataFrame, group: Column, order: Column, tiebreak: list[Column], cuts,
                tie_key: Column | None = None) -> DataFrame:
     """Add ``_below_<i>`` booleans: the row's rank within its group (by
-    ``order``, then ``tiebreak``) is under the i-th cut of its group.
+    ``order``, then ``tie_key``, then ``tiebreak``) is under the i-th cut of its group.
 
     ``cuts`` maps group → list of cut ranks, or is a function of the group
     sizes returning that map.  The value at each cut rank comes from the
-    order-statistics primitive; rows strictly under it are below the cut.
-    Rows equal to a cut value are cut again on a second key (md5 of the
-    tie-break columns, or ``tie_key``) with the same primitive, so even a hot
-    tie group (a third of the rows at one timestamp) is never sorted in one
-    task; only rows that also share that key are numbered among themselves
-    by the tie-break columns.  All cuts are handled in the same passes.
+    order-statistics primitive, and among the rows that share it (perhaps
+    a third of all rows, at one timestamp) the same primitive finds the
+    ``tie_key`` at the rank that is left (md5 of the tie-break columns by
+    default).  A row's flag is then a comparison of its own two values
+    with these: a projection, without a sort, a window or a copy of the
+    table.  Only rows that share both values with a cut that runs through
+    them (rows of one key, or equal ones) are numbered: range-partitioned
+    by the tie-break columns, with the sizes of the partitions as offsets,
+    so they may be any number as well.
     """
-    spark = df.sparkSession
-    base_cols = df.columns
-    d = df.withColumn("_g", group.cast("string")).withColumn("_v", order.cast("double")).persist(StorageLevel.MEMORY_AND_DISK)
-    tb_cols = [f"_tb{i}" for i in range(len(tiebreak))]
+    spark, base = df.sparkSession, df.columns
+    key = tie_key if tie_key is not None else md5_key(tiebreak)
+    order = order if dict(df.select(order.alias("v")).dtypes)["v"] == "bigint" else order.cast("double")
+    d = df.withColumns({"_g": group.cast("string"), "_v": order, "_h": key})
     gv = d.select(F.col("_g").alias("g"), F.col("_v").alias("v")).where(F.col("v").isNotNull())
     bounds = group_bounds(gv)
     if callable(cuts):
-        try:
-            cuts = cuts({g: b[0] for g, b in bounds.items()})
-        except Exception:
-            d.unpersist()
-            raise
+        cuts = cuts({g: b[0] for g, b in bounds.items()})
     n_cuts = max((len(c) for c in cuts.values()), default=0)
-    targets = [(g, c) for g, cs in cuts.items() for c in cs if g in bounds and 0 <= c < bounds[g][0]]
-    vals = {(row["g"], row["r"]): row["value"] for row in select_ranks(gv, bounds, targets).collect()} if targets else {}
-
-    # one row per group: threshold value and "whole group below" flag per cut
-    rows = []
-    for g, cs in cuts.items():
-        ts = [float(vals[(g, cs[i])]) if i < len(cs) and (g, cs[i]) in vals else None for i in range(n_cuts)]
-        alls = [bool(i < len(cs) and g in bounds and cs[i] >= bounds[g][0]) for i in range(n_cuts)]
-        rows.append((g, *ts, *alls))
-    schema = ", ".join(["_g string"] + [f"_t{i} double" for i in range(n_cuts)] + [f"_a{i} boolean" for i in range(n_cuts)])
-    x = d.join(F.broadcast(spark.createDataFrame(rows, schema)), "_g", "left")
-    t = [F.col(f"_t{i}") for i in range(n_cuts)]
-    a = [F.coalesce(F.col(f"_a{i}"), F.lit(False)) for i in range(n_cuts)]
-    lt_row = x.groupBy("_g").agg(*[F.count_if(F.col("_v") < t[i]).alias(f"lt{i}") for i in range(n_cuts)],
-                                 *[F.count_if(F.col("_v") == t[i]).alias(f"eq{i}") for i in range(n_cuts)]).collect()
-    lt = {(r_["_g"], i): r_[f"lt{i}"] for r_ in lt_row for i in range(n_cuts)}
-    small_ties = all(r_[f"eq{i}"] <= EXACT_ROWS for r_ in lt_row for i in range(n_cuts))
-    need = {(g, i): cs[i] - lt.get((g, i), 0) for g, cs in cuts.items() for i in range(len(cs))
-            if (g, cs[i]) in vals and cs[i] - lt.get((g, i), 0) > 0}
-
-    tied = [F.coalesce(F.col("_v") == t[i], F.lit(False)) for i in range(n_cuts)]
-    any_tie = F.lit(False)
-    for c in tied:
-        any_tie = any_tie | c
-    plain = x.where(~any_tie).select(*base_cols, *[(a[i] | F.coalesce(F.col("_v") < t[i], F.lit(False))).alias(f"_below_{i}") for i in range(n_cuts)])
-
-    ties = x.where(any_tie)
-    for name, tb in zip(tb_cols, tiebreak):
-        ties = ties.withColumn(name, tb)
-    ties = ties.withColumn("_h2", (tie_key if tie_key is not None else md5_key([F.col(c) for c in tb_cols])).cast("double"))
-    ties = ties.persist(StorageLevel.MEMORY_AND_DISK)
-    hv, k2 = {}, {}
-    if need and small_ties:
-        # every tie group is small: rank tied rows directly by (md5 key, tie-break), one bounded window each
-        nrows = [(g, *[int(need.get((g, i), 0)) for i in range(n_cuts)]) for g in cuts]
-        ties = ties.join(F.broadcast(spark.createDataFrame(nrows, ", ".join(["_g string"] + [f"_N{i} long" for i in range(n_cuts)]))), "_g", "left")
-        flags = []
-        for i in range(n_cuts):
-            rn = F.row_number().over(Window.partitionBy("_g", tied[i]).orderBy("_h2", *tb_cols))
-            below = a[i] | F.coalesce(F.col("_v") < t[i], F.lit(False)) | (tied[i] & (rn <= F.coalesce(F.col(f"_N{i}"), F.lit(0))))
-            flags.append(below.alias(f"_below_{i}"))
-        out = cut_lineage(plain.unionByName(ties.select(*base_cols, *flags)))
-        ties.unpersist()
-        d.unpersist()
-        return out
+    asked = [(g, c) for g, cs in cuts.items() for c in cs if g in bounds and 0 <= c < bounds[g][0]]
+    values = {(row["g"], row["r"]): row["value"] for row in select_ranks(gv, bounds, asked).collect()} if asked else {}
+    kind = dict(gv.dtypes)["v"]
+
+    # one row per group: the value at each cut, and whether the whole group is below it
+    at = {(g, i): values.get((g, c)) for g, cs in cuts.items() for i, c in enumerate(cs)}
+    whole = {(g, i): g in bounds and c >= bounds[g][0] for g, cs in cuts.items() for i, c in enumerate(cs)}
+    each = lambda facts, none=None: [(g, *[facts.get((g, i), none) for i in range(n_cuts)]) for g in cuts]
+    known = lambda rows, stem, kind: F.broadcast(spark.createDataFrame(rows, ", ".join(["_g string"] + [f"_{stem}{i} {kind}" for i in range(n_cuts)])))
+    x = d.join(known(each(at), "t", kind), "_g", "left").join(known(each(whole, False), "a", "boolean"), "_g", "left")
+    col = lambda stem, i: F.col(f"_{stem}{i}")
+    sure = lambda c: F.coalesce(c, F.lit(False))
+    less = [sure(F.col("_v") < col("t", i)) for i in range(n_cuts)]
+    tied = [sure(F.col("_v") == col("t", i)) for i in range(n_cuts)]
+    under = {r["_g"]: r for r in x.groupBy("_g").agg(*[F.count_if(c).alias(f"n{i}") for i, c in enumerate(less)]).collect()} if n_cuts else {}
+    need = {(g, i): c - under[g][f"n{i}"] for g, cs in cuts.items() for i, c in enumerate(cs) if at[g, i] is not None and c > under[g][f"n{i}"]}
+
+    # among the rows tied with a cut: the key at the rank that is left, and what is left of that
+    keys, left = {}, {}
     if need:
-        tl = None
-        for i in range(n_cuts):
-            part = ties.where(tied[i]).select(F.concat_ws("#", F.col("_g"), F.lit(str(i))).alias("g"), F.col("_h2").alias("v"))
-            tl = part if tl is None else tl.unionByName(part)
-        b2 = group_bounds(tl)
-        h2 = select_ranks(tl, b2, [(f"{g}#{i}", k) for (g, i), k in need.items()]).collect()
-        hv = {tuple(r_["g"].rsplit("#", 1)): r_["value"] for r_ in h2}
-    hrows = [(g, *[hv.get((g, str(i))) for i in range(n_cuts)]) for g in cuts]
-    hschema = ", ".join(["_g string"] + [f"_H{i} double" for i in range(n_cuts)])
-    ties = ties.join(F.broadcast(spark.createDataFrame(hrows, hschema)), "_g", "left")
-    H = [F.col(f"_H{i}") for i in range(n_cuts)]
-    if need:
-        lt2_row = ties.groupBy("_g").agg(*[F.count_if(tied[i] & (F.col("_h2") < H[i])).alias(f"l{i}") for i in range(n_cuts)]).collect()
-        lt2 = {(r_["_g"], i): r_[f"l{i}"] for r_ in lt2_row for i in range(n_cuts)}
-        k2 = {(g, i): k - lt2.get((g, i), 0) for (g, i), k in need.items()}
-    krows = [(g, *[int(k2.get((g, i), 0)) for i in range(n_cuts)]) for g in cuts]
-    kschema = ", ".join(["_g string"] + [f"_K{i} long" for i in range(n_cuts)])
-    ties = ties.join(F.broadcast(spark.createDataFrame(krows, kschema)), "_g", "left")
-    flags = []
+        x = x.join(known(each({k: True for k in need}, False), "need", "boolean"), "_g", "left")
+        name = lambda i: F.when(tied[i] & col("need", i), F.concat_ws("#", F.col("_g"), F.lit(str(i))))
+        ties = x.select(F.explode(F.array(*[name(i) for i in range(n_cuts)])).alias("g"), F.col("_h").alias("v")).where("g IS NOT NULL AND v IS NOT NULL")
+        found = select_ranks(ties, group_bounds(ties), [(f"{g}#{i}", k) for (g, i), k in need.items()]).collect()
+        names = {f"{g}#{i}": (g, i) for g, i in need}
+        keys = {names[r["g"]]: r["value"] for r in found}
+        at_key = spark.createDataFrame([(n, keys[k]) for n, k in names.items()], "g string, h long")
+        before = {names[r["g"]]: r["n"] for r in ties.join(F.broadcast(at_key), "g").groupBy("g").agg(F.count_if(F.col("v") < F.col("h")).alias("n")).collect()}
+        left = {k: n - before[k] for k, n in need.items() if n > before[k]}
+    x = x.join(known(each(keys), "h", "long"), "_g", "left").join(known(each(left, 0), "k", "long"), "_g", "left")
+    same = [tied[i] & sure(F.col("_h") == col("h", i)) for i in range(n_cuts)]
+    flag = lambda i: (sure(col("a", i)) | less[i] | (tied[i] & sure(F.col("_h") < col("h", i))) | (same[i] & sure(F.col("_n") < col("k", i)))).alias(f"_below_{i}")
+    cut_through = F.lit(False)
     for i in range(n_cuts):
-        eq = tied[i] & F.coalesce(F.col("_h2") == H[i], F.lit(False))
-        rn = F.row_number().over(Window.partitionBy("_g", eq).orderBy(*tb_cols))
-        below = a[i] | F.coalesce(F.col("_v") < t[i], F.lit(False)) | (tied[i] & F.coalesce(F.col("_h2") < H[i], F.lit(False))) \
-            | (eq & (rn <= F.coalesce(F.col(f"_K{i}"), F.lit(0))))
-        flags.append(below.alias(f"_below_{i}"))
-    tie_out = ties.select(*base_cols, *flags)
-    # the cut is written to the shared checkpoint folder: later stages read a
-    # fixed membership, and the persisted inputs can be released
-    out = cut_lineage(plain.unionByName(tie_out))
-    ties.unpersist()
-    d.unpersist()
-    return out
+        cut_through = cut_through | (same[i] & (col("k", i) > 0))
+    flags = [flag(i) for i in range(n_cuts)]
+    if not left:
+        return x.withColumn("_n", F.lit(None).cast("long")).select(*base, *flags)
+    plain = x.where(~cut_through).withColumn("_n", F.lit(None).cast("long")).select(*base, *flags)
+    names = [f"_tb{i}" for i in range(len(tiebreak))]
+    rows, sizes = placed(x.where(cut_through).withColumns(dict(zip(names, tiebreak, strict=True))), [F.col(c) for c in ["_g", "_v", "_h", *names]])
+    before, _ = shifted(sizes)
+    rows = rows.withColumn("_at", before + F.col("_pos"))
+    first = rows.groupBy("_g", "_v", "_h").agg(F.min("_at").alias("_first"))  # a row for each cut at most
+    numbered = rows.join(F.broadcast(first), ["_g", "_v", "_h"]).withColumn("_n", F.col("_at") - F.col("_first"))
+    return plain.unionByName(numbered.select(*base, *flags))
 
 
 def split_sizes(n: int, test_size: float, val_size: float) -> tuple[int, int, int]:
@@ -235,8 +204,12 @@ def temporal_split(df: DataFrame, target: str, time_column: str, *, test_size: f
         from .clean import parse_time
 
         t, kind = parse_time(t, df.schema[time_column].dataType), "timestamp"
-    micros = F.unix_micros(t.cast("timestamp")) if kind in ("timestamp", "timestamp_ntz", "date") else t
-    order = F.coalesce(micros.cast("double"), F.lit(float("inf")))
+    if kind in ("timestamp", "timestamp_ntz", "date"):
+        order = F.coalesce(F.unix_micros(t.cast("timestamp")), F.lit((1 << 63) - 1))
+    elif kind in ("tinyint", "smallint", "int", "bigint"):
+        order = F.coalesce(t.cast("long"), F.lit((1 << 63) - 1))
+    else:
+        order = F.coalesce(t.cast("double"), F.lit(float("inf")))
     keys = tiebreak or [c for c in df.columns if c != time_column]
     tb = [F.col(q(k)).cast("string") for k in keys] + [F.col(q(k)).cast("string") for k in df.columns if k != time_column and k not in keys]
     out = rank_below(df, F.lit("all"), order, tb, cuts, tie_key=md5_key([F.col(q(k)) for k in keys]))

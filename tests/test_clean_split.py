@@ -75,13 +75,34 @@ def test_leakage(spark):
     assert ("row_overlap", None) in checks
 
 
-def test_split_ties_two_level(spark, monkeypatch):
-    # force the large-tie path (second md5-key cut) and compare with the direct path
+def test_split_ties_by_key_and_by_row(spark, monkeypatch):
+    """A cut through rows of one time, of one key, and of equal rows: sizes stay exact, the order is that of a full sort."""
+    from tabloom.operators import orderstats as O
+
     rows = [(i % 7, 0 if i < 300 else i, float(i)) for i in range(400)]
     df = spark.createDataFrame(rows, "k bigint, t bigint, y double")
-    direct = S.temporal_split(df, "y", "t", tiebreak=["k", "y"])
-    monkeypatch.setattr(S, "EXACT_ROWS", 5)
-    two_level = S.temporal_split(df, "y", "t", tiebreak=["k", "y"])
-    sizes = {r["split"]: r["count"] for r in two_level.groupBy("split").count().collect()}
-    assert sizes == {"train": 260, "val": 60, "test": 80}
-    assert direct.exceptAll(two_level).count() == 0
+    for keys in (["k", "y"], ["k"]):
+        got = {(r["k"], r["t"], r["y"]): r["split"] for r in S.temporal_split(df, "y", "t", tiebreak=keys).collect()}
+        text = "|".join("{" + c + "}" for c in keys)
+        import hashlib
+
+        def order(r, text=text):
+            own = {"k": r[0], "t": r[1], "y": r[2]}
+            rest = [str(own[c]) for c in [*keys, *(c for c in ("k", "y") if c not in keys)]]  # noqa: B023
+            return r[1], int(hashlib.md5(text.format(**own).encode()).hexdigest()[:13], 16), rest
+
+        want = sorted(rows, key=order)
+        assert [got[r] for r in want] == ["train"] * 260 + ["val"] * 60 + ["test"] * 80
+    same = spark.createDataFrame([(1, 1, 1.0)] * 200 + [(2, 2, 2.0)] * 50, "k bigint, t bigint, y double")
+    sizes = {(r["split"], r["k"]): r["count"] for r in S.temporal_split(same, "y", "t").groupBy("split", "k").count().collect()}
+    assert sizes == {("train", 1): 163, ("val", 1): 37, ("test", 2): 50}
+    nulls = spark.createDataFrame([(i, None if i % 3 else i, 1.0) for i in range(90)], "k bigint, t bigint, y double")
+    late = S.temporal_split(nulls, "y", "t", tiebreak=["k"]).where("split = 'test'")
+    assert late.count() == 18 and late.where("t IS NOT NULL").count() == 0
+
+
+def test_split_of_a_hot_time_needs_no_window(spark):
+    df = spark.range(3000).selectExpr("id AS k", "CASE WHEN id % 3 = 0 THEN 5 ELSE id END AS t", "1.0D AS y")
+    s = S.temporal_split(df, "y", "t", tiebreak=["k"])
+    plan = s._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Sort" not in plan and s.groupBy("split").count().count() == 3
