@@ -200,3 +200,31 @@ def q_profile_text_orders(spark, sf_dir):
 
 
 QUERIES["profile_text_orders"] = q_profile_text_orders
+
+
+#: Columns whose values no double holds: integers beyond 2^53 and decimals of 30 digits; and times.
+_EXACT = {
+    "wide_long": ("o_orderkey * 1000003 + 9007199254740993", "o_orderkey * 1000003 + 9007199254740993"),
+    "wide_decimal": ("CAST(o_orderkey AS DECIMAL(30, 4)) + 12345678901234567890123456.1234", "CAST(o_orderkey AS DECIMAL(30, 4)) + 12345678901234567890123456.1234"),
+    "negative": ("-9007199254740993 - o_custkey", "-9007199254740993 - o_custkey"),
+}
+
+
+def q_exact_quantiles_orders(spark, sf_dir):
+    """Quartiles (P9, E5) of values beyond doubles, exact to the last digit."""
+    from functools import reduce
+
+    from ...operators.orderstats import typed_quantiles
+
+    o = table(spark, sf_dir, "orders").selectExpr(*[f"{e} AS {c}" for c, (e, _) in _EXACT.items()])
+    parts = [typed_quantiles(o, c, [0.25, 0.5, 0.75]).select(F.lit(c).alias("col_name"), "p", F.col("value").cast("decimal(38,6)").cast("string").alias("value")) for c in _EXACT]
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+QUERIES["exact_quantiles_orders"] = q_exact_quantiles_orders
+ORACLE["exact_quantiles_orders"] = "WITH " + ", ".join(
+    f"v_{c} AS (SELECT CAST({e} AS DECIMAL(38, 6)) AS v, row_number() OVER (ORDER BY {e}) - 1 AS r, count(*) OVER () - 1 AS n FROM orders)" for c, (_, e) in _EXACT.items()
+) + " " + " UNION ALL ".join(
+    f"SELECT '{c}' AS col_name, CAST({k / 4} AS DOUBLE) AS p, CAST(CAST(min(v) + (max(v) - min(v)) * CAST(any_value(n * {k} % 4) * 0.25 AS DECIMAL(3, 2)) AS DECIMAL(38, 6)) AS VARCHAR) AS value "
+    f"FROM v_{c} WHERE r = n * {k} // 4 OR r = (n * {k} + 3) // 4" for c in _EXACT for k in (1, 2, 3)
+)

@@ -153,3 +153,35 @@ c AS ({" UNION ALL ".join(f"SELECT '{c}' AS col_name, corr({c} - {1.7e9 if c ==
 o AS (SELECT count(*) AS o FROM (SELECT {", ".join(_OFFSET_FEATS)} FROM train INTERSECT SELECT {", ".join(_OFFSET_FEATS)} FROM test)), t AS (SELECT count(*) AS t FROM test)
 SELECT 'target_proxy' AS "check", col_name, 'critical' AS severity, {r('rr')} AS value FROM c WHERE abs(rr) >= {P.LEAKAGE_MIN_ABS_R}
 UNION ALL SELECT 'row_overlap', NULL, CASE WHEN o * 100.0 / t > {P.CONTAMINATION_CRITICAL_PCT} THEN 'critical' ELSE 'warning' END, {r('o')} FROM o, t WHERE o > 0"""
+
+
+def q_split_hot_time_lineitem(spark, sf_dir):
+    """Temporal split (L3) where a third of all lines share one time, through which a cut runs."""
+    li = table(spark, sf_dir, "lineitem").withColumn("l_shipdate", F.when(F.col("l_orderkey") % 3 == 0, F.lit("1997-03-01").cast("timestamp")).otherwise(F.col("l_shipdate")))
+    s = S.temporal_split(li, "l_extendedprice", "l_shipdate", tiebreak=["l_orderkey", "l_linenumber"])
+    return s.select("l_orderkey", F.col("l_linenumber").cast("long").alias("l_linenumber"), "split")
+
+
+def q_split_by_one_key_lineitem(spark, sf_dir):
+    """The same with a tie-break column of two values: rows of one time and key are ordered by all columns."""
+    li = table(spark, sf_dir, "lineitem").withColumn("l_shipdate", F.when(F.col("l_orderkey") % 3 == 0, F.lit("1997-03-01").cast("timestamp")).otherwise(F.col("l_shipdate")))
+    s = S.temporal_split(li, "l_extendedprice", "l_shipdate", tiebreak=["l_linestatus"])
+    return s.select("l_orderkey", F.col("l_linenumber").cast("long").alias("l_linenumber"), "split")
+
+
+_HOT = "li AS (SELECT * REPLACE (CASE WHEN l_orderkey % 3 = 0 THEN TIMESTAMP '1997-03-01' ELSE l_shipdate END AS l_shipdate) FROM lineitem)"
+_ONE_KEY_REST = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag"]
+
+
+def _hot_sql(keys: list[str], rest: list[str]) -> str:
+    return f"""WITH {_HOT}, sz AS (SELECT count(*) AS n, greatest(1, CAST(floor(count(*) * {P.TEST_SIZE}) AS BIGINT)) AS n_test,
+  greatest(1, CAST(floor(count(*) * {P.VAL_SIZE}) AS BIGINT)) AS n_val FROM li),
+ranked AS (SELECT l_orderkey, l_linenumber, row_number() OVER (ORDER BY {temporal_order_sql('l_shipdate', keys, rest)}) AS rn FROM li)
+SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, CASE WHEN rn <= n - n_test - n_val THEN 'train' WHEN rn <= n - n_test THEN 'val' ELSE 'test' END AS split
+FROM ranked, sz"""
+
+
+QUERIES["split_hot_time_lineitem"] = q_split_hot_time_lineitem
+QUERIES["split_by_one_key_lineitem"] = q_split_by_one_key_lineitem
+ORACLE["split_hot_time_lineitem"] = _hot_sql(["l_orderkey", "l_linenumber"], LINEITEM_REST)
+ORACLE["split_by_one_key_lineitem"] = _hot_sql(["l_linestatus"], _ONE_KEY_REST)
