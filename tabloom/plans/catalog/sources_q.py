@@ -28,7 +28,7 @@ def q_row_fingerprint_orders(spark, sf_dir):
 def q_manifest_orders(spark, sf_dir):
     path = f"{sf_dir}/orders.parquet"
     m = M.manifest(spark, path, RD.read_table(spark, path))
-    return m.select("file_bytes", "n_files", "format", "n_rows", "n_cols", "missing_cells", "duplicate_rows")
+    return m.select("content_hash", "file_bytes", "n_files", "format", "n_rows", "n_cols", "missing_cells", "duplicate_rows")
 
 
 def q_csv_roundtrip_customer(spark, sf_dir):
@@ -57,8 +57,31 @@ ORACLE = {
     "row_fingerprint_orders": "SELECT o_orderkey, sha256(array_to_string([coalesce(length(t) || ':' || t, '~') FOR t IN [CAST(o_orderkey AS VARCHAR), "
                               "CAST(o_custkey AS VARCHAR), o_orderstatus, CAST(o_totalprice AS VARCHAR), CAST(o_orderdate AS VARCHAR), "
                               "o_orderpriority]], '|')) AS row_hash FROM orders",
-    "manifest_orders": f"""SELECT (SELECT CAST(size AS BIGINT) FROM read_blob('{ORACLE_DIR}/orders.parquet')) AS file_bytes, CAST(1 AS BIGINT) AS n_files,
+    "manifest_orders": f"""SELECT (SELECT sha256(content) FROM read_blob('{ORACLE_DIR}/orders.parquet')) AS content_hash, (SELECT CAST(size AS BIGINT) FROM read_blob('{ORACLE_DIR}/orders.parquet')) AS file_bytes, CAST(1 AS BIGINT) AS n_files,
   'parquet' AS format, CAST(count(*) AS BIGINT) AS n_rows, CAST(6 AS BIGINT) AS n_cols, CAST(0 AS BIGINT) AS missing_cells,
   CAST(count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM orders)) AS BIGINT) AS duplicate_rows FROM orders""",
     "csv_roundtrip_customer": "SELECT c_custkey, c_name, CAST(c_nationkey AS BIGINT) AS c_nationkey, round(c_acctbal, 2) AS c_acctbal, c_mktsegment FROM customer",
 }
+
+
+def q_csv_multiline_documents(spark, sf_dir):
+    """Documents as one semicolon-separated CSV folder, texts with their line breaks, quotes and semicolons, read
+    back with detection by many tasks (S1, S2)."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit('line "one"; '), F.lower("lang"), F.lit("\nand, two\n\n"), F.regexp_replace("text", "[\r]", " ")).alias("note"), "source")
+    where = f"{ensure_checkpoint_dir(spark)}/csv-{uuid.uuid4().hex}.csv"
+    docs.write.option("header", True).option("sep", ";").option("quoteAll", True).option("escape", '"').csv(where)
+    back = RD.read_csv(spark, where)
+    return back.select(F.col("doc_id").cast("long").alias("doc_id"), F.md5(F.col("note").cast("binary")).alias("note_md5"), F.col("source").cast("string").alias("source"))
+
+
+def q_file_hashes_streamed(spark, sf_dir):
+    """The same hashes as ``file_hashes_testdata``, every file read in splits as a stream."""
+    h = H.file_hashes(spark, sf_dir, "sha256", glob="*.parquet", stream_above=0)
+    return h.select(F.element_at(F.split("path", "/"), -1).alias("file_name"), "length", "hash")
+
+
+QUERIES["csv_multiline_documents"] = q_csv_multiline_documents
+QUERIES["file_hashes_streamed"] = q_file_hashes_streamed
+ORACLE["csv_multiline_documents"] = """SELECT doc_id, md5('line "one"; ' || lower(lang) || chr(10) || 'and, two' || chr(10) || chr(10) || regexp_replace(text, '[\r]', ' ', 'g')) AS note_md5, source
+FROM documents"""
+ORACLE["file_hashes_streamed"] = ORACLE["file_hashes_testdata"]

@@ -1,19 +1,31 @@
 """Content hashes (S9): file bytes and row fingerprints.
 
 ``file_hashes`` reads many files at once with the ``binaryFile`` source and
-hashes each one in the executor that reads it (Spark's ``sha2``/``md5``);
-one file must fit in a task (the binary source's 2 GB limit).
+hashes each one in the executor that reads it (Spark's ``sha2``/``md5``).
+A file above ``STREAM_ABOVE`` bytes, which that source can't hold in a row,
+is read in splits as lines (any bytes between line feeds), dealt by file
+and hashed line by line in order: a task holds a line and the digest's
+state, whatever the file's size.
 ``row_fingerprints`` hashes the text of a row's columns, each with its length
 in front and a mark for null, so that different rows have different texts.
 """
 
 from __future__ import annotations
 
+import codecs
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import DataLoadError
 from ..functions.kinds import as_text, q
+from ..session import fs_path
+
+#: Larger files are hashed as a stream; the binary source's rows end at 2 GB.
+STREAM_ABOVE = 1 << 30
 
 ALGORITHMS = {"sha256": 256, "sha224": 224, "sha384": 384, "sha512": 512}
 
@@ -29,9 +41,16 @@ def _digest(c, algorithm: str):
     raise ValueError(f"Unsupported hash algorithm: {algorithm}")
 
 
-def file_hashes(spark: SparkSession, path: str, algorithm: str = "sha256", glob: str | None = None) -> DataFrame:
+def file_hashes(spark: SparkSession, path: str, algorithm: str = "sha256", glob: str | None = None, *, stream_above: int = STREAM_ABOVE) -> DataFrame:
     """``path, length, modified, hash`` for every file under ``path`` (a file,
-    folder or glob)."""
+    folder or glob), of any size.  Spark's sources leave out empty files of a
+    folder; an empty file that is named itself has its hash."""
+    empty = _digest(F.lit("").cast("binary"), algorithm)
+    fs, p = fs_path(spark, path)
+    if fs.exists(p) and fs.getFileStatus(p).isFile() and fs.getFileStatus(p).getLen() == 0:
+        status = fs.getFileStatus(p)
+        named = spark.createDataFrame([(status.getPath().toString(), 0, status.getModificationTime())], "path string, length long, ms long")
+        return named.select("path", "length", F.timestamp_millis("ms").alias("modified"), empty.alias("hash"))
     reader = spark.read.format("binaryFile")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
@@ -39,7 +58,58 @@ def file_hashes(spark: SparkSession, path: str, algorithm: str = "sha256", glob:
         files = reader.load(path)
     except Exception as e:  # noqa: BLE001 - Spark raises AnalysisException for absent paths
         raise DataLoadError(f"Cannot hash: file not found: {path}") from e
-    return files.select("path", "length", F.col("modificationTime").alias("modified"), _digest(F.col("content"), algorithm).alias("hash"))
+    facts = ["path", "length", F.col("modificationTime").alias("modified")]
+    # the filter on the length reaches the source: contents of larger files aren't read
+    small = files.where(F.col("length") <= stream_above).select(*facts, _digest(F.col("content"), algorithm).alias("hash"))
+    large = files.where(F.col("length") > stream_above).select(*facts)
+    names = [r["path"] for r in large.select("path").collect()]  # files above a gigabyte
+    if not names:
+        return small
+    return small.unionByName(large.join(_streamed(spark, names, large, algorithm), "path"))
+
+
+def _streamed(spark: SparkSession, names: list[str], files: DataFrame, algorithm: str) -> DataFrame:
+    """(path, hash) of files, read in splits and hashed in order."""
+    lines = (
+        spark.read.option("lineSep", "\n").text(names)
+        .select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place"), F.col("value").cast("binary").alias("line"))
+    )
+    sizes = files.select("path", F.lit(-1).cast("long").alias("block"), F.col("length").alias("place"), F.lit(None).cast("binary").alias("line"))
+    given = lines.unionByName(sizes).repartition("path").sortWithinPartitions("path", "block", "place")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, digests, done, length, lead, out = None, [], 0, 0, True, []
+
+        def add(data: bytes) -> None:
+            for d in digests:
+                d.update(data)
+
+        def close() -> None:
+            if now is None:
+                return
+            marked = length - done >= len(codecs.BOM_UTF8)  # the source skips this mark at a file's start
+            if done + marked * len(codecs.BOM_UTF8) < length:  # the last line has a line feed
+                add(b"\n")
+            out.append((now, digests[marked].hexdigest()))
+
+        for batch in batches:
+            for file, block, place, line in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if block < 0:  # the file's length comes first
+                    close()
+                    now, done, length, lead = file, 0, place, True
+                    digests = [hashlib.new(algorithm.lower()), hashlib.new(algorithm.lower(), codecs.BOM_UTF8)]
+                    continue
+                if not lead:
+                    add(b"\n")
+                    done += 1
+                lead = False
+                add(line)
+                done += len(line)
+        close()
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in out]), pa.array([h for _, h in out])], names=["path", "hash"])
+
+    return given.mapInArrow(run, "path string, hash string")
 
 
 def compute_file_hash(spark: SparkSession, path: str, algorithm: str = "sha256") -> str:

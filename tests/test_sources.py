@@ -5,6 +5,7 @@ import os
 import tempfile
 
 import pytest
+from pyspark.sql import functions as F
 
 from tabloom.errors import ArtifactError, DataLoadError
 from tabloom.sources import hashing as H
@@ -82,5 +83,52 @@ def test_csv_quotes(spark, tmp_path):
     rows = {r["id"]: r for r in df.collect()}
     assert df.columns == ["id", "note", "x"] and df.count() == 43
     assert rows[1]["note"] == 'say "hi"; ok' and rows[2]["note"] == "two\nlines" and rows[3]["note"] == "plain, text"
+    # values over three lines, with other delimiters in them, read by several tasks
+    import csv
+    import random
+
+    rng = random.Random(1)
+    rows = [(str(i), "".join(rng.choice(['a', ',', ';', '"', "\n", "\r\n", "é", ",,"]) for _ in range(rng.randint(1, 30))), f"x{i}") for i in range(4000)]
+    many = tmp_path / "m.csv"
+    with open(many, "w", newline="", encoding="utf-8") as f:
+        w = csv.writer(f, delimiter=";", lineterminator="\n")
+        w.writerows([("id", "note", "tag"), *rows])
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1k")
+    try:
+        assert spark.read.text(str(many)).rdd.getNumPartitions() > 4
+        assert RD.csv_facts(spark, str(many)) == {"encoding": "UTF-8", "delimiter": ";", "multiline": True}
+        back = RD.read_csv(spark, str(many))
+        got = {r["id"]: (r["note"], r["tag"]) for r in back.select(F.col("id").cast("string"), "note", "tag").collect()}
+        ref = {i: (n, t) for i, n, t in rows}
+        assert back.count() == 4000 and set(got) == set(ref)
+        assert {i: (n or "").strip() for i, (n, _) in got.items()} == {i: n.strip() for i, (n, _) in ref.items()}
+        # any bytes, in splits of 8 kB
+        for k, data in enumerate([b"", b"x", b"a\n", b"\n", b"\xef\xbb\xbfa\r\nb", rng.randbytes(300_000), b"line\n" * 20_000]):
+            name = tmp_path / f"b{k}.bin"
+            name.write_bytes(data)
+            for algorithm in ("sha256", "md5"):
+                want = hashlib.new(algorithm, data).hexdigest()
+                assert H.file_hashes(spark, str(name), algorithm, stream_above=-1).first()["hash"] == want, k
+                assert H.compute_file_hash(spark, str(name), algorithm) == want
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
     same = spark.createDataFrame([("a", None, "b"), ("a", "b", None), ("a|b", "c", None), ("a", "b|c", None)], "x string, y string, z string")
     assert row_fingerprints(same).select("row_hash").distinct().count() == 4
+
+
+def test_manifest_hash_knows_no_names(spark, tmp_path):
+    from tabloom.sources.manifest import manifest
+
+    for name in ("a.csv", "b.csv"):
+        (tmp_path / name).write_text("x,y\n1,2\n")
+    one, two = (manifest(spark, str(tmp_path / n), RD.read_csv(spark, str(tmp_path / n))).first() for n in ("a.csv", "b.csv"))
+    assert one["content_hash"] == two["content_hash"] == hashlib.sha256(b"x,y\n1,2\n").hexdigest()
+    (tmp_path / "f").mkdir()
+    (tmp_path / "g").mkdir()
+    for folder in ("f", "g"):
+        for k in range(3):
+            (tmp_path / folder / f"p{k}.csv").write_text(f"x,y\n{k},2\n")
+    f, g = (manifest(spark, str(tmp_path / n), RD.read_csv(spark, str(tmp_path / n))).first() for n in "fg")
+    assert f["content_hash"] == g["content_hash"] != one["content_hash"] and f["n_files"] == 3
