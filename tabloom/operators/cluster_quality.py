@@ -2,26 +2,85 @@
 
 Davies–Bouldin and Calinski–Harabasz are aggregates: sums per cluster give
 the centroids (clusters × features, small), one more pass the distances to
-them.  The silhouette is Spark's ``ClusteringEvaluator`` in its squared
-Euclidean form, which needs the same per-cluster sums only; no rows are
-sampled and none reach the driver.  Fewer than 11 valid rows or a single
-cluster give 0 / 999 / 0.
+them.
+
+The silhouette is Euclidean, and its mean distances have no closed form.
+Every row is scored; its distance to a cluster is the mean distance to the
+cluster's reference rows.  These are the cluster's rows of least seeded
+hash, as many as fit into a fixed size together (``REFERENCE_BYTES``), and
+all of them where they do: then the score is exact.  The result names the
+number of reference rows and a bound of the score's error: with 95 %
+probability over the choice of references it is off by no more than
+``silhouette_error`` (the mean over rows of what the sampled distances can
+move a row's value, from the spread of the distances).
+
+Fewer than 11 valid rows or a single cluster give 0 / 999 / 0.
 """
 
 from __future__ import annotations
 
-from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.kinds import q
 
-SCORES = "silhouette double, davies_bouldin double, calinski_harabasz double, n_clusters long"
+SCORES = "silhouette double, davies_bouldin double, calinski_harabasz double, n_clusters long, silhouette_references long, silhouette_error double"
+#: Bytes of all reference rows together; they are sent to every task.
+REFERENCE_BYTES = 32 << 20
+
+
+def silhouette(rows: DataFrame, cols: list[str], sizes: dict, *, reference_bytes: int = REFERENCE_BYTES, seed: int = 42) -> tuple[float, int, float]:
+    """Mean silhouette of ``rows`` (c, cols), the number of reference rows, and the error bound.
+
+    ``sizes``: rows of each cluster.
+    """
+    each = max(2, reference_bytes // (8 * len(cols) * len(sizes)))
+    marked = rows.withColumn("_h", F.xxhash64(F.lit(seed), *cols))
+    if any(n > each for n in sizes.values()):
+        marked = marked.withColumn("_n", F.row_number().over(Window.partitionBy("c").orderBy("_h", *cols))).where(F.col("_n") <= each)
+    sample = marked.select("c", *cols).toPandas()  # at most reference_bytes
+    names = sorted(sizes)
+    refs = [sample.loc[sample["c"] == c, cols].to_numpy(dtype="float64") for c in names]
+    whole = [len(x) == sizes[c] for x, c in zip(refs, names, strict=True)]
+    shared = rows.sparkSession.sparkContext.broadcast((names, refs, whole, [sizes[c] for c in names]))
+
+    def run(batches):
+        names, refs, whole, n = shared.value
+        at = {c: i for i, c in enumerate(names)}
+        for pdf in batches:
+            for lo in range(0, len(pdf), 256):
+                part = pdf.iloc[lo: lo + 256]
+                x, own = part[cols].to_numpy(dtype="float64"), np.array([at[c] for c in part["c"]])
+                mean, off = np.empty((len(x), len(refs))), np.zeros((len(x), len(refs)))
+                for i, ref in enumerate(refs):
+                    d = np.zeros((len(x), len(ref)))
+                    for k in range(ref.shape[1]):
+                        d += (x[:, k, None] - ref[None, :, k]) ** 2
+                    d = np.sqrt(d)
+                    # a row is no neighbour of itself; it is at distance 0, if it is among the references at all
+                    mine = own == i
+                    mean[:, i] = d.mean(axis=1)
+                    if whole[i]:
+                        mean[mine, i] = d[mine].sum(axis=1) / max(1, n[i] - 1)
+                    else:
+                        off[:, i] = 1.96 * d.std(axis=1) / np.sqrt(len(ref))
+                a, ea = mean[np.arange(len(x)), own], off[np.arange(len(x)), own]
+                mean[np.arange(len(x)), own] = np.inf
+                near = mean.argmin(axis=1)
+                b, eb = mean[np.arange(len(x)), near], off[np.arange(len(x)), near]
+                most = np.maximum(np.maximum(a, b), 1e-300)
+                alone = np.array(n)[own] == 1
+                s = np.where(alone, 0.0, (b - a) / most)
+                yield pd.DataFrame({"s": [float(s.sum())], "e": [float(np.where(alone, 0.0, np.minimum(2.0, (ea + eb) / most)).sum())], "n": [len(x)]})
+
+    total = rows.select("c", *cols).mapInPandas(run, "s double, e double, n long").agg(F.sum("s"), F.sum("e"), F.sum("n")).first()
+    return total[0] / total[2], len(sample), total[1] / total[2]
 
 
 def clustering_scores(labelled: DataFrame, features: list[str], cluster: str) -> DataFrame:
-    """One row: ``silhouette, davies_bouldin, calinski_harabasz, n_clusters``; cluster -1 is noise."""
+    """One row: ``silhouette, davies_bouldin, calinski_harabasz, n_clusters`` and the silhouette's reference rows and error bound; cluster -1 is noise."""
     spark = labelled.sparkSession
     rows = labelled.where(F.col(q(cluster)) != -1).select(
         F.col(q(cluster)).alias("c"), *[F.col(q(f)).cast("double").alias(f"f{i}") for i, f in enumerate(features)])
@@ -30,7 +89,7 @@ def clustering_scores(labelled: DataFrame, features: list[str], cluster: str) ->
     here = {r["c"]: r for r in centres.collect()}  # one row per cluster
     n, k = sum(r["n"] for r in here.values()), len(here)
     if n <= 10 or k < 2:
-        return spark.createDataFrame([(0.0, 999.0, 0.0, k)], SCORES)
+        return spark.createDataFrame([(0.0, 999.0, 0.0, k, 0, 0.0)], SCORES)
     square = sum(((F.col(f) - F.col(f"m_{f}")) ** 2 for f in cols), F.lit(0.0))
     spread = rows.join(F.broadcast(centres.drop("n")), "c").groupBy("c").agg(F.avg(F.sqrt(square)).alias("s"), F.sum(square).alias("w"))
     spread = {r["c"]: r for r in spread.collect()}
@@ -48,7 +107,5 @@ def clustering_scores(labelled: DataFrame, features: list[str], cluster: str) ->
     between = sum(r["n"] * apart(r, mean) for r in here.values())
     within = sum(r["w"] for r in spread.values())
     ch = between * (n - k) / (within * (k - 1)) if within > 0 else 1.0
-    numbered = F.broadcast(spark.createDataFrame([(c, i) for i, c in enumerate(sorted(here))], "c int, prediction int"))
-    vectors = rows.join(numbered, "c").select(array_to_vector(F.array(*cols)).alias("features"), F.col("prediction").cast("double").alias("prediction"))
-    silhouette = ClusteringEvaluator(metricName="silhouette", distanceMeasure="squaredEuclidean").evaluate(vectors)
-    return spark.createDataFrame([(round(silhouette, 4), round(db, 4), round(ch, 2), k)], SCORES)
+    score, references, error = silhouette(rows, cols, {c: r["n"] for c, r in here.items()})
+    return spark.createDataFrame([(round(score, 4), round(db, 4), round(ch, 2), k, references, round(error, 4))], SCORES)

@@ -4,9 +4,12 @@
 (distinct values counting null ≤ 12) / high-cardinality, and learns median,
 mean and population std (numeric), sorted categories (one-hot) and value
 shares (frequency encoding).  The frequency dictionaries grow with the data,
-so they stay a DataFrame (``freq``); ``transform`` joins them in — as a
-broadcast only when the dictionary's measured size is under
-``broadcast_rows`` — and the rest is one projection.
+so they stay a DataFrame (``freq``), keyed by 128-bit digests of the texts.
+``transform`` looks up the frequent values (and the null) in a list of at
+most ``HOT_VALUES`` digests a column; all others meet the dictionary in a
+join that Spark plans by the table's measured bytes.  Rows that the list
+has answered carry keys of their own there, so neither a null nor any
+other value with a large share of the rows is one join key.
 """
 
 from __future__ import annotations
@@ -24,7 +27,13 @@ from ..functions.kinds import NUMERIC, as_text, column_kinds, q
 from ..session import cut_lineage
 from .scan import column_quantiles, distinct_counts, persisted, quantile_wide, value_counts
 
-BROADCAST_ROWS = 2_000_000
+#: Values with at least this share of the training rows are answered from a list: there are no more than its inverse.
+HOT_SHARE = 1e-3
+HOT_VALUES = round(1 / HOT_SHARE)
+
+
+def _digest(text):
+    return F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit(7), text).alias("b"))
 
 
 def _text(df: DataFrame, c: str, null_as: str):
@@ -48,7 +57,6 @@ class EncoderModel:
     means: dict[str, float] = field(default_factory=dict)
     scales: dict[str, float] = field(default_factory=dict)
     scale_numeric: bool = True
-    freq_rows: int = 0
     freq: DataFrame | None = None  # (column, value, freq)
 
     @property
@@ -66,10 +74,16 @@ class EncoderModel:
         for i, c in enumerate(self.high_card):
             if c not in d.columns:
                 continue
-            f = self.freq.where(F.col("column") == c).select(F.col("value").alias(f"_fv{i}"), F.col("freq").alias(f"_ff{i}"))
-            if self.freq_rows <= BROADCAST_ROWS:
-                f = F.broadcast(f)
-            d = d.withColumn(f"_fk{i}", _text(d, c, P.FREQ_NULL_TEXT)).join(f, F.col(f"_fk{i}") == F.col(f"_fv{i}"), "left")
+            own = self.freq.where(F.col("column") == c).select(_digest(F.col("value")).alias(f"_hk{i}"), F.col("freq").alias("f"))
+            hot = own.where(F.col("f") >= HOT_SHARE).select(f"_hk{i}", F.col("f").alias(f"_fh{i}"))  # at most HOT_VALUES rows of 24 bytes
+            rest = own.where(F.col("f") < HOT_SHARE).select(F.col(f"_hk{i}.a").alias(f"_fa{i}"), F.col(f"_hk{i}.b").alias(f"_fb{i}"), F.col("f").alias(f"_ff{i}"))
+            d = d.withColumn(f"_fk{i}", _digest(_text(d, c, P.FREQ_NULL_TEXT))).join(F.broadcast(hot), F.col(f"_fk{i}") == F.col(f"_hk{i}"), "left").drop(f"_hk{i}")
+            # an answered row's key: its place in the input, marked so that it meets nothing
+            known = F.col(f"_fh{i}").isNotNull()
+            d = d.withColumns({
+                f"_fx{i}": F.when(known, F.monotonically_increasing_id()).otherwise(F.col(f"_fk{i}.a")), f"_fy{i}": F.when(~known, F.col(f"_fk{i}.b")),
+            })
+            d = d.join(rest, (F.col(f"_fx{i}") == F.col(f"_fa{i}")) & (F.col(f"_fy{i}").eqNullSafe(F.col(f"_fb{i}"))), "left")
         out = [F.col(q(k)) for k in keep]
         for c in self.num_cols:
             if c not in df.columns:
@@ -80,7 +94,7 @@ class EncoderModel:
                 x = (x - F.lit(self.means[c])) / F.lit(self.scales[c])
             out.append(F.coalesce(_no_inf(x), F.lit(0.0)).alias(c))
         for i, c in enumerate(self.high_card):
-            out.append((F.coalesce(F.col(f"_ff{i}"), F.lit(0.0)) if c in df.columns else F.lit(0.0)).alias(f"freq_{c}"))
+            out.append((F.coalesce(F.col(f"_fh{i}"), F.col(f"_ff{i}"), F.lit(0.0)) if c in df.columns else F.lit(0.0)).alias(f"freq_{c}"))
         for c, cats in self.low_card.items():
             for v in cats:
                 if c in df.columns:
@@ -99,7 +113,7 @@ class EncoderModel:
     @staticmethod
     def load(spark, path: str) -> "EncoderModel":
         meta = json.loads(spark.read.json(os.path.join(path, "meta")).first()["meta"])
-        m = EncoderModel(**meta)
+        m = EncoderModel(**{k: v for k, v in meta.items() if k != "freq_rows"})
         m.freq = spark.read.parquet(os.path.join(path, "freq"))
         return m
 
@@ -128,7 +142,6 @@ def _fit_encoder(x_train: DataFrame, scale_numeric: bool, max_low_cardinality: i
         m.low_card = {c: m.low_card[c] for c in low if c in m.low_card}
         n = x_train.count()
         m.freq = cut_lineage(counts.where(F.col("column").isin(*m.high_card)).select("column", "value", (F.col("count") / F.lit(n)).alias("freq")))
-        m.freq_rows = sum(card[c] for c in m.high_card)
         counts.unpersist()
     else:
         m.freq = spark.createDataFrame([], "column string, value string, freq double")

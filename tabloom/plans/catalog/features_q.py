@@ -137,3 +137,16 @@ ORACLE = {
     "product_feature_lineitem": f"SELECT CAST(l_orderkey AS BIGINT) AS l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, "
                                 f"{r('l_quantity')} AS l_quantity, {r('CAST(l_orderkey AS DOUBLE) * CAST(l_linenumber AS DOUBLE)')} AS l_orderkey_x_l_linenumber FROM lineitem",
 }
+
+
+def q_encode_sparse_orders(spark, sf_dir):
+    """Frequency encoding (R5) of a column of which three fifths are null and one value has half of the rest."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.expr(_SPARSE).alias("agent"))
+    enc = R.fit_encoder(o.select("agent"))
+    return rounded(enc.transform(o, keep=["o_orderkey"]))
+
+
+_SPARSE = "CASE WHEN o_custkey % 5 < 3 THEN NULL WHEN o_orderkey % 2 = 0 THEN 'house' ELSE concat('agent ', CAST(o_custkey AS STRING)) END"
+QUERIES["encode_sparse_orders"] = q_encode_sparse_orders
+ORACLE["encode_sparse_orders"] = f"""WITH o AS (SELECT o_orderkey, coalesce({_SPARSE.replace('STRING', 'VARCHAR')}, '{P.FREQ_NULL_TEXT}') AS agent FROM orders)
+SELECT o_orderkey, {r('count(*) OVER (PARTITION BY agent) * 1.0 / count(*) OVER ()')} AS freq_agent FROM o"""

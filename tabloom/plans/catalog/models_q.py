@@ -13,6 +13,7 @@ from functools import partial
 
 from pyspark.sql import functions as F
 
+from ...operators import cluster_quality as Q
 from ...operators import encode as R
 from ...operators import knn as K
 from ...operators import models as M
@@ -91,7 +92,7 @@ ORACLE: dict[str, str] = {}
 
 CUSTOMER_EPS, CUSTOMER_LEAST = 40.0, 4
 LINEITEM_EPS, LINEITEM_LEAST = 1.0, 60
-EMBEDDING_EPS, EMBEDDING_LEAST = 9.0, 5
+EMBEDDING_EPS, EMBEDDING_LEAST = 1.2, 7
 
 
 def q_dbscan_customer(spark, sf_dir):
@@ -173,3 +174,26 @@ d AS (
 ), five AS (SELECT *, row_number() OVER (PARTITION BY o_orderkey ORDER BY d, k) AS i, min(d) OVER (PARTITION BY o_orderkey) = 0 AS hit FROM d QUALIFY i <= 5),
 w AS (SELECT *, CASE WHEN hit THEN CASE WHEN d = 0 THEN 1.0 ELSE 0.0 END ELSE 1 / d END AS w FROM five)
 SELECT o_orderkey, {r('sum(w * y) / sum(w)')} AS prediction FROM w GROUP BY o_orderkey"""
+
+
+# -- clustering scores (V5-V8) of given clusters: the market segments -------------------
+
+def q_clustering_scores_customer(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").select(
+        (F.ascii("c_mktsegment") % 4).cast("int").alias("cluster"), (F.col("c_acctbal") / 1000 + F.ascii("c_mktsegment")).alias("x"), (F.col("c_nationkey") / 5.0).alias("y"))
+    return rounded(Q.clustering_scores(c, ["x", "y"], "cluster"))
+
+
+QUERIES["clustering_scores_customer"] = q_clustering_scores_customer
+ORACLE["clustering_scores_customer"] = f"""WITH c AS (
+  SELECT ascii(c_mktsegment) % 4 AS k, c_acctbal / 1000 + ascii(c_mktsegment) AS x, c_nationkey / 5.0 AS y, c_custkey AS id FROM customer
+), m AS (SELECT k, count(*) AS n, avg(x) AS mx, avg(y) AS my FROM c GROUP BY k),
+far AS (SELECT a.id, a.k, b.k AS other, sum(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2)) AS total FROM c a JOIN c b ON true GROUP BY ALL),
+mean AS (SELECT f.id, f.k, f.other, m.n, total / CASE WHEN f.k = f.other THEN m.n - 1 ELSE m.n END AS d FROM far f JOIN m ON m.k = f.other),
+sil AS (SELECT id, max(CASE WHEN k = other THEN d END) AS a, min(CASE WHEN k <> other THEN d END) AS b FROM mean GROUP BY id),
+spread AS (SELECT c.k, avg(sqrt((x - mx) ** 2 + (y - my) ** 2)) AS s, sum((x - mx) ** 2 + (y - my) ** 2) AS w FROM c JOIN m USING (k) GROUP BY c.k),
+ratio AS (SELECT a.k, max((p.s + q.s) / sqrt((a.mx - b.mx) ** 2 + (a.my - b.my) ** 2)) AS r FROM m a JOIN m b ON a.k <> b.k JOIN spread p ON p.k = a.k JOIN spread q ON q.k = b.k GROUP BY a.k),
+total AS (SELECT count(*) AS n, avg(x) AS tx, avg(y) AS ty FROM c), kk AS (SELECT count(*) AS k FROM m)
+SELECT (SELECT {r('avg((b - a) / greatest(a, b))')} FROM sil) AS silhouette, (SELECT {r('avg(r)')} FROM ratio) AS davies_bouldin,
+  (SELECT round(CAST((SELECT sum(m.n * ((mx - tx) ** 2 + (my - ty) ** 2)) FROM m, total) / (k - 1) / ((SELECT sum(w) FROM spread) / (total.n - k)) AS DOUBLE), 2) + 0.0 FROM kk, total) AS calinski_harabasz,
+  (SELECT k FROM kk) AS n_clusters, CAST(least({10 ** 6}, (SELECT count(*) FROM c)) AS BIGINT) AS silhouette_references, 0.0 AS silhouette_error"""
