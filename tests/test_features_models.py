@@ -82,10 +82,7 @@ def cls_data(spark):
 
 
 @pytest.mark.parametrize("name", ["LogisticRegression", "GaussianNB", "KNeighborsClassifier", "DecisionTreeClassifier", "AdaBoostClassifier"])
-def test_classifiers(cls_data, name, monkeypatch):
-    from tabloom.operators import boosting
-
-    monkeypatch.setattr(boosting, "ROUNDS", 8)  # the full 60 rounds run in the registered queries
+def test_classifiers(cls_data, name):
     train, test = cls_data
     res = M.train_and_evaluate(name, M.CLASSIFICATION, train, test, ["feature_1", "feature_2"], "y", key=["k"])
     m = res.metrics.first().asDict()
@@ -95,13 +92,9 @@ def test_classifiers(cls_data, name, monkeypatch):
 
 
 @pytest.mark.parametrize("name", ["LinearRegression", "Ridge", "KNeighborsRegressor", "AdaBoostRegressor"])
-def test_regressors(spark, name, monkeypatch):
+def test_regressors(spark, name):
     import random
 
-    from tabloom.operators import boosting
-
-    monkeypatch.setattr(boosting, "ROUNDS", 8)
-
     rnd = random.Random(5)
     rows = [(i, a, b, 3 * a - 2 * b + rnd.gauss(0, 0.1)) for i, (a, b) in enumerate((rnd.gauss(0, 1), rnd.gauss(0, 1)) for _ in range(60))]
     df = spark.createDataFrame(rows, "k bigint, a double, b double, y double")
@@ -132,6 +125,56 @@ def test_save_and_reload_models(spark, tmp_path):
     paths = M.save_top_models(res, board, str(tmp_path))
     assert M.model_file_name(1, "LinearRegression") == "model_1_linear_regression"
     back = M.load_model(paths["LinearRegression"])
-    from pyspark.ml.feature import VectorAssembler  # noqa: F401
-
     assert back.transform(df.select("a", "b")).count() == 40
+
+
+def test_save_and_reload_own_models(spark, cls_data, tmp_path):
+    """AdaBoost, the best model of a run, and kNN score alike after a reload; AdaBoost has an AUC."""
+    train, test = cls_data
+    found = {
+        "AdaBoostClassifier": M.train_and_evaluate("AdaBoostClassifier", M.CLASSIFICATION, train, test, ["feature_1", "feature_2"], "y", key=["k"], params={"n_estimators": 7}),
+        "KNeighborsClassifier": M.train_and_evaluate("KNeighborsClassifier", M.CLASSIFICATION, train, test, ["feature_1", "feature_2"], "y", key=["k"], params={"n_neighbors": 3}),
+    }
+    assert len(found["AdaBoostClassifier"].model.rules) <= 7 and found["AdaBoostClassifier"].metrics.first()["roc_auc"] > 0.7
+    board = spark.createDataFrame([(1, "AdaBoostClassifier"), (2, "KNeighborsClassifier")], "rank int, model_name string")
+    paths = M.save_top_models(found, board, str(tmp_path))
+    for name, path in [*paths.items(), ("AdaBoostClassifier", f"{tmp_path}/best_model")]:
+        again = M.load_model(path).predict(test, keep=["k"])
+        own = found[name].model.predict(test, keep=["k"])
+        key = lambda d: sorted((r["k"], r["prediction"], round(r["score"], 9)) for r in d.collect())
+        assert key(again) == key(own)
+    with pytest.raises(ValueError, match="no parameter"):
+        M.train_and_evaluate("AdaBoostClassifier", M.CLASSIFICATION, train, test, ["feature_1"], "y", key=["k"], params={"rate": 7})
+
+
+def test_adaboost_rules_are_the_trees(spark, cls_data):
+    """The projection votes as the fitted Spark trees do, also on null and NaN."""
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import DecisionTreeRegressor
+
+    from tabloom.operators.boosting import AdaBoostModel, tree_rule
+
+    train, test = cls_data
+    odd = test.sparkSession.createDataFrame([(900, None, 1.0, 0), (901, float("nan"), -1.0, 1)], test.schema)
+    rows = test.unionByName(odd)
+    va = VectorAssembler(inputCols=["feature_1", "feature_2"], outputCol="features", handleInvalid="keep")
+    tree = DecisionTreeRegressor(featuresCol="features", labelCol="y", maxDepth=3).fit(va.transform(train))
+    model = AdaBoostModel("regression", ["feature_1", "feature_2"], [tree_rule(tree._java_obj.rootNode())], [1.0])
+    want = {r["k"]: r["prediction"] for r in tree.transform(va.transform(rows)).collect()}
+    assert {r["k"]: r["prediction"] for r in model.predict(rows, keep=["k"]).collect()} == want
+
+
+def test_silhouette_by_references(spark):
+    """With few reference rows the score stays within the bound that it states."""
+    from tabloom.operators import cluster_quality as Q
+
+    import random
+
+    rnd = random.Random(4)
+    rows = [(i % 3, rnd.gauss(2.5 * (i % 3), 1.0), rnd.gauss(0, 1.0)) for i in range(900)]
+    df = spark.createDataFrame(rows, "c int, f0 double, f1 double")
+    sizes = {0: 300, 1: 300, 2: 300}
+    exact, n, error = Q.silhouette(df, ["f0", "f1"], sizes)
+    assert n == 900 and error == 0
+    rough, n, error = Q.silhouette(df, ["f0", "f1"], sizes, reference_bytes=16 * 3 * 100)
+    assert n == 300 and 0 < error < 0.5 and abs(rough - exact) <= error
