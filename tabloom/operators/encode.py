@@ -78,10 +78,10 @@ class EncoderModel:
             hot = own.where(F.col("f") >= HOT_SHARE).select(f"_hk{i}", F.col("f").alias(f"_fh{i}"))  # at most HOT_VALUES rows of 24 bytes
             rest = own.where(F.col("f") < HOT_SHARE).select(F.col(f"_hk{i}.a").alias(f"_fa{i}"), F.col(f"_hk{i}.b").alias(f"_fb{i}"), F.col("f").alias(f"_ff{i}"))
             d = d.withColumn(f"_fk{i}", _digest(_text(d, c, P.FREQ_NULL_TEXT))).join(F.broadcast(hot), F.col(f"_fk{i}") == F.col(f"_hk{i}"), "left").drop(f"_hk{i}")
-            # an answered row's key: its place in the input, marked so that it meets nothing
+            # an answered row has a random key, marked so that it meets nothing
             known = F.col(f"_fh{i}").isNotNull()
             d = d.withColumns({
-                f"_fx{i}": F.when(known, F.monotonically_increasing_id()).otherwise(F.col(f"_fk{i}.a")), f"_fy{i}": F.when(~known, F.col(f"_fk{i}.b")),
+                f"_fx{i}": F.when(known, (F.rand(7) * (1 << 62)).cast("long")).otherwise(F.col(f"_fk{i}.a")), f"_fy{i}": F.when(~known, F.col(f"_fk{i}.b")),
             })
             d = d.join(rest, (F.col(f"_fx{i}") == F.col(f"_fa{i}")) & (F.col(f"_fy{i}").eqNullSafe(F.col(f"_fb{i}"))), "left")
         out = [F.col(q(k)) for k in keep]
