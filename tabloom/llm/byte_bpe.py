@@ -31,10 +31,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabloom.llm.common import table
+from tabloom.llm.common import release_memory, table
 
-#: Entries a task keeps of encoded chunks before it starts afresh.
-CACHE = 300_000
+#: Entries of a generation of encoded chunks (and of decoded runs); a task keeps the present one and the one before.
+CACHE = 150_000
 #: Bytes of text encoded at a time.
 SLICE_BYTES = 3 << 19
 #: Bytes of pieces in one recursive query.
@@ -115,7 +115,9 @@ class Codec:
         self.pattern = regex.compile(pattern)
         self.base = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int32)
         self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.decoded: dict[bytes, bytes] = {}
+        self.decoded_older: dict[bytes, bytes] = {}
         self.opens = np.zeros(max(ranks.values()) + 1, dtype=bool)  # tokens that start with white space
         self.opens[[r for t, r in ranks.items() if t[:1].isspace()]] = True
         self.con = duckdb.connect(config={"threads": 1, "memory_limit": "600MB", "temp_directory": ""})
@@ -165,12 +167,13 @@ class Codec:
 
     def _learn(self, chunks: set[str]) -> dict[str, bytes]:
         """Ids of chunks that aren't in the cache; pieces in the cache (as chunks of their own) aren't merged again."""
-        cut = {c: self.pattern.findall(c) for c in chunks}
+        findall = self.pattern.findall
+        cut = {c: [c] if c.lstrip(" ").isalpha() and max(c) < "\u0250" else findall(c) for c in chunks}  # letters alone are one piece
         known: dict[str, bytes] = {}
         short: dict[str, bytes] = {}
         long: dict[str, bytes] = {}
         for p in set().union(*cut.values()):
-            if (ids := self.cache.get(p)) is not None:
+            if (ids := self.cache.get(p) or self.older.get(p)) is not None:
                 known[p] = ids
                 continue
             data = p.encode("utf-8", "surrogatepass")
@@ -184,16 +187,23 @@ class Codec:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as int32 bytes."""
+        return list(map(b"".join, self.encode_runs(texts)))
+
+    def encode_runs(self, texts: list[str | None]) -> list[list[bytes]]:
+        """Ids of each text as runs of int32 bytes, one for each chunk."""
         cut = [
             [] if not t else _CHUNKS.findall(t) if not _ODD_SPACE.search(t) else self.pattern.findall(t) for t in texts
         ]
         used = set().union(*cut)
-        if len(self.cache) > CACHE:  # keep what is in use
-            self.cache = {c: self.cache[c] for c in used if c in self.cache}
-        cache = self.cache
-        new = self._learn(used.difference(cache))
+        if len(self.cache) > CACHE:
+            self.older, self.cache = self.cache, {}
+        cache, older = self.cache, self.older
+        missing = used.difference(cache)
+        kept = missing.intersection(older)
+        cache.update(zip(kept, map(older.__getitem__, kept), strict=True))
+        new = self._learn(missing - kept)
         cache.update(new)
-        out = [b"".join(map(cache.__getitem__, own)) for own in cut]
+        out = [list(map(cache.__getitem__, own)) for own in cut]
         for c in [c for c in new if len(c) > 48]:
             del cache[c]
         return out
@@ -211,25 +221,28 @@ class Codec:
                 out[lo + d] = text.encode("latin-1")
         return out
 
-    def decode(self, ids: pa.ListArray) -> list[bytes]:
-        """Bytes of each list of ids."""
-        values = ids.values.to_numpy(zero_copy_only=False).astype(np.int32, copy=False)
-        ends = ids.offsets.to_numpy()
-        if ends[-1] == ends[0]:
-            return [b""] * len(ids)
-        raw = values.tobytes()
-        starts = np.union1d(np.flatnonzero(self.opens[values]), ends[:-1][np.diff(ends) > 0])
-        starts = starts[(starts >= ends[0]) & (starts < ends[-1])]
-        cuts = (4 * np.append(starts, ends[-1])).tolist()
-        runs = [raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
-        used = set(runs)
+    def runs(self, ids: list[np.ndarray]) -> list[list[bytes]]:
+        """Each list of ids cut before every token that starts with white space."""
+        out = []
+        for one in ids:
+            starts = np.flatnonzero(self.opens[one])
+            cuts = (4 * np.unique(np.concatenate([[0], starts, [len(one)]]))).tolist()
+            raw = one.tobytes()
+            out.append([raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)])
+        return out
+
+    def decode(self, texts: list[list[bytes]]) -> list[bytes]:
+        """Bytes of each text, given as runs of ids (int32 bytes)."""
+        used = set().union(*texts)
         if len(self.decoded) > CACHE:
-            self.decoded = {r: self.decoded[r] for r in used if r in self.decoded}
-        known = self.decoded
-        new = list(used.difference(known))
+            self.decoded_older, self.decoded = self.decoded, {}
+        known, older = self.decoded, self.decoded_older
+        missing = used.difference(known)
+        kept = missing.intersection(older)
+        known.update(zip(kept, map(older.__getitem__, kept), strict=True))
+        new = list(missing - kept)
         known.update(zip(new, self._decode_runs(new), strict=True))
-        first = np.searchsorted(starts, ends).tolist()
-        out = [b"".join(map(known.__getitem__, runs[a:b])) for a, b in zip(first, first[1:], strict=False)]
+        out = [b"".join(map(known.__getitem__, own)) for own in texts]
         for r in new:
             if len(r) > 96:
                 del known[r]
@@ -280,11 +293,12 @@ def encode(
             sizes = pc.fill_null(pc.binary_length(batch.column(text_col)), 0).to_pylist()
             for lo, hi in _slices(sizes, SLICE_BYTES):
                 part = batch.slice(lo, hi - lo)
-                ids = _ids_array(own.encode(part.column(text_col).to_pylist()))
-                cols = [*(part.column(c) for c in keep), ids]
+                runs = own.encode_runs(part.column(text_col).to_pylist())
+                cols = [*(part.column(c) for c in keep), _ids_array(list(map(b"".join, runs)))]
                 if decoded_col:
-                    cols.append(pa.array(own.decode(ids), pa.binary()))
+                    cols.append(pa.array(own.decode(runs), pa.binary()))
                 yield pa.RecordBatch.from_arrays(cols, names=[*keep, *new])
+        release_memory()
 
     given = docs.select(*keep, text_col)
     types = {ids_col: "array<int>", decoded_col: "binary"}
@@ -302,8 +316,8 @@ def decode(tokens: DataFrame, ranks: str, pattern: str, ids_col: str = "token_id
             sizes = pc.fill_null(pc.list_value_length(batch.column(ids_col)), 0).to_pylist()
             for lo, hi in _slices(sizes, SLICE_BYTES // 4):
                 part = batch.slice(lo, hi - lo)
-                ids = [np.asarray(x or [], dtype=np.int32).tobytes() for x in part.column(ids_col).to_pylist()]
-                cols = [*(part.column(c) for c in keep), pa.array(own.decode(_ids_array(ids)), pa.binary())]
+                ids = [np.asarray(x or [], dtype=np.int32) for x in part.column(ids_col).to_pylist()]
+                cols = [*(part.column(c) for c in keep), pa.array(own.decode(own.runs(ids)), pa.binary())]
                 yield pa.RecordBatch.from_arrays(cols, names=[*keep, out_col])
 
     given = tokens.select(*keep)

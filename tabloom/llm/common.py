@@ -86,6 +86,17 @@ def utf8_slices(column, max_bytes: int = 2 << 20):
         lo = hi
 
 
+def release_memory() -> None:
+    """Give freed memory back to the system: a worker that waits for its next task keeps none of the last one's."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def with_python_columns(df: DataFrame, inputs: list[str], outputs: dict[str, str], make, drop: tuple[str, ...] = ()) -> DataFrame:
     """``df`` with columns computed in Python, batch by batch.
 
@@ -108,6 +119,7 @@ def with_python_columns(df: DataFrame, inputs: list[str], outputs: dict[str, str
             got = function(*(batch.column(c).to_pylist() for c in inputs))
             made = [pa.array(x, kinds[t]) for x, t in zip(got, outputs.values(), strict=True)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *made], names=[*keep, *outputs])
+        release_memory()
 
     schema = df.select(*keep, *(F.lit(None).cast(t).alias(c) for c, t in outputs.items())).schema
     return df.mapInArrow(run, schema)
