@@ -178,6 +178,17 @@ def trend_lines(df: DataFrame, target: str, features: list[str] | None = None, *
     return wide.select(F.explode(F.array(*rows)).alias("s")).select("s.*").where(F.col("n") > 2)
 
 
+def target_points(df: DataFrame, target: str, features: list[str] | None = None, *, max_features: int = P.TARGET_MAX_FEATURES) -> DataFrame:
+    """The points behind the trend lines (E7): ``feature, x, y`` of all rows where both are present."""
+    d = normalize_missing(df)
+    feats = [c for c in features or columns_of(d, NUMERIC) if c != target][: None if features else max_features]
+    if not feats:
+        return d.sparkSession.createDataFrame([], "feature string, x double, y double")
+    y = F.col(q(target)).cast("double").alias("y")
+    points = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(q(f)).cast("double").alias("x"), y) for f in feats])
+    return d.select(F.explode(points).alias("s")).select("s.*").where("x IS NOT NULL AND y IS NOT NULL")
+
+
 def target_by_category(df: DataFrame, target: str, features: list[str] | None = None, *, top: int = P.TARGET_TOP_CATEGORIES,
                        max_features: int = P.TARGET_MAX_FEATURES) -> DataFrame:
     """Continuous target vs categorical features (E8): box statistics of the

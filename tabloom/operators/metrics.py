@@ -138,6 +138,12 @@ def residual_histogram(pred: DataFrame, y: str = "y", p: str = "p", bins: int =
     return histogram(res, ["residual"], bins=bins, max_cols=1)
 
 
+def residual_points(pred: DataFrame, y: str = "y", p: str = "p", keep: list[str] | None = None) -> DataFrame:
+    """Predicted value and residual of every row (V13), to be drawn against each other."""
+    yy, pp = F.col(y).cast("double"), F.col(p).cast("double")
+    return pred.select(*(keep or []), pp.alias("predicted"), (yy - pp).alias("residual"))
+
+
 def sample_check(pred: DataFrame, y: str = "y", p: str = "p", k: int = 5) -> DataFrame:
     """First k rows, actual vs predicted."""
     return pred.select(F.col(y).alias("actual"), F.col(p).alias("predicted")).limit(k)

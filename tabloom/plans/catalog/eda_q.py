@@ -238,3 +238,14 @@ ORACLE["collinear_pairs_wide"] = (
     + " UNION ALL ".join(f"SELECT '{a}' AS col_a, '{b}' AS col_b, corr({a}, {b}) AS r FROM w" for i, a in enumerate(_names) for b in _names[i + 1:])
     + ") SELECT col_a, col_b, round(r, 4) AS r FROM p WHERE abs(r) >= " + str(P.COLLINEAR_ABS_R)
 )
+
+
+def q_target_points_part(spark, sf_dir):
+    """Points of a continuous target against numeric features."""
+    out = eda.target_points(table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_retailprice"), "p_retailprice")
+    return rounded(out)
+
+
+QUERIES["target_points_part"] = q_target_points_part
+ORACLE["target_points_part"] = f"""SELECT 'p_partkey' AS feature, {r('p_partkey')} AS x, {r('p_retailprice')} AS y FROM part
+UNION ALL SELECT 'p_size', {r('p_size')}, {r('p_retailprice')} FROM part"""

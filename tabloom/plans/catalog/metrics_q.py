@@ -22,11 +22,11 @@ def _lineitem_split(spark, sf_dir):
     return S.temporal_split(table(spark, sf_dir, "lineitem"), "l_extendedprice", "l_shipdate", tiebreak=["l_orderkey", "l_linenumber"])
 
 
-def _linreg(spark, sf_dir):
+def _linreg(spark, sf_dir, model="LinearRegression", feature="l_quantity"):
     s = _lineitem_split(spark, sf_dir)
     train = s.where(F.col("split") == "train")
     test = s.where(F.col("split") == "test")
-    return train_and_evaluate("LinearRegression", REGRESSION, train, test, ["l_quantity"], "l_extendedprice",
+    return train_and_evaluate(model, REGRESSION, train, test, [feature], "l_extendedprice",
                               key=["l_orderkey", "l_linenumber"])
 
 
@@ -297,3 +297,72 @@ ORACLE["label_kinds_lineitem"] = f"""WITH c AS (
   FROM (SELECT l_returnflag = 'R' AS y, l_quantity > 30 AS p FROM lineitem)
 ) SELECT kind, {r('ok / n')} AS accuracy, {r('tp / (tp + fp)')} AS precision, {r('tp / (tp + fn)')} AS recall, {r('2 * tp / (2 * tp + fp + fn)')} AS f1
 FROM c, (VALUES ('boolean'), ('double'), ('text')) k(kind)"""
+
+
+# -- penalised lines (M2-M4): one feature has a closed form ------------------------------
+
+def q_penalised_predictions_lineitem(spark, sf_dir, *, model):
+    return rounded(_linreg(spark, sf_dir, model).predictions.select("l_orderkey", "l_linenumber", "y", "p"), 2)
+
+
+#: Slope from the centred sums: the reference's ridge, lasso and elastic net of one feature.
+_SLOPES = {
+    "Ridge": "sxy / (sxx + 1.0)",
+    "Lasso": "sign(sxy) * greatest(abs(sxy) / n - 0.1, 0) / (sxx / n)",
+    "ElasticNet": "sign(sxy) * greatest(abs(sxy) / n - 0.05, 0) / (sxx / n + 0.05)",
+}
+_SUMS = """sums AS (SELECT count(*) AS n, avg(l_quantity) AS mx, avg(l_extendedprice) AS my,
+  covar_pop(l_quantity, l_extendedprice) * count(*) AS sxy, var_pop(l_quantity) * count(*) AS sxx FROM lab WHERE split = 'train')"""
+
+from functools import partial  # noqa: E402
+
+for _m, _slope in _SLOPES.items():
+    QUERIES[f"{_m.lower()}_predictions_lineitem"] = partial(q_penalised_predictions_lineitem, model=_m)
+    ORACLE[f"{_m.lower()}_predictions_lineitem"] = f"""WITH {_LI_SPLIT}, {_SUMS}, b AS (SELECT {_slope} AS b, mx, my FROM sums)
+SELECT CAST(l_orderkey AS BIGINT) AS l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, round(l_extendedprice, 2) AS y, round(my + b * (l_quantity - mx), 2) AS p
+FROM lab, b WHERE split = 'test'"""
+
+
+# -- points behind the charts (V13, E7) ---------------------------------------------------
+
+def q_residual_points_lineitem(spark, sf_dir):
+    return rounded(V.residual_points(_linreg(spark, sf_dir).predictions, keep=["l_orderkey", "l_linenumber"]), 2)
+
+
+QUERIES["residual_points_lineitem"] = q_residual_points_lineitem
+ORACLE["residual_points_lineitem"] = f"""WITH {_LI_SPLIT} SELECT CAST(l_orderkey AS BIGINT) AS l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber,
+  round(p, 2) AS predicted, round(y - p, 2) + 0.0 AS residual FROM pred"""
+
+
+# -- ranking (V9-V11) of three lines ---------------------------------------------------
+
+_LINES = ["l_quantity", "l_discount", "l_tax"]
+
+
+def _three_lines(spark, sf_dir):
+    from ...operators.scan import materialize_small
+
+    out = None
+    for i, f in enumerate(_LINES):
+        row = _linreg(spark, sf_dir, feature=f).metrics.select(F.lit(f"by_{f}").alias("model_name"), F.lit(i).alias("run_order"), "rmse", "mae", "r2")
+        out = row if out is None else out.unionByName(row)
+    return materialize_small(out)
+
+
+def q_leaderboard_lineitem(spark, sf_dir):
+    """Ranked models (V9) with the notebook's rank (V11) and the experiment ids (V10) beside it."""
+    found = _three_lines(spark, sf_dir)
+    ranked = V.rank_models(found, REGRESSION, top_k=2).select("model_name", "rank")
+    noted = V.notebook_leaderboard(found, REGRESSION).select("model_name", F.col("Rank").alias("notebook_rank"))
+    runs = V.experiment_table(found).select("model_name", "experiment_id", "is_baseline")
+    return runs.join(noted, "model_name").join(ranked, "model_name", "left").select(
+        "model_name", "experiment_id", "is_baseline", F.col("notebook_rank").cast("long").alias("notebook_rank"), F.col("rank").cast("long").alias("rank"))
+
+
+QUERIES["leaderboard_lineitem"] = q_leaderboard_lineitem
+ORACLE["leaderboard_lineitem"] = f"""WITH {_LI_SPLIT}, """ + ", ".join(
+    f"""m{i} AS (SELECT 'by_{f}' AS model_name, {i} AS run_order, sqrt(avg((l_extendedprice - a - b * {f}) ** 2)) AS rmse FROM lab,
+  (SELECT regr_slope(l_extendedprice, {f}) AS b, regr_intercept(l_extendedprice, {f}) AS a FROM lab WHERE split = 'train') fit{i} WHERE split = 'test')"""
+    for i, f in enumerate(_LINES)
+) + """, m AS (SELECT *, CAST(row_number() OVER (ORDER BY rmse) AS BIGINT) AS r FROM (SELECT * FROM m0 UNION ALL SELECT * FROM m1 UNION ALL SELECT * FROM m2))
+SELECT model_name, printf('exp_%03d', run_order + 1) AS experiment_id, run_order = 0 AS is_baseline, r AS notebook_rank, CASE WHEN r <= 2 THEN r END AS rank FROM m"""

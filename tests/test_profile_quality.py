@@ -97,3 +97,16 @@ def test_skew_guard_and_nan(spark):
     c = P.profile_columns(df).first()
     assert c["missing_count"] == 1 and c["skew"] is None and c["std"] == 0.0
     assert not math.isnan(c["mean"])
+
+
+def test_summary_text(spark):
+    """The first ten issues as sentences (Q16)."""
+    from tabloom.operators import quality as Q
+
+    rows = [(-i if i < 6 else i, "?" if i < 9 else f"v{i % 4}", 1) for i in range(60)]
+    report = Q.audit(spark.createDataFrame(rows, "age long, note string, fixed int"))
+    lines = [r["line"] for r in Q.summary_text(report).collect()]
+    issues = report.issues.orderBy("seq", "issue_type").limit(10).collect()
+    assert 0 < len(lines) <= 10
+    assert lines == [f"[{r['severity'].upper()}] {r['issue_type']}: {r['description']}" for r in issues]
+    assert len(Q.summary_text(report, k=1).collect()) == 1
