@@ -30,7 +30,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tabloom.llm.common import BROADCAST_BYTES, row_key, table, written
+from tabloom.llm.common import BROADCAST_BYTES, free_name, row_key, table, written
 
 #: Kinds in the order of ties.
 KINDS = ["email", "ip", "card", "phone", "term"]
@@ -205,14 +205,16 @@ def find_pii(
 
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with personal data replaced by their kinds, revealing terms removed or generalised."""
-    spans = find_pii(docs, id_col, text_col).where(F.size("spans") > 0).select("_key", F.col("spans").alias("_spans")).dropDuplicates(["_key"])
+    key = free_name(docs.columns, "_key")
+    own = free_name([*docs.columns, key], "_spans")
+    spans = find_pii(docs, id_col, text_col).where(F.size("spans") > 0).select(F.col("_key").alias(key), F.col("spans").alias(own)).dropDuplicates([key])
 
     def fill(s: Column, at: Column) -> Column:
         mark = F.when(s["kind"] != "term", F.concat(F.lit("<"), F.upper(s["kind"]), F.lit(">"))).when(s["value"] == "remove", "").otherwise("<TERM>")
         return F.when(s["start"] >= at, mark).otherwise("")
 
-    joined = docs.withColumn("_key", row_key(id_col, text_col)).join(spans, "_key", "left")
-    text = F.when(F.col("_spans").isNull(), F.col(text_col)).otherwise(_covered(F.col(text_col), F.col("_spans"), fill))
+    joined = docs.withColumn(key, row_key(id_col, text_col)).join(spans, key, "left")
+    text = F.when(F.col(own).isNull(), F.col(text_col)).otherwise(_covered(F.col(text_col), F.col(own), fill))
     return joined.withColumn(text_col, text).select(*docs.columns)
 
 

@@ -1,7 +1,7 @@
 """Quality classifier: a factorisation machine over words, structure and metadata.
 
 Features, all from the whole text with Spark's own functions: counts of
-hashed words (log-scaled, unit length) and structure statistics with the
+hashed words (scaled to unit length) and structure statistics with the
 length.  ``FMClassifier`` learns a bias, a weight and a low-rank vector
 per feature; scoring uses the sum-of-squares identity, so it is linear in
 the number of nonzero features.
@@ -12,7 +12,9 @@ the smallest hashes of the id, a parameter); every document is scored.
 Defined results: a null text is scored like an empty one; labels without
 a value or document are not learned from, repeated labels of an id count
 as one with the largest value; with one label value only every score is
-that value, without labels 0.5; repeated documents are all returned.
+that value, without labels 0.5; repeated documents are all returned; a
+very long text is read whole; an empty table gives no rows.  A column
+named like the score is replaced, all others pass through.
 """
 
 from __future__ import annotations
@@ -71,8 +73,11 @@ class QualityModel:
         """``docs`` with the score, from 0 to 1."""
         if self.fitted is None:
             return docs.withColumn(score_col, F.lit(self.constant))
-        out = self.fitted.transform(with_features(docs, text_col))
-        return out.select(*docs.columns, vector_to_array("_probability")[1].alias(score_col))
+        # the document's columns travel in one, so that none meets a feature's name
+        given = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_document"), F.col(text_col).alias("_text"))
+        out = self.fitted.transform(with_features(given, "_text"))
+        keep = [F.col(f"_document.`{c}`") for c in docs.columns if c != score_col]
+        return out.select(*keep, vector_to_array("_probability")[1].alias(score_col))
 
 
 def learn(
