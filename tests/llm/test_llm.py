@@ -541,3 +541,31 @@ def test_catalog():
 
     assert all(callable(q) for q in catalog.queries().values()) and len(catalog.queries()) == 10
     assert all(isinstance(sql, str) and name in catalog.queries() for name, sql in catalog.oracle_sql().items())
+
+
+CLASH = ["_key", "_spans", "_words", "_sorted", "_least", "s_words", "_text", "_tf", "_features", "_probability", "_hash", "base", "spans", "n", "label", "_lower", "_row", "_document"]
+
+
+def test_columns_of_clashing_names_stay(spark):
+    """Operators that keep a document's columns keep those called like their own as well."""
+    given = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang").limit(60)
+    docs = given.withColumns({c: F.concat(F.lit(c), F.col("doc_id").cast("string")) for c in CLASH})
+    model = language_id.learn(docs)
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    outputs = {
+        "sanitise": pii.sanitise(docs), "keep_one": ngram_join.keep_one(docs), "language": language_id.predict(docs, model),
+        "fingerprint": fingerprints.with_fingerprint(docs), "quality": quality_classifier.learn(docs, labels).score(docs),
+        "contamination": decontaminate.find_contamination(docs, spark.read.parquet(f"{SF}/benchmark.parquet")),
+        "codes": byte_bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN),
+        "counts": token_count.count_tokens(docs, public_tokenizers.path("word_bpe_49k.json")),
+    }
+    for name, out in outputs.items():
+        rows = out.collect()
+        assert rows and all(r[c] == f"{c}{r['doc_id']}" for r in rows for c in CLASH), name
+
+
+def test_pipeline_of_empty_tables(spark, empty):
+    import corpus_pipeline
+
+    out = corpus_pipeline.run(spark, empty)
+    assert out.collect() == [] and {"doc_id", "text", "token_ids"} <= set(out.columns)
