@@ -45,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabloom.llm.common import free_name, table, utf8_slices, written
+from tabloom.llm.common import free_name, release_memory, table, utf8_slices, written
 from tabloom.llm.shingles import _LOWER, _SPACE, _powers, word_hashes
 
 #: Slots of a predictor: 2 ** SLOT_BITS.
@@ -84,11 +84,13 @@ def spelled(off: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     x = _LOWER[data]
     kept = np.flatnonzero(~_SPACE[x])
     n = len(off) - 1
-    row = np.repeat(np.arange(n), np.diff(np.searchsorted(kept, off)))
+    row = np.repeat(np.arange(n, dtype=np.int32), np.diff(np.searchsorted(kept, off)))
     opens = np.append(True, (np.diff(kept) > 1) | (np.diff(row) > 0)) if len(kept) else np.zeros(0, bool)
     first = np.append(True, np.diff(row) > 0) if len(kept) else opens
     spaced = opens & ~first
-    place = np.arange(len(kept)) + np.cumsum(spaced) + (REACH + 1) * row + REACH
+    place = np.cumsum(spaced, dtype=np.int32)  # spaces before, the marks of the texts, and the bytes themselves
+    place += np.int32(REACH + 1) * row
+    place += np.arange(REACH, REACH + len(kept), dtype=np.int32)
     spaces = np.bincount(row[spaced], minlength=n)
     sizes = np.bincount(row, minlength=n) + spaces + REACH + 1
     starts = np.cumsum(sizes) - sizes
@@ -311,7 +313,7 @@ def corpus_counts(texts: DataFrame, text_col: str) -> DataFrame:
 
         for batch in batches:
             n_texts += batch.num_rows
-            for _, _, off, data in utf8_slices(batch.column(0), 2 * SLICE_BYTES):
+            for _, _, off, data in utf8_slices(batch.column(0), SLICE_BYTES):
                 key, n = np.unique(word_hashes(off, data)[0], return_counts=True)
                 yield packed(WORD, key.view(np.int64), n)
                 seq, starts = spelled(off, data)
@@ -325,6 +327,7 @@ def corpus_counts(texts: DataFrame, text_col: str) -> DataFrame:
                 key, n = np.unique(three, return_counts=True)
                 yield packed(TRIPLE, key, n)
         yield packed(TEXTS, np.zeros(1, np.int64), np.array([n_texts]))
+        release_memory()
 
     return texts.select(text_col).mapInArrow(run, _COUNTS).groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
@@ -342,14 +345,14 @@ def slot_counts(texts: DataFrame, text_col: str, codes: Any) -> DataFrame:
                     new.clear()
 
         for batch in batches:
-            for _, _, off, data in utf8_slices(batch.column(0), 2 * SLICE_BYTES):
+            for _, _, off, data in utf8_slices(batch.column(0), SLICE_BYTES):
                 seq, starts = spelled(off, data)
                 lo, size, _ = _lanes(starts, len(seq))
                 for a, b in _groups(lo, size):
                     slots, bit, *_ = _coded(own, seq, lo[a:b], size[a:b])
                     for new, s in zip(waiting, slots, strict=True):
                         new.append(s << np.uint32(1) | bit)
-                    if sum(map(len, waiting[0])) > 1 << 23:
+                    if sum(map(len, waiting[0])) > 1 << 22:
                         count()
         count()
         for i, have in enumerate(counts):
@@ -362,6 +365,8 @@ def slot_counts(texts: DataFrame, text_col: str, codes: Any) -> DataFrame:
                     [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), *[pa.binary()] * 3), strict=True)],
                     names=["predictor", "block", "slots", "zeros", "ones"],
                 )
+        del counts[:], waiting[:]
+        release_memory()
 
     return texts.select(text_col).mapInArrow(run, "predictor int, block int, slots binary, zeros binary, ones binary")
 
@@ -471,6 +476,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
                 made = [pa.array(v) for v in (tokens, known, base, -bits * np.log10(2), bits / size)]
                 part = batch.slice(lo, n)
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), *made, *lists], names=[*keep, *new, rare, times])
+        release_memory()
 
     given = docs.select(*keep, text_col)
     kinds = {**new, rare: "array<long>", times: "array<long>"}
