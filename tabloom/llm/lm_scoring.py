@@ -270,7 +270,7 @@ def mixed_bits(x: np.ndarray, gate: np.ndarray, bit: np.ndarray, first: np.ndarr
         c = np.floor(z * np.float32(REFINE_CELLS / 16)).astype(np.int32) + (lane * np.int32(REFINE_CELLS) + np.int32(REFINE_CELLS // 2))
         p = np.reciprocal(np.exp(-z) + np.float32(1))
         r = refine.take(c)
-        coded = np.log2(np.abs((p + r) * np.float32(0.5) - (np.float32(1) - y)))
+        coded = np.log(np.abs((p + r) * np.float32(0.5) - (np.float32(1) - y)))
         bits[:n] -= np.bincount(lane, weights=coded, minlength=n)
         refine[: n * REFINE_CELLS] += np.bincount(c, weights=(y - r) * REFINE_RATE, minlength=n * REFINE_CELLS).astype(np.float32)
         y -= p
@@ -279,7 +279,7 @@ def mixed_bits(x: np.ndarray, gate: np.ndarray, bit: np.ndarray, first: np.ndarr
         for i in range(inputs):
             weights[: n * gates, i] += np.bincount(k, weights=own[:, i], minlength=n * gates).astype(np.float32)
     out = np.empty(lanes)
-    out[order] = bits
+    out[order] = bits / np.log(2)
     return out
 
 
@@ -469,9 +469,9 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
                 size = np.maximum(1, np.diff(off))
                 # words that aren't among the top ones: distinct for each text, with their number
                 left = np.flatnonzero(each == 0)
-                pair, number = np.unique(np.stack([own[left], inverse[left]]), axis=1, return_counts=True)
-                ends = np.searchsorted(pair[0], np.arange(n + 1)).astype(np.int32)
-                lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(v)) for v in (h[pair[1]], number.astype(np.int64))]
+                pair, number = np.unique(own[left] * np.int64(len(h)) + inverse[left], return_counts=True)
+                ends = np.searchsorted(pair, np.arange(n + 1) * np.int64(len(h))).astype(np.int32)
+                lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(v)) for v in (h[pair % max(1, len(h))], number.astype(np.int64))]
                 tokens = np.bincount(own, minlength=n) + 1
                 made = [pa.array(v) for v in (tokens, known, base, -bits * np.log10(2), bits / size)]
                 part = batch.slice(lo, n)
