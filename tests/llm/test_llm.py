@@ -51,6 +51,7 @@ def empty(spark, tmp_path_factory):
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
     spark.createDataFrame([], "page_id long, url string, html string").write.parquet(f"{path}/pages.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    spark.createDataFrame([], "conv_id long, turn long, role string, text string").write.parquet(f"{path}/conversations.parquet")
     return path
 
 
@@ -539,7 +540,7 @@ def test_pipeline(spark, tmp_path):
 def test_catalog():
     from tabloom.llm import catalog
 
-    assert all(callable(q) for q in catalog.queries().values()) and len(catalog.queries()) == 10
+    assert all(callable(q) for q in catalog.queries().values()) and len(catalog.queries()) == 13
     assert all(isinstance(sql, str) and name in catalog.queries() for name, sql in catalog.oracle_sql().items())
 
 
