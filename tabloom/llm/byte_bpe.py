@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from tabloom.llm.common import release_memory, table
 
 #: Entries of a generation of encoded chunks (and of decoded runs); a task keeps the present one and the one before.
-CACHE = 250_000
+CACHE = 150_000
 #: Bytes of text encoded at a time.
 SLICE_BYTES = 3 << 19
 #: Bytes of pieces in one recursive query.
