@@ -1,11 +1,13 @@
 """k-nearest-neighbour regression and classification.
 
-``knn_join`` uses every training row, however many: both sides are cut into
-blocks by a hash, each block of test rows meets each block of training
-rows in one task (numpy; a test block is a few MB and sent once to each
-training block), keeps its k nearest, and the partial lists are merged by
-a bounded top-k, combined before the shuffle.  Nearest means by distance,
-then by the text of the key.  Memory of a task is one block of either side.
+``knn_join`` uses every training row, however many: space is cut into cells
+of some thousand training rows, at medians of a sample (the sample places
+the cuts only).  A test row meets the rows of its own cell, and with the
+distance of its k-th nearest there the rows of each other cell whose box is
+no farther; the partial lists are merged by a bounded top-k.  In few
+dimensions these are a handful of cells; in many it may be all of them.
+Nearest means by distance, then by the text of the key.  A task holds one
+cell, one block of test rows and ``DISTANCES`` distances.
 
 ``knn_predict`` follows the reference's classifier: at most ``max_rows``
 training rows, a seeded sample when there are more.  The sample is an
@@ -33,6 +35,12 @@ MAX_BROADCAST_BYTES = 512 * 1024 * 1024
 #: Bytes of coordinates in a block of training and of test rows.
 TRAIN_BLOCK_BYTES = 8 << 20
 TEST_BLOCK_BYTES = 2 << 20
+#: Training rows of a cell in no dimensions, doubled for each up to the fifth; the cuts come from a sample of at most so many rows and bytes.
+CELL_ROWS = 512
+SAMPLE_ROWS = 1 << 18
+SAMPLE_BYTES = 64 << 20
+#: Distances that a task holds at once.
+DISTANCES = 1 << 21
 
 
 def _matrix(pdf: pd.DataFrame, features: list[str]) -> np.ndarray:
@@ -100,25 +108,30 @@ def knn_predict(train: DataFrame, test: DataFrame, features: list[str], label: s
         xt, yi, cls = bx.value
         tn = (xt * xt).sum(axis=1)
         for pdf in batches:
-            x = _matrix(pdf, features)
-            if len(x) == 0:
+            if len(pdf) == 0:
                 continue
-            d2 = np.maximum((x * x).sum(axis=1)[:, None] + tn[None, :] - 2.0 * x @ xt.T, 0.0)
-            idx = np.argpartition(d2, kk - 1, axis=1)[:, :kk]
-            dsel = np.take_along_axis(d2, idx, axis=1)
-            order = np.lexsort((idx, dsel), axis=1)  # by distance, then by sample position
-            idx = np.take_along_axis(idx, order, axis=1)
-            dist = np.sqrt(np.take_along_axis(d2, idx, axis=1))
-            w = _weights(dist)
-            out = pdf[keep].copy()
-            if cls is not None:
-                votes = np.zeros((len(x), len(cls)))
-                np.add.at(votes, (np.repeat(np.arange(len(x)), kk), yi[idx].ravel()), w.ravel())
-                out["prediction"] = cls[votes.argmax(axis=1)]  # ties → smallest class
-                out["score"] = votes[:, positive] / votes.sum(axis=1) if positive is not None else 0.0
-            else:
-                out["prediction"] = (w * yi[idx]).sum(axis=1) / w.sum(axis=1)
-            yield out
+            step = max(1, DISTANCES // max(1, len(xt)))
+            for lo in range(0, len(pdf), step):
+                yield scored(pdf.iloc[lo: lo + step], xt, yi, cls, tn)
+
+    def scored(pdf: pd.DataFrame, xt, yi, cls, tn) -> pd.DataFrame:
+        x = _matrix(pdf, features)
+        d2 = np.maximum((x * x).sum(axis=1)[:, None] + tn[None, :] - 2.0 * x @ xt.T, 0.0)
+        idx = np.argpartition(d2, kk - 1, axis=1)[:, :kk]
+        dsel = np.take_along_axis(d2, idx, axis=1)
+        order = np.lexsort((idx, dsel), axis=1)  # by distance, then by sample position
+        idx = np.take_along_axis(idx, order, axis=1)
+        dist = np.sqrt(np.take_along_axis(d2, idx, axis=1))
+        w = _weights(dist)
+        out = pdf[keep].copy()
+        if cls is not None:
+            votes = np.zeros((len(x), len(cls)))
+            np.add.at(votes, (np.repeat(np.arange(len(x)), kk), yi[idx].ravel()), w.ravel())
+            out["prediction"] = cls[votes.argmax(axis=1)]  # ties → smallest class
+            out["score"] = votes[:, positive] / votes.sum(axis=1) if positive is not None else 0.0
+        else:
+            out["prediction"] = (w * yi[idx]).sum(axis=1) / w.sum(axis=1)
+        return out
 
     keep_fields = [f for f in test.schema.fields if f.name in keep]
     from pyspark.sql.types import DoubleType, StringType, StructField, StructType
@@ -135,6 +148,66 @@ def _coordinates(df: DataFrame, features: list[str]) -> Column:
     return F.array(*[F.col(q(f)).cast("double") for f in features])
 
 
+class _Cells:
+    """A cut of space into cells of about ``rows`` training rows, by medians of a sample along its widest side.
+
+    ``dim`` and ``cut`` of each node (x <= cut goes left), ``left`` and ``right`` (-1: a leaf, whose cell is ``cell``),
+    and the box ``lo``, ``hi`` that its cuts leave.
+    """
+
+    def __init__(self, sample: np.ndarray, rows: int):
+        dims = sample.shape[1]
+        self.dim, self.cut, self.left, self.right, self.cell, lo, hi, self.n = [], [], [], [], [], [], [], 0
+        todo = [(sample, np.full(dims, -np.inf), np.full(dims, np.inf), None)]
+        while todo:
+            x, a, b, under = todo.pop()
+            me = len(self.dim)
+            if under is not None:
+                under[0][under[1]] = me
+            for of, v in ((self.dim, 0), (self.cut, np.inf), (self.left, -1), (self.right, -1), (self.cell, -1), (lo, a), (hi, b)):
+                of.append(v)
+            spread = x.max(axis=0) - x.min(axis=0) if len(x) else np.zeros(dims)
+            if len(x) <= max(1, rows) or not spread.any():
+                self.cell[me], self.n = self.n, self.n + 1
+                continue
+            d = int(spread.argmax())
+            v = x[:, d]
+            at = np.partition(v, (len(v) - 1) // 2)[(len(v) - 1) // 2]
+            if at == v.max():  # more than half of them have the greatest value
+                at = v[v < at].max()
+            self.dim[me], self.cut[me] = d, at
+            below, above = b.copy(), a.copy()
+            below[d] = above[d] = at
+            todo += [(x[v > at], above, b, (self.right, me)), (x[v <= at], a, below, (self.left, me))]
+        self.dim, self.left, self.right, self.cell = (np.array(v, dtype="int64") for v in (self.dim, self.left, self.right, self.cell))
+        self.cut, self.lo, self.hi = np.array(self.cut), np.array(lo), np.array(hi)
+
+    def home(self, x: np.ndarray) -> np.ndarray:
+        """The cell of each row of ``x``."""
+        at = np.zeros(len(x), dtype="int64")
+        while (inner := np.flatnonzero(self.left[at] >= 0)).size:
+            node = at[inner]
+            at[inner] = np.where(x[inner, self.dim[node]] <= self.cut[node], self.left[node], self.right[node])
+        return self.cell[at]
+
+    def within(self, x: np.ndarray, far: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, cell) of all cells whose box is no farther from a row than its ``far``."""
+        rows, nodes, out = np.arange(len(x)), np.zeros(len(x), dtype="int64"), []
+        while len(rows):
+            gap = np.maximum(np.maximum(self.lo[nodes] - x[rows], x[rows] - self.hi[nodes]), 0.0)
+            near = np.sqrt((gap * gap).sum(axis=1)) <= far[rows] * (1 + 1e-9)
+            rows, nodes = rows[near], nodes[near]
+            leaf = self.left[nodes] < 0
+            out.append((rows[leaf], self.cell[nodes[leaf]]))
+            rows, nodes = rows[~leaf], nodes[~leaf]
+            rows, nodes = np.concatenate([rows, rows]), np.concatenate([self.left[nodes], self.right[nodes]])
+        return tuple(np.concatenate(v) for v in zip(*out, strict=True)) if out else (rows, nodes)
+
+
+def _points(column: pd.Series, dims: int) -> np.ndarray:
+    return np.stack(column.to_numpy()).astype("float64") if len(column) else np.zeros((0, dims))
+
+
 def nearest_rows(train: DataFrame, test: DataFrame, features: list[str], *, key: list[str], carry: list[str], k: int) -> DataFrame:
     """The ``k`` nearest training rows of each test row: ``_rid, d, t`` (key text) and the ``carry`` columns of the training row.
 
@@ -144,22 +217,41 @@ def nearest_rows(train: DataFrame, test: DataFrame, features: list[str], *, key:
     text = F.concat_ws("|", *[F.coalesce(F.col(q(c)).cast("string"), F.lit("~")) for c in key])
     right = train.select(_coordinates(train, features).alias("x"), text.alias("t"), *[F.col(q(c)) for c in carry]).where(whole(F.col("x")))
     left = test.select("_rid", _coordinates(test, features).alias("x")).where(whole(F.col("x")))
-    size = lambda d: d.agg(F.coalesce(F.sum(8 * F.size("x")), F.lit(0))).first()[0]
-    n_right, n_left = (max(1, math.ceil(size(d) / b)) for d, b in ((right, TRAIN_BLOCK_BYTES), (left, TEST_BLOCK_BYTES)))
-    right = right.withColumn("_rb", F.pmod(F.xxhash64("t", "x"), F.lit(n_right))).withColumn("_lb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_left - 1).cast("long"))))
-    left = left.withColumn("_lb", F.pmod(F.xxhash64("_rid"), F.lit(n_left))).withColumn("_rb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_right - 1).cast("long"))))
+    # of rows at one place only the first k can be among the nearest
+    right = stored(right.withColumn("_n", F.row_number().over(Window.partitionBy("x").orderBy("t", *[q(c) for c in carry]))).where(F.col("_n") <= k).drop("_n"))
+    n, dims = right.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("x")), F.lit(1))).first()
+    cell_rows = max(1, min(TRAIN_BLOCK_BYTES // (8 * dims), CELL_ROWS << min(dims, 5)))
+    block_rows = max(1, TEST_BLOCK_BYTES // (8 * dims))
+    share = max(1, math.ceil(n / min(SAMPLE_ROWS, SAMPLE_BYTES // (8 * dims))))
+    sample = right.where(F.pmod(F.xxhash64("t", "x"), F.lit(share)) == 0).select("x").toPandas()["x"]
+    shared = train.sparkSession.sparkContext.broadcast(_Cells(_points(sample, dims), max(1, cell_rows // share)))
+
+    def settle(batches):
+        for pdf in batches:
+            yield pdf.assign(_cell=shared.value.home(_points(pdf["x"], dims)))
+
+    def reach(batches):
+        cells = shared.value
+        step = max(1, (1 << 22) // (cells.n * dims))
+        for pdf in batches:
+            x, far, home = _points(pdf["x"], dims), pdf["far"].to_numpy(dtype="float64"), pdf["_cell"].to_numpy()
+            for lo in range(0, len(x), step):
+                i, c = cells.within(x[lo: lo + step], far[lo: lo + step])
+                other = c != home[lo + i]
+                yield pdf.iloc[lo + i[other]][["_rid", "x", "far"]].assign(_cell=c[other])
 
     def near(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
             return pd.DataFrame({c: [] for c in ["_rid", "d", "t", *carry]})
-        xa, xb = (np.stack(d["x"].to_numpy()).astype("float64") for d in (a, b))
+        xa, xb, far = _points(a["x"], dims), _points(b["x"], dims), a["far"].to_numpy(dtype="float64")
         b = b.reset_index(drop=True)
         place = np.empty(len(b), dtype="int64")
         place[np.argsort(b["t"].to_numpy(dtype=object), kind="stable")] = np.arange(len(b))
         nb, kk = (xb * xb).sum(axis=1), min(k, len(b))
         rid, dist, row = [], [], []
-        for lo in range(0, len(a), 256):
-            x = xa[lo: lo + 256]
+        step = max(1, DISTANCES // len(b))
+        for lo in range(0, len(a), step):
+            x = xa[lo: lo + step]
             rough = (x * x).sum(axis=1)[:, None] + nb[None, :] - 2.0 * x @ xb.T
             limit = np.partition(rough, kk - 1, axis=1)[:, kk - 1]
             # rounding of the rough distances is small against the squares that they come from
@@ -168,7 +260,7 @@ def nearest_rows(train: DataFrame, test: DataFrame, features: list[str], *, key:
             order = np.lexsort((place[j], d, i))
             i, j, d = i[order], j[order], d[order]
             first = np.searchsorted(i, np.arange(len(x)))
-            keep = np.arange(len(i)) - first[i] < kk
+            keep = (np.arange(len(i)) - first[i] < kk) & (d <= far[lo + i])
             rid.append(a["_rid"].to_numpy()[lo + i[keep]])
             dist.append(d[keep])
             row.append(j[keep])
@@ -178,10 +270,31 @@ def nearest_rows(train: DataFrame, test: DataFrame, features: list[str], *, key:
         return got
 
     kinds = {f.name: f.dataType.simpleString() for f in train.schema.fields}
-    schema = "_rid long, d double, t string" + "".join(f", {q(c)} {kinds[c]}" for c in carry)
-    parts = left.groupBy("_lb", "_rb").cogroup(right.groupBy("_lb", "_rb")).applyInPandas(near, schema)
-    best = F.row_number().over(Window.partitionBy("_rid").orderBy("d", "t"))
-    return parts.withColumn("_n", best).where(F.col("_n") <= k).drop("_n")
+    carried = "".join(f", {q(c)} {kinds[c]}" for c in carry)
+    cells = stored(right.mapInPandas(settle, f"x array<double>, t string{carried}, _cell long"))
+
+    def meet(asked: DataFrame) -> DataFrame:
+        """The nearest of the asked cell for each row of (_rid, x, far, _cell); a cell that many ask meets them in blocks."""
+        blocks = F.ceil(F.count(F.lit(1)) / block_rows).cast("long")
+        many = stored(asked.groupBy("_cell").agg(blocks.alias("_m")))  # a row per cell
+        a = asked.join(F.broadcast(many), "_cell").withColumn("_block", F.pmod(F.xxhash64("_rid"), F.col("_m"))).drop("_m")
+        b = cells.join(F.broadcast(many), "_cell").withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_m") - 1))).drop("_m")
+        return a.groupBy("_cell", "_block").cogroup(b.groupBy("_cell", "_block")).applyInPandas(near, f"_rid long, d double, t string{carried}")
+
+    def first(found: DataFrame) -> DataFrame:
+        best = F.row_number().over(Window.partitionBy("_rid").orderBy("d", "t", *[q(c) for c in carry]))
+        return found.withColumn("_n", best).where(F.col("_n") <= k).drop("_n")
+
+    # each row's own cell bounds the distance at which others can matter
+    left = left if n else left.limit(0)
+    asked = stored(left.withColumn("far", F.lit(float("inf"))).mapInPandas(settle, "_rid long, x array<double>, far double, _cell long"))
+    own = stored(meet(asked))
+    if shared.value.n == 1:
+        return first(own)
+    far = own.groupBy("_rid").agg(F.when(F.count(F.lit(1)) >= k, F.max("d")).otherwise(float("inf")).alias("far"))
+    reached = asked.drop("far").join(far, "_rid", "left").withColumn("far", F.coalesce("far", F.lit(float("inf"))))
+    other = stored(reached.select("_rid", "x", "far", "_cell").mapInPandas(reach, "_rid long, x array<double>, far double, _cell long"))
+    return first(own.unionByName(meet(other)))
 
 
 def knn_join(train: DataFrame, test: DataFrame, features: list[str], label: str, *, key: list[str], task: str = "regression",
