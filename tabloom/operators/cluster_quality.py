@@ -5,10 +5,12 @@ the centroids (clusters × features, small), one more pass the distances to
 them.
 
 The silhouette is Euclidean, and its mean distances have no closed form.
-Every row is scored; its distance to a cluster is the mean distance to the
-cluster's reference rows.  These are the cluster's rows of least seeded
-hash, as many as fit into a fixed size together (``REFERENCE_BYTES``), and
-all of them where they do: then the score is exact.  The result names the
+Every row is scored, equal ones once with their number as weight; its
+distance to a cluster is the mean distance to the cluster's reference rows.
+These are the cluster's points of least seeded hash with their rows, as many
+points as fit into a fixed size together (``REFERENCE_BYTES``), and all of
+them where they do: then the score is exact.  The work is rows x references:
+it is cut into tasks by that product, not by bytes.  The result names the
 number of reference rows and a bound of the score's error: with 95 %
 probability over the choice of references it is off by no more than
 ``silhouette_error`` (the mean over rows of what the sampled distances can
@@ -25,10 +27,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.kinds import q
+from ..session import stored
 
 SCORES = "silhouette double, davies_bouldin double, calinski_harabasz double, n_clusters long, silhouette_references long, silhouette_error double"
 #: Bytes of all reference rows together; they are sent to every task.
 REFERENCE_BYTES = 32 << 20
+#: Rows and references whose distances are taken at once (they stay in a core's cache), and distances of a task.
+BLOCK = (64, 1024)
+PAIRS = 1 << 30
 
 
 def silhouette(rows: DataFrame, cols: list[str], sizes: dict, *, reference_bytes: int = REFERENCE_BYTES, seed: int = 42) -> tuple[float, int, float]:
@@ -37,35 +43,57 @@ def silhouette(rows: DataFrame, cols: list[str], sizes: dict, *, reference_bytes
     ``sizes``: rows of each cluster.
     """
     each = max(2, reference_bytes // (8 * len(cols) * len(sizes)))
-    marked = rows.withColumn("_h", F.xxhash64(F.lit(seed), *cols))
-    if any(n > each for n in sizes.values()):
+    points = stored(rows.groupBy("c", *cols).agg(F.count(F.lit(1)).alias("w")))
+    counts = {r["c"]: r["n"] for r in points.groupBy("c").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row per cluster
+    marked = points.withColumn("_h", F.xxhash64(F.lit(seed), *cols))
+    if any(n > each for n in counts.values()):
         marked = marked.withColumn("_n", F.row_number().over(Window.partitionBy("c").orderBy("_h", *cols))).where(F.col("_n") <= each)
-    sample = marked.select("c", *cols).toPandas()  # at most reference_bytes
+    sample = marked.select("c", "w", *cols).toPandas()  # at most reference_bytes, and the weights
     names = sorted(sizes)
-    refs = [sample.loc[sample["c"] == c, cols].to_numpy(dtype="float64") for c in names]
-    whole = [len(x) == sizes[c] for x, c in zip(refs, names, strict=True)]
-    shared = rows.sparkSession.sparkContext.broadcast((names, refs, whole, [sizes[c] for c in names]))
+    refs = [np.ascontiguousarray(sample.loc[sample["c"] == c, cols].to_numpy(dtype="float64").T) for c in names]
+    weights = [sample.loc[sample["c"] == c, "w"].to_numpy(dtype="float64") for c in names]
+    whole = [w.sum() == sizes[c] for w, c in zip(weights, names, strict=True)]
+    shared = rows.sparkSession.sparkContext.broadcast((names, refs, weights, whole, [sizes[c] for c in names]))
+
+    def sums(x: np.ndarray, ref: np.ndarray, w: np.ndarray, rest: bool) -> tuple:
+        """Of each row's distances to the references: weighted sum, and for the error of a part of them the sums of w² d² and w² d."""
+        total, square, plain = np.zeros(len(x)), np.zeros(len(x)), np.zeros(len(x))
+        d, side = np.empty((len(x), BLOCK[1])), np.empty((len(x), BLOCK[1]))
+        for at in range(0, ref.shape[1], BLOCK[1]):
+            part, v = ref[:, at: at + BLOCK[1]], w[at: at + BLOCK[1]]
+            a, b = d[:, : part.shape[1]], side[:, : part.shape[1]]
+            for k in range(len(part)):
+                to = b if k else a
+                np.subtract(x[:, k, None], part[None, k], out=to)
+                np.multiply(to, to, out=to)
+                if k:
+                    np.add(a, b, out=a)
+            if rest:
+                square += a @ (v * v)
+            np.sqrt(a, out=a)
+            total += a @ v
+            if rest:
+                plain += a @ (v * v)
+        return total, square, plain
 
     def run(batches):
-        names, refs, whole, n = shared.value
+        names, refs, weights, whole, n = shared.value
         at = {c: i for i, c in enumerate(names)}
         for pdf in batches:
-            for lo in range(0, len(pdf), 256):
-                part = pdf.iloc[lo: lo + 256]
-                x, own = part[cols].to_numpy(dtype="float64"), np.array([at[c] for c in part["c"]])
+            for lo in range(0, len(pdf), BLOCK[0]):
+                part = pdf.iloc[lo: lo + BLOCK[0]]
+                x, own, count = part[cols].to_numpy(dtype="float64"), np.array([at[c] for c in part["c"]]), part["w"].to_numpy(dtype="float64")
                 mean, off = np.empty((len(x), len(refs))), np.zeros((len(x), len(refs)))
-                for i, ref in enumerate(refs):
-                    d = np.zeros((len(x), len(ref)))
-                    for k in range(ref.shape[1]):
-                        d += (x[:, k, None] - ref[None, :, k]) ** 2
-                    d = np.sqrt(d)
+                for i, (ref, w) in enumerate(zip(refs, weights, strict=True)):
+                    total, square, plain = sums(x, ref, w, not whole[i])
                     # a row is no neighbour of itself; it is at distance 0, if it is among the references at all
-                    mine = own == i
-                    mean[:, i] = d.mean(axis=1)
+                    mean[:, i] = total / w.sum()
                     if whole[i]:
-                        mean[mine, i] = d[mine].sum(axis=1) / max(1, n[i] - 1)
+                        mine = own == i
+                        mean[mine, i] = total[mine] / max(1, n[i] - 1)
                     else:
-                        off[:, i] = 1.96 * d.std(axis=1) / np.sqrt(len(ref))
+                        spread = square - 2 * mean[:, i] * plain + mean[:, i] ** 2 * (w * w).sum()
+                        off[:, i] = 1.96 * np.sqrt(np.maximum(spread, 0.0)) / w.sum()
                 a, ea = mean[np.arange(len(x)), own], off[np.arange(len(x)), own]
                 mean[np.arange(len(x)), own] = np.inf
                 near = mean.argmin(axis=1)
@@ -73,10 +101,13 @@ def silhouette(rows: DataFrame, cols: list[str], sizes: dict, *, reference_bytes
                 most = np.maximum(np.maximum(a, b), 1e-300)
                 alone = np.array(n)[own] == 1
                 s = np.where(alone, 0.0, (b - a) / most)
-                yield pd.DataFrame({"s": [float(s.sum())], "e": [float(np.where(alone, 0.0, np.minimum(2.0, (ea + eb) / most)).sum())], "n": [len(x)]})
+                e = np.where(alone, 0.0, np.minimum(2.0, (ea + eb) / most))
+                yield pd.DataFrame({"s": [float(s @ count)], "e": [float(e @ count)], "n": [int(count.sum())]})
 
-    total = rows.select("c", *cols).mapInPandas(run, "s double, e double, n long").agg(F.sum("s"), F.sum("e"), F.sum("n")).first()
-    return total[0] / total[2], len(sample), total[1] / total[2]
+    # tasks by the distances to be taken, not by bytes
+    tasks = max(1, min(-(-sum(counts.values()) // BLOCK[0]), sum(counts.values()) * len(sample) // PAIRS + 1))
+    total = points.repartition(tasks).mapInPandas(run, "s double, e double, n long").agg(F.sum("s"), F.sum("e"), F.sum("n")).first()
+    return total[0] / total[2], int(sample["w"].sum()), total[1] / total[2]
 
 
 def clustering_scores(labelled: DataFrame, features: list[str], cluster: str) -> DataFrame:

@@ -5,6 +5,7 @@ import random
 import numpy as np
 import pytest
 
+from tabloom.operators import cluster_quality as Q
 from tabloom.operators import knn as K
 
 
@@ -38,3 +39,18 @@ def test_sampled_neighbours_in_blocks(spark, monkeypatch, task):
     monkeypatch.setattr(K, "DISTANCES", 7 * 60)
     assert len(whole) == 50 and [r["k"] for r in found()] == [r["k"] for r in whole]
     assert [r["prediction"] for r in found()] == pytest.approx([r["prediction"] for r in whole]) if task == "regression" else found() == whole
+
+
+def test_silhouette_of_equal_rows(spark):
+    """Equal rows are one reference: 40 of each row fit where the rows one by one don't, and the score stays exact."""
+    rnd = random.Random(6)
+    few = [(i % 2, float(rnd.randint(0, 9) + 4 * (i % 2)), float(rnd.randint(0, 9))) for i in range(30)]
+    df = spark.createDataFrame(few * 40, "c int, f0 double, f1 double")
+    exact, n, error = Q.silhouette(df, ["f0", "f1"], {0: 600, 1: 600})
+    small, m, bound = Q.silhouette(df, ["f0", "f1"], {0: 600, 1: 600}, reference_bytes=16 * 2 * 30)
+    assert (n, error) == (1200, 0) == (m, bound) and small == pytest.approx(exact)
+    x, c = np.array([r[1:] for r in few * 40]), np.array([r[0] for r in few * 40])
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    mean = np.stack([d[:, c == k].sum(1) / np.where(c == k, 599, 600) for k in (0, 1)], 1)
+    a, b = mean[np.arange(1200), c], mean[np.arange(1200), 1 - c]
+    assert exact == pytest.approx(((b - a) / np.maximum(a, b)).mean())
