@@ -33,7 +33,7 @@ from ..functions import patterns as P
 from ..functions.kinds import q
 from . import boosting, cluster_quality, knn
 from .dbscan import dbscan
-from ..session import cut_lineage, stored
+from ..session import cut_lineage, spread, stored
 from .metrics import classification_metrics, regression_metrics, roc_auc
 
 REGRESSION = "regression"
@@ -145,6 +145,7 @@ def train_and_evaluate(name: str, task: str, train: DataFrame, val: DataFrame, f
     doesn't have raises an error.
     """
     t0 = time.perf_counter()
+    train, val = spread(train), spread(val)
     if task == CLUSTERING:
         return _cluster(name, train, val, features, key, seed, params)
     if name in ("KNeighborsRegressor", "KNeighborsClassifier", "AdaBoostClassifier", "AdaBoostRegressor"):

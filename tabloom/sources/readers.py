@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..errors import DataLoadError
-from ..session import ensure_checkpoint_dir, fs_path, stored
+from ..session import ensure_checkpoint_dir, fs_path, spread, stored
 
 DELIMITERS = [",", "\t", ";", "|"]
 
@@ -54,11 +54,13 @@ def register(extensions: list[str], reader: Reader) -> None:
 def balanced(df: DataFrame) -> DataFrame:
     """Spread an input that is read by a single task (one file, one row group) over all cores.
 
-    Any larger input is returned unchanged, without a shuffle.
+    A row group is read by one task, however many splits its file has: rows are counted by partition (Parquet
+    answers that from its footers).  Any other input is returned unchanged, without a shuffle.
     """
+    cores = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() == 1:
-        return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
-    return df
+        return df.repartition(cores)
+    return spread(df, least_share=2 / cores)
 
 
 def read_table(spark: SparkSession, path: str, **options) -> DataFrame:

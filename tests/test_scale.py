@@ -4,9 +4,13 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from tabloom import session
 from tabloom.operators import cluster_quality as Q
 from tabloom.operators import knn as K
+from tabloom.operators import models as M
+from tabloom.sources.readers import balanced
 
 
 def test_neighbours_by_cells(spark, monkeypatch):
@@ -54,3 +58,32 @@ def test_silhouette_of_equal_rows(spark):
     mean = np.stack([d[:, c == k].sum(1) / np.where(c == k, 599, 600) for k in (0, 1)], 1)
     a, b = mean[np.arange(1200), c], mean[np.arange(1200), 1 - c]
     assert exact == pytest.approx(((b - a) / np.maximum(a, b)).mean())
+
+
+def largest(df) -> int:
+    return df.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+
+
+def test_one_row_group_in_several_splits(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(session, "SPREAD_ROWS", 1000)
+    spark.range(20000).withColumn("v", F.rand(1)).coalesce(1).write.parquet(str(tmp_path / "t"))
+    keep = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for k in keep:
+            spark.conf.set(k, "20000")
+        df = spark.read.parquet(str(tmp_path / "t"))
+        assert df.rdd.getNumPartitions() > 1 and largest(df) == 20000
+        out = balanced(df)
+        assert largest(out) <= 20000 / spark.sparkContext.defaultParallelism + 1000 and out.exceptAll(df).count() == 0 == df.exceptAll(out).count()
+    finally:
+        for k, v in keep.items():
+            spark.conf.set(k, v)
+
+
+def test_training_rows_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(session, "SPREAD_ROWS", 200)
+    seen, own = [], M._spark_ml
+    monkeypatch.setattr(M, "_spark_ml", lambda name, task, train, *a: seen.append(largest(train)) or own(name, task, train, *a))
+    df = spark.range(2000).select(F.col("id").alias("k"), F.rand(1).alias("f"), (F.col("id") % 7).cast("double").alias("y")).coalesce(1)
+    M.train_and_evaluate("LinearRegression", M.REGRESSION, df, df, ["f"], "y", key=["k"])
+    assert seen[0] <= 400
