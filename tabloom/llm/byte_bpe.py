@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabloom.llm.common import release_memory, table
+from tabloom.llm.common import kept_in_worker, release_memory, table
 
 #: Entries of a generation of encoded chunks (and of decoded runs); a task keeps the present one and the one before.
 CACHE = 150_000
@@ -249,7 +249,7 @@ class Codec:
         return out
 
 
-_CODECS: dict[tuple[str, str], Codec] = {}
+_CODECS: dict[tuple[str, str], Codec] = kept_in_worker()
 
 
 def codec(path: str, pattern: str) -> Codec:
@@ -259,6 +259,10 @@ def codec(path: str, pattern: str) -> Codec:
     return _CODECS[key]
 
 
+def _release() -> None:
+    release_memory(_CODECS)
+
+
 def _slices(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
     lo = total = 0
     for i, n in enumerate(sizes):
@@ -299,7 +303,7 @@ def encode(
                     cols.append(pa.array(own.decode(runs), pa.binary()))
                 yield pa.RecordBatch.from_arrays(cols, names=[*keep, *new])
         own.older, own.decoded_older = {}, {}
-        release_memory()
+        _release()
 
     given = docs.select(*keep, text_col)
     types = {ids_col: "array<int>", decoded_col: "binary"}

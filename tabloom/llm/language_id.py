@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabloom.llm.common import free_name, held_out, table, utf8_slices
+from tabloom.llm.common import free_name, held_out, release_memory, table, utf8_slices
 
 #: Most cells of the model (buckets x languages): 4 bytes each when sent to the tasks.
 CELLS = 1 << 22
@@ -184,6 +184,7 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Mo
     buckets = min(MAX_BUCKETS, 1 << max(8, (CELLS // n_lang).bit_length() - 1))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memory()
         total: dict[str, np.ndarray] = {}
         for batch in batches:
             langs = batch.column("lang").to_pylist()
@@ -198,6 +199,7 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Mo
         for name, own in total.items():
             at = np.flatnonzero(own)
             yield pa.RecordBatch.from_pydict({"lang": pa.array([name] * len(at), pa.string()), "bucket": pa.array(at, pa.int32()), "n": pa.array(own[at], pa.int64())})
+        release_memory()
 
     counts = rows.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     names = sorted(set(counts["lang"].to_pylist()))
@@ -228,23 +230,24 @@ def predict(
     schema = docs.select(*keep, *(F.lit(None).cast(k).alias(c) for c, k in kinds)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memory()
         own = sent.value
         for batch in batches:
-            lang, score, shares, evidence = [], [], [], []
             for lo, hi, off, data in utf8_slices(batch.column(lower), SLICE_BYTES):
+                lang, score, shares = [], [], []
                 pi = own.shares(off, data) if own else np.zeros((hi - lo, 1))
                 best = pi.argmax(axis=1)
-                if evidence_col:
-                    evidence += own.evidence(off, data, pi).tolist() if own else [0.0] * (hi - lo)
                 for p, b in zip(pi, best, strict=True):
                     found = p[b] > 0
                     lang.append(own.languages[b] if found else UNKNOWN)
                     score.append(min(1.0, float(p[b])))
                     shares.append([(own.languages[k], float(p[k])) for k in np.flatnonzero(p)] if found else [])
-            made = [pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(shares, pa.map_(pa.string(), pa.float64()))]
-            if evidence_col:
-                made.append(pa.array(evidence, pa.float64()))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *made], names=[*keep, *names])
+                made = [pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(shares, pa.map_(pa.string(), pa.float64()))]
+                if evidence_col:
+                    made.append(pa.array(own.evidence(off, data, pi) if own else np.zeros(hi - lo), pa.float64()))
+                part = batch.slice(lo, hi - lo)
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), *made], names=[*keep, *names])
+        release_memory()
 
     return given.mapInArrow(run, schema)
 

@@ -24,7 +24,7 @@ import unicodedata
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabloom.llm.common import table, with_python_columns
+from tabloom.llm.common import kept_in_worker, release_memory, table, with_python_columns
 
 LIMIT = 2048
 #: Entries a task keeps of piece counts before it starts afresh.
@@ -141,7 +141,7 @@ class PieceCounter:
         return len(self.special.findall(text)) + sum(map(self._plain, self.special.split(text)))
 
 
-_COUNTERS: dict[str, PieceCounter] = {}
+_COUNTERS: dict[str, PieceCounter] = kept_in_worker()
 
 
 def _counter(path: str) -> PieceCounter:
@@ -150,6 +150,10 @@ def _counter(path: str) -> PieceCounter:
     return _COUNTERS[path]
 
 
+def _release() -> None:
+    release_memory(_COUNTERS)
+
+
 def count_tokens(docs: DataFrame, vocabulary: str, text_col: str = "text", out_col: str = "n_tokens") -> DataFrame:
     """``docs`` without its text and with the token count of it.
 
@@ -159,7 +163,7 @@ def count_tokens(docs: DataFrame, vocabulary: str, text_col: str = "text", out_c
         counter = _counter(vocabulary)
         return lambda texts: [[counter.count(t) for t in texts]]
 
-    return with_python_columns(docs, [text_col], {out_col: "long"}, make, drop=(text_col,))
+    return with_python_columns(docs, [text_col], {out_col: "long"}, make, drop=(text_col,), release=_release)
 
 
 def op9_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -570,3 +570,20 @@ def test_pipeline_of_empty_tables(spark, empty):
 
     out = corpus_pipeline.run(spark, empty)
     assert out.collect() == [] and {"doc_id", "text", "token_ids"} <= set(out.columns)
+
+
+def test_python_columns_come_in_slices(spark):
+    """A batch isn't turned into Python values as a whole, and what another operator keeps in the worker goes."""
+    from tabloom.llm import common
+
+    def make():
+        return lambda texts: [[len(texts)] * len(texts)]
+
+    docs = spark.range(3000).repartition(1).select(F.col("id"), F.repeat(F.lit("word "), 800).alias("text"))
+    got = common.with_python_columns(docs, ["text"], {"n": "long"}, make, drop=("text",)).orderBy("id").collect()
+    assert [r["id"] for r in got] == list(range(3000))
+    assert max(r["n"] for r in got) < 1000
+    own, other = common.kept_in_worker(), common.kept_in_worker()
+    own[1] = other[1] = 2
+    common.release_memory(own)
+    assert own and not other
