@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tabloom.operators import components as C
 from tabloom.operators import dbscan as D
@@ -109,3 +110,29 @@ def test_neighbours_of_all_rows(spark, monkeypatch, task):
         else:
             votes = {c: sum(w[j] for j in near if y[j] == c) for c in range(3)}
             assert votes[int(got[i])] == pytest.approx(max(votes.values()))
+
+
+def test_dbscan_in_rounds(spark, monkeypatch):
+    """Boxes don't part points of many dimensions: near leaves settle what the others would add."""
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(0, 1, (380, 10)), rng.normal(0, 1, (12, 10)) + 2, rng.normal(0, 4, (8, 10))])
+    eps, least = 4.2, 12
+    monkeypatch.setattr(D, "LEAF_BITS", 4)
+    monkeypatch.setattr(D, "ROUND_PAIRS", 16, raising=False)
+    compared, given = [], D._paired
+    monkeypatch.setattr(D, "_paired", lambda pairs, members: (compared.append(pairs.count()), given(pairs, members))[1])
+    df = spark.createDataFrame([(k, [float(v) for v in row]) for k, row in enumerate(x)], "k long, x array<double>")
+    got = {r["k"]: r["cluster"] for r in D.dbscan(df, ["x"], key=["k"], eps=eps, min_samples=least).collect()}
+    want = scan(list(range(len(x))), x, eps, least)
+    assert got == want and set(want.values()) == {-1, 0}
+    assert sum(compared) < 500  # 25 leaves and more make 325 pairs, in each of two passes
+
+
+def test_dbscan_of_labels_is_not_broadcast(spark):
+    df = spark.range(3000).select(F.col("id").alias("k"), (F.col("id") * 0.1).alias("y"))
+    plan = C.components(df.select(F.col("k").alias("a"), (F.col("k") + 1).alias("b")))._jdf.queryExecution().toString()
+    assert "BroadcastHashJoin" not in plan
+    packed = D._order_key(spark.createDataFrame([(3, None), (None, 7), (-2, 1)], "a long, b int"), ["a", "b"])
+    rows = spark.createDataFrame([(3, None), (None, 7), (-2, 1)], "a long, b int").select("a", "b", packed.alias("p"))
+    assert rows.schema["p"].dataType.typeName() == "long"
+    assert [tuple(r) for r in rows.orderBy("p").select("a", "b").collect()] == [(None, 7), (-2, 1), (3, None)]
