@@ -115,7 +115,7 @@ def test_neighbours_of_all_rows(spark, monkeypatch, task):
 def test_dbscan_in_rounds(spark, monkeypatch):
     """Boxes don't part points of many dimensions: near leaves settle what the others would add."""
     rng = np.random.default_rng(5)
-    x = np.concatenate([rng.normal(0, 1, (380, 10)), rng.normal(0, 1, (12, 10)) + 2, rng.normal(0, 4, (8, 10))])
+    x = np.concatenate([rng.normal(0, 1, (380, 10)), rng.normal(0, 1, (12, 10)) + 3, rng.normal(0, 4, (8, 10))])
     eps, least = 4.2, 12
     monkeypatch.setattr(D, "LEAF_BITS", 4)
     monkeypatch.setattr(D, "ROUND_PAIRS", 16, raising=False)
