@@ -1,14 +1,16 @@
 """Byte-level BPE encoding and decoding by DuckDB recursive queries.
 
 Every partition cuts its texts into the pattern's pieces and hands the
-pieces it has not met yet to a DuckDB query inside the task: the rows of a
-piece are its token positions, they join the merge table, and the piece's
-lowest-rank pair is contracted at its leftmost places until no pair is
-left (a recursive query whose rows are keyed by piece, so only the current
-state of each is kept).  Decoding joins token positions with the
-vocabulary and aggregates the bytes in position order; sequences are cut
-before every token that starts with white space, and a task decodes each
-distinct run of ids once.
+pieces it has not met yet to a DuckDB query inside the task: a piece is the
+list of its tokens, each with the rank of the pair it opens, and its
+lowest-rank pair is contracted at its leftmost place until no pair is left
+(a recursive query whose rows are keyed by piece, so only the current state
+of each is kept).  In a step only the two pairs beside the new token join
+the merge table.  Decoding selects the vocabulary's bytes by a list of ids
+and joins them in its order; sequences are cut before every token that
+starts with white space, and a task decodes each distinct run of ids once.
+The ids a task has just made are decoded by the chunks they were made of,
+which are the runs then.
 
 The merge table follows from the rank file: every cut of a token into two
 tokens is a pair with that token's rank.  Texts are neither shuffled nor
@@ -21,6 +23,7 @@ repeated rows are encoded alike and all returned.
 from __future__ import annotations
 
 import base64
+import itertools
 import re
 import sys
 from collections.abc import Iterator
@@ -44,21 +47,32 @@ QUERY_BYTES = 1 << 18
 _CHUNKS = re.compile(r" ?\S+|\s+(?!\S)|\s+")
 #: Taken for white space by ``re`` but not by the pattern.
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
+#: Chunks of Latin letters alone, which are one piece.
+_WORD = re.compile(r" ?[A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f]+")
+
+#: An entry of a short piece's state: rank of the pair it opens, first byte's place and token, from the highest bit.
+_RANK, _PLACE, _TOKEN = 1 << 36, 1 << 16, (1 << 16) - 1
+#: Rank where no pair opens, and the token at both ends of a state; no merge has them.
+_NO_PAIR, _NO_TOKEN = (1 << 17) - 1, _TOKEN
 
 #: One pair a piece and step: its lowest rank at the leftmost place.
-_SHORT = """
-WITH RECURSIVE r(w, toks) USING KEY (w) AS (
-  SELECT w, toks FROM start
+_SHORT = f"""
+WITH RECURSIVE r(w, state) USING KEY (w) AS (
+  SELECT w, state FROM start
   UNION ALL
-  SELECT r.w, r.toks[:b.p - 1] || [b.tok] || r.toks[b.p + 2:]
-  FROM r JOIN (
-    SELECT w, min(m.tok * 1048576::BIGINT + pos) AS k, (k // 1048576)::INTEGER AS tok, (k % 1048576)::INTEGER AS p
-    FROM (SELECT w, unnest(range(1, len(toks))) AS pos,
-                 unnest(list_transform(list_zip(toks[:-2], toks[2:]), lambda x: x[1]::BIGINT * 65536 + x[2])) AS pair
-          FROM r) q
-    JOIN merges m ON m.pair = q.pair GROUP BY w) b ON r.w = b.w
+  SELECT w, state[:p - 2]
+    || [(coalesce(l.tok, {_NO_PAIR})::BIGINT * {_RANK}) + (before & {_RANK - 1}),
+        (coalesce(n.tok, {_NO_PAIR})::BIGINT * {_RANK}) + (low & {_RANK - 1 - _TOKEN}) + own]
+    || state[p + 2:]
+  FROM (
+    SELECT w, state, p, low, low // {_RANK} AS own, state[p - 1] AS before, state[p + 2] & {_TOKEN} AS after
+    FROM (SELECT w, state, list_min(state) AS low, list_position(state, low) AS p FROM r)
+    WHERE low < {_NO_PAIR * _RANK}
+  )
+  LEFT JOIN merges l ON l.pair = (before & {_TOKEN}) * 65536 + own
+  LEFT JOIN merges n ON n.pair = own * 65536 + after
 )
-SELECT w, toks FROM r
+SELECT w, list_transform(state[2:len(state) - 1], lambda x: (x & {_TOKEN})::INTEGER) AS toks FROM r
 """
 #: For long pieces: the lowest rank at all its places in a step (leftmost first where they overlap).
 #: A merge never makes a pair of lower rank, so the outcome is the same.
@@ -93,9 +107,8 @@ SELECT w, toks FROM r
 LONG_PIECE = 128
 
 _DECODE = """
-SELECT t.d, string_agg(v.bytes, '' ORDER BY t.pos) AS bytes
-FROM (SELECT d, unnest(range(len(ids))) AS pos, unnest(ids) AS id FROM given) t
-JOIN vocabulary v ON v.id = t.id GROUP BY t.d
+SELECT d, array_to_string(list_select(v.bytes, list_transform(ids, lambda x: x + 1)), '') AS bytes
+FROM given, vocabulary v
 """
 
 
@@ -104,6 +117,23 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
+class Generations:
+    """What a task has worked out: the present generation of CACHE entries and the one before."""
+
+    def __init__(self):
+        self.now: dict = {}
+        self.before: dict = {}
+
+    def missing(self, used: set) -> set:
+        """Those of ``used`` that aren't known; known ones are in the present generation afterwards."""
+        if len(self.now) > CACHE:
+            self.before, self.now = self.now, {}
+        missing = used.difference(self.now)
+        kept = missing.intersection(self.before)
+        self.now.update(zip(kept, map(self.before.__getitem__, kept), strict=True))
+        return missing - kept
+
+
 class Codec:
     """Encoder and decoder over one in-memory DuckDB connection."""
 
@@ -114,10 +144,15 @@ class Codec:
         self.ranks = ranks = load_ranks(path)
         self.pattern = regex.compile(pattern)
         self.base = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int32)
-        self.cache: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-        self.decoded: dict[bytes, bytes] = {}
-        self.decoded_older: dict[bytes, bytes] = {}
+        if max(ranks.values()) >= _NO_TOKEN:
+            raise ValueError(f"Too many tokens in {path}")
+        self.pairs = np.full(1 << 16, _NO_PAIR, dtype=np.int64)  # rank of each pair of bytes
+        for token, rank in ranks.items():
+            if len(token) == 2:
+                self.pairs[token[0] << 8 | token[1]] = rank
+        self.coded = Generations()  # ids (int32 bytes) of chunks
+        self.said = Generations()  # the bytes that a chunk's ids decode to
+        self.decoded = Generations()  # bytes of runs of ids
         self.opens = np.zeros(max(ranks.values()) + 1, dtype=bool)  # tokens that start with white space
         self.opens[[r for t, r in ranks.items() if t[:1].isspace()]] = True
         self.con = duckdb.connect(config={"threads": 1, "memory_limit": "600MB", "temp_directory": ""})
@@ -129,53 +164,63 @@ class Codec:
                     pairs.append(a * 65536 + b)
                     toks.append(rank)
         self._table("merges", pa.table({"pair": pa.array(pairs, pa.int64()), "tok": pa.array(toks, pa.int32())}))
-        # one character per byte, so that string aggregation joins bytes
-        self._table("vocabulary", pa.table({
-            "id": pa.array(list(ranks.values()), pa.int32()),
-            "bytes": pa.array([t.decode("latin-1") for t in ranks]),
-        }))
+        # one row: the tokens' bytes by id, one character per byte, so that joining strings joins bytes
+        by_id: list[str | None] = [None] * len(self.opens)
+        for token, rank in ranks.items():
+            by_id[rank] = token.decode("latin-1")
+        self._table("vocabulary", pa.table({"bytes": pa.array([by_id], pa.list_(pa.string()))}))
 
     def _table(self, name: str, data: pa.Table) -> None:
         self.con.register("arrow_in", data)
         self.con.execute(f"CREATE OR REPLACE TEMP TABLE {name} AS SELECT * FROM arrow_in")
         self.con.unregister("arrow_in")
 
+    def _states(self, part: list[bytes]) -> pa.Table:
+        """What the query for short pieces starts from: an entry for each byte, between two that open no pair."""
+        sizes = np.array([len(p) for p in part])
+        data = np.frombuffer(b"".join(part), dtype=np.uint8)
+        ends = np.append(0, np.cumsum(sizes + 2)).astype(np.int32)
+        first = np.cumsum(sizes) - sizes
+        ranks = np.full(len(data), _NO_PAIR, dtype=np.int64)
+        ranks[:-1] = self.pairs[data[:-1].astype(np.int32) << 8 | data[1:]]
+        ranks[first + sizes - 1] = _NO_PAIR  # the last byte of a piece
+        place = np.arange(len(data)) - np.repeat(first, sizes)
+        state = np.full(ends[-1], _NO_PAIR * _RANK + _NO_TOKEN, dtype=np.int64)
+        state[place + 1 + np.repeat(ends[:-1], sizes)] = ranks * _RANK + place * _PLACE + self.base[data]
+        return pa.table({"w": pa.array(np.arange(len(part), dtype=np.int32)), "state": pa.ListArray.from_arrays(pa.array(ends), pa.array(state))})
+
+    def _tokens(self, part: list[bytes]) -> pa.Table:
+        """What the query for long pieces starts from: the tokens of the bytes."""
+        ends = np.cumsum([0, *map(len, part)]).astype(np.int32)
+        toks = self.base[np.frombuffer(b"".join(part), dtype=np.uint8)]
+        return pa.table({"w": pa.array(np.arange(len(part), dtype=np.int32)), "toks": pa.ListArray.from_arrays(pa.array(ends), pa.array(toks))})
+
     def _merge(self, pieces: list[bytes], sql: str) -> list[bytes]:
         """Ids (int32 bytes) of each piece, by the recursive query."""
         out: list[bytes] = [b""] * len(pieces)
-        lo = 0
-        while lo < len(pieces):
-            hi, size = lo, 0
-            while hi < len(pieces) and (hi == lo or size + len(pieces[hi]) <= QUERY_BYTES):
-                size += len(pieces[hi])
-                hi += 1
+        for lo, hi in _slices([len(p) for p in pieces], QUERY_BYTES):
             part = pieces[lo:hi]
-            ends = np.cumsum([0, *map(len, part)]).astype(np.int32)
-            toks = self.base[np.frombuffer(b"".join(part), dtype=np.uint8)]
-            self._table("start", pa.table({
-                "w": pa.array(np.arange(len(part), dtype=np.int32)),
-                "toks": pa.ListArray.from_arrays(pa.array(ends), pa.array(toks)),
-            }))
+            self._table("start", self._states(part) if sql is _SHORT else self._tokens(part))
             got = self.con.sql(sql).to_arrow_table().combine_chunks()
             lists = got["toks"].combine_chunks() if isinstance(got["toks"], pa.ChunkedArray) else got["toks"]
-            offsets = lists.offsets.to_numpy()
-            ids = lists.values.to_numpy(zero_copy_only=False).astype(np.int32)
-            for k, w in enumerate(got["w"].to_pylist()):
-                out[lo + w] = ids[offsets[k]: offsets[k + 1]].tobytes()
-            lo = hi
+            ends = (4 * lists.offsets.to_numpy()).tolist()
+            raw = lists.values.to_numpy(zero_copy_only=False).astype(np.int32).tobytes()
+            for w, a, b in zip(got["w"].to_pylist(), ends[:-1], ends[1:], strict=True):
+                out[lo + w] = raw[a:b]
         return out
 
     def _learn(self, chunks: set[str]) -> dict[str, bytes]:
-        """Ids of chunks that aren't in the cache; pieces in the cache (as chunks of their own) aren't merged again."""
-        findall = self.pattern.findall
-        cut = {c: [c] if c.lstrip(" ").isalpha() and max(c) < "\u0250" else findall(c) for c in chunks}  # letters alone are one piece
+        """Ids of chunks that aren't known; pieces that are known (as chunks of their own) aren't merged again."""
+        words = set(filter(_WORD.fullmatch, chunks))  # one piece each
+        cut = {c: self.pattern.findall(c) for c in chunks - words}
+        parts = set().union(*cut.values()) - words
         known: dict[str, bytes] = {}
+        for have in (self.coded.before, self.coded.now):
+            met = parts.intersection(have)
+            known.update(zip(met, map(have.__getitem__, met), strict=True))
         short: dict[str, bytes] = {}
         long: dict[str, bytes] = {}
-        for p in set().union(*cut.values()):
-            if (ids := self.cache.get(p) or self.older.get(p)) is not None:
-                known[p] = ids
-                continue
+        for p in itertools.chain(words, parts.difference(known)):
             data = p.encode("utf-8", "surrogatepass")
             if (rank := self.ranks.get(data)) is not None:
                 known[p] = rank.to_bytes(4, sys.byteorder)
@@ -183,33 +228,35 @@ class Codec:
                 (short if len(data) <= LONG_PIECE else long)[p] = data
         known.update(zip(short, self._merge(list(short.values()), _SHORT), strict=True))
         known.update(zip(long, self._merge(list(long.values()), _LONG), strict=True))
-        return {c: known[own[0]] if len(own) == 1 else b"".join([known[p] for p in own]) for c, own in cut.items()}
+        of = known.__getitem__
+        return dict(zip(words, map(of, words), strict=True)) | {c: b"".join(map(of, own)) for c, own in cut.items()}
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as int32 bytes."""
-        return list(map(b"".join, self.encode_runs(texts)))
+        return self.encode_and_decode(texts, False)[0]
 
-    def encode_runs(self, texts: list[str | None]) -> list[list[bytes]]:
-        """Ids of each text as runs of int32 bytes, one for each chunk."""
+    def encode_and_decode(self, texts: list[str | None], decoded: bool = True) -> tuple[list[bytes], list[bytes]]:
+        """Ids of each text as int32 bytes and, if asked for, the bytes they decode to."""
         cut = [
             [] if not t else _CHUNKS.findall(t) if not _ODD_SPACE.search(t) else self.pattern.findall(t) for t in texts
         ]
         used = set().union(*cut)
-        if len(self.cache) > CACHE:
-            self.older, self.cache = self.cache, {}
-        cache, older = self.cache, self.older
-        missing = used.difference(cache)
-        kept = missing.intersection(older)
-        cache.update(zip(kept, map(older.__getitem__, kept), strict=True))
-        new = self._learn(missing - kept)
-        cache.update(new)
-        out = [list(map(cache.__getitem__, own)) for own in cut]
+        new = self._learn(self.coded.missing(used))
+        self.coded.now.update(new)
+        ids = self.coded.now.__getitem__
+        out = [b"".join(map(ids, own)) for own in cut]
+        said: list[bytes] = []
+        if decoded:
+            fresh = list(self.said.missing(used))
+            self.said.now.update(zip(fresh, self._decode_runs(list(map(ids, fresh))), strict=True))
+            said = [b"".join(map(self.said.now.__getitem__, own)) for own in cut]
         for c in [c for c in new if len(c) > 48]:
-            del cache[c]
-        return out
+            del self.coded.now[c]
+            self.said.now.pop(c, None)
+        return out, said
 
     def _decode_runs(self, runs: list[bytes]) -> list[bytes]:
-        """Bytes of each run of ids (int32 bytes), by ordered aggregation."""
+        """Bytes of each run of ids (int32 bytes), in the order of its ids."""
         out = [b""] * len(runs)
         for lo, hi in _slices([len(r) // 4 for r in runs], QUERY_BYTES):
             part = runs[lo:hi]
@@ -233,14 +280,8 @@ class Codec:
 
     def decode(self, texts: list[list[bytes]]) -> list[bytes]:
         """Bytes of each text, given as runs of ids (int32 bytes)."""
-        used = set().union(*texts)
-        if len(self.decoded) > CACHE:
-            self.decoded_older, self.decoded = self.decoded, {}
-        known, older = self.decoded, self.decoded_older
-        missing = used.difference(known)
-        kept = missing.intersection(older)
-        known.update(zip(kept, map(older.__getitem__, kept), strict=True))
-        new = list(missing - kept)
+        new = list(self.decoded.missing(set().union(*texts)))
+        known = self.decoded.now
         known.update(zip(new, self._decode_runs(new), strict=True))
         out = [b"".join(map(known.__getitem__, own)) for own in texts]
         for r in new:
@@ -297,12 +338,12 @@ def encode(
             sizes = pc.fill_null(pc.binary_length(batch.column(text_col)), 0).to_pylist()
             for lo, hi in _slices(sizes, SLICE_BYTES):
                 part = batch.slice(lo, hi - lo)
-                runs = own.encode_runs(part.column(text_col).to_pylist())
-                cols = [*(part.column(c) for c in keep), _ids_array(list(map(b"".join, runs)))]
+                ids, said = own.encode_and_decode(part.column(text_col).to_pylist(), bool(decoded_col))
+                cols = [*(part.column(c) for c in keep), _ids_array(ids)]
                 if decoded_col:
-                    cols.append(pa.array(own.decode(runs), pa.binary()))
+                    cols.append(pa.array(said, pa.binary()))
                 yield pa.RecordBatch.from_arrays(cols, names=[*keep, *new])
-        own.older, own.decoded_older = {}, {}
+        own.coded.before, own.said.before = {}, {}
         _release()
 
     given = docs.select(*keep, text_col)

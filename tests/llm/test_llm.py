@@ -6,6 +6,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -285,6 +286,27 @@ def test_byte_bpe(spark, folder, texts):
     assert got == {1: hard[2].encode(), 2: b"", 3: b""}
 
 
+def test_byte_bpe_steps():
+    """A step of the query handles a row for each piece, not for each of its tokens; ids and bytes come from two generations."""
+    import tiktoken
+
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=byte_bpe.load_ranks(path), special_tokens={})
+    own = byte_bpe.Codec(path, public_tokenizers.PATTERN)
+    rng = random.Random(8)
+    letters = "abcdehinorst" * 3 + "ABZ\u00e9\u00d7\u00fc\u0250\u4e2d.,!  '1"
+    for _ in range(6):
+        texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 900))) for _ in range(20)] + [None, "", "xyz" * 42, "xyz" * 43]
+        ids, said = own.encode_and_decode(texts)
+        assert [np.frombuffer(b, np.int32).tolist() for b in ids] == [library.encode_ordinary(t or "") for t in texts]
+        assert said == [(t or "").encode() for t in texts] and own.encode(texts) == ids
+        own.coded.before, own.coded.now, own.said.before, own.said.now = own.coded.now, {}, own.said.now, {}
+    own._table("start", own._states([b"ab", b"a"]))
+    own._table("given", pa.table({"d": pa.array([0], pa.int32()), "ids": pa.array([[1, 2]], pa.list_(pa.int32()))}))
+    for query in (byte_bpe._SHORT, byte_bpe._DECODE):
+        assert "UNNEST" not in str(own.con.execute(f"EXPLAIN {query}").fetchall()).upper()
+
+
 def shingles(text, words=None):
     w = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(LOW)) if words is None else words
     return {tuple(w[k: k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
