@@ -192,15 +192,15 @@ class Codes:
             name = (tree * 256 + node - 256) << 1
             open_ += [(a, [*path, (name, odds)]), (b, [*path, (name | 1, odds)])]
 
-    def choices(self, before: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Hashed node of each choice, its outcome and log-odds, and the number of choices of each byte; ``before``: two bytes as one number."""
+    def choices(self, before: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Place of each choice in ``choice`` and ``odds``, the byte it belongs to, and where each byte's choices end; ``before``: two bytes as one number."""
         code = self.tree.take(before) * np.int32(256) + own
         n = self.length.ravel().take(code)
-        ends = np.cumsum(n, dtype=np.int32)
-        at = np.arange(int(ends[-1]) if len(ends) else 0, dtype=np.int32)
-        at += np.repeat(self.start.ravel().take(code) - ends + n, n)
-        c = self.choice.take(at)
-        return c >> np.uint32(1), (c & np.uint32(1)).astype(np.uint8), self.odds.take(at), n
+        ends = np.cumsum(n, dtype=np.int64)
+        each = np.repeat(np.arange(len(n)), n)
+        at = (self.start.ravel().take(code) - ends + n).take(each, mode="clip")
+        at += np.arange(len(at))
+        return at, each, ends
 
 
 def _lanes(starts: np.ndarray, total: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -223,61 +223,79 @@ def _groups(lo: np.ndarray, size: np.ndarray) -> Iterator[tuple[int, int]]:
         a = b
 
 
-def _coded(codes: Codes, seq: np.ndarray, lo: np.ndarray, size: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Slots of each hashed predictor, outcomes, the trees' log-odds, and each lane's first choice and number of choices."""
+def _met(codes: Codes, seq: np.ndarray, lo: np.ndarray, size: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """Slot of each hashed predictor with the outcome in the lowest bit, the choices' places in ``codes``, and each lane's first choice and number of choices."""
     begin, end = int(lo[0]), int(lo[-1] + size[-1])
     inside = np.zeros(end - begin + 1, np.int8)
     inside[lo - begin] += 1
     np.subtract.at(inside, lo + size - begin, 1)
-    own = np.flatnonzero(np.cumsum(inside[:-1], dtype=np.int8)).astype(np.int32)
+    own = np.flatnonzero(np.cumsum(inside[:-1], dtype=np.int8))
     before = seq[begin - 2: end - 2].astype(np.int32) << 8 | seq[begin - 1: end - 1]
-    node, bit, odds, n = codes.choices(before.take(own), seq[begin:end].take(own))
-    slots = [np.repeat(c.take(own), n) ^ node for c in contexts(seq, begin, end)]
-    ends = np.append(0, np.cumsum(n))
-    at = np.cumsum(size) - size
-    return slots, bit, odds, ends[at], ends[at + size] - ends[at]
+    at, each, ends = codes.choices(before.take(own), seq[begin:end].take(own))
+    choice = codes.choice.take(at, mode="clip")
+    slots = [(c.take(own) << np.uint32(1)).take(each, mode="clip") ^ choice for c in contexts(seq, begin, end)]
+    ends = np.append(0, ends)
+    own_at = np.cumsum(size) - size
+    return slots, at, ends[own_at], ends[own_at + size] - ends[own_at]
+
+
+def _coded(codes: Codes, seq: np.ndarray, lo: np.ndarray, size: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Slots of each hashed predictor, outcomes, the trees' log-odds, and each lane's first choice and number of choices."""
+    slots, at, first, count = _met(codes, seq, lo, size)
+    return [s >> np.uint32(1) for s in slots], (slots[0] & np.uint32(1)).astype(np.int8), codes.odds.take(at, mode="clip"), first, count
 
 
-def mixed_bits(x: np.ndarray, gate: np.ndarray, bit: np.ndarray, first: np.ndarray, count: np.ndarray) -> np.ndarray:
-    """Bits of each lane: ``x`` (choices x inputs, log-odds in STEPs), gates, outcomes, each lane's first choice and their number.
+def mixed_bits(x: np.ndarray, first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Bits of each lane: ``x`` (choices x inputs, log-odds in STEPs, and last twice the gate plus the outcome), each lane's first choice and their number.
 
     All lanes take their next ROUND choices at the same time; each has its
     own weights and its own refinement, which learn after every round.
     """
     order = np.argsort(-count, kind="stable")
-    place, sizes = first[order].astype(np.int32), count[order].astype(np.int32)
-    lanes, inputs = len(count), x.shape[1]
-    gates = inputs + 1
-    weights = np.full((lanes * gates, inputs), START_WEIGHT, np.float32)
+    place, sizes = first[order].astype(np.int64), count[order].astype(np.int64)
+    lanes, gates = len(count), x.shape[1]
+    weights = [np.full(lanes * gates, START_WEIGHT, np.float32) for _ in range(gates - 1)]
     cell = (np.arange(REFINE_CELLS) - REFINE_CELLS / 2 + 0.5) * 16 / REFINE_CELLS
     refine = np.tile((1 / (1 + np.exp(-cell))).astype(np.float32), lanes)
     wide = np.float32(8 * (1 - 1e-6))
     bits = np.zeros(lanes)
-    steps = np.arange(ROUND, dtype=np.int32)
-    for t in range(0, int(sizes[0]), ROUND):
+    steps = np.arange(ROUND)
+    every = (place[:, None] + steps).ravel()  # of the first round: each lane's choices, its first weight and its middle cell
+    all_gates, all_cells = (np.repeat(np.arange(lanes) * k + m, ROUND) for k, m in ((gates, 0), (REFINE_CELLS, REFINE_CELLS // 2)))
+    for t in range(0, int(sizes[0]) if lanes else 0, ROUND):
         n = int(np.searchsorted(-sizes, -t))
-        there = steps < (sizes[:n] - t)[:, None]
-        at = (place[:n] + np.int32(t))[:, None] + steps
-        lane = np.repeat(np.arange(n, dtype=np.int32), ROUND)
-        if not there[-1].all():
-            lane, at = lane[there.ravel()], at[there]
-        at = at.ravel()
-        own = x.take(at, axis=0) * STEP
-        y = bit.take(at).astype(np.float32)
-        k = lane * np.int32(gates) + gate.take(at)
-        z = np.einsum("ij,ij->i", weights.take(k, axis=0), own)
+        m = int(np.searchsorted(-sizes, -t - ROUND, side="right"))  # lanes with a whole round left; the next ones end in it
+        at, k, c = every[: n * ROUND], all_gates[: n * ROUND], all_cells[: n * ROUND]
+        if m < n:
+            there = np.flatnonzero(steps < (sizes[m:n] - t)[:, None]) + m * ROUND
+            at, k, c = (np.concatenate([v[: m * ROUND], v.take(there)]) for v in (at, k, c))
+        at = at + t
+        *given, last = x.take(at, axis=0, mode="clip").T  # every index is in its array: "clip" saves a check
+        own = [v * STEP for v in given]
+        y = (last & 1).astype(np.float32)
+        k = k + (last >> 1)
+        z = weights[0].take(k, mode="clip")
+        z *= own[0]
+        for w, v in zip(weights[1:], own[1:], strict=True):
+            more = w.take(k, mode="clip")
+            more *= v
+            z += more
         np.minimum(np.maximum(z, -wide, out=z), wide, out=z)
-        c = np.floor(z * np.float32(REFINE_CELLS / 16)).astype(np.int32) + (lane * np.int32(REFINE_CELLS) + np.int32(REFINE_CELLS // 2))
-        p = np.reciprocal(np.exp(-z) + np.float32(1))
-        r = refine.take(c)
+        c = c + np.floor(z * np.float32(REFINE_CELLS / 16)).astype(np.int64)
+        np.exp(np.negative(z, out=z), out=z)
+        z += np.float32(1)
+        p = np.reciprocal(z, out=z)
+        r = refine.take(c, mode="clip")
         coded = np.log(np.abs((p + r) * np.float32(0.5) - (np.float32(1) - y)))
-        bits[:n] -= np.bincount(lane, weights=coded, minlength=n)
+        bits[:m] -= coded[: m * ROUND].reshape(m, ROUND).sum(axis=1, dtype=np.float64)
+        if m < n:
+            bits[m:n] -= np.bincount(there // ROUND - m, weights=coded[m * ROUND:], minlength=n - m)
         refine[: n * REFINE_CELLS] += np.bincount(c, weights=(y - r) * REFINE_RATE, minlength=n * REFINE_CELLS).astype(np.float32)
         y -= p
         y *= RATE
-        own *= y[:, None]
-        for i in range(inputs):
-            weights[: n * gates, i] += np.bincount(k, weights=own[:, i], minlength=n * gates).astype(np.float32)
+        for w, v in zip(weights, own, strict=True):
+            v *= y
+            w[: n * gates] += np.bincount(k, weights=v, minlength=n * gates).astype(np.float32)
     out = np.empty(lanes)
     out[order] = bits / np.log(2)
     return out
@@ -290,12 +308,13 @@ def text_bits(codes: Codes, tables: np.ndarray, off: np.ndarray, data: np.ndarra
     out = np.zeros(len(starts))
     for a, b in _groups(lo, size):
         slots, bit, odds, first, count = _coded(codes, seq, lo[a:b], size[a:b])
-        x = np.empty((len(bit), PREDICTORS + 1), np.int8)
+        x = np.empty((len(bit), PREDICTORS + 2), np.int8)
         gate = np.zeros(len(bit), np.int8)
-        for i, v in enumerate([odds, *(t.take(s) for t, s in zip(tables, slots, strict=True))]):
+        for i, v in enumerate([odds, *(t.take(s, mode="clip") for t, s in zip(tables, slots, strict=True))]):
             x[:, i] = v
             gate += v != 0
-        out += np.bincount(text[a:b], weights=mixed_bits(x, gate, bit, first, count), minlength=len(out))
+        x[:, -1] = 2 * gate + bit
+        out += np.bincount(text[a:b], weights=mixed_bits(x, first, count), minlength=len(out))
     return out
 
 
@@ -336,25 +355,13 @@ def slot_counts(texts: DataFrame, text_col: str, codes: Any) -> DataFrame:
     """(predictor, block, slots, zeros, ones): counts of the slots that a task has met, in blocks."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, counts = codes.value, [np.zeros(2 << SLOT_BITS, np.uint32) for _ in range(PREDICTORS)]
-        waiting: list[list[np.ndarray]] = [[] for _ in counts]
-
-        def count() -> None:
-            for have, new in zip(counts, waiting, strict=True):
-                if new:
-                    have += np.bincount(np.concatenate(new), minlength=len(have)).astype(np.uint32)
-                    new.clear()
-
         for batch in batches:
             for _, _, off, data in utf8_slices(batch.column(0), SLICE_BYTES):
                 seq, starts = spelled(off, data)
                 lo, size, _ = _lanes(starts, len(seq))
                 for a, b in _groups(lo, size):
-                    slots, bit, *_ = _coded(own, seq, lo[a:b], size[a:b])
-                    for new, s in zip(waiting, slots, strict=True):
-                        new.append(s << np.uint32(1) | bit)
-                    if sum(map(len, waiting[0])) > 1 << 22:
-                        count()
-        count()
+                    for have, s in zip(counts, _met(own, seq, lo[a:b], size[a:b])[0], strict=True):
+                        np.add.at(have, s.astype(np.int64), np.uint32(1))
         for i, have in enumerate(counts):
             both = have.reshape(-1, 2)
             met = np.flatnonzero(both.any(axis=1))
@@ -365,7 +372,7 @@ def slot_counts(texts: DataFrame, text_col: str, codes: Any) -> DataFrame:
                     [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), *[pa.binary()] * 3), strict=True)],
                     names=["predictor", "block", "slots", "zeros", "ones"],
                 )
-        del counts[:], waiting[:]
+        del counts[:]
         release_memory()
 
     return texts.select(text_col).mapInArrow(run, "predictor int, block int, slots binary, zeros binary, ones binary")

@@ -139,3 +139,30 @@ def test_nothing_to_learn_from(spark):
     got = lm.score(spark.createDataFrame([(1, "abc"), (2, None)], "doc_id long, text string"), lm.learn(none)).collect()
     assert all(r.base_score == 0 and r.score < 0 and r.n_known == 0 for r in got)
     assert lm.score(none, lm.learn(none)).collect() == []
+
+
+def test_lanes_mix_alone_and_slots_are_counted_as_they_come(spark):
+    """Lanes that end within a round cost what they cost alone; a task's slot counts are those of its choices."""
+    rng = np.random.default_rng(4)
+    count = np.array([70, 1, 32, 64, 33, 200, 31])
+    x = rng.integers(-50, 50, (int(count.sum()), 4)).astype(np.int8)
+    x[::3, 1] = 0
+    x[:, 3] = 2 * (x[:, :3] != 0).sum(axis=1) + rng.integers(0, 2, len(x))
+    first = np.cumsum(count) - count
+    alone = [lm.mixed_bits(x[a: a + n], np.array([0]), np.array([n]))[0] for a, n in zip(first, count, strict=True)]
+    assert np.allclose(lm.mixed_bits(x, first, count), alone, rtol=1e-6)
+    texts = ["one two  three", None, "", "two two " * 300]
+    seq, starts = lm.spelled(*arrow_slice(texts))
+    lo, size, _ = lm._lanes(starts, len(seq))
+    codes = lm.Codes(np.array([0x206F6E, 0x74776F]), np.array([5, 9]))
+    want = [np.zeros((1 << lm.SLOT_BITS, 2), np.int64) for _ in range(lm.PREDICTORS)]
+    slots, bit, *_ = lm._coded(codes, seq, lo, size)
+    for have, s in zip(want, slots, strict=True):
+        np.add.at(have, (s, bit), 1)
+    got = [np.zeros_like(w) for w in want]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    for r in lm.slot_counts(docs, "text", spark.sparkContext.broadcast(codes)).collect():
+        at = (r.block << lm.BLOCK_BITS) + np.frombuffer(r.slots, np.uint16).astype(np.int64)
+        for k, raw in enumerate((r.zeros, r.ones)):
+            got[r.predictor][at, k] += np.frombuffer(raw, np.uint16)
+    assert all((g == w).all() for g, w in zip(got, want, strict=True))
