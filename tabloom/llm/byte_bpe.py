@@ -10,7 +10,8 @@ the merge table.  Decoding selects the vocabulary's bytes by a list of ids
 and joins them in its order; sequences are cut before every token that
 starts with white space, and a task decodes each distinct run of ids once.
 The ids a task has just made are decoded by the chunks they were made of,
-which are the runs then.
+which are the runs then.  What a task knows of chunks is two Arrow arrays
+(ids and bytes); a text is the list of its chunks' numbers in them.
 
 The merge table follows from the rank file: every cut of a token into two
 tokens is a pair with that token's rank.  Texts are neither shuffled nor
@@ -25,7 +26,6 @@ from __future__ import annotations
 import base64
 import itertools
 import re
-import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,6 +38,8 @@ from tabloom.llm.common import kept_in_worker, release_memory, table
 
 #: Entries of a generation of encoded chunks (and of decoded runs); a task keeps the present one and the one before.
 CACHE = 150_000
+#: Characters of the longest chunk that is kept.
+KEPT_CHUNK = 48
 #: Bytes of text encoded at a time.
 SLICE_BYTES = 3 << 19
 #: Bytes of pieces in one recursive query.
@@ -124,10 +126,15 @@ class Generations:
         self.now: dict = {}
         self.before: dict = {}
 
+    def turn(self) -> bool:
+        """Begin a generation if the present one is full."""
+        full = len(self.now) > CACHE
+        if full:
+            self.before, self.now = self.now, {}
+        return full
+
     def missing(self, used: set) -> set:
         """Those of ``used`` that aren't known; known ones are in the present generation afterwards."""
-        if len(self.now) > CACHE:
-            self.before, self.now = self.now, {}
         missing = used.difference(self.now)
         kept = missing.intersection(self.before)
         self.now.update(zip(kept, map(self.before.__getitem__, kept), strict=True))
@@ -150,8 +157,10 @@ class Codec:
         for token, rank in ranks.items():
             if len(token) == 2:
                 self.pairs[token[0] << 8 | token[1]] = rank
-        self.coded = Generations()  # ids (int32 bytes) of chunks
-        self.said = Generations()  # the bytes that a chunk's ids decode to
+        self.coded = Generations()  # numbers of chunks: their places in the two arrays
+        self.said = self.coded  # a chunk's ids and bytes have one number
+        self.ids_of = _lists([], np.zeros(0, np.int32))  # ids of chunks
+        self.bytes_of = _binaries([], b"")  # what they decode to, for as many of the first as were asked for
         self.decoded = Generations()  # bytes of runs of ids
         self.opens = np.zeros(max(ranks.values()) + 1, dtype=bool)  # tokens that start with white space
         self.opens[[r for t, r in ranks.items() if t[:1].isspace()]] = True
@@ -195,41 +204,59 @@ class Codec:
         toks = self.base[np.frombuffer(b"".join(part), dtype=np.uint8)]
         return pa.table({"w": pa.array(np.arange(len(part), dtype=np.int32)), "toks": pa.ListArray.from_arrays(pa.array(ends), pa.array(toks))})
 
-    def _merge(self, pieces: list[bytes], sql: str) -> list[bytes]:
-        """Ids (int32 bytes) of each piece, by the recursive query."""
-        out: list[bytes] = [b""] * len(pieces)
+    def _merge(self, pieces: list[bytes], sql: str) -> pa.ListArray:
+        """Ids of each piece, by the recursive query."""
+        out = [_lists([], np.zeros(0, np.int32))]
         for lo, hi in _slices([len(p) for p in pieces], QUERY_BYTES):
             part = pieces[lo:hi]
             self._table("start", self._states(part) if sql is _SHORT else self._tokens(part))
-            got = self.con.sql(sql).to_arrow_table().combine_chunks()
-            lists = got["toks"].combine_chunks() if isinstance(got["toks"], pa.ChunkedArray) else got["toks"]
-            ends = (4 * lists.offsets.to_numpy()).tolist()
-            raw = lists.values.to_numpy(zero_copy_only=False).astype(np.int32).tobytes()
-            for w, a, b in zip(got["w"].to_pylist(), ends[:-1], ends[1:], strict=True):
-                out[lo + w] = raw[a:b]
-        return out
-
-    def _learn(self, chunks: set[str]) -> dict[str, bytes]:
-        """Ids of chunks that aren't known; pieces that are known (as chunks of their own) aren't merged again."""
-        words = set(filter(_WORD.fullmatch, chunks))  # one piece each
-        cut = {c: self.pattern.findall(c) for c in chunks - words}
-        parts = set().union(*cut.values()) - words
-        known: dict[str, bytes] = {}
+            got = self.con.sql(sql).to_arrow_table()
+            toks = _column(got, "toks").take(pa.array(np.argsort(_column(got, "w").to_numpy())))
+            out.append(_lists(pc.list_value_length(toks), toks.flatten().to_numpy(zero_copy_only=False).astype(np.int32)))
+        return pa.concat_arrays(out)
+
+    def _ids(self, pieces: list[str]) -> pa.ListArray:
+        """Ids of each piece: its own, if it is a token, or those it is merged to."""
+        data = [p.encode("utf-8", "surrogatepass") for p in pieces]
+        own = np.fromiter(map(self.ranks.get, data, itertools.repeat(-1)), np.int32, len(data))
+        long = np.fromiter(map(len, data), np.int64, len(data)) > LONG_PIECE
+        tokens, short, long = np.flatnonzero(own >= 0), np.flatnonzero((own < 0) & ~long), np.flatnonzero((own < 0) & long)
+        ids = [
+            _lists(np.ones(len(tokens), np.int32), own[tokens]),
+            self._merge([data[k] for k in short.tolist()], _SHORT),
+            self._merge([data[k] for k in long.tolist()], _LONG),
+        ]
+        return pa.concat_arrays(ids).take(pa.array(np.argsort(np.concatenate([tokens, short, long]))))
+
+    def _learn(self, chunks: set[str]) -> tuple[list[str], pa.ListArray]:
+        """Chunks that aren't known, those to be kept first, and their ids; pieces that are known (as chunks of their own) aren't merged again."""
+        words = list(filter(_WORD.fullmatch, chunks))  # one piece each
+        others = list(chunks.difference(words))
+        cut = list(map(self.pattern.findall, others))
+        parts = set().union(*cut).difference(words)
+        known: dict[str, int] = {}
         for have in (self.coded.before, self.coded.now):
             met = parts.intersection(have)
             known.update(zip(met, map(have.__getitem__, met), strict=True))
-        short: dict[str, bytes] = {}
-        long: dict[str, bytes] = {}
-        for p in itertools.chain(words, parts.difference(known)):
-            data = p.encode("utf-8", "surrogatepass")
-            if (rank := self.ranks.get(data)) is not None:
-                known[p] = rank.to_bytes(4, sys.byteorder)
-            else:
-                (short if len(data) <= LONG_PIECE else long)[p] = data
-        known.update(zip(short, self._merge(list(short.values()), _SHORT), strict=True))
-        known.update(zip(long, self._merge(list(long.values()), _LONG), strict=True))
-        of = known.__getitem__
-        return dict(zip(words, map(of, words), strict=True)) | {c: b"".join(map(of, own)) for c, own in cut.items()}
+        pieces = [*words, *parts.difference(known)]
+        ids = self._ids(pieces)
+        known.update(zip(pieces, range(len(self.ids_of), len(self.ids_of) + len(pieces)), strict=True))
+        both = pa.concat_arrays([self.ids_of, ids])
+        chunk_ids = pa.concat_arrays([ids[: len(words)], _joined(both, _numbers(known, cut), list(map(len, cut)))])
+        new = words + others
+        order = np.argsort(np.fromiter(map(len, new), np.int64, len(new)) > KEPT_CHUNK, kind="stable")
+        return [new[k] for k in order.tolist()], chunk_ids.take(pa.array(order))
+
+    def _keep(self, numbers: dict[str, int]) -> dict[str, int]:
+        """Leave the arrays these chunks only; their new numbers."""
+        kept = pa.array(np.fromiter(numbers.values(), np.int64, len(numbers)))
+        self.bytes_of = self.bytes_of.take(kept) if len(self.bytes_of) == len(self.ids_of) else self.bytes_of[:0]
+        self.ids_of = self.ids_of.take(kept)
+        return dict(zip(numbers, range(len(kept)), strict=True))
+
+    def rest(self) -> None:
+        """Keep the present generation only."""
+        self.coded.before, self.coded.now = {}, self._keep(self.coded.now)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as int32 bytes."""
@@ -237,36 +264,46 @@ class Codec:
 
     def encode_and_decode(self, texts: list[str | None], decoded: bool = True) -> tuple[list[bytes], list[bytes]]:
         """Ids of each text as int32 bytes and, if asked for, the bytes they decode to."""
+        ids, said = self.arrays(texts, decoded)
+        return [x.values.to_numpy().tobytes() for x in ids], said.to_pylist() if decoded else []
+
+    def arrays(self, texts: list[str | None], decoded: bool = True) -> tuple[pa.ListArray, pa.BinaryArray | None]:
+        """Ids of each text and, if asked for, the bytes they decode to."""
         cut = [
             [] if not t else _CHUNKS.findall(t) if not _ODD_SPACE.search(t) else self.pattern.findall(t) for t in texts
         ]
-        used = set().union(*cut)
-        new = self._learn(self.coded.missing(used))
-        self.coded.now.update(new)
-        ids = self.coded.now.__getitem__
-        out = [b"".join(map(ids, own)) for own in cut]
-        said: list[bytes] = []
+        if self.coded.turn():
+            self.coded.before = self._keep(self.coded.before)
+        new, ids = self._learn(self.coded.missing(set().union(*cut)))
+        self.coded.now.update(zip(new, range(len(self.ids_of), len(self.ids_of) + len(new)), strict=True))
+        self.ids_of = pa.concat_arrays([self.ids_of, ids])
+        numbers, counts = _numbers(self.coded.now, cut), list(map(len, cut))
+        out, said = _joined(self.ids_of, numbers, counts), None
         if decoded:
-            fresh = list(self.said.missing(used))
-            self.said.now.update(zip(fresh, self._decode_runs(list(map(ids, fresh))), strict=True))
-            said = [b"".join(map(self.said.now.__getitem__, own)) for own in cut]
-        for c in [c for c in new if len(c) > 48]:
+            self.bytes_of = pa.concat_arrays([self.bytes_of, self._bytes(self.ids_of[len(self.bytes_of):])])
+            said = _joined(self.bytes_of, numbers, counts)
+        dropped = list(itertools.takewhile(lambda c: len(c) > KEPT_CHUNK, reversed(new)))
+        for c in dropped:
             del self.coded.now[c]
-            self.said.now.pop(c, None)
+        stay = len(self.ids_of) - len(dropped)
+        self.ids_of, self.bytes_of = self.ids_of[:stay], self.bytes_of[:stay]
         return out, said
 
+    def _bytes(self, ids: pa.ListArray) -> pa.BinaryArray:
+        """What each list of ids decodes to, in the order of its ids."""
+        out = [_binaries([], b"")]
+        for lo, hi in _slices(pc.list_value_length(ids).to_pylist(), QUERY_BYTES):
+            self._table("given", pa.table({"d": pa.array(np.arange(hi - lo, dtype=np.int32)), "ids": ids[lo:hi]}))
+            got = self.con.sql(_DECODE).to_arrow_table()
+            text = _column(got, "bytes").take(pa.array(np.argsort(_column(got, "d").to_numpy())))
+            size = pc.sum(pc.binary_length(text)).as_py()
+            data = text.buffers()[2].to_pybytes()[:size] if size else b""
+            out.append(_binaries(pc.utf8_length(text), data.decode().encode("latin-1")))
+        return pa.concat_arrays(out)
+
     def _decode_runs(self, runs: list[bytes]) -> list[bytes]:
         """Bytes of each run of ids (int32 bytes), in the order of its ids."""
-        out = [b""] * len(runs)
-        for lo, hi in _slices([len(r) // 4 for r in runs], QUERY_BYTES):
-            part = runs[lo:hi]
-            ends = np.cumsum([0, *(len(r) // 4 for r in part)]).astype(np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(part), dtype=np.int32)))
-            self._table("given", pa.table({"d": pa.array(np.arange(len(part), dtype=np.int32)), "ids": ids}))
-            got = self.con.sql(_DECODE).to_arrow_table()
-            for d, text in zip(got["d"].to_pylist(), got["bytes"].to_pylist(), strict=True):
-                out[lo + d] = text.encode("latin-1")
-        return out
+        return self._bytes(_lists([len(r) // 4 for r in runs], np.frombuffer(b"".join(runs), dtype=np.int32))).to_pylist()
 
     def runs(self, ids: list[np.ndarray]) -> list[list[bytes]]:
         """Each list of ids cut before every token that starts with white space."""
@@ -280,6 +317,7 @@ class Codec:
 
     def decode(self, texts: list[list[bytes]]) -> list[bytes]:
         """Bytes of each text, given as runs of ids (int32 bytes)."""
+        self.decoded.turn()
         new = list(self.decoded.missing(set().union(*texts)))
         known = self.decoded.now
         known.update(zip(new, self._decode_runs(new), strict=True))
@@ -315,9 +353,36 @@ def _slices(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
         yield lo, len(sizes)
 
 
-def _ids_array(ids: list[bytes]) -> pa.ListArray:
-    ends = np.cumsum([0, *(len(x) // 4 for x in ids)]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), dtype=np.int32)))
+def _ends(sizes) -> np.ndarray:
+    return np.append(0, np.cumsum(np.asarray(sizes, dtype=np.int64))).astype(np.int32)
+
+
+def _lists(sizes, values: np.ndarray) -> pa.ListArray:
+    """Lists of these sizes, of the values one after another."""
+    return pa.ListArray.from_arrays(pa.array(_ends(sizes)), pa.array(values, pa.int32()))
+
+
+def _binaries(sizes, data: bytes | pa.Buffer) -> pa.BinaryArray:
+    """Binary values of these sizes, of the bytes one after another."""
+    ends = _ends(sizes)
+    return pa.BinaryArray.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(data)])
+
+
+def _column(got: pa.Table, name: str) -> pa.Array:
+    return got.column(name).combine_chunks()
+
+
+def _numbers(index: dict[str, int], cut: list[list[str]]) -> np.ndarray:
+    return np.fromiter(map(index.__getitem__, itertools.chain.from_iterable(cut)), np.int64)
+
+
+def _joined(own: pa.Array, numbers: np.ndarray, counts: list[int]) -> pa.Array:
+    """Lists (or binary values) joined: the first ``counts[0]`` of those numbered, the next ``counts[1]`` and so on."""
+    got = own.take(pa.array(numbers))
+    lists = pa.types.is_list(own.type)
+    sizes = (pc.list_value_length if lists else pc.binary_length)(got).to_numpy(zero_copy_only=False)
+    joined = np.diff(_ends(sizes)[_ends(counts)])
+    return _lists(joined, got.flatten().to_numpy(zero_copy_only=False)) if lists else _binaries(joined, got.buffers()[2] or b"")
 
 
 def encode(
@@ -338,12 +403,12 @@ def encode(
             sizes = pc.fill_null(pc.binary_length(batch.column(text_col)), 0).to_pylist()
             for lo, hi in _slices(sizes, SLICE_BYTES):
                 part = batch.slice(lo, hi - lo)
-                ids, said = own.encode_and_decode(part.column(text_col).to_pylist(), bool(decoded_col))
-                cols = [*(part.column(c) for c in keep), _ids_array(ids)]
+                ids, said = own.arrays(part.column(text_col).to_pylist(), bool(decoded_col))
+                cols = [*(part.column(c) for c in keep), ids]
                 if decoded_col:
-                    cols.append(pa.array(said, pa.binary()))
+                    cols.append(said)
                 yield pa.RecordBatch.from_arrays(cols, names=[*keep, *new])
-        own.coded.before, own.said.before = {}, {}
+        own.rest()
         _release()
 
     given = docs.select(*keep, text_col)

@@ -307,6 +307,30 @@ def test_byte_bpe_steps():
         assert "UNNEST" not in str(own.con.execute(f"EXPLAIN {query}").fetchall()).upper()
 
 
+def test_byte_bpe_arrays(monkeypatch):
+    """New chunks pass through arrays, not one Python object after another; what is kept of them stays bounded."""
+    import cProfile
+    import pstats
+
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    own = byte_bpe.Codec(path, public_tokenizers.PATTERN)
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcdehinorst") for _ in range(rng.randint(5, 12))) for _ in range(4000)]
+    profile = cProfile.Profile()
+    profile.enable()
+    own.encode_and_decode([" ".join(words)])
+    profile.disable()
+    assert pstats.Stats(profile).total_calls < 6 * len(words)
+
+    monkeypatch.setattr(byte_bpe, "CACHE", 50)
+    fresh = byte_bpe.Codec(path, public_tokenizers.PATTERN)
+    for k in range(12):  # three generations long, in part decoded and in part not, with chunks too long to keep
+        texts = [" ".join(words[j * 20 + k * 10: j * 20 + k * 10 + 30]) + " \u00e9\U0001f642 " + "q" * (45 + j) for j in range(6)] + ["", None]
+        ids, said = fresh.encode_and_decode(texts, k % 3 != 1)
+        assert ids == own.encode(texts) and said == ([(t or "").encode() for t in texts] if k % 3 != 1 else [])
+        assert max(map(len, fresh.coded.now)) <= byte_bpe.KEPT_CHUNK and len(fresh.ids_of) < 600
+
+
 def shingles(text, words=None):
     w = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(LOW)) if words is None else words
     return {tuple(w[k: k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
