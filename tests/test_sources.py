@@ -118,6 +118,39 @@ def test_csv_quotes(spark, tmp_path):
     assert row_fingerprints(same).select("row_hash").distinct().count() == 4
 
 
+def test_hash_by_splits(spark, tmp_path):
+    """A large file is hashed by a task for each split; where digests can't go on, by one task; unpacked by neither."""
+    import gzip
+    import random
+
+    rng = random.Random(7)
+    data = {"a.bin": rng.randbytes(90_000), "b.bin": b"\xef\xbb\xbf" + b"line\n" * 9_000, "c.bin": b"x" * 30_000, "d.csv.gz": gzip.compress(b"x,y\n1,2\n" * 5_000)}
+    for name, content in data.items():
+        (tmp_path / name).write_bytes(content)
+    sc, algorithm = spark.sparkContext, "sha384"
+    want = {n: hashlib.new(algorithm, c).hexdigest() for n, c in data.items()}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    sc.setJobGroup("hash_by_splits", "")
+    try:
+        got = H.file_hashes(spark, str(tmp_path), algorithm, stream_above=0).collect()
+        tracker = sc.statusTracker()
+        jobs = [tracker.getJobInfo(j) for j in tracker.getJobIdsForGroup("hash_by_splits")]
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert {r["path"].rsplit("/", 1)[1]: r["hash"] for r in got} == want
+    assert len(jobs) >= 90_000 // 8192
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.bin").load(str(tmp_path)).select("path", "length")
+    whole = H._streamed(spark, [r["path"] for r in files.collect()], files, algorithm).collect()
+    assert {r["path"].rsplit("/", 1)[1]: r["hash"] for r in whole} == {n: h for n, h in want.items() if n.endswith(".bin")}
+    for k in (0, 1, 63, 64, 5000):
+        first = H.Digest(algorithm)
+        first.update(data["a.bin"][:k])
+        second = H.Digest(algorithm, first.state)
+        second.update(data["a.bin"][k:])
+        assert second.hexdigest() == want["a.bin"]
+
+
 def test_manifest_hash_knows_no_names(spark, tmp_path):
     from tabloom.sources.manifest import manifest
 
