@@ -29,7 +29,7 @@ from ..functions.kinds import as_text, q
 from ..session import fs_path
 
 #: Larger files are hashed as a stream, split by split; the binary source reads a file in one task.
-STREAM_ABOVE = 1 << 30
+STREAM_ABOVE = 1 << 27
 #: Files that the text source would unpack, which the binary source reads (up to 2 GB, where its rows end).
 PACKED = r"(?i)\.(gz|bz2|deflate|lz4|snappy|zst)$"
 #: Bytes hashed at a time.
