@@ -9,12 +9,10 @@ dimensions these are a handful of cells; in many it may be all of them.
 Nearest means by distance, then by the text of the key.  A task holds one
 cell, one block of test rows and ``DISTANCES`` distances.
 
-``knn_predict`` follows the reference's classifier: at most ``max_rows``
-training rows, a seeded sample when there are more.  The sample is an
-exact-size cut, its feature matrix (size checked) is broadcast, and each
-task scores its own test rows.  Inverse-distance weights; a zero distance
-wins outright.  No pair of rows is materialised as a DataFrame row beyond
-the k nearest.
+``knn_predict`` takes all training rows too; only a caller that names
+``max_rows`` gets the reference's seeded sample of that size.  Inverse-distance
+weights; a zero distance wins outright.  No pair of rows is materialised as a
+DataFrame row beyond the k nearest of a cell.
 """
 
 from __future__ import annotations
@@ -31,7 +29,6 @@ from ..functions.kinds import q
 from ..session import stored
 from .split import rank_below, seeded_order
 
-MAX_BROADCAST_BYTES = 512 * 1024 * 1024
 #: Bytes of coordinates in a block of training and of test rows.
 TRAIN_BLOCK_BYTES = 8 << 20
 TEST_BLOCK_BYTES = 2 << 20
@@ -43,13 +40,7 @@ SAMPLE_BYTES = 64 << 20
 DISTANCES = 1 << 21
 
 
-def _matrix(pdf: pd.DataFrame, features: list[str]) -> np.ndarray:
-    if len(features) == 1 and pdf[features[0]].dtype == object:
-        return np.stack([np.asarray(v, dtype="float64") for v in pdf[features[0]].to_numpy()]) if len(pdf) else np.zeros((0, 0))
-    return pdf[features].to_numpy(dtype="float64")
-
-
-def sample_train(train: DataFrame, key: list[str], *, max_rows: int = P.KNN_MAX_TRAIN, seed: int = P.RANDOM_SEED) -> DataFrame:
+def sample_train(train: DataFrame, key: list[str], *, max_rows: int, seed: int = P.RANDOM_SEED) -> DataFrame:
     """Exactly ``min(n, max_rows)`` rows, chosen by a seeded md5 order of ``key``."""
     n = train.count()
     if n <= max_rows:
@@ -72,74 +63,21 @@ def positive_class(classes: list[str]) -> int | None:
     return classes.index("1") if "1" in classes else None
 
 
-def _weights(d: np.ndarray) -> np.ndarray:
-    zero = d == 0
-    w = np.where(zero.any(axis=1, keepdims=True), zero.astype("float64"), 1.0 / np.where(zero, 1.0, d))
-    return w
-
-
 def knn_predict(train: DataFrame, test: DataFrame, features: list[str], label: str, *, key: list[str],
                 task: str = "classification", k: int = P.KNN_NEIGHBOURS, keep: list[str] | None = None,
-                seed: int = P.RANDOM_SEED, max_rows: int = P.KNN_MAX_TRAIN) -> DataFrame:
+                seed: int = P.RANDOM_SEED, max_rows: int | None = None) -> DataFrame:
     """Predictions for every test row: ``keep… , prediction`` (+ ``score`` =
     weighted share of the positive class for classification).
 
-    ``max_rows`` bounds the seeded training sample; the default follows the
-    reference.  The positive class is the larger of two labels, else "1".
+    All training rows count, a class without a name as "None"; equal distances go by the keys' values.  ``max_rows``,
+    if given, asks for a seeded training sample of that size.  The positive class is the larger of two labels, else "1".
     """
-    spark = train.sparkSession
-    sample = sample_train(train.select(*key, *features, label), key, max_rows=max_rows, seed=seed).toPandas()
-    x_train = _matrix(sample, features)
-    if x_train.nbytes > MAX_BROADCAST_BYTES:
-        raise ValueError(f"kNN sample matrix is {x_train.nbytes} bytes, above the broadcast limit")
-    y_raw = sample[label].to_numpy()
-    if task == "classification":
-        classes = np.array(sorted({str(v) for v in y_raw}))
-        y_idx = np.searchsorted(classes, np.array([str(v) for v in y_raw]))
-    else:
-        classes = None
-        y_idx = y_raw.astype("float64")
-    positive = positive_class(classes.tolist()) if classes is not None else None
-    bx = spark.sparkContext.broadcast((x_train, y_idx, classes))
-    keep = keep or []
-    kk = min(k, len(x_train))
-
-    def score(batches):
-        xt, yi, cls = bx.value
-        tn = (xt * xt).sum(axis=1)
-        for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            step = max(1, DISTANCES // max(1, len(xt)))
-            for lo in range(0, len(pdf), step):
-                yield scored(pdf.iloc[lo: lo + step], xt, yi, cls, tn)
-
-    def scored(pdf: pd.DataFrame, xt, yi, cls, tn) -> pd.DataFrame:
-        x = _matrix(pdf, features)
-        d2 = np.maximum((x * x).sum(axis=1)[:, None] + tn[None, :] - 2.0 * x @ xt.T, 0.0)
-        idx = np.argpartition(d2, kk - 1, axis=1)[:, :kk]
-        dsel = np.take_along_axis(d2, idx, axis=1)
-        order = np.lexsort((idx, dsel), axis=1)  # by distance, then by sample position
-        idx = np.take_along_axis(idx, order, axis=1)
-        dist = np.sqrt(np.take_along_axis(d2, idx, axis=1))
-        w = _weights(dist)
-        out = pdf[keep].copy()
-        if cls is not None:
-            votes = np.zeros((len(x), len(cls)))
-            np.add.at(votes, (np.repeat(np.arange(len(x)), kk), yi[idx].ravel()), w.ravel())
-            out["prediction"] = cls[votes.argmax(axis=1)]  # ties → smallest class
-            out["score"] = votes[:, positive] / votes.sum(axis=1) if positive is not None else 0.0
-        else:
-            out["prediction"] = (w * yi[idx]).sum(axis=1) / w.sum(axis=1)
-        return out
-
-    keep_fields = [f for f in test.schema.fields if f.name in keep]
-    from pyspark.sql.types import DoubleType, StringType, StructField, StructType
-
-    fields = keep_fields + [StructField("prediction", StringType() if task == "classification" else DoubleType())]
+    rows = train.select(*[q(c) for c in dict.fromkeys([*key, *features, label])])
+    if max_rows is not None:
+        rows = stored(sample_train(rows, key, max_rows=max_rows, seed=seed))
     if task == "classification":
-        fields.append(StructField("score", DoubleType()))
-    return test.select(*keep, *features).mapInPandas(score, StructType(fields))
+        rows = rows.withColumn(label, F.coalesce(F.col(q(label)).cast("string"), F.lit("None")))
+    return knn_join(rows, test, features, label, key=key, task=task, k=k, keep=keep, by_value=True)
 
 
 def _coordinates(df: DataFrame, features: list[str]) -> Column:
@@ -208,13 +146,22 @@ def _points(column: pd.Series, dims: int) -> np.ndarray:
     return np.stack(column.to_numpy()).astype("float64") if len(column) else np.zeros((0, dims))
 
 
-def nearest_rows(train: DataFrame, test: DataFrame, features: list[str], *, key: list[str], carry: list[str], k: int) -> DataFrame:
+def _key_text(df: DataFrame, c: str, by_value: bool) -> Column:
+    """The text by which a key is ordered; with ``by_value`` whole numbers get texts in the order of their values."""
+    x = F.col(q(c))
+    if by_value and dict(df.dtypes)[c] in ("tinyint", "smallint", "int", "bigint"):
+        x = F.lpad((x.cast("decimal(20,0)") + F.lit(str(1 << 63)).cast("decimal(20,0)")).cast("string"), 20, "0")
+    return F.coalesce(x.cast("string"), F.lit("~"))
+
+
+def nearest_rows(train: DataFrame, test: DataFrame, features: list[str], *, key: list[str], carry: list[str], k: int, by_value: bool = False) -> DataFrame:
     """The ``k`` nearest training rows of each test row: ``_rid, d, t`` (key text) and the ``carry`` columns of the training row.
 
-    ``test`` has ``_rid``.  Rows with a null coordinate have no neighbours and are none.
+    ``test`` has ``_rid``.  Rows with a null coordinate have no neighbours and are none.  Equal distances go by the
+    keys' texts, or with ``by_value`` by their numbers.
     """
     whole = lambda x: ~F.exists(x, lambda v: v.isNull() | F.isnan(v))
-    text = F.concat_ws("|", *[F.coalesce(F.col(q(c)).cast("string"), F.lit("~")) for c in key])
+    text = F.concat_ws("|", *[_key_text(train, c, by_value) for c in key])
     right = train.select(_coordinates(train, features).alias("x"), text.alias("t"), *[F.col(q(c)) for c in carry]).where(whole(F.col("x")))
     left = test.select("_rid", _coordinates(test, features).alias("x")).where(whole(F.col("x")))
     # of rows at one place only the first k can be among the nearest
@@ -298,7 +245,7 @@ def nearest_rows(train: DataFrame, test: DataFrame, features: list[str], *, key:
 
 
 def knn_join(train: DataFrame, test: DataFrame, features: list[str], label: str, *, key: list[str], task: str = "regression",
-             k: int = P.KNN_NEIGHBOURS, keep: list[str] | None = None) -> DataFrame:
+             k: int = P.KNN_NEIGHBOURS, keep: list[str] | None = None, by_value: bool = False) -> DataFrame:
     """Predictions for every test row from its ``k`` nearest of all training rows: ``keep… , prediction`` (+ ``score``).
 
     Rows without a whole set of coordinates have a null prediction.
@@ -306,30 +253,40 @@ def knn_join(train: DataFrame, test: DataFrame, features: list[str], label: str,
     keep = keep or []
     rows = stored(test.withColumn("_rid", F.monotonically_increasing_id()))
     given = train.where(F.col(q(label)).isNotNull()).withColumn("_y", F.col(q(label)).cast("double" if task == "regression" else "string"))
-    found = nearest_rows(given, rows, features, key=key, carry=["_y"], k=k)
+    found = nearest_rows(given, rows, features, key=key, carry=["_y"], k=k, by_value=by_value)
+    near = found.groupBy("_rid").agg(F.array_sort(F.collect_list(F.struct("d", "t", "_y"))).alias("_near"))  # k of a row
     # a zero distance wins outright
-    hit = F.min("d").over(Window.partitionBy("_rid")) == 0
-    weighed = found.withColumn("_hit", hit).withColumn("_w", F.when(F.col("_hit"), (F.col("d") == 0).cast("double")).otherwise(1.0 / F.col("d")))
+    hit = F.col("_near")[0]["d"] == 0
+    near = near.withColumn("_near", F.transform("_near", lambda x: F.struct(F.when(hit, (x["d"] == 0).cast("double")).otherwise(1.0 / x["d"]).alias("w"), x["_y"].alias("y"))))
+
+    def total(of) -> Column:
+        return F.aggregate(of, F.lit(0.0), lambda a, v: a + v)
+
+    whole = total(F.transform("_near", lambda x: x["w"]))
     if task == "regression":
-        out = weighed.groupBy("_rid").agg((F.sum(F.col("_w") * F.col("_y")) / F.sum("_w")).alias("prediction"))
+        out = near.select("_rid", (total(F.transform("_near", lambda x: x["w"] * x["y"])) / whole).alias("prediction"))
     else:
-        votes = weighed.groupBy("_rid", "_y").agg(F.sum("_w").alias("_w"))
         classes = sorted(r[0] for r in given.select("_y").distinct().collect())  # one row per class
         one = positive_class(classes)
-        share = F.sum(F.when(F.col("_y") == F.lit(classes[one]), F.col("_w")).otherwise(0.0)) / F.sum("_w") if one is not None else F.lit(0.0)
-        out = votes.groupBy("_rid").agg(F.min(F.struct((-F.col("_w")).alias("w"), F.col("_y").alias("y")))["y"].alias("prediction"), share.alias("score"))
+
+        def votes(c) -> Column:
+            return total(F.transform("_near", lambda x: F.when(x["y"] == c, x["w"]).otherwise(0.0)))
+
+        ranked = F.transform(F.array_distinct(F.transform("_near", lambda x: x["y"])), lambda c: F.struct((-votes(c)).alias("w"), c.alias("y")))
+        share = votes(F.lit(classes[one])) / whole if one is not None else F.lit(0.0)
+        out = near.select("_rid", F.array_min(ranked)["y"].alias("prediction"), share.alias("score"))
     return rows.select("_rid", *[q(c) for c in keep]).join(out, "_rid", "left").drop("_rid")
 
 
 class KnnModel:
-    """Training rows kept for prediction: all of them, or a seeded sample of ``max_rows``."""
+    """Training rows kept for prediction: all of them, or a seeded sample of ``max_rows`` that the caller asked for."""
 
     def __init__(self, task: str, features: list[str], label: str, key: list[str], rows: DataFrame, *, k: int = P.KNN_NEIGHBOURS, max_rows: int | None = None):
         self.task, self.features, self.label, self.key, self.rows, self.k, self.max_rows = task, features, label, key, rows, k, max_rows
 
     def predict(self, df: DataFrame, keep: list[str]) -> DataFrame:
         how = dict(key=self.key, task=self.task, k=self.k, keep=keep)
-        if self.max_rows is None:
+        if self.max_rows is None and self.task == "regression":
             return knn_join(self.rows, df, self.features, self.label, **how)
         return knn_predict(self.rows, df, self.features, self.label, max_rows=self.max_rows, **how)
 

@@ -45,6 +45,20 @@ def test_sampled_neighbours_in_blocks(spark, monkeypatch, task):
     assert [r["prediction"] for r in found()] == pytest.approx([r["prediction"] for r in whole]) if task == "regression" else found() == whole
 
 
+def test_neighbours_beyond_the_sample(spark):
+    """The only near rows are found among more than 10 000; equal distances go by the keys' values, not by their texts."""
+    train = spark.range(12000).selectExpr("id AS k", "CASE WHEN id % 3000 = 7 THEN 0.5D ELSE 100.0D + id END AS f", "CASE WHEN id % 3000 = 7 THEN 'near' ELSE 'far' END AS y")
+    test = spark.createDataFrame([(1, 0.0, "near")], "k long, f double, y string")
+    out = K.knn_predict(train, test, ["f"], "y", key=["k"], k=4, keep=["k"]).first()
+    assert (out["prediction"], out["score"]) == ("near", 1.0)
+    res = M.train_and_evaluate("KNeighborsClassifier", M.CLASSIFICATION, train, test, ["f"], "y", key=["k"], params={"n_neighbors": 4})
+    assert res.predictions.first()["p"] == "near" and res.model.rows.count() == 12000
+    assert K.knn_predict(train, test, ["f"], "y", key=["k"], k=4, keep=["k"], max_rows=5).count() == 1
+    same = spark.createDataFrame([(-3, 1.0, "a"), (9, 1.0, "b"), (10, 1.0, "c")], "k long, f double, y string")
+    assert K.knn_predict(same, test, ["f"], "y", key=["k"], k=1, keep=["k"]).first()["prediction"] == "a"
+    assert K.knn_predict(same.where("k > 0"), test, ["f"], "y", key=["k"], k=1, keep=["k"]).first()["prediction"] == "b"
+
+
 def test_silhouette_of_equal_rows(spark):
     """Equal rows are one reference: 40 of each row fit where the rows one by one don't, and the score stays exact."""
     rnd = random.Random(6)
