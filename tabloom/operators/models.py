@@ -151,11 +151,9 @@ def train_and_evaluate(name: str, task: str, train: DataFrame, val: DataFrame, f
     if name in ("KNeighborsRegressor", "KNeighborsClassifier", "AdaBoostClassifier", "AdaBoostRegressor"):
         if name.startswith("K"):
             own = _known(name, params, {"k": "k", "n_neighbors": "k", "max_rows": "max_rows"})
-            # the classifier's sample is the reference's; the regressor takes all rows
-            rows = train if "max_rows" in own or task == REGRESSION else None
-            most = own.pop("max_rows", None if rows is not None else P.KNN_MAX_TRAIN)
-            if most is not None:
-                train = stored(knn.sample_train(train.select(*[q(c) for c in dict.fromkeys([*key, *features, label])]), key, max_rows=most, seed=seed))
+            most = own.pop("max_rows", None)  # all rows, unless the caller asks for a sample
+            train = train.select(*[q(c) for c in dict.fromkeys([*key, *features, label])])
+            train = stored(train if most is None else knn.sample_train(train, key, max_rows=most, seed=seed))
             model = knn.KnnModel(task, features, label, key, train, max_rows=most, **own)
         else:
             own = _known(name, params, {"n_estimators": "rounds", "rounds": "rounds", "learning_rate": "learning_rate", "max_depth": "max_depth"})
