@@ -74,6 +74,46 @@ def test_silhouette_of_equal_rows(spark):
     assert exact == pytest.approx(((b - a) / np.maximum(a, b)).mean())
 
 
+def of_all_pairs(x, c, w) -> float:
+    """Mean silhouette of points with weights."""
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    size = np.array([w[c == k].sum() for k in range(c.max() + 1)])
+    total = np.stack([d[:, c == k] @ w[c == k] for k in range(len(size))], 1)
+    a = total[np.arange(len(x)), c] / np.maximum(size[c] - 1, 1)
+    mean = total / size
+    mean[np.arange(len(x)), c] = np.inf
+    b = mean.min(axis=1)
+    return float((np.where(size[c] == 1, 0.0, (b - a) / np.maximum(a, b)) * w).sum() / w.sum())
+
+
+@pytest.mark.parametrize("dims", [1, 2, 3, 6])
+def test_silhouette_by_boxes(spark, monkeypatch, dims):
+    """Many blocks, boxes and passes over clusters give the score of all pairs."""
+    rng = np.random.default_rng(dims)
+    n = 3000
+    x = np.concatenate([rng.normal(0, 1, (n // 2, dims)) ** 3, rng.uniform(-4, 4, (n // 3, dims)), np.round(rng.uniform(-9, 9, (n // 6, dims)))])
+    x[:, -1] = np.where(rng.random(n) < 0.5, np.round(x[:, -1]), x[:, -1])
+    c = np.where(x[:, 0] > 0.3, 0, 1) + 2 * rng.integers(0, 2, n)
+    x[-1], c[-1] = 40.0, 4  # alone in its cluster
+    w = rng.integers(1, 3, n)
+    df = spark.createDataFrame([(int(k), *p.tolist()) for p, k, m in zip(x, c, w, strict=True) for _ in range(m)], "c int, " + ", ".join(f"f{j} double" for j in range(dims)))
+    for name, value in (("BLOCK_ROWS", 200), ("LEAF", 16), ("CLUSTERS", 2), ("NEAR_BYTES", 20000)):
+        monkeypatch.setattr(Q, name, value)
+    got, refs, error = Q.silhouette(df, [f"f{j}" for j in range(dims)], {k: int(w[c == k].sum()) for k in range(5)})
+    assert (refs, error) == (w.sum(), 0) and got == pytest.approx(of_all_pairs(x, c, w), abs=1e-6)
+
+
+def test_silhouette_beyond_the_references(spark, monkeypatch):
+    """However many rows there are, all of them are references."""
+    monkeypatch.setattr(Q, "REFERENCE_BYTES", 1600, raising=False)
+    rng = np.random.default_rng(2)
+    x, c = rng.normal(0, 1, (2000, 2)), rng.integers(0, 2, 2000)
+    df = spark.createDataFrame([(int(k), *p.tolist()) for p, k in zip(x, c, strict=True)], "k int, x double, y double")
+    got = Q.clustering_scores(df, ["x", "y"], "k").first()
+    assert (got["silhouette_references"], got["silhouette_error"]) == (2000, 0)
+    assert got["silhouette"] == round(of_all_pairs(x, c, np.ones(2000)), 4)
+
+
 def largest(df) -> int:
     return df.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
 
